@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slicelens.functions.maths import ratio
-from slicelens.operators.joins import attach, pin
+from slicelens.operators.joins import attach
 from slicelens.operators.ordering import range_buckets, running_totals
 
 CURVE = ["model", "cls"]
@@ -25,8 +25,8 @@ def class_scores(pred: DataFrame, scores: str = "scores") -> DataFrame:
     )
 
 
-def threshold_counts(scored: DataFrame) -> DataFrame:
-    """Positives and negatives at every distinct score, with running totals.
+def score_steps(scored: DataFrame) -> DataFrame:
+    """Positives and negatives at every distinct score, in score-range buckets.
 
     Equal scores collapse before the shuffle; the rest is spread by score range,
     so one curve with many distinct scores uses many tasks.
@@ -34,14 +34,23 @@ def threshold_counts(scored: DataFrame) -> DataFrame:
     counts = scored.groupBy(*CURVE, "score").agg(
         F.count_if("is_class").alias("pos"), F.count_if(~F.col("is_class")).alias("neg")
     )
-    bucketed = range_buckets(counts, [F.col("model"), F.col("cls"), F.col("score").desc()])
-    return running_totals(bucketed, CURVE, "bucket", [F.col("score").desc()], ["pos", "neg"])
+    return range_buckets(counts, [F.col("model"), F.col("cls"), F.col("score").desc()])
 
 
-def curve_totals(steps: DataFrame) -> DataFrame:
-    return steps.groupBy(*CURVE).agg(
-        F.sum("pos").alias("positives"), F.sum("neg").alias("negatives")
+def cumulative(steps: DataFrame) -> DataFrame:
+    return running_totals(steps, CURVE, "bucket", [F.col("score").desc()], ["pos", "neg"])
+
+
+def _with_next(steps: DataFrame, cumulated: DataFrame) -> DataFrame:
+    """Add the counts of the next lower score, which may open the next bucket."""
+    onward = Window.partitionBy(*CURVE).orderBy("bucket")
+    inside = Window.partitionBy(*CURVE, "bucket").orderBy(F.desc("score"))
+    heads = steps.groupBy(*CURVE, "bucket").agg(
+        F.max_by(F.struct("pos", "neg"), "score").alias("head")
     )
+    heads = heads.select(*CURVE, "bucket", F.lead("head").over(onward).alias("after"))
+    following = F.coalesce(F.lead(F.struct("pos", "neg")).over(inside), F.col("after"))
+    return cumulated.join(heads, CURVE + ["bucket"]).withColumn("next", following).drop("after")
 
 
 def roc_curve(scored: DataFrame, drop_collinear: bool = True) -> DataFrame:
@@ -50,30 +59,15 @@ def roc_curve(scored: DataFrame, drop_collinear: bool = True) -> DataFrame:
     ``drop_collinear`` removes an inner point when the next step has the same
     positives and negatives, i.e. when it lies on a straight line.
     """
-    steps = pin(threshold_counts(scored))
-    totals = curve_totals(steps)
+    counted = score_steps(scored)
+    totals = counted.groupBy(*CURVE).agg(
+        F.sum("pos").alias("positives"), F.sum("neg").alias("negatives")
+    )
+    steps = cumulative(counted)
     if drop_collinear:
-        heads = steps.groupBy(*CURVE, "bucket").agg(
-            F.max_by("pos", "score").alias("head_pos"), F.max_by("neg", "score").alias("head_neg")
-        )
-        onward = Window.partitionBy(*CURVE).orderBy("bucket")
-        heads = heads.select(
-            *CURVE, "bucket",
-            F.lead("head_pos").over(onward).alias("after_pos"),
-            F.lead("head_neg").over(onward).alias("after_neg"),
-        )
-        inside = Window.partitionBy(*CURVE, "bucket").orderBy(F.desc("score"))
-        steps = (
-            steps.join(heads, CURVE + ["bucket"])
-            .withColumn("next_pos", F.coalesce(F.lead("pos").over(inside), F.col("after_pos")))
-            .withColumn("next_neg", F.coalesce(F.lead("neg").over(inside), F.col("after_neg")))
-            .filter(
-                F.col("next_pos").isNull()
-                | ((F.col("pos_cum") == F.col("pos")) & (F.col("neg_cum") == F.col("neg")))
-                | (F.col("next_pos") != F.col("pos"))
-                | (F.col("next_neg") != F.col("neg"))
-            )
-        )
+        first = (F.col("pos_cum") == F.col("pos")) & (F.col("neg_cum") == F.col("neg"))
+        turns = (F.col("next.pos") != F.col("pos")) | (F.col("next.neg") != F.col("neg"))
+        steps = _with_next(counted, steps).filter(F.col("next").isNull() | first | turns)
     points = steps.select(
         *CURVE, "score", F.col("pos_cum").alias("tp"), F.col("neg_cum").alias("fp")
     )
@@ -90,9 +84,8 @@ def roc_curve(scored: DataFrame, drop_collinear: bool = True) -> DataFrame:
 
 def roc_auc(scored: DataFrame) -> DataFrame:
     """Trapezoid area per model and class, straight from the running totals."""
-    steps = pin(threshold_counts(scored))
     strip = F.col("neg") * (F.col("pos_cum") - F.col("pos") / 2.0)
-    return steps.groupBy(*CURVE).agg(
+    return cumulative(score_steps(scored)).groupBy(*CURVE).agg(
         ratio(F.sum(strip), F.sum("pos").cast("double") * F.sum("neg")).alias("auc")
     )
 
@@ -163,7 +156,7 @@ def macro_roc_curve(points: DataFrame, classes) -> DataFrame:
 
 def macro_roc_auc(points: DataFrame, classes) -> DataFrame:
     """Trapezoid area under the macro curve, summed per range of the grid."""
-    curve = pin(macro_roc_curve(points, classes)).withColumn(
+    curve = macro_roc_curve(points, classes).withColumn(
         "bucket", F.least(F.floor(F.col("fpr") * GRID_BUCKETS), F.lit(GRID_BUCKETS - 1))
     )
     inside = Window.partitionBy("model", "bucket").orderBy("fpr")

@@ -42,29 +42,29 @@ def class_summary(per_app: DataFrame) -> DataFrame:
     )
 
 
-def _bands(df: DataFrame, columns: list[str], row, n: dict) -> dict:
-    """A value band around each quartile that provably holds its neighbours."""
-    bands = {}
+def _bands(df: DataFrame, columns: list[str], row) -> dict:
+    """Per (column, quartile): a value band proven to hold the neighbours of the rank.
+
+    Returns (low, high, rows below the band, zero-based rank).
+    """
+    bands, open_bands = {}, []
     for i, c in enumerate(columns):
         for j, q in enumerate(QUARTILES):
-            wide = n[c] <= SMALL
-            lo = row[f"min{i}"] if wide else row[f"around{i}"][2 * j]
-            hi = row[f"max{i}"] if wide else row[f"around{i}"][2 * j + 1]
-            bands[c, q] = (lo, hi)
-    counters = []
-    for (c, q), (lo, hi) in bands.items():
-        counters.append(F.count_if(F.col(c) < F.lit(lo)))
-        counters.append(F.count_if(F.col(c) <= F.lit(hi)))
-    seen = df.agg(*[x.alias(f"c{i}") for i, x in enumerate(counters)]).first()
-    checked = {}
-    for i, ((c, q), (lo, hi)) in enumerate(bands.items()):
-        below, upto = seen[2 * i], seen[2 * i + 1]
-        rank = int(q * (n[c] - 1))
-        if not (below <= rank and min(rank + 1, n[c] - 1) < upto):
-            k = columns.index(c)
-            lo, hi, below = row[f"min{k}"], row[f"max{k}"], 0
-        checked[c, q] = (lo, hi, below, rank)
-    return checked
+            rank = int(q * (row[f"n{i}"] - 1))
+            bands[c, q] = (row[f"min{i}"], row[f"max{i}"], 0, rank)
+            if row[f"n{i}"] > SMALL:
+                lo, hi = row[f"around{i}"][2 * j : 2 * j + 2]
+                open_bands.append((c, q, lo, hi, rank, row[f"n{i}"]))
+    if not open_bands:
+        return bands
+    seen = df.agg(
+        *[F.count_if(F.col(c) < F.lit(lo)).alias(f"b{i}") for i, (c, _, lo, *_) in enumerate(open_bands)],
+        *[F.count_if(F.col(c) <= F.lit(hi)).alias(f"u{i}") for i, (c, _, _, hi, *_) in enumerate(open_bands)],
+    ).first()
+    for i, (c, q, lo, hi, rank, n) in enumerate(open_bands):
+        if seen[f"b{i}"] <= rank and min(rank + 1, n - 1) < seen[f"u{i}"]:
+            bands[c, q] = (lo, hi, seen[f"b{i}"], rank)
+    return bands
 
 
 def describe_features(df: DataFrame, columns=FEATURES) -> DataFrame:
@@ -92,8 +92,9 @@ def describe_features(df: DataFrame, columns=FEATURES) -> DataFrame:
         ]
     ).first()
     n = {c: row[f"n{i}"] for i, c in enumerate(columns)}
-    filled = [c for c in columns if n[c]]
-    bands = _bands(df, filled, row, n) if len(filled) == len(columns) else {}
+    if not all(n.values()):
+        raise ValueError(f"columns without any value: {[c for c in columns if not n[c]]}")
+    bands = _bands(df, columns, row)
     entries = []
     for (c, q), (lo, hi, below, rank) in bands.items():
         entries.append(
@@ -108,8 +109,6 @@ def describe_features(df: DataFrame, columns=FEATURES) -> DataFrame:
                 ),
             )
         )
-    if not entries:
-        raise ValueError("every column needs at least one value")
     keys = ["feature", "q", "below", "rank", "n"]
     upto = (
         Window.partitionBy("feature", "q").orderBy("value")

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from slicelens.plans import metric_queries, packet_queries, sample_queries  # noqa: F401
+from slicelens.plans import (  # noqa: F401
+    metric_queries,
+    packet_queries,
+    sample_queries,
+    source_queries,
+)
 from slicelens.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

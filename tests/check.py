@@ -22,6 +22,8 @@ from slicelens.plans.catalog import ORACLES, QUERIES  # noqa: E402
 def main() -> int:
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
     names = sys.argv[2:] or list(QUERIES)
+    if names[0].startswith("module:"):
+        names = [n for n, f in QUERIES.items() if f.__module__.endswith(names[0][7:])]
     spark = (
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "8")
