@@ -110,15 +110,25 @@ def interpolate(
     )
     low = F.when(F.col("y_lo").isNotNull(), F.struct("x", F.col("y_lo").alias("y")))
     high = F.when(F.col("y_hi").isNotNull(), F.struct("x", F.col("y_hi").alias("y")))
-    along = Window.partitionBy(*keys).orderBy("bucket")
-    edges = rows.groupBy(*keys, "bucket").agg(F.min(low).alias("head"), F.max(high).alias("tail"))
-    first, last = Window.unboundedPreceding, Window.unboundedFollowing
+    knot_x = F.when(F.col("y_hi").isNotNull(), F.col("x"))
+    edges = rows.groupBy(*keys, "bucket").agg(
+        F.min(knot_x).alias("head_x"), F.min_by("y_lo", knot_x).alias("head_y"),
+        F.max(knot_x).alias("tail_x"), F.max_by("y_hi", knot_x).alias("tail_y"),
+    )
+    head = F.when(F.col("head_x").isNotNull(), F.struct(F.col("head_x").alias("x"), F.col("head_y").alias("y")))
+    tail = F.when(F.col("tail_x").isNotNull(), F.struct(F.col("tail_x").alias("x"), F.col("tail_y").alias("y")))
+    # Looking ahead is looking back in descending order: a frame that ends
+    # unbounded would be evaluated anew for every row.
+    start = Window.unboundedPreceding
+    buckets = Window.partitionBy(*keys)
     edges = edges.select(
         *keys, "bucket",
-        F.last("tail", True).over(along.rowsBetween(first, -1)).alias("carried"),
-        F.first("head", True).over(along.rowsBetween(1, last)).alias("coming"),
+        F.last(tail, True).over(buckets.orderBy("bucket").rowsBetween(start, -1)).alias("carried"),
+        F.last(head, True).over(buckets.orderBy(F.desc("bucket")).rowsBetween(start, -1)).alias("coming"),
     )
-    inside = Window.partitionBy(*keys, "bucket").orderBy("x")
+    inside = Window.partitionBy(*keys, "bucket")
+    rising = inside.orderBy("x").rowsBetween(start, 0)
+    falling = inside.orderBy(F.desc("x")).rowsBetween(start, 0)
     left, right = F.col("left"), F.col("right")
     slope = (right.y - left.y) / F.nullif(right.x - left.x, F.lit(0.0))
     value = (
@@ -129,8 +139,8 @@ def interpolate(
     )
     return (
         rows.join(edges, keys + ["bucket"])
-        .withColumn("left", F.coalesce(F.last(high, True).over(inside.rowsBetween(first, 0)), F.col("carried")))
-        .withColumn("right", F.coalesce(F.first(low, True).over(inside.rowsBetween(0, last)), F.col("coming")))
+        .withColumn("left", F.coalesce(F.last(high, True).over(rising), F.col("carried")))
+        .withColumn("right", F.coalesce(F.last(low, True).over(falling), F.col("coming")))
         .filter("_g")
         .select(*keys, "x", value.alias("y"))
     )

@@ -16,9 +16,11 @@ def range_buckets(df: DataFrame, order: list[Column], bucket: str = "bucket") ->
     """Number contiguous key ranges of similar size, in ``order``.
 
     Spark samples the keys for the range bounds, so the buckets follow the
-    data. The result is checkpointed, which freezes the numbering.
+    data; there are as many as shuffle partitions. The result is checkpointed,
+    which freezes the numbering.
     """
-    ranged = df.repartitionByRange(*order).withColumn(bucket, F.spark_partition_id())
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order).withColumn(bucket, F.spark_partition_id())
     return pin(ranged)
 
 
