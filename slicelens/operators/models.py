@@ -50,7 +50,8 @@ def fit_random_forest(
     df: DataFrame, columns=FEATURES, label: str = LABEL, trees: int = 200, depth: int = 30
 ) -> PipelineModel:
     forest = RandomForestClassifier(
-        labelCol=label, numTrees=trees, maxDepth=depth, seed=SEED, maxMemoryInMB=1024
+        labelCol=label, numTrees=trees, maxDepth=depth, seed=SEED, maxMemoryInMB=1024,
+        cacheNodeIds=True,
     )
     return _fit(df, forest, columns)
 
