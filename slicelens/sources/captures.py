@@ -32,7 +32,10 @@ CAPTURE_COLUMNS = ("Time", "Source", "Destination", "Protocol", "Length", "Info"
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """``path`` of every .csv file (any case) below ``root``; contents are not read."""
+    """``path`` of every .csv file (any case) below ``root``; contents are not read.
+
+    Spark's listing leaves out files of zero bytes.
+    """
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
