@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from slicelens.functions.maths import ratio
 from slicelens.operators.joins import attach
-from slicelens.operators.ordering import range_buckets, running_totals
+from slicelens.operators.ordering import range_buckets, running_totals, task_count
 
 CURVE = ["model", "cls"]
-GRID_BUCKETS = 256
 
 
 def class_scores(pred: DataFrame, scores: str = "scores") -> DataFrame:
@@ -146,6 +145,12 @@ def interpolate(
     )
 
 
+def _rate_bucket(df: DataFrame, rate: str) -> Column:
+    """Equal parts of [0, 1]; distinct rates are close to evenly spaced."""
+    n = task_count(df.sparkSession)
+    return F.least(F.floor(F.col(rate) * n), F.lit(n - 1))
+
+
 def fpr_grid(points: DataFrame) -> DataFrame:
     """Distinct false-positive rates of all classes of a model."""
     return points.select("model", F.col("fpr").alias("x")).distinct()
@@ -156,9 +161,8 @@ def macro_roc_curve(points: DataFrame, classes) -> DataFrame:
     every = F.array(*[F.lit(c).cast("bigint") for c in classes])
     grid = fpr_grid(points).withColumn("cls", F.explode(every))
     knots = points.select(*CURVE, F.col("fpr").alias("x"), F.col("tpr").alias("y"))
-    bucket = F.least(F.floor(F.col("x") * GRID_BUCKETS), F.lit(GRID_BUCKETS - 1))
     return (
-        interpolate(knots, grid, CURVE, bucket)
+        interpolate(knots, grid, CURVE, _rate_bucket(points, "x"))
         .groupBy("model", F.col("x").alias("fpr"))
         .agg(F.avg("y").alias("tpr"))
     )
@@ -166,9 +170,7 @@ def macro_roc_curve(points: DataFrame, classes) -> DataFrame:
 
 def macro_roc_auc(points: DataFrame, classes) -> DataFrame:
     """Trapezoid area under the macro curve, summed per range of the grid."""
-    curve = macro_roc_curve(points, classes).withColumn(
-        "bucket", F.least(F.floor(F.col("fpr") * GRID_BUCKETS), F.lit(GRID_BUCKETS - 1))
-    )
+    curve = macro_roc_curve(points, classes).withColumn("bucket", _rate_bucket(points, "fpr"))
     inside = Window.partitionBy("model", "bucket").orderBy("fpr")
     width = F.col("fpr") - F.lag("fpr").over(inside)
     height = (F.col("tpr") + F.lag("tpr").over(inside)) / 2

@@ -37,6 +37,16 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write once as Parquet in the shared folder and read back.
+
+    For large tables that later steps read more than once, a few columns each.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fits_broadcast(pinned: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return pinned.limit(limit + 1).count() <= limit
 

@@ -6,12 +6,21 @@ sum is cheap; inside a bucket an ordinary window adds the rest.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slicelens.operators.joins import pin
 
 
+BUCKET_ROWS = 1 << 20
+
+
+def task_count(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def range_buckets(df: DataFrame, order: list[Column], bucket: str = "bucket") -> DataFrame:
     """Number contiguous key ranges of similar size, in ``order``.
 
@@ -19,7 +28,7 @@ def range_buckets(df: DataFrame, order: list[Column], bucket: str = "bucket") ->
     data; there are as many as shuffle partitions. The result is checkpointed,
     which freezes the numbering.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = task_count(df.sparkSession)
     ranged = df.repartitionByRange(n, *order).withColumn(bucket, F.spark_partition_id())
     return pin(ranged)
 
@@ -64,15 +73,21 @@ def shuffle_key(identity: Column | list[Column], seed) -> Column:
     return F.md5(F.concat_ws(":", *[p.cast("string") for p in parts], seed.cast("string")))
 
 
-def hash_bucket(key: Column, digits: int = 3) -> Column:
+def hash_bucket(key: Column, digits: int) -> Column:
     """Leading hex digits of a hash key: ordered buckets of even size."""
     return F.substring(key, 1, digits)
 
 
+def bucket_digits(rows: int) -> int:
+    """Hex digits that keep a bucket of evenly spread keys near ``BUCKET_ROWS``."""
+    return max(1, math.ceil(math.log(max(rows, 1) / BUCKET_ROWS, 16)))
+
+
 def positions(
-    df: DataFrame, keys: list[str], key: str, name: str = "position", digits: int = 3
+    df: DataFrame, keys: list[str], key: str, name: str = "position", rows: int | None = None
 ) -> DataFrame:
     """One-based rank of every row by a hash key, per group."""
+    digits = bucket_digits(df.count() if rows is None else rows)
     marked = df.withColumn("_bucket", hash_bucket(F.col(key), digits)).withColumn(
         "_one", F.lit(1).cast("bigint")
     )

@@ -140,6 +140,6 @@ def epoch_batches(
     )
     numbers = F.sequence(F.lit(1).cast("bigint"), F.lit(epochs).cast("bigint"))
     repeated = df.withColumn("epoch", F.explode(numbers)).withColumn("_key", key)
-    placed = positions(repeated, ["epoch"], "_key", "_position")
+    placed = positions(repeated, ["epoch"], "_key", "_position", rows=per_epoch)
     batch = F.floor((F.col("_position") - 1) / batch_size)
     return placed.withColumn("batch", batch).filter(F.col("batch") < full).drop("_key", "_position")

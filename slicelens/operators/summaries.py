@@ -42,91 +42,99 @@ def class_summary(per_app: DataFrame) -> DataFrame:
     )
 
 
-def _bands(df: DataFrame, columns: list[str], row) -> dict:
-    """Per (column, quartile): a value band proven to hold the neighbours of the rank.
+def _bands(df: DataFrame, columns: list[str], row) -> list[tuple]:
+    """Value bands proven to hold the neighbours of each quartile's rank.
 
-    Returns (low, high, rows below the band, zero-based rank).
+    Rows of (column, low, high, rows below the band, {quartile: zero-based rank}).
+    A small column is one band; in a large one a sketch brackets each quartile
+    and a count proves the bracket, or else that band is the whole column.
     """
-    bands, open_bands = {}, []
+    bands, sketched = [], []
     for i, c in enumerate(columns):
-        for j, q in enumerate(QUARTILES):
-            rank = int(q * (row[f"n{i}"] - 1))
-            bands[c, q] = (row[f"min{i}"], row[f"max{i}"], 0, rank)
-            if row[f"n{i}"] > SMALL:
-                lo, hi = row[f"around{i}"][2 * j : 2 * j + 2]
-                open_bands.append((c, q, lo, hi, rank, row[f"n{i}"]))
-    if not open_bands:
+        ranks = {q: int(q * (row[f"n{i}"] - 1)) for q in QUARTILES}
+        whole = (c, row[f"min{i}"], row[f"max{i}"], 0)
+        if row[f"n{i}"] <= SMALL:
+            bands.append((*whole, ranks))
+        else:
+            sketched.append((whole, row[f"n{i}"], ranks))
+    if not sketched:
         return bands
+    around = [min(1.0, max(0.0, q + d)) for q in QUARTILES for d in (-BAND, BAND)]
+    sketch = df.agg(
+        *[F.percentile_approx(w[0], around, SKETCH_ACCURACY).alias(f"a{i}") for i, (w, _, _) in enumerate(sketched)]
+    ).first()
+    tries = [
+        (whole, n, q, rank, sketch[f"a{i}"][2 * j], sketch[f"a{i}"][2 * j + 1])
+        for i, (whole, n, ranks) in enumerate(sketched)
+        for j, (q, rank) in enumerate(ranks.items())
+    ]
     seen = df.agg(
-        *[F.count_if(F.col(c) < F.lit(lo)).alias(f"b{i}") for i, (c, _, lo, *_) in enumerate(open_bands)],
-        *[F.count_if(F.col(c) <= F.lit(hi)).alias(f"u{i}") for i, (c, _, _, hi, *_) in enumerate(open_bands)],
+        *[F.count_if(F.col(w[0]) < F.lit(lo)).alias(f"b{i}") for i, (w, *_, lo, _) in enumerate(tries)],
+        *[F.count_if(F.col(w[0]) <= F.lit(hi)).alias(f"u{i}") for i, (w, *_, hi) in enumerate(tries)],
     ).first()
-    for i, (c, q, lo, hi, rank, n) in enumerate(open_bands):
-        if seen[f"b{i}"] <= rank and min(rank + 1, n - 1) < seen[f"u{i}"]:
-            bands[c, q] = (lo, hi, seen[f"b{i}"], rank)
+    for i, (whole, n, q, rank, lo, hi) in enumerate(tries):
+        below, upto = seen[f"b{i}"], seen[f"u{i}"]
+        held = below <= rank and min(rank + 1, n - 1) < upto
+        bands.append((whole[0], lo, hi, below, {q: rank}) if held else (*whole, {q: rank}))
     return bands
 
 
 def describe_features(df: DataFrame, columns=FEATURES) -> DataFrame:
     """Count, mean, deviation, extremes and exact interpolated quartiles per column.
 
-    A sketch brackets each quartile, a count proves the bracket, and only the
-    values inside it are ordered; a bracket that fails the proof is widened to
-    the whole column.
+    Only values in a proven band around each quartile are put in order.
     """
     columns = list(columns)
+    spark = df.sparkSession
     df = pin(df.select(*columns))
-    around = [min(1.0, max(0.0, q + d)) for q in QUARTILES for d in (-BAND, BAND)]
     row = df.agg(
         *[
             expr
             for i, c in enumerate(columns)
             for expr in (
-                F.count(c).alias(f"n{i}"),
-                F.avg(c).alias(f"mean{i}"),
-                F.stddev_samp(c).alias(f"std{i}"),
-                F.min(c).alias(f"min{i}"),
-                F.max(c).alias(f"max{i}"),
-                F.percentile_approx(c, around, SKETCH_ACCURACY).alias(f"around{i}"),
+                F.count(c).alias(f"n{i}"), F.avg(c).alias(f"mean{i}"),
+                F.stddev_samp(c).alias(f"std{i}"), F.min(c).alias(f"min{i}"), F.max(c).alias(f"max{i}"),
             )
         ]
     ).first()
-    n = {c: row[f"n{i}"] for i, c in enumerate(columns)}
-    if not all(n.values()):
-        raise ValueError(f"columns without any value: {[c for c in columns if not n[c]]}")
+    empty = [c for i, c in enumerate(columns) if not row[f"n{i}"]]
+    if empty:
+        raise ValueError(f"columns without any value: {empty}")
     bands = _bands(df, columns, row)
-    entries = []
-    for (c, q), (lo, hi, below, rank) in bands.items():
-        entries.append(
-            F.when(
-                F.col(c).between(F.lit(lo), F.lit(hi)),
-                F.struct(
-                    F.lit(c).alias("feature"), F.lit(q).alias("q"),
-                    F.lit(below).cast("bigint").alias("below"),
-                    F.lit(rank).cast("bigint").alias("rank"),
-                    F.lit(n[c]).cast("bigint").alias("n"),
-                    F.col(c).alias("value"),
-                ),
-            )
+    entries = [
+        F.when(
+            F.col(c).between(F.lit(lo), F.lit(hi)),
+            F.struct(F.lit(band).alias("band"), F.col(c).cast("double").alias("value")),
         )
-    keys = ["feature", "q", "below", "rank", "n"]
-    upto = (
-        Window.partitionBy("feature", "q").orderBy("value")
+        for band, (c, lo, hi, *_) in enumerate(bands)
+    ]
+    ordered = (
+        Window.partitionBy("band").orderBy("value")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     counted = (
         df.select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
-        .groupBy(*[F.col(f"e.{k}").alias(k) for k in keys], F.col("e.value").alias("value"))
+        .groupBy("e.band", "e.value")
         .agg(F.count("*").alias("same"))
-        .withColumn("upto", F.col("below") + F.sum("same").over(upto))
+        .withColumn("upto", F.sum("same").over(ordered))
+    )
+    targets = spark.createDataFrame(
+        [
+            (band, c, q, below, rank, row[f"n{columns.index(c)}"])
+            for band, (c, _, _, below, ranks) in enumerate(bands)
+            for q, rank in ranks.items()
+        ],
+        "band int, feature string, q double, below bigint, rank bigint, n bigint",
     )
+    upto = F.col("below") + F.col("upto")
     after = F.least(F.col("rank") + 1, F.col("n") - 1)
     share = F.col("q") * (F.col("n") - 1) - F.col("rank")
     quartiles = (
-        counted.groupBy(*keys)
+        counted.join(F.broadcast(targets), "band")
+        .groupBy("feature", "q", "rank", "n")
         .agg(
-            F.min(F.when(F.col("upto") > F.col("rank"), F.col("value"))).alias("lo"),
-            F.min(F.when(F.col("upto") > after, F.col("value"))).alias("hi"),
+            F.min(F.when(upto > F.col("rank"), F.col("value"))).alias("lo"),
+            F.min(F.when(upto > after, F.col("value"))).alias("hi"),
         )
         .withColumn("value", F.col("lo") + (F.col("hi") - F.col("lo")) * share)
         .groupBy("feature")
@@ -135,9 +143,9 @@ def describe_features(df: DataFrame, columns=FEATURES) -> DataFrame:
             for q in QUARTILES
         ])
     )
-    moments = df.sparkSession.createDataFrame(
+    moments = spark.createDataFrame(
         [
-            (c, n[c], row[f"mean{i}"], row[f"std{i}"], float(row[f"min{i}"]), float(row[f"max{i}"]))
+            (c, row[f"n{i}"], row[f"mean{i}"], row[f"std{i}"], float(row[f"min{i}"]), float(row[f"max{i}"]))
             for i, c in enumerate(columns)
         ],
         "feature string, n bigint, mean double, std double, min double, max double",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from slicelens.functions.maths import epoch_micros
 from slicelens.operators import packets as P
 from slicelens.operators import windows as W
-from slicelens.operators.joins import scratch_path
+from slicelens.operators.joins import scratch_path, stage
 from slicelens.plans import inputs as I
 from slicelens.plans import sql as S
 from slicelens.plans.registry import query, rounded
@@ -52,8 +52,11 @@ def write_tree(spark, folder) -> str:
 
 
 def typed_tree(spark, folder):
-    raw = captures.scan_capture_tree(spark, write_tree(spark, folder))
-    return P.typed_packets(raw, (LABEL, "category", "app"))
+    """File inventory and staged packets: the text is parsed once, then read as columns."""
+    root = write_tree(spark, folder)
+    files = captures.capture_files(spark, root)
+    raw = captures.scan_capture_tree(spark, root, files)
+    return files, stage(P.typed_packets(raw, (LABEL,)), "packets")
 
 
 @query("scan_capture_tree", f"""
@@ -61,11 +64,13 @@ def typed_tree(spark, folder):
 SELECT category, app, traffic_class, count(*) AS packets, min(us) AS first_us, max(us) AS last_us,
        round(sum(len), 2) AS bytes, count(*) FILTER (WHERE uplink) AS uplinks FROM pk GROUP BY 1, 2, 3""")
 def scan_capture_tree(spark, folder):
-    found = typed_tree(spark, folder).groupBy("category", "app", LABEL).agg(
+    files, packets = typed_tree(spark, folder)
+    found = packets.groupBy("capture_id", LABEL).agg(
         F.count("*").alias("packets"), F.min("us").alias("first_us"), F.max("us").alias("last_us"),
         F.sum("len").alias("bytes"), F.count_if("uplink").alias("uplinks"),
     )
-    return rounded(found, bytes=2)
+    named = captures.with_capture_names(found, files).drop("capture_id", "path")
+    return rounded(named, bytes=2)
 
 
 @query("scan_to_features", f"""
@@ -73,9 +78,10 @@ def scan_capture_tree(spark, folder):
 names AS (SELECT DISTINCT capture_id, category, app FROM pk)
 SELECT category, app, k, {S.SHOWN}, traffic_class FROM feat JOIN names USING (capture_id)""")
 def scan_to_features(spark, folder):
-    carried = (LABEL, "category", "app")
-    found = W.window_features(typed_tree(spark, folder), I.EVENTS, carried)
-    return rounded(found.drop("capture_id"), **S.DIGITS)
+    files, packets = typed_tree(spark, folder)
+    found = W.window_features(packets, I.EVENTS)
+    named = captures.with_capture_names(found, files).drop("capture_id", "path")
+    return rounded(named, **S.DIGITS)
 
 
 @query("scan_packet_csv", f"""
@@ -83,7 +89,8 @@ WITH {S.RAW}
 SELECT time_text, source, length_text, info
 FROM raw WHERE string_split(path, '/')[-3] <> 'Other'""")
 def scan_packet_csv(spark, folder):
-    raw = captures.scan_capture_tree(spark, write_tree(spark, folder))
+    root = write_tree(spark, folder)
+    raw = captures.scan_capture_tree(spark, root, captures.capture_files(spark, root))
     return raw.select(
         F.col("Time").alias("time_text"), F.col("Source").alias("source"),
         F.col("Length").alias("length_text"), F.col("Info").alias("info"),

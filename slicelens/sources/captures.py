@@ -154,8 +154,8 @@ def alias_position(header: Column, name: str) -> Column:
     return F.array_position(known, True) - F.lit(1)
 
 
-def _scan_cells(spark: SparkSession, paths, width: int) -> DataFrame:
-    """Data rows of CSV files as text ``cells`` with ``path`` and file order ``pkt_no``."""
+def _scan_rows(spark: SparkSession, paths, width: int) -> DataFrame:
+    """Data rows of CSV files as text ``c0, c1, ..`` with ``path`` and file order ``pkt_no``."""
     names = [f"c{i}" for i in range(width)]
     rows = (
         spark.read.schema(", ".join(f"{n} string" for n in names))
@@ -171,19 +171,15 @@ def _scan_cells(spark: SparkSession, paths, width: int) -> DataFrame:
     # offset of its block, orders the rows of a file.
     row = F.monotonically_increasing_id().bitwiseAND(ROW_BITS)
     return rows.select(
-        F.array(*names).alias("cells"),
+        *names,
         F.col("_metadata.file_path").alias("path"),
         (F.col("_metadata.file_block_start") + row).alias("pkt_no"),
     )
 
 
-def _cell(name: str) -> Column:
-    return F.get("cells", F.col(f"at_{name}")).alias(name)
-
-
-def _located(files: DataFrame, positions: dict[str, Column], carried) -> tuple[DataFrame, int]:
-    """Pin the accepted files with the position of each wanted column and the widest header."""
-    located = pin(
+def _located(files: DataFrame, positions: dict[str, Column], carried) -> DataFrame:
+    """The usable files with the position of each wanted column, evaluated once."""
+    return pin(
         files.select(
             "path",
             F.size("header").cast("int").alias("width"),
@@ -191,42 +187,64 @@ def _located(files: DataFrame, positions: dict[str, Column], carried) -> tuple[D
             *carried,
         )
     )
-    return located, located.agg(F.max("width")).first()[0] or 0
+
+
+def _read_located(spark: SparkSession, paths, located: DataFrame, names, carried) -> DataFrame:
+    """Rows of the located files: text columns ``names``, ``broken`` and ``carried``.
+
+    When all files have one layout, as exports of one tool do, the columns are
+    read directly and the CSV reader skips the others.
+    """
+    layout = ["width", *[f"at_{n}" for n in names]]
+    layouts = located.select(*layout).distinct().limit(2).collect()
+    if not layouts:
+        raise FileNotFoundError(f"no usable capture file below {paths}")
+    if len(layouts) == 1:
+        width = layouts[0]["width"]
+        at = {n: layouts[0][f"at_{n}"] for n in names}
+        cell = lambda n: F.col(f"c{at[n]}") if at[n] >= 0 else F.lit(None).cast("string")
+        overflow = F.col(f"c{width}")
+    else:
+        width = located.agg(F.max("width")).first()[0]
+        cells = F.array(*[f"c{i}" for i in range(width + 1)])
+        cell = lambda n: F.when(F.col(f"at_{n}") >= 0, F.get(cells, F.col(f"at_{n}")))
+        overflow = F.get(cells, F.col("width"))
+    rows = _scan_rows(spark, paths, width + 1)
+    return attach(rows, located, ["path"]).select(
+        "pkt_no", *[cell(n).alias(n) for n in names], overflow.isNotNull().alias("broken"), *carried
+    )
 
 
 def capture_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every mapped capture file: ``path, category, app, traffic_class, header, usable``."""
+    """Every mapped capture file, evaluated once.
+
+    Columns ``capture_id, path, category, app, traffic_class, header, usable``. The
+    numeric ``capture_id`` stands for the long path in every later shuffle.
+    """
     files = label_categories(with_path_keys(list_files(spark, root), root))
-    return files.join(header_inventory(files), "path").withColumn(
+    described = files.join(header_inventory(files), "path").withColumn(
         "usable", F.size(missing_columns(F.col("header"))) == 0
     )
+    return pin(described.withColumn("capture_id", F.monotonically_increasing_id()))
 
 
-def scan_capture_tree(spark: SparkSession, root: str, files: DataFrame | None = None) -> DataFrame:
+def scan_capture_tree(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
     """Raw text packets of ``<root>/<category>/.../<app>/*.csv``, one capture per file.
 
-    Files without the required columns are skipped. A row with more cells than
-    its header marks the whole capture as ``broken``.
+    ``files`` comes from :func:`capture_files`. Files without the required columns
+    are skipped. A row with more cells than its header is marked ``broken``,
+    which rejects its capture.
     """
-    files = capture_files(spark, root) if files is None else files
     header = F.col("header")
     positions = {c: F.array_position(header, c) - 1 for c in CAPTURE_COLUMNS}
-    located, width = _located(files.filter("usable"), positions, ("category", "app", LABEL))
-    cells = attach(_scan_cells(spark, root, width + 1), located, ["path"])
-    optional = [
-        F.when(F.col(f"at_{c}") >= 0, F.get("cells", F.col(f"at_{c}"))).alias(c)
-        for c in ("Protocol", "Info")
-    ]
-    return cells.select(
-        F.col("path").alias("capture_id"),
-        "pkt_no",
-        *[_cell(c) for c in REQUIRED_COLUMNS],
-        *optional,
-        F.get("cells", F.col("width")).isNotNull().alias("broken"),
-        "category",
-        "app",
-        LABEL,
-    )
+    carried = ("capture_id", LABEL)
+    located = _located(files.filter("usable"), positions, carried)
+    return _read_located(spark, root, located, CAPTURE_COLUMNS, carried)
+
+
+def with_capture_names(windows: DataFrame, files: DataFrame) -> DataFrame:
+    """Add ``path, category, app`` to rows that carry a ``capture_id``."""
+    return attach(windows, files.select("capture_id", "path", "category", "app"), ["capture_id"])
 
 
 def scan_by_stem(spark: SparkSession, root: str) -> DataFrame:
@@ -237,23 +255,14 @@ def scan_by_stem(spark: SparkSession, root: str) -> DataFrame:
     """
     found = pin(find_stems(list_files(spark, root), root).filter("path IS NOT NULL"))
     files = found.join(header_inventory(found), "path")
-    header = F.col("header")
-    positions = {name: alias_position(header, name) for name in COLUMN_ALIASES}
-    located, width = _located(files, positions, ("stem", LABEL))
-    located = located.filter("at_time >= 0 AND at_length >= 0")
+    positions = {name: alias_position(F.col("header"), name) for name in COLUMN_ALIASES}
+    carried = (F.col("stem").alias("capture_id"), LABEL)
+    located = _located(files, positions, carried).filter("at_time >= 0 AND at_length >= 0")
     # At most one file per stem, so the list of paths is short.
     paths = [path for (path,) in located.select("path").collect()]
     if not paths:
         raise FileNotFoundError(f"no application file below {root}")
-    cells = attach(_scan_cells(spark, paths, width + 1), located, ["path"])
-    return cells.select(
-        F.col("path").alias("capture_id"),
-        "pkt_no",
-        _cell("time"),
-        _cell("length"),
-        F.when(F.col("at_dst_port") >= 0, F.get("cells", F.col("at_dst_port"))).alias("dst_port"),
-        (F.col("at_dst_port") >= 0).alias("has_port"),
-        F.get("cells", F.col("width")).isNotNull().alias("broken"),
-        "stem",
-        LABEL,
+    has_port = (F.col("at_dst_port") >= 0).alias("has_port")
+    return _read_located(
+        spark, paths, located, tuple(COLUMN_ALIASES), ("capture_id", has_port, LABEL)
     )

@@ -69,14 +69,16 @@ def test_files_and_keys(spark, tree):
 
 
 def features(spark, tree):
-    raw = captures.scan_capture_tree(spark, tree)
-    return W.window_features(P.typed_packets(raw, (LABEL,)), TREE)
+    files = captures.capture_files(spark, tree)
+    raw = captures.scan_capture_tree(spark, tree, files)
+    return files, W.window_features(P.typed_packets(raw, (LABEL,)), TREE)
 
 
 def test_tree_to_features(spark, tree):
     found = {}
-    for r in features(spark, tree).collect():
-        found.setdefault(r["capture_id"].rsplit("/", 1)[1], {})[r["k"]] = tuple(r[c] for c in FEATURES)
+    files, windows = features(spark, tree)
+    for r in captures.with_capture_names(windows, files).collect():
+        found.setdefault(r["path"].rsplit("/", 1)[1], {})[r["k"]] = tuple(r[c] for c in FEATURES)
     steady = [
         dict(pkt_no=i, us=i * 200_000, len=100.0, uplink=True) for i in range(24)
     ]
@@ -100,13 +102,12 @@ def test_tree_to_features(spark, tree):
 
 
 def test_quoted_text_is_kept(spark, tree):
-    raw = captures.scan_capture_tree(spark, tree)
+    raw = captures.scan_capture_tree(spark, tree, captures.capture_files(spark, tree))
     assert raw.filter(F.col("Info") == 'a "quoted" comma, here').count() == 1
 
 
 def test_apps_without_windows_are_listed(spark, tree):
-    files = captures.capture_files(spark, tree).withColumn("capture_id", F.col("path"))
-    rows = summaries.load_summary(files, features(spark, tree)).collect()
+    rows = summaries.load_summary(*features(spark, tree)).collect()
     shown = {r["app"]: (r["files"], r["files_used"], r["windows"] > 0) for r in rows}
     assert shown == {"Cloud Play": (1, 1, True), "Box": (1, 1, True), "R": (2, 1, True),
                      "N": (1, 1, True), "A": (2, 0, False)}
@@ -140,11 +141,11 @@ def test_stem_search_order(spark, stems):
 
 def test_stems_to_features(spark, stems):
     raw = captures.scan_by_stem(spark, stems)
-    typed = P.typed_port_packets(raw, (LABEL, "stem"))
+    typed = P.typed_port_packets(raw, (LABEL,))
     spec = replace(BY_STEM, cap=400)
     found = {}
-    for r in W.window_features(typed, spec, (LABEL, "stem")).collect():
-        found.setdefault(r["stem"], {})[r["k"]] = tuple(r[c] for c in FEATURES)
+    for r in W.window_features(typed, spec).collect():
+        found.setdefault(r["capture_id"], {})[r["k"]] = tuple(r[c] for c in FEATURES)
     times = [i * 100_000 for i in range(40)]
     want = {
         "Zoom": [dict(pkt_no=i, us=t, len=50.0 + i, uplink=bool(i % 2)) for i, t in enumerate(times)],
@@ -196,3 +197,13 @@ def test_report(spark, tmp_path):
     assert spark.read.parquet(paths["b"]).count() == 5
     sinks.write_report({"b": spark.range(2)}, str(tmp_path))
     assert spark.read.parquet(paths["b"]).count() == 2
+
+
+def test_one_layout_reads_only_its_columns(spark, tmp_path):
+    put(str(tmp_path), "Metaverse/R/a.csv", "\n".join([HEADER, *lines([i * 0.3 for i in range(12)])]))
+    put(str(tmp_path), "Metaverse/R/b.csv", "\n".join([HEADER, *lines([i * 0.3 for i in range(9)])]))
+    files = captures.capture_files(spark, str(tmp_path))
+    raw = captures.scan_capture_tree(spark, str(tmp_path), files)
+    assert raw.count() == 21 and raw.filter("broken").count() == 0
+    plan = P.typed_packets(raw)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<c1:string,c2:string,c5:string,c7:string>" in plan
