@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -157,20 +159,19 @@ def describe_features(df: DataFrame, columns=FEATURES) -> DataFrame:
 
 
 def feature_correlation(df: DataFrame, columns=FEATURES) -> DataFrame:
-    """Pearson correlation of every pair, one row per cell; one aggregation."""
-    columns = list(columns)
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    wide = df.agg(*[F.corr(columns[i], columns[j]).alias(f"r{i}_{j}") for i, j in pairs])
-
-    def cell(i: int, j: int):
-        value = F.lit(1.0) if i == j else F.col(f"r{min(i, j)}_{max(i, j)}")
-        return F.struct(
-            F.lit(columns[i]).alias("feature_a"), F.lit(columns[j]).alias("feature_b"),
-            value.alias("correlation"),
-        )
+    """Pearson correlation of every pair, one row per cell.
 
-    size = range(len(columns))
-    return wide.select(F.inline(F.array(*[cell(i, j) for i in size for j in size])))
+    Each task folds its rows into one small matrix; columns must not be NULL.
+    """
+    columns = list(columns)
+    vectors = pin(df.select(array_to_vector(F.array(*columns)).alias("v")))
+    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
+    cells = [
+        (a, b, float(matrix[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns)
+    ]
+    return df.sparkSession.createDataFrame(
+        cells, "feature_a string, feature_b string, correlation double"
+    )
 
 
 def class_histogram(df: DataFrame, value: str, label: str = LABEL, bins: int = 25) -> DataFrame:
