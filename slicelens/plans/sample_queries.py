@@ -256,10 +256,14 @@ def class_histogram(spark, folder):
 
 
 def _normal(i: int) -> str:
-    """Box-Muller normal of one row and feature, from two md5-derived uniforms."""
-    first = f"(('0x' || substr(md5(concat_ws(':', id, 'a{i}', 42)), 1, 8))::BIGINT + 1) / 4294967297.0::DOUBLE"
-    second = f"(('0x' || substr(md5(concat_ws(':', id, 'b{i}', 42)), 1, 8))::BIGINT + 1) / 4294967297.0::DOUBLE"
-    return f"sqrt(-2.0 * ln({first})) * cos(2.0 * pi() * ({second}))"
+    """Box-Muller normal of one row and feature, from quarters of an md5."""
+    digest = f"md5(concat_ws(':', id, {i // 4}, 42))"
+    pair = i // 2 % 2 * 2
+    u, v = (
+        f"((('0x' || substr({digest}, {1 + 8 * part}, 8))::BIGINT + 1) / 4294967297.0::DOUBLE)"
+        for part in (pair, pair + 1)
+    )
+    return f"sqrt(-2.0 * ln({u})) * {'cos' if i % 2 == 0 else 'sin'}(2.0 * pi() * {v})"
 
 
 def _synthetic(i: int) -> str:

@@ -11,17 +11,22 @@ from slicelens.functions.maths import clip
 from slicelens.settings import CLASSES, FEATURES, LABEL, SYNTHETIC_BOUNDS, SYNTHETIC_NORMALS
 
 
-def _uniform(identity: Column, tag: str, seed: int) -> Column:
-    """A repeatable number in (0, 1) from the hash of a row and a tag."""
-    digest = F.md5(F.concat_ws(":", identity.cast("string"), F.lit(tag), F.lit(str(seed))))
-    whole = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+def _uniform(digest: Column, part: int) -> Column:
+    """A number in (0, 1) from one quarter of a hash."""
+    whole = F.conv(F.substring(digest, 1 + 8 * part, 8), 16, 10).cast("bigint")
     return (whole + 1) / F.lit(4294967297.0)
 
 
-def _normal(identity: Column, tag: int, seed: int) -> Column:
-    """Box-Muller transform of two uniforms."""
-    radius = F.sqrt(-2.0 * F.ln(_uniform(identity, f"a{tag}", seed)))
-    return radius * F.cos(2.0 * math.pi * _uniform(identity, f"b{tag}", seed))
+def _normal(identity: Column, number: int, seed: int) -> Column:
+    """The ``number``-th repeatable normal of a row.
+
+    A hash gives four uniforms; the Box-Muller transform makes two normals of two.
+    """
+    digest = F.md5(F.concat_ws(":", identity.cast("string"), F.lit(str(number // 4)), F.lit(str(seed))))
+    pair = number // 2 % 2 * 2
+    radius = F.sqrt(-2.0 * F.ln(_uniform(digest, pair)))
+    angle = 2.0 * math.pi * _uniform(digest, pair + 1)
+    return radius * (F.cos(angle) if number % 2 == 0 else F.sin(angle))
 
 
 def synthetic_rows(

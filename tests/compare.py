@@ -11,10 +11,10 @@ from decimal import Decimal
 import duckdb
 
 KINDS = {
-    "bigint": "int", "int": "int", "smallint": "int", "tinyint": "int",
-    "double": "float", "float": "float", "string": "text", "boolean": "bool",
-    "BIGINT": "int", "INTEGER": "int", "HUGEINT": "huge", "DOUBLE": "float",
-    "FLOAT": "float", "VARCHAR": "text", "BOOLEAN": "bool",
+    "bigint": "int64", "int": "int32", "double": "float64", "float": "float32",
+    "string": "text", "boolean": "bool",
+    "BIGINT": "int64", "INTEGER": "int32", "DOUBLE": "float64", "FLOAT": "float32",
+    "VARCHAR": "text", "BOOLEAN": "bool",
 }
 
 
