@@ -160,6 +160,48 @@ def alias_columns(spark, folder):
     return files.select(*found).groupBy(*[f"at_{n}" for n in names]).agg(F.count("*").alias("files"))
 
 
+STEMS = ("NaverNOW", "afreecatv", "YOUTUBE", "Zoom", "msteams", "GoogleMeet", "CLOUDGAMING",
+         "Mobilegame", "zepeto", "Roblox")
+
+
+def write_stems(spark, folder) -> str:
+    """``events`` as one CSV table per application stem, some in a sub-folder."""
+    root = scratch_path(spark, "stems")
+    events = I.table(spark, folder, "events")
+    seconds = (epoch_micros(events, "ts") - 1_704_067_200_000_000) / 1e6
+    for i, name in enumerate(STEMS):
+        place = f"{root}/extra/{name}.csv" if name == "zepeto" else f"{root}/{name}.csv"
+        (
+            events.filter(F.pmod("user_id", F.lit(len(STEMS))) == i)
+            .select(
+                seconds.cast("decimal(20,6)").alias("Time_S"),
+                F.col("value").alias("pkt_len"),
+                F.pmod("event_id", F.lit(2048)).alias("dport"),
+            )
+            .write.option("header", True).csv(place)
+        )
+    return root
+
+
+_STEM_DIGITS = {**S.DIGITS, "inter_arrival_mean_us": -1, "inter_arrival_std_us": -1}
+
+
+@query("scan_by_stem", f"""
+WITH pk AS (
+  SELECT (['NaverNOW', 'AfreecaTV', 'YouTube', 'Zoom', 'MSteams', 'GoogleMeet', 'Cloudgaming', 'Mobilegame',
+           'Zepeto', 'Roblox'])[user_id % 10 + 1] AS capture_id, event_id AS pkt_no, epoch_us(ts) AS us, value AS len,
+         event_id % 2048 < 1024 AS uplink,
+         (CASE WHEN user_id % 10 < 6 THEN 0 WHEN user_id % 10 < 8 THEN 1 ELSE 2 END)::BIGINT AS traffic_class
+  FROM events
+), {",".join([S.bounds("min(us)", "true"), S.placed("true"), S.GAPS, S.base(0.0, 0.1, 100.0),
+              S.rolling(), S.features(0.1, 0.05, 200.0)])}
+SELECT capture_id, k, {", ".join(f"round({c}, {d}) AS {c}" for c, d in _STEM_DIGITS.items())}, traffic_class FROM feat""")
+def scan_by_stem(spark, folder):
+    raw = captures.scan_by_stem(spark, write_stems(spark, folder))
+    packets = stage(P.typed_port_packets(raw, (LABEL,)), "stem-packets")
+    return rounded(W.window_features(packets, I.EVENTS_BY_STEM), **_STEM_DIGITS)
+
+
 @query("scan_tabular_csv", """
 SELECT l_returnflag, count(*) AS rows, round(sum(l_quantity), 2) AS quantity,
        round(sum(l_extendedprice), 2) AS price FROM lineitem GROUP BY 1""")

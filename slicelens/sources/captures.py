@@ -47,8 +47,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 
 def _relative(path: Column, root: str) -> Column:
     top = re.sub(SCHEME, "", root).rstrip("/")
-    plain = F.url_decode(F.replace(F.regexp_replace(path, SCHEME, ""), F.lit("+"), F.lit("%2B")))
-    return F.substring(plain, len(top) + 2, 1 << 30)
+    return F.substring(_plain_path(F.regexp_replace(path, SCHEME, "")), len(top) + 2, 1 << 30)
 
 
 def with_path_keys(files: DataFrame, root: str) -> DataFrame:
@@ -76,11 +75,24 @@ def label_categories(files: DataFrame) -> DataFrame:
     return files.join(F.broadcast(mapping), "category")
 
 
+def _plain_path(path: Column) -> Column:
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def with_unit(files: DataFrame) -> DataFrame:
+    """Add ``unit``: the file, or the folder ``x.csv`` whose part files make up one table."""
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    return files.withColumn(
+        "unit", F.when(folder.rlike(r"(?i)\.csv$"), folder).otherwise(F.col("path"))
+    )
+
+
 def find_stems(files: DataFrame, root: str) -> DataFrame:
     """One row per known application stem with its file, or NULL when missing.
 
     Looked for in ``root`` as written, lower and upper case, then in each direct
-    sub-folder (by name) as written and lower case; the first hit wins.
+    sub-folder (by name) as written and lower case; the first hit wins. A table
+    written by Spark, a folder ``stem.csv`` of part files, counts as a file.
     """
     spark = files.sparkSession
     stems = spark.createDataFrame(list(STEM_SLICES.items()), f"stem string, {LABEL} bigint")
@@ -91,9 +103,9 @@ def find_stems(files: DataFrame, root: str) -> DataFrame:
         for turn, name in enumerate(names)
     ]
     wanted = spark.createDataFrame(tries, "stem string, file string, depth int, turn int")
-    parts = F.split(_relative(F.col("path"), root), "/")
     hits = (
-        files.withColumn("_parts", parts)
+        with_unit(files).select(F.col("unit").alias("path")).distinct()
+        .withColumn("_parts", F.split(_relative(F.col("path"), root), "/"))
         .select(
             "path",
             F.size("_parts").alias("depth"),
@@ -253,15 +265,18 @@ def scan_by_stem(spark: SparkSession, root: str) -> DataFrame:
     Columns are found by alias; a file without a time or length column is
     skipped, one without a port column gets no direction.
     """
-    found = pin(find_stems(list_files(spark, root), root).filter("path IS NOT NULL"))
-    files = found.join(header_inventory(found), "path")
+    listed = list_files(spark, root)
+    found = pin(find_stems(listed, root).filter("path IS NOT NULL"))
+    units = F.broadcast(found.withColumnRenamed("path", "unit"))  # at most one row per stem
+    parts = with_unit(listed).join(units, "unit")
     positions = {name: alias_position(F.col("header"), name) for name in COLUMN_ALIASES}
-    carried = (F.col("stem").alias("capture_id"), LABEL)
-    located = _located(files, positions, carried).filter("at_time >= 0 AND at_length >= 0")
-    # At most one file per stem, so the list of paths is short.
-    paths = [path for (path,) in located.select("path").collect()]
-    if not paths:
-        raise FileNotFoundError(f"no application file below {root}")
+    carried = (F.col("stem").alias("capture_id"), "unit", LABEL)
+    located = _located(parts.join(header_inventory(parts), "path"), positions, carried)
+    located = located.filter("at_time >= 0 AND at_length >= 0")
+    units = located.select(_plain_path(F.col("unit"))).distinct().collect()
+    if not units:
+        raise FileNotFoundError(f"no usable application file below {root}")
+    paths = [unit for (unit,) in units]
     has_port = (F.col("at_dst_port") >= 0).alias("has_port")
     return _read_located(
         spark, paths, located, tuple(COLUMN_ALIASES), ("capture_id", has_port, LABEL)
