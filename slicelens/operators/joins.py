@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
-SALTS = 32
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -57,17 +56,20 @@ def attach(
     keys: list[str],
     how: str = "inner",
     limit: int = BROADCAST_ROWS,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Join a one-row-per-key table to a large table whose keys may be skewed.
 
     The key table is evaluated once and counted. Up to ``limit`` rows it is
-    broadcast and the large side is not shuffled. Beyond that both sides are
-    shuffled on (keys, salt), which spreads a hot key over ``salts`` tasks.
+    broadcast and the large side is not shuffled. Beyond that, only keys with
+    more than 1/``limit`` of all rows are broadcast, of which there are fewer
+    than ``limit``; the other keys are all light and go through a shuffle join.
     """
     dim = pin(dim)
     if fits_broadcast(dim, limit):
         return df.join(F.broadcast(dim), keys, how)
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")
-    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return df.withColumn("_salt", salt).join(copies, keys + ["_salt"], how).drop("_salt")
+    counts = pin(df.groupBy(*keys).agg(F.count("*").alias("_n")))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    heavy = counts.filter(F.col("_n") > total / limit).drop("_n")
+    hot = df.join(F.broadcast(heavy.join(dim, keys, how)), keys)
+    cold = df.join(F.broadcast(heavy), keys, "left_anti").join(dim, keys, how)
+    return hot.unionByName(cold)

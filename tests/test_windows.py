@@ -103,15 +103,26 @@ def test_gaps_cross_slices(spark, monkeypatch):
         last[r["k"]] = r["us"]
 
 
-def test_large_key_table_is_salted_not_broadcast(spark):
-    facts = spark.range(1000).select(F.col("id"), (F.col("id") % 7).alias("key"))
-    dim = spark.range(7).select(F.col("id").alias("key"), (F.col("id") * 10).alias("v"))
-    salted = joins.attach(facts, dim, ["key"], limit=3, salts=4)
-    plan = salted._jdf.queryExecution().optimizedPlan().toString()
-    assert "strategy=broadcast" not in plan and "_salt" in plan
-    assert salted.filter("v = key * 10").count() == 1000
-    kept = joins.attach(facts, dim.filter("key < 3"), ["key"], how="left", limit=1, salts=4)
-    assert kept.count() == 1000 and kept.filter("v IS NULL").count() == 571
+@pytest.mark.parametrize("hot", [False, True])
+def test_large_key_table_broadcasts_only_heavy_keys(spark, hot):
+    key = F.col("id") % 7
+    facts = spark.range(1000).select("id", F.when(F.lit(hot) & (F.col("id") % 3 == 0), 9).otherwise(key).alias("key"))
+    dim = spark.range(11).select(F.col("id").alias("key"), (F.col("id") * 10).alias("v"))
+    joined = joins.attach(facts, dim, ["key"], limit=4)
+    assert sorted(r["id"] for r in joined.filter("v = key * 10").collect()) == list(range(1000))
+    small = dim.filter("key < 3")
+    kept = joins.attach(facts, small, ["key"], how="left", limit=2)
+    known = facts.filter("key < 3").count()
+    assert kept.count() == 1000 and kept.filter("v = key * 10").count() == known
+    assert joins.attach(facts, small, ["key"], limit=2).count() == known
+
+
+def test_features_with_many_captures(spark, monkeypatch):
+    rows = captures()
+    df = spark.createDataFrame(rows, SCHEMA)
+    plain = joins.attach
+    monkeypatch.setattr(windows, "attach", lambda *a, **k: plain(*a, **{**k, "limit": 3}))
+    same(got(windows.window_features(df, TREE)), expected(rows, TREE))
 
 
 def test_broken_capture_is_rejected(spark):
