@@ -6,6 +6,8 @@ from slicelens.llm import (  # noqa: F401
     chat,
     line_dedup,
     mixing,
+    quality,
+    toxicity,
     url_filter,
 )
 from slicelens.llm.registry import ORACLES, QUERIES
