@@ -7,6 +7,7 @@ from slicelens.llm import (  # noqa: F401
     line_dedup,
     mixing,
     quality,
+    sentencepiece,
     toxicity,
     url_filter,
 )
