@@ -88,7 +88,8 @@ def strip_boilerplate(docs: DataFrame, sites: int = SITES, lg_k: int = LG_K) ->
         ),
     )
     full = F.size(F.filter(_trimmed(F.col("text")), lambda x: x != ""))
-    joined = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    # Always a shuffle join: the lists of lines grow with the documents.
+    joined = docs.join(cut.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     cleaned = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
     left = F.when(F.col("_cut").isNull(), F.col("_lines")).otherwise(
         F.size(F.filter(_trimmed(F.col("_clean")), lambda x: x != ""))
