@@ -6,6 +6,7 @@ from slicelens.llm import (  # noqa: F401
     chat,
     line_dedup,
     mixing,
+    near_vectors,
     quality,
     sentencepiece,
     toxicity,
