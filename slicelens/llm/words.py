@@ -23,20 +23,27 @@ UNBLANK[[0x20, *range(0x09, 0x0E)]] = False
 LETTERS = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
 
+def _cut(text: str, size: int) -> int:
+    """Where to cut a long text: after a blank, the last one before ``size`` if it lies in the second half."""
+    at = max(text.rfind(" ", size // 2, size), text.rfind("\n", size // 2, size))
+    if at < 0:
+        later = [i for i in (text.find(" ", size), text.find("\n", size)) if i >= 0]
+        at = min(later, default=len(text) - 1)
+    return at + 1
+
+
 def pieces(texts: list[str | None], size: int = PIECE) -> Iterator[tuple[np.ndarray, list[str]]]:
     """Cut a batch into groups of about ``size`` characters: owners (row numbers) and pieces.
 
-    Only texts beyond ``size`` are cut, at a blank where there is one in the second half;
-    owners never go down. Every character is in exactly one piece.
+    Only texts beyond ``size`` are cut, and no word ever is; owners never go
+    down. Every character is in exactly one piece.
     """
     owners, out, held = [], [], 0
     for row, text in enumerate(texts):
         text = text or ""
         while True:
-            piece, text = text, ""
-            if len(piece) > size:
-                at = max(piece.rfind(" ", size // 2, size), piece.rfind("\n", size // 2, size)) + 1
-                piece, text = piece[: at or size], piece[at or size :]
+            at = _cut(text, size) if len(text) > size else len(text)
+            piece, text = text[:at], text[at:]
             if held and held + len(piece) > size:
                 yield np.array(owners), out
                 owners, out, held = [], [], 0
@@ -107,3 +114,25 @@ def runs(hashes: np.ndarray, length: int) -> np.ndarray:
     for i in range(length):
         total = total * _P + hashes[i : i + n]
     return mixed(total)
+
+
+def shingle_sets(texts: list[str | None], length: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of the ``length``-word shingles of each whole text.
+
+    Words follow the blank rule, A to Z lowered. A text with fewer words has
+    one shingle, all its words; a text without words has none.
+    """
+    held: list[list[np.ndarray]] = [[] for _ in texts]
+    for owners, part in pieces(texts):
+        data, starts = joined(part)
+        data = lower_ascii(data)
+        s, e = spans(data, UNBLANK)
+        h = Sums(data).hashes(s, e)
+        ends = np.searchsorted(s, starts[1:])
+        for owner, own in zip(owners, np.split(h, ends[:-1]), strict=True):
+            held[owner].append(own)
+    out = []
+    for parts in held:
+        h = parts[0] if len(parts) == 1 else np.concatenate(parts)
+        out.append(np.unique(runs(h, min(length, len(h)))) if len(h) else h)
+    return out
