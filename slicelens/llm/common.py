@@ -2,16 +2,76 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
+import threading
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slicelens.operators.joins import stage
+from slicelens.operators.joins import scratch_path
 from slicelens.operators.ordering import task_count
 
 #: A word: a run of anything but space and the five ASCII line and tab controls.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_scopes = threading.local()
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write once as Parquet in the shared folder and read back; the open ``scratch`` removes it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    for paths in getattr(_scopes, "open", [])[-1:]:
+        paths.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are removed at the end, in whatever store they are."""
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    _scopes.open.append([])
+    try:
+        yield
+    finally:
+        for name in _scopes.open.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def contained(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The table is staged when made, and what was staged on the way is removed.
+
+    For tables that are small beside what they are made from.
+    """
+
+    @functools.wraps(make)
+    def run(df: DataFrame, *args, **kwargs) -> DataFrame:
+        outer = getattr(_scopes, "open", [])[-1:]
+        with scratch(df.sparkSession):
+            out = stage(make(df, *args, **kwargs), make.__name__)
+            kept = _scopes.open[-1].pop()
+        for paths in outer:
+            paths.append(kept)
+        return out
+
+    return run
+
+
+def one(make: Callable, **settled) -> Callable:
+    """``make`` as a function of one table, the rest settled."""
+    return lambda rows: make(rows, **settled)
+
+
+def two(make: Callable, **settled) -> Callable:
+    """``make`` as a function of two tables, the rest settled."""
+    return lambda left, right: make(left, right, **settled)
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slicelens.operators.joins import stage
+from slicelens.llm.common import contained, stage
 
 
 def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("least"))
 
 
+@contained
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """``id, component`` of every id in ``edges`` (``a, b``): the smallest id it reaches.
 

@@ -11,9 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slicelens.llm.common import read
+from slicelens.llm.common import contained, read, stage
 from slicelens.llm.registry import query
-from slicelens.operators.joins import stage
 
 SITES = 3
 LG_K = 12
@@ -30,6 +29,7 @@ def line_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(full, lambda x: F.xxhash64(x)))
 
 
+@contained
 def boilerplate_lines(lines: DataFrame, sites: int = SITES, lg_k: int = LG_K) -> DataFrame:
     """``line, first`` of the lines found on at least ``sites`` sites.
 
@@ -56,15 +56,9 @@ def boilerplate_lines(lines: DataFrame, sites: int = SITES, lg_k: int = LG_K) ->
     )
 
 
-def strip_boilerplate(docs: DataFrame, sites: int = SITES, lg_k: int = LG_K) -> DataFrame:
-    """All rows and columns of ``docs`` with ``text`` cleaned, and two counts.
-
-    Needs ``doc_id, source, text``; a document's site is its source, null and
-    empty being one site. Lines are compared without blanks at their ends;
-    blank lines always stay. ``_lines`` counts the lines that are not blank,
-    ``_removed`` those taken out. A null text stays null with counts of 0. A
-    line within one document only, or in rows that share an id, is never cut.
-    """
+@contained
+def lines_to_cut(docs: DataFrame, sites: int = SITES, lg_k: int = LG_K) -> DataFrame:
+    """``id, cut``: the hashes of the lines that leave a document, for those that lose some."""
     lines = stage(
         docs.select(
             "doc_id", F.coalesce("source", F.lit("")).alias("site"),
@@ -72,35 +66,41 @@ def strip_boilerplate(docs: DataFrame, sites: int = SITES, lg_k: int = LG_K) ->
         ),
         "lines",
     )
-    common = stage(boilerplate_lines(lines, sites, lg_k), "boilerplate")
-    cut = (
-        lines.join(common, "line")
+    return (
+        lines.join(boilerplate_lines(lines, sites, lg_k), "line")
         .filter(~F.col("doc_id").eqNullSafe(F.col("first")))
-        .groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line").alias("_cut"))
-    )
-    cut = stage(cut, "cut")
-    stays = F.filter(
-        F.split("text", "\n"),
-        lambda x: ~F.coalesce(
-            F.array_contains(F.col("_cut"), F.xxhash64(F.btrim(x, F.lit(BLANKS))))
-            & (F.btrim(x, F.lit(BLANKS)) != ""),
-            F.lit(False),
-        ),
+        .groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("line").alias("cut"))
     )
-    full = F.size(F.filter(_trimmed(F.col("text")), lambda x: x != ""))
+
+
+def strip_boilerplate(docs: DataFrame, sites: int = SITES, lg_k: int = LG_K) -> DataFrame:
+    """``doc, text, n_lines, n_removed`` of every row: the row itself, and its cleaned text.
+
+    Needs ``doc_id, source, text``; ``doc`` is a struct of all columns, so no
+    name can clash. A document's site is its source, null and empty being one
+    site. Lines are compared without blanks at their ends; blank lines always
+    stay. ``n_lines`` counts the lines that are not blank, ``n_removed`` those
+    taken out. A null text stays null with counts of 0. A line within one
+    document only, or in rows that share an id, is never cut.
+    """
+    cut = lines_to_cut(docs.select("doc_id", "source", "text"), sites, lg_k)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     # Always a shuffle join: the lists of lines grow with the documents.
-    joined = docs.join(cut.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    cleaned = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
-    left = F.when(F.col("_cut").isNull(), F.col("_lines")).otherwise(
-        F.size(F.filter(_trimmed(F.col("_clean")), lambda x: x != ""))
+    rows = rows.join(cut.hint("merge"), F.col("doc.doc_id").eqNullSafe(F.col("id")), "left")
+    text = F.col("doc.text")
+    stays = F.filter(
+        F.split(text, "\n"),
+        lambda x: (F.btrim(x, F.lit(BLANKS)) == "")
+        | ~F.array_contains(F.col("cut"), F.xxhash64(F.btrim(x, F.lit(BLANKS)))),
     )
+    clean = F.when(F.col("cut").isNull(), text).otherwise(F.array_join(stays, "\n"))
+    full = lambda t: F.size(F.filter(_trimmed(t), lambda x: x != ""))
     return (
-        joined.withColumn("_clean", cleaned)
-        .withColumn("_lines", F.when(F.col("text").isNull(), 0).otherwise(full))
-        .withColumn("_removed", F.when(F.col("text").isNull(), 0).otherwise(F.col("_lines") - left))
+        rows.select("doc", "cut", clean.alias("text"))
         .select(
-            *[F.col("_clean").alias("text") if c == "text" else F.col(c) for c in docs.columns],
-            "_lines", "_removed",
+            "doc", "text",
+            F.when(text.isNull(), 0).otherwise(full(text)).alias("n_lines"),
+            F.when(F.col("cut").isNull(), 0).otherwise(full(text) - full(F.col("text"))).alias("n_removed"),
         )
     )
 
@@ -131,8 +131,4 @@ FROM docs d LEFT JOIN texts t ON d.r = t.r
 def op1_line_dedup(spark, folder):
     """Every document without the lines that are spread over many sources."""
     docs = read(spark, folder, "documents").select("doc_id", "source", "text")
-    return strip_boilerplate(docs).select(
-        "doc_id", "text",
-        F.col("_lines").cast("int").alias("n_lines"),
-        F.col("_removed").cast("int").alias("n_removed"),
-    )
+    return strip_boilerplate(docs).select("doc.doc_id", "text", "n_lines", "n_removed")

@@ -10,12 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slicelens.llm.common import WORD, by_range, read, running
+from slicelens.llm.common import WORD, by_range, contained, read, running, stage
 from slicelens.llm.registry import query
-from slicelens.operators.joins import stage
 from slicelens.operators.ordering import shuffle_key
 
 WEIGHTS = (5, 2, 1)
@@ -28,6 +27,7 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+@contained
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
     """``source, source_size, target`` from rows of ``source, size``.
 
@@ -66,6 +66,7 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST
     return stopped.select("source", "source_size", target.alias("target"))
 
 
+@contained
 def mix(
     docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: int = SEED
 ) -> DataFrame:
@@ -137,6 +138,31 @@ def mix(
     )
 
 
+def mix_documents(
+    docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: int = SEED
+) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, each as often as it is taken, with all columns.
+
+    Rows of one id and size are interchangeable: the mix says how many of them
+    it takes how often, and any of them fill these places.
+    """
+    taken = mix(docs.select("doc_id", "source", "text"), weights, most, seed)
+    places = taken.groupBy(F.col("doc_id").alias("id"), F.col("size").alias("words")).agg(
+        F.array(*[F.count_if(F.col("copies") >= i) for i in range(1, most + 1)]).alias("places")
+    )
+    columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(columns.alias("doc"), word_count(F.col("text")).alias("size"))
+    turn = Window.partitionBy("doc.doc_id", "size").orderBy("size")
+    copies = F.size(F.filter("places", lambda n: n >= F.col("turn")))
+    return (
+        rows.withColumn("turn", F.row_number().over(turn))
+        .join(places.hint("merge"), F.col("doc.doc_id").eqNullSafe(F.col("id")) & (F.col("size") == F.col("words")))
+        .withColumn("copies", copies).filter("copies > 0")
+        .select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+        .select("doc.*")
+    )
+
+
 SQL = f"""
 WITH sizes AS (
   SELECT doc_id, source, md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), ''), '{SEED}')) AS k,

@@ -15,11 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slicelens.llm.common import read
+from slicelens.llm.common import contained, read, stage
 from slicelens.llm.components import components
 from slicelens.llm.registry import query
 from slicelens.llm.words import mixed
-from slicelens.operators.joins import stage
 
 LEAST = 0.93
 WIDTH = 2.0
@@ -132,6 +131,7 @@ def _compared(least: float, kind: str):
     return run
 
 
+@contained
 def near_pairs(classes: DataFrame, rows: int, least: float = LEAST, tile: int = TILE) -> DataFrame:
     """Linked pairs ``a < b`` of the distinct vectors ``id, label, vector``.
 
@@ -170,6 +170,7 @@ def near_pairs(classes: DataFrame, rows: int, least: float = LEAST, tile: int =
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+@contained
 def link_vectors(
     rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label",
     least: float = LEAST, tile: int = TILE,
@@ -207,7 +208,7 @@ def link_vectors(
     # Rows of one id may hold several vectors; a class number keeps them apart.
     classes = stage(members.withColumn("id", F.monotonically_increasing_id()), "classes")
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    pairs = stage(near_pairs(classes, largest, least, tile), "pairs")
+    pairs = near_pairs(classes, largest, least, tile)
     small = classes.select("id", "rep", "n")
     both = pairs.union(pairs.select("b", "a"))
     others = (

@@ -21,18 +21,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slicelens.llm.common import read
+from slicelens.llm.common import contained, one, read, stage
 from slicelens.llm.components import components
 from slicelens.llm.registry import query
 from slicelens.llm.words import mixed, shingle_sets
-from slicelens.operators.joins import stage
 
 #: Documents holding a shingle from which it counts as frequent.
 FREQUENT = 32
@@ -165,12 +163,12 @@ def shingle_filters(
     partitions = texts.rdd.getNumPartitions()
     ranges = min(16, max(6, math.ceil(math.log2(8 * partitions))))
     parts = texts.mapInPandas(
-        partial(_tallied, length=length, seen=seen, ranges=ranges),
+        one(_tallied, length=length, seen=seen, ranges=ranges),
         "once binary, more binary, n binary, range int",
     )
     rows = (
         parts.groupBy("range")
-        .applyInPandas(partial(_marked, ranges=ranges, bits=bits, frequent=frequent),
+        .applyInPandas(one(_marked, ranges=ranges, bits=bits, frequent=frequent),
                        "range int, shared binary, frequent binary")
         .collect()
     )
@@ -358,6 +356,7 @@ def _tiled(entries: DataFrame, tile: int) -> DataFrame:
     )
 
 
+@contained
 def links(
     texts: DataFrame, prints: DataFrame, length: int, rule: Rule,
     frequent: int = FREQUENT, bits: int = BITS, tile: int = TILE,
@@ -372,7 +371,7 @@ def links(
     seen = id_filter(reps, bits)
     filters = shingle_filters(texts, length, seen, frequent, bits)
     entries = texts.mapInPandas(
-        partial(_entries, length=length, seen=seen, rule=rule, filters=filters, bits=bits),
+        one(_entries, length=length, seen=seen, rule=rule, filters=filters, bits=bits),
         "id long, shingle long, n long, pos long",
     )
     entries = stage(entries.join(reps, "id", "left_semi"), "entries")
@@ -385,7 +384,7 @@ def links(
     chunked = lists.withColumn("list", F.xxhash64("shingle", chunk))
     stars = stage(
         _by_task(chunked.select("id", "n", "pos", "list"), size)
-        .applyInPandas(partial(_stars, rule=rule), "a long, b long, star boolean").distinct(),
+        .applyInPandas(one(_stars, rule=rule), "a long, b long, star boolean").distinct(),
         "stars",
     )
     met = stars.select(F.col("a").alias("id")).union(stars.select("b")).union(
@@ -419,7 +418,7 @@ def links(
     joined = stage(placed(components(edges), lists), "placed")
     pairs = stage(
         _by_task(_tiled(joined, tile), size)
-        .applyInPandas(partial(_met, rule=rule, emit=_root_pairs), "a long, b long, slack long")
+        .applyInPandas(one(_met, rule=rule, emit=_root_pairs), "a long, b long, slack long")
         .groupBy("a", "b").agg(F.max("slack").alias("slack")),
         "root-pairs",
     )
@@ -436,7 +435,7 @@ def links(
     again = stage(placed(components(edges), lists).join(ends, "root", "left_semi"), "placed-open")
     pairs = (
         _by_task(_tiled(again, tile), size)
-        .applyInPandas(partial(_met, rule=rule, emit=_member_pairs),
+        .applyInPandas(one(_met, rule=rule, emit=_member_pairs),
                        "a long, b long, r long, s long, slack long")
         .join(still.select(F.col("a").alias("r"), F.col("b").alias("s"), "apart"), ["r", "s"])
         .filter("apart <= slack").select("a", "b").distinct()
@@ -445,6 +444,7 @@ def links(
     return edges.union(stage(last.select("a", "b"), "member-links"))
 
 
+@contained
 def jaccard_components(
     docs: DataFrame, length: int = 5, num: int = 80, den: int = 100,
     frequent: int = FREQUENT, bits: int = BITS, tile: int = TILE,
@@ -463,7 +463,7 @@ def jaccard_components(
     )
     prints = stage(
         whole.select(F.col("id").cast("string"), "text")
-        .mapInPandas(partial(_prints, length=length), "id string, n long, f1 long, f2 long")
+        .mapInPandas(one(_prints, length=length), "id string, n long, f1 long, f2 long")
         .withColumn("id", F.col("id").cast("long")),
         "prints",
     )

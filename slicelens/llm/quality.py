@@ -21,7 +21,6 @@ from slicelens.llm import words
 from slicelens.llm.common import fold, read
 from slicelens.llm.registry import query
 from slicelens.llm.toxicity import sampled
-from slicelens.operators.joins import stage
 
 #: At most about so many labelled rows are used to fit.
 FITTED = 6000
@@ -182,7 +181,7 @@ def fit_quality(
         return None
     # The ids are bounded by `most`.
     chosen = F.broadcast(known.filter(sampled(F.col("doc_id"), "q", most, n)))
-    sample = stage(docs.select("doc_id", "text").join(chosen, "doc_id").repartition(16), "quality-sample")
+    sample = docs.select("doc_id", "text").join(chosen, "doc_id").repartition(16)
     rows = sample.mapInPandas(_bags, "label int, bag binary").collect()
     if len({r.label for r in rows}) < 2:
         return None

@@ -7,6 +7,7 @@ from slicelens.llm import (  # noqa: F401
     line_dedup,
     mixing,
     near_vectors,
+    neighbours,
     ngram_join,
     quality,
     sentencepiece,

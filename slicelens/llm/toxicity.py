@@ -16,9 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slicelens.llm import words
-from slicelens.llm.common import fold, read
+from slicelens.llm.common import fold, read, scratch, stage
 from slicelens.llm.registry import query
-from slicelens.operators.joins import stage
 
 #: At most about so many rows are used to fit.
 POSITIVES, UNLABELLED = 3000, 9000
@@ -189,9 +188,10 @@ def fit_toxicity(
         texts.filter(sampled(F.col("doc_id"), "u", unlabelled, there))
         .select(F.lit(False).alias("positive"), "text")
     )
-    sample = stage(sample.repartition(16), "toxic-sample")
-    table = Table(chosen_features(sample, features))
-    rows = sample.mapInPandas(_rows(table), "positive boolean, at binary, value binary").collect()
+    with scratch(spark):
+        sample = stage(sample.repartition(16), "toxic-sample")
+        table = Table(chosen_features(sample, features))
+        rows = sample.mapInPandas(_rows(table), "positive boolean, at binary, value binary").collect()
     width = len(table.features)
     x_p = _dense([r for r in rows if r.positive], width)
     x_u = _dense([r for r in rows if not r.positive], width)

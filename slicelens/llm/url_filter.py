@@ -14,9 +14,8 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slicelens.llm.common import read
+from slicelens.llm.common import contained, read, stage
 from slicelens.llm.registry import query
-from slicelens.operators.joins import stage
 
 RULES = (
     ("block", "net", "/"),
@@ -97,6 +96,7 @@ def log_ratios(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return table.select("gram", ratio.alias("ratio"))
 
 
+@contained
 def judge_urls(
     pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, order: int = ORDER
 ) -> DataFrame:
