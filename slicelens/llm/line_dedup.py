@@ -39,8 +39,9 @@ def boilerplate_lines(lines: DataFrame, sites: int = SITES, lg_k: int = LG_K) ->
     threshold, half a site at least, are replaced by exact counts.
     """
     near = max(0.5, 4 * 0.83 / 2 ** (lg_k / 2) * sites)
+    # Sketches leave empty strings out, so no site may be one.
     spread = lines.groupBy("line").agg(
-        F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("spread"),
+        F.hll_sketch_estimate(F.hll_sketch_agg(F.concat(F.lit("="), "site"), lg_k)).alias("spread"),
         F.min("doc_id").alias("first"),
     )
     spread = stage(spread.filter(F.col("spread") >= sites - near), "spread")
