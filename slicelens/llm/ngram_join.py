@@ -2,8 +2,9 @@
 
 Documents are sets of word shingles. Two sets of Jaccard similarity t share a
 shingle among the first n - ceil(t n) + 1 of either, in any one order of all
-shingles; here frequent shingles come last. Each such shingle has a list of
-the documents that hold it there, and the join skips along and between lists:
+shingles; here those of one document come first and frequent ones last, so a
+passage that many hold rarely gets there. Each such shingle has a list of the
+documents that hold it there, and the join skips along and between lists:
 
 * Index level. A list is sorted by block of positions, then by set size. For an
   entry and a block, the sizes that can still reach the needed overlap are one
@@ -190,9 +191,9 @@ def _entries(batches, length, seen, rule, filters, bits):
             if not len(s):
                 continue
             top = (s >> np.uint64(64 - bits)).astype(np.int64)
-            late = _has(frequent, top)
-            order = np.concatenate((np.flatnonzero(~late), np.flatnonzero(late)))[: rule.prefix(len(s))]
-            pos = np.flatnonzero(_has(shared, top[order]))
+            rank = _has(shared, top).astype(np.int8) + _has(frequent, top)
+            order = np.argsort(rank, kind="stable")[: rule.prefix(len(s))]
+            pos = np.flatnonzero(rank[order])
             if len(pos):
                 found.append((np.full(len(pos), i), s[order[pos]].view(np.int64), np.full(len(pos), len(s)), pos))
         if found:

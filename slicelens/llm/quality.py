@@ -63,14 +63,19 @@ def passages(texts: list[str | None], size: int = PASSAGE) -> Iterator[tuple[np.
         if len(s):
             n_words = np.bincount(of_word, minlength=total)
             full = np.maximum(n_words, 1)
-            # Bytes between two words belong to the later one; those before the first go with it.
-            of_byte = of_word[np.minimum(np.searchsorted(e, np.arange(len(data)), side="right"), len(s) - 1)]
-            n_bytes = np.maximum(np.bincount(of_byte, minlength=total), 1)
-            kinds = np.bincount(of_byte * _KINDS + _CLASS[data], minlength=total * _KINDS)
+            # Bytes between two words belong to the later one, those after a text's last word to it.
+            at = np.arange(len(data))
+            own = np.searchsorted(starts, at, side="right") - 1
+            word = np.minimum(np.searchsorted(e, at, side="right"), (first + per_text)[own] - 1)
+            inside = (per_text[own] > 0) & (at != starts[own + 1] - 1)
+            of_byte = of_word[word]
+            n_bytes = np.maximum(np.bincount(of_byte[inside], minlength=total), 1)
+            kinds = np.bincount((of_byte * _KINDS + _CLASS[data])[inside], minlength=total * _KINDS)
             x[:, :_KINDS] = np.sqrt(kinds.reshape(total, _KINDS) / n_bytes[:, None])
             low = words.lower_ascii(data).astype(np.int64)
             pair = ((low[:-1] * 31 + low[1:]) * 40503 >> 4) % BINS
-            bins = np.bincount(of_byte[:-1] * BINS + pair, minlength=total * BINS)
+            paired = inside[:-1] & inside[1:]
+            bins = np.bincount((of_byte[:-1] * BINS + pair)[paired], minlength=total * BINS)
             x[:, _KINDS : _KINDS + BINS] = np.sqrt(bins.reshape(total, BINS) / n_bytes[:, None])
             h = words.Sums(data).hashes(s, e)
             again = np.zeros(len(s), bool)

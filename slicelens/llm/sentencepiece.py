@@ -166,6 +166,8 @@ class Pieces:
         ``▁`` itself never matches a piece's space mark: its bytes are not the
         byte of a space, so it becomes three byte ids.
         """
+        if not texts:
+            return []
         if len(self.number) > KEPT:
             self._forget()
         cut = [_UNIT.findall(" " + t) if t else [] for t in texts]
