@@ -32,8 +32,8 @@ ROWS, TREES = 2048, 4
 SAMPLE = 2000
 #: Rounds at most; they end once fewer than this share of all neighbours is new.
 ROUNDS, SETTLED = 4, 0.1
-#: Nodes of one task's share of the graph.
-SHARE = 4096
+#: Nodes of one task's share of the graph; a vector is sent once to each share it is wanted in.
+SHARE = 1 << 14
 #: A query's finds, those it follows in a hop, and hops.
 BEAM, FOLLOW, HOPS = 192, 48, 4
 
