@@ -109,31 +109,40 @@ class Table:
 
 
 def fit_nnpu(
-    x_p: np.ndarray, x_u: np.ndarray, prior: float, steps: int = 800, penalty: float = 1e-6
+    x_p: np.ndarray, x_u: np.ndarray, prior: float, steps: int = 500, penalty: float = 1e-6
 ) -> tuple[np.ndarray, float]:
     """Weights and bias of the linear model with the least non-negative risk.
 
-    The loss is the sigmoid loss l(g) = 1 / (1 + exp(g)), which is bounded; so
-    the positives within the unlabelled sample cannot outweigh the rest. Adam
-    on whole samples; while the estimated risk on negatives is below 0, steps
-    go up that risk instead.
+    Adam on whole samples, first with the logistic loss, which is convex and
+    finds the side of every feature, then with the sigmoid loss l(g) = 1 / (1 +
+    exp(g)), which is bounded, so that the positives within the unlabelled
+    sample cannot outweigh the rest. While the estimated risk on negatives is
+    below 0, steps go up that risk instead.
     """
-    w, bias = np.zeros(x_p.shape[1], np.float32), -1.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    for step in range(1, steps + 1):
-        s_p = 1 / (1 + np.exp(-np.clip(x_p @ w + bias, -50, 50)))
-        s_u = 1 / (1 + np.exp(-np.clip(x_u @ w + bias, -50, 50)))
-        d_p, d_u = s_p * (1 - s_p) / len(s_p), s_u * (1 - s_u) / len(s_u)
-        if s_u.mean() - prior * s_p.mean() < 0:
-            by_p, by_u = prior * d_p, -d_u
-        else:
-            by_p, by_u = -2 * prior * d_p, d_u
-        by_p, by_u = by_p.astype(np.float32), by_u.astype(np.float32)
-        grad = np.append(by_p @ x_p + by_u @ x_u + penalty * w, by_p.sum() + by_u.sum())
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        change = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w = (w - change[:-1]).astype(np.float32)
-        bias -= float(change[-1])
+    w, bias = np.zeros(x_p.shape[1], np.float32), 0.0
+    for loss in ("logistic", "sigmoid"):
+        m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+        for step in range(1, steps + 1):
+            g_p, g_u = np.clip(x_p @ w + bias, -50, 50), np.clip(x_u @ w + bias, -50, 50)
+            s_p, s_u = 1 / (1 + np.exp(-g_p)), 1 / (1 + np.exp(-g_u))
+            # Slopes of l(g) on positives, of l(-g) on positives and on unlabelled texts.
+            if loss == "logistic":
+                negative = np.logaddexp(0, g_u).mean() - prior * np.logaddexp(0, g_p).mean()
+                fit, back, rest = s_p - 1, s_p, s_u
+            else:
+                negative = s_u.mean() - prior * s_p.mean()
+                back, rest = s_p * (1 - s_p), s_u * (1 - s_u)
+                fit = -back
+            if negative < 0:
+                by_p, by_u = prior * back, -rest
+            else:
+                by_p, by_u = prior * (fit - back), rest
+            by_p, by_u = (by_p / len(g_p)).astype(np.float32), (by_u / len(g_u)).astype(np.float32)
+            grad = np.append(by_p @ x_p + by_u @ x_u + penalty * w, by_p.sum() + by_u.sum())
+            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+            change = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            w = (w - change[:-1]).astype(np.float32)
+            bias -= float(change[-1])
     return w.astype(np.float64), bias
 
 
