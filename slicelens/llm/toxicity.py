@@ -22,6 +22,8 @@ from slicelens.llm.registry import query
 #: At most about so many rows are used to fit.
 POSITIVES, UNLABELLED = 3000, 9000
 FEATURES = 1024
+#: Deviations by which a feature's share of texts must differ between the samples.
+DEVIATIONS = 4.0
 PREFIXES = (4, 5, 6, 7, 8)
 #: A feature counts c / (c + HALF + DENSITY * words of the text).
 HALF, DENSITY = 0.5, 0.003
@@ -68,15 +70,21 @@ def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def chosen_features(sample: DataFrame, most: int = FEATURES) -> np.ndarray:
-    """The features whose share of texts differs most between the samples, sorted."""
+    """The features whose share of texts differs most between the samples, sorted.
+
+    In units of the deviation that equal shares would show; those under
+    ``DEVIATIONS`` are left out as chance.
+    """
     n_p, n_u = sample.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
     p, u = F.col("p") / max(n_p, 1), F.col("u") / max(n_u, 1)
     both = (F.col("p") + F.col("u")) / max(n_p + n_u, 1)
+    chance = both * (1 - both) * (1 / max(n_p, 1) + 1 / max(n_u, 1)) + F.lit(1e-12)
     rows = (
         sample.mapInPandas(_occurrences, "feature long, p long, u long")
         .groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
         .filter("p + u >= 5")
-        .select("feature", ((p - u) / F.sqrt(both)).alias("gap"))
+        .select("feature", ((p - u) / F.sqrt(chance)).alias("gap"))
+        .filter(F.abs("gap") >= DEVIATIONS)
         .orderBy(F.abs("gap").desc(), "feature").limit(most).collect()
     )
     return np.sort(np.array([r.feature for r in rows], np.int64).view(np.uint64))
