@@ -6,19 +6,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FOUR_INTEGERS = r"^\s*[+-]?\d+\s*(\.\s*[+-]?\d+\s*){3}$"
-PACKET_TIME = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d{1,6})?$"
+#: Date, then optionally hours and minutes, seconds, a fraction and a zone.
+PACKET_TIME = (
+    r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})"
+    r"(?:[ T](\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,6})\d*)?)?\s*(Z|UTC|[+-]\d{2}:?\d{2})?)?$"
+)
 PORT_PAIR = r"(\d+)\s*[>→]\s*(\d+)"
 
 
 def packet_micros(time: Column) -> Column:
     """Microseconds of a wall-clock text; NULL when it does not parse.
 
-    The text is read as if it were UTC so that neither the session time zone
-    nor daylight saving can move a gap.
+    Year, month and day, with ``-`` or ``/``; after a blank or ``T`` also hours
+    and minutes, seconds, a fraction and a zone. A text without zone is read as
+    UTC, so that neither the session time zone nor daylight saving can move a
+    gap. Fractions are cut to microseconds.
     """
     text = F.trim(time)
-    stamp = F.concat(text, F.lit("Z")).try_cast("timestamp")
-    return F.when(text.rlike(PACKET_TIME), F.unix_micros(stamp))
+    part = lambda i: F.regexp_extract(text, PACKET_TIME, i)
+    two = lambda i: F.lpad(F.when(part(i) == "", "0").otherwise(part(i)), 2, "0")
+    zone = F.when(part(8).isin("", "UTC"), "Z").otherwise(part(8))
+    zone = F.regexp_replace(zone, r"^([+-]\d{2})(\d{2})$", "$1:$2")
+    plain = F.concat(
+        part(1), F.lit("-"), two(2), F.lit("-"), two(3), F.lit("T"), two(4), F.lit(":"), two(5),
+        F.lit(":"), two(6), F.lit("."), F.rpad(part(7), 6, "0"), zone,
+    )
+    return F.when(text.rlike(PACKET_TIME), F.unix_micros(plain.try_cast("timestamp")))
 
 
 def number(text: Column) -> Column:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
+from math import gcd, lcm
 
 import numpy as np
 import pandas as pd
@@ -133,9 +135,16 @@ def fit_weighted_network(
     """Feed-forward network trained with the class weights.
 
     Spark's network takes no weight column. Repeating every row in proportion to
-    its class weight gives the same loss.
+    its class weight, in the smallest whole numbers, gives the same loss.
     """
-    copies = F.sequence(F.lit(1), (F.col("weight") * 2).cast("int"))
+    exact = {c: Fraction(str(w)) for c, w in CLASS_WEIGHTS.items()}
+    whole = lcm(*[w.denominator for w in exact.values()], 1)
+    times = {c: int(w * whole) for c, w in exact.items()}
+    shared = gcd(*times.values(), whole)
+    n = F.lit(whole // shared)
+    for c, w in times.items():
+        n = F.when(F.col(label) == c, F.lit(w // shared)).otherwise(n)
+    copies = F.sequence(F.lit(1), n)
     repeated = pin(with_weights(df, label).withColumn("_copy", F.explode(copies)).drop("_copy"))
     network = MultilayerPerceptronClassifier(
         labelCol=label, layers=[len(columns), *hidden, len(CLASSES)], maxIter=rounds, seed=SEED

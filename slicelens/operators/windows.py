@@ -12,14 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slicelens.functions.maths import clip
-from slicelens.operators.joins import attach
+from slicelens.operators.joins import attach, stage
 from slicelens.operators.ordering import running_totals
 from slicelens.settings import FEATURES, LABEL, WindowSpec
 
 SLICE_PACKETS = 1 << 20
 MAX_SLICES = 4096
 CHUNK_WINDOWS = 4096
-PLAIN_CAP = 100_000
 
 
 def capture_bounds(packets: DataFrame, spec: WindowSpec) -> DataFrame:
@@ -158,29 +157,19 @@ def _rolling_columns(frame) -> dict[str, Column]:
     }
 
 
-def capped_rolling(windows: DataFrame, spec: WindowSpec) -> DataFrame:
-    """First ``cap`` windows of each capture with the rolling bitrate columns.
-
-    A capped capture is a bounded group, cut down before the shuffle. Without a
-    cap (or with a huge one) captures are processed in chunks of consecutive
-    windows, each preceded by the few windows its first frames reach back to.
-    """
-    if spec.cap is not None and spec.cap <= PLAIN_CAP:
-        ordered = Window.partitionBy("capture_id").orderBy("k")
-        kept = windows.withColumn("window_no", F.row_number().over(ordered).cast("bigint"))
-        kept = kept.filter(F.col("window_no") <= spec.cap)
-        return kept.withColumns(_rolling_columns(ordered.rowsBetween(1 - spec.rolling, 0)))
-    return chunked_rolling(windows, spec)
-
-
-def chunked_rolling(
+def capped_rolling(
     windows: DataFrame, spec: WindowSpec, chunk_windows: int = CHUNK_WINDOWS
 ) -> DataFrame:
-    """:func:`capped_rolling` for captures too long to be one group."""
+    """Windows of each capture (the first ``cap``, if set) with the rolling bitrate columns.
+
+    Captures are processed in chunks of consecutive windows, each preceded by
+    the few windows its first frames reach back to, so no capture is one group.
+    The windows are read several times and staged for that; packets are not.
+    """
     reach = spec.rolling - 1
-    chunked = windows.withColumn("chunk", F.floor(F.col("k") / chunk_windows)).withColumn(
-        "one", F.lit(1).cast("bigint")
-    )
+    chunked = stage(windows, "windows").withColumn(
+        "chunk", F.floor(F.col("k") / chunk_windows)
+    ).withColumn("one", F.lit(1).cast("bigint"))
     numbered = running_totals(chunked, ["capture_id"], "chunk", [F.col("k")], ["one"])
     numbered = numbered.withColumnRenamed("one_cum", "window_no").drop("one")
     if spec.cap is not None:

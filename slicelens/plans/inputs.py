@@ -11,8 +11,8 @@ from slicelens.functions.maths import epoch_micros
 from slicelens.settings import BY_STEM, LABEL, TREE
 
 DAY_US = 86_400_000_000
-EVENTS = replace(TREE, width_us=DAY_US, cap=20)
-EVENTS_BY_STEM = replace(BY_STEM, width_us=DAY_US, cap=20)
+EVENTS = replace(TREE, width_us=DAY_US)
+EVENTS_BY_STEM = replace(BY_STEM, width_us=DAY_US)
 UPLINK_TYPES = ("click", "signup", "purchase")
 
 

@@ -287,28 +287,30 @@ def macro_roc_auc(spark, folder):
 
 
 @query("argmax_class", """
-SELECT vec_id, CASE WHEN e[1] >= e[2] AND e[1] >= e[3] THEN 0 WHEN e[2] >= e[3] THEN 1 ELSE 2 END::BIGINT AS cls
-FROM (SELECT vec_id, embedding AS e FROM embeddings)""")
+SELECT vec_id, list_position(embedding, list_max(embedding))::BIGINT - 1 AS cls FROM embeddings""")
 def argmax_class(spark, folder):
-    rows = I.table(spark, folder, "embeddings").select("vec_id", F.slice("embedding", 1, 3).alias("s"))
-    return rows.select("vec_id", argmax(F.col("s")).cast("bigint").alias("cls"))
+    rows = I.table(spark, folder, "embeddings")
+    return rows.select("vec_id", argmax(F.col("embedding")).cast("bigint").alias("cls"))
 
 
 @query("softmax", """
-WITH x AS (SELECT vec_id, exp(embedding[1]::DOUBLE) AS a, exp(embedding[2]::DOUBLE) AS b, exp(embedding[3]::DOUBLE) AS c FROM embeddings)
-SELECT vec_id, round(a / (a + b + c), 6) AS p0, round(b / (a + b + c), 6) AS p1, round(c / (a + b + c), 6) AS p2 FROM x""")
+WITH x AS (
+  SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS entry, exp(unnest(embedding)::DOUBLE) AS e FROM embeddings)
+SELECT vec_id, entry::BIGINT AS entry, round(e / sum(e) OVER (PARTITION BY vec_id), 6) AS p FROM x""")
 def softmax_rows(spark, folder):
-    first = F.transform(F.slice("embedding", 1, 3), lambda v: v.cast("double"))
-    rows = I.table(spark, folder, "embeddings").select("vec_id", softmax(first).alias("p"))
-    return rounded(
-        rows.select("vec_id", *[F.col("p")[i].alias(f"p{i}") for i in range(3)]), p0=6, p1=6, p2=6
-    )
+    scores = F.transform("embedding", lambda v: v.cast("double"))
+    rows = I.table(spark, folder, "embeddings").select("vec_id", F.posexplode(softmax(scores)).alias("entry", "p"))
+    return rounded(rows.withColumn("entry", F.col("entry").cast("bigint")), p=6)
 
 
-@query("sign_predict", "SELECT vec_id, sign(embedding[1]::DOUBLE)::DOUBLE AS sign FROM embeddings")
+@query("sign_predict", """
+SELECT vec_id, generate_subscripts(embedding, 1)::BIGINT - 1 AS entry, sign(unnest(embedding)::DOUBLE)::DOUBLE AS sign
+FROM embeddings""")
 def sign_predict(spark, folder):
-    rows = I.table(spark, folder, "embeddings")
-    return rows.select("vec_id", F.signum(F.col("embedding")[0].cast("double")).alias("sign"))
+    rows = I.table(spark, folder, "embeddings").select("vec_id", F.posexplode("embedding").alias("entry", "v"))
+    return rows.select(
+        "vec_id", F.col("entry").cast("bigint").alias("entry"), F.signum(F.col("v").cast("double")).alias("sign")
+    )
 
 
 HISTORY = """

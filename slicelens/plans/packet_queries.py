@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -231,20 +233,18 @@ _rolled("rolling_std_5", "bitrate_std_kbps")
 
 
 @query("rolling_uncapped", f"""
-WITH {S.BASE}, {S.rolling(1_000_000)}
+WITH {S.BASE}, {S.rolling()}
 SELECT capture_id, k, window_no, round(bitrate_mean_kbps, 6) AS bitrate_mean_kbps,
        round(bitrate_std_kbps, 5) AS bitrate_std_kbps FROM roll""")
 def rolling_uncapped(spark, folder):
-    from dataclasses import replace
-
-    rolled = W.chunked_rolling(base(spark, folder), replace(SPEC, cap=None), chunk_windows=8)
+    rolled = W.capped_rolling(base(spark, folder), SPEC, chunk_windows=8)
     shown = rolled.select("capture_id", "k", "window_no", "bitrate_mean_kbps", "bitrate_std_kbps")
     return rounded(shown, bitrate_mean_kbps=6, bitrate_std_kbps=5)
 
 
-@query("cap_windows", f"WITH {S.ROLL} SELECT capture_id, k, window_no FROM kept")
+@query("cap_windows", f"WITH {S.BASE}, {S.rolling(20)} SELECT capture_id, k, window_no FROM kept")
 def cap_windows(spark, folder):
-    return W.capped_rolling(base(spark, folder), SPEC).select("capture_id", "k", "window_no")
+    return W.capped_rolling(base(spark, folder), replace(SPEC, cap=20)).select("capture_id", "k", "window_no")
 
 
 @query("clip_features", f"""

@@ -73,11 +73,12 @@ base AS (
 )"""
 
 
-def rolling(cap: int = 20) -> str:
+def rolling(cap: int | None = None) -> str:
+    cut = "" if cap is None else f"QUALIFY window_no <= {cap}"
     return f"""
 kept AS (
   SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY k) AS window_no FROM base
-  QUALIFY window_no <= {cap}
+  {cut}
 ),
 roll AS (
   SELECT *,

@@ -14,22 +14,23 @@ from slicelens.streaming.run import drain
 from slicelens.streaming.windows import anchor_phase, stream_rolling, stream_windows
 
 SPEC = replace(I.EVENTS, width_us=I.DAY_US // 4)
-FIRST_DAY = 1_704_067_200_000_000  # 2024-01-01
-CUTS = (0, 10, 20, 400)
+PARTS = 3
 
 
 def replay(spark, folder, packets):
     """Packets written as consecutive time ranges and read back one range per batch."""
     path = scratch_path(spark, "replay")
-    for low, high in zip(CUTS, CUTS[1:]):
-        day = F.floor((F.col("us") - FIRST_DAY) / I.DAY_US)
-        packets.filter((day >= low) & (day < high)).write.mode("append").parquet(
-            f"{path}/from_day={low}"
-        )
+    first, last = packets.agg(F.min("us"), F.max("us")).first()
+    # Every packet falls in a part: they follow the data and the outer ones are open.
+    part = F.floor((F.col("us") - first) * PARTS / F.lit(max(last - first, 1)))
+    for i in range(PARTS):
+        low = F.lit(True) if i == 0 else part >= i
+        high = F.lit(True) if i == PARTS - 1 else part < i + 1
+        packets.filter(low & high).write.mode("append").parquet(f"{path}/part={i}")
     files = (
         spark.read.parquet(path).select(F.col("_metadata.file_path").alias("f")).distinct().count()
     )
-    per_batch = -(-files // (len(CUTS) - 1))
+    per_batch = -(-files // PARTS)
     return (
         spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
     )

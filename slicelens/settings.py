@@ -81,11 +81,12 @@ class WindowSpec:
 
     ``anchor`` is ``first_row`` (time of the lowest packet number) or
     ``earliest`` (smallest time). ``down_only_bonus`` is added to the downlink
-    bytes when a window has no uplink bytes.
+    bytes when a window has no uplink bytes. ``cap`` keeps the first windows of a
+    capture only; none is left out by default.
     """
 
     width_us: int = 1_000_000
-    cap: int | None = 150
+    cap: int | None = None
     min_capture_packets: int = 10
     min_window_packets: int = 2
     rolling: int = 5
@@ -98,7 +99,6 @@ class WindowSpec:
 
 TREE = WindowSpec()
 BY_STEM = WindowSpec(
-    cap=400,
     anchor="earliest",
     keep_zero_length=True,
     down_only_bonus=0.0,

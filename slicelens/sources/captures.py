@@ -26,7 +26,7 @@ from slicelens.settings import (
 )
 
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
-HEADER_BYTES = 1 << 16
+HEADER_STEP = 1 << 16
 ROW_BITS = (1 << 33) - 1
 CAPTURE_COLUMNS = ("Time", "Source", "Destination", "Protocol", "Length", "Info")
 
@@ -132,11 +132,14 @@ def _first_line(path: str) -> list[str]:
             "file://" + path[5:] if re.match(r"file:/[^/]", path) else path
         )
         with system.open_input_stream(unquote(name) if system.type_name == "local" else name) as f:
-            head = f.read(HEADER_BYTES).decode("utf-8-sig", errors="replace")
+            head = b""
+            while b"\n" not in head and (more := f.read(HEADER_STEP)):
+                head += more
     except (OSError, ValueError):
         return []
-    lines = head.splitlines()
-    return [c.strip() for c in next(csv.reader(lines[:1]), [])] if lines else []
+    # Lines end where Spark's reader ends them: at \n, \r\n or \r.
+    line = re.split("\r\n|\n|\r", head.decode("utf-8-sig", errors="replace"), maxsplit=1)[0]
+    return [c.strip() for c in next(csv.reader([line]), [])]
 
 
 def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,13 +234,19 @@ def capture_files(spark: SparkSession, root: str) -> DataFrame:
     """Every mapped capture file, evaluated once.
 
     Columns ``capture_id, path, category, app, traffic_class, header, usable``. The
-    numeric ``capture_id`` stands for the long path in every later shuffle.
+    numeric ``capture_id`` stands for the long path in every later shuffle; it
+    is the hash of the path below ``root``, so reruns and other partitionings,
+    and another place of the tree, give the same one.
     """
     files = label_categories(with_path_keys(list_files(spark, root), root))
     described = files.join(header_inventory(files), "path").withColumn(
         "usable", F.size(missing_columns(F.col("header"))) == 0
     )
-    return pin(described.withColumn("capture_id", F.monotonically_increasing_id()))
+    known = pin(described.withColumn("capture_id", F.xxhash64(_relative(F.col("path"), root))))
+    n, ids = known.agg(F.count("*"), F.count_distinct("capture_id")).first()
+    if n != ids:
+        raise ValueError(f"{n - ids} capture files below {root} share an id; split the tree")
+    return known
 
 
 def scan_capture_tree(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:

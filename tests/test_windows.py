@@ -88,7 +88,7 @@ def test_chunked_rolling_equals_plain(spark, chunk, cap):
     rows = captures()
     df = spark.createDataFrame(rows, SCHEMA)
     base = windows.base_windows(windows.place(df, spec), spec)
-    found = windows.clip_features(windows.chunked_rolling(base, spec, chunk), spec)
+    found = windows.clip_features(windows.capped_rolling(base, spec, chunk), spec)
     same(got(found), expected(rows, spec))
 
 
