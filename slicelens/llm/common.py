@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import functools
 import threading
 from collections.abc import Callable, Iterator
 
+import pyarrow
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,9 +64,29 @@ def contained(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+def release() -> None:
+    """Give freed memory of a Python worker back, for the JVM beside it and the stages to come."""
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(parts: Iterator) -> Iterator:
+    """The same parts; memory is given back at the end."""
+    try:
+        yield from parts
+    finally:
+        release()
+
+
 def one(make: Callable, **settled) -> Callable:
-    """``make`` as a function of one table, the rest settled."""
-    return lambda rows: make(rows, **settled)
+    """``make`` as a function of one table, or of batches, the rest settled."""
+
+    def run(rows):
+        out = make(rows, **settled)
+        return released(out) if isinstance(out, Iterator) else out
+
+    return run
 
 
 def two(make: Callable, **settled) -> Callable:

@@ -42,6 +42,8 @@ TILE = 4096
 ENTRIES = 200_000
 BLOCK = 64
 PAIRS = 1 << 20
+#: Shingles that a task counts together.
+TALLIED = 1 << 21
 _SEEN = np.uint8(1) << np.arange(8, dtype=np.uint8)
 
 
@@ -127,7 +129,7 @@ def _tallied(batches, length, seen, ranges):
     for _, sets in _sets(batches, length, seen):
         held += sets
         size += sum(len(s) for s in sets)
-        if size > 1 << 23:
+        if size > TALLIED:
             yield out()
             held, size = [], 0
     if size:

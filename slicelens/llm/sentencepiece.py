@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slicelens.llm.common import read
+from slicelens.llm.common import one, read
 from slicelens.llm.registry import query
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -30,7 +30,9 @@ _UNIT = re.compile(r" *[^ \n]+| +|\n+")
 #: Below the worst piece: what a byte outside all pieces costs more.
 PENALTY = 10.0
 #: Bytes stepped together; units kept solved in a worker.
-TOGETHER, KEPT = 1 << 20, 400_000
+TOGETHER, KEPT = 1 << 18, 150_000
+#: Texts encoded together.
+TEXTS = 128
 
 
 class Packed:
@@ -97,7 +99,7 @@ class Pieces:
                 node = following
             ends.setdefault(node, i)
         n = len(children)
-        self.goto = np.zeros((n, 256), np.int32)
+        self.goto = np.zeros((n, 256), np.uint16 if n <= 1 << 16 else np.int32)
         fail = np.zeros(n, np.int32)
         self.piece = np.full(n, -1, np.int32)
         self.piece[list(ends)] = list(ends.values())
@@ -130,7 +132,7 @@ class Pieces:
         for at in range(width):
             n = int(np.searchsorted(-size, -at))  # units longer than `at`
             byte = data[:n, at]
-            state = self.goto[state[:n], byte]
+            state = self.goto[state[:n], byte].astype(np.int32)
             top = best[at, :n] + self.byte_score
             token = self.bytes_from + byte.astype(np.int32)
             link = np.where(self.piece[state] >= 0, state, self.output[state])
@@ -210,8 +212,8 @@ def encoded(text: Column, path: str = MODEL) -> Column:
     def encode(column: pd.Series) -> pd.Series:
         coder, out = load(path), []
         texts = [t or "" for t in column]
-        for lo in range(0, len(texts), 512):
-            out += coder.encode(texts[lo : lo + 512])
+        for lo in range(0, len(texts), TEXTS):
+            out += coder.encode(texts[lo : lo + TEXTS])
         return pd.Series(out, dtype=object)
 
     return encode(text)
@@ -238,8 +240,8 @@ def encode_checked(docs: DataFrame, path: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = load(path)
         for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part = batch.iloc[lo : lo + 512]
+            for lo in range(0, len(batch), TEXTS):
+                part = batch.iloc[lo : lo + TEXTS]
                 texts = [t or "" for t in part.text]
                 ids = coder.encode(texts)
                 yield pd.DataFrame({
@@ -250,7 +252,7 @@ def encode_checked(docs: DataFrame, path: str = MODEL) -> DataFrame:
 
     plain = docs.select(F.col("doc_id").cast("string"), F.col("text").cast("string"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = plain.mapInPandas(run, "doc_id string, ids array<int>, n_tokens long, restored boolean")
+    out = plain.mapInPandas(one(run), "doc_id string, ids array<int>, n_tokens long, restored boolean")
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slicelens.llm import words
-from slicelens.llm.common import fold, read, scratch, stage
+from slicelens.llm.common import fold, read, release, scratch, stage
 from slicelens.llm.registry import query
 
 #: At most about so many rows are used to fit.
@@ -226,11 +226,12 @@ def toxicity_score(text: Column, model: tuple[Table, np.ndarray, float]) -> Colu
     def score(column: pd.Series) -> pd.Series:
         out = np.empty(len(column))
         texts = column.tolist()
-        for lo in range(0, len(texts), 512):
-            part = texts[lo : lo + 512]
+        for lo in range(0, len(texts), 256):
+            part = texts[lo : lo + 256]
             row, at, value = table.values(part)
             g = bias + np.bincount(row, value * weights[at] if len(at) else None, len(part))
             out[lo : lo + len(part)] = 1 / (1 + np.exp(-np.clip(g, -50, 50)))
+        release()
         return pd.Series(out)
 
     return score(text)
