@@ -15,10 +15,10 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slicelens.operators.ordering import hash_bucket, positions
+from slicelens.operators.ordering import BUCKET_ROWS, hash_bucket, positions
 
 MAX_CLASSES = 1000
-CUT_DIGITS = 4
+CUT_DIGITS, KEY_DIGITS = 4, 32
 
 
 def class_sizes(df: DataFrame, label: str) -> dict:
@@ -32,27 +32,34 @@ def class_sizes(df: DataFrame, label: str) -> dict:
 def cut_keys(df: DataFrame, label: str, key: str, quotas: Mapping) -> dict:
     """The ``quota``-th smallest key of each class; quotas must not exceed class sizes.
 
-    A histogram of key prefixes finds the bucket that holds the cut; only that
-    bucket's rows are ranked. Keys must be unique: a cut between two equal keys
-    is refused, since it could not give exactly ``quota`` rows.
+    A histogram of key prefixes finds the bucket that holds the cut; a bucket
+    that is still large is cut by longer prefixes, and only the last one's rows
+    are ranked. Keys must be unique: a cut between two equal keys is refused,
+    since it could not give exactly ``quota`` rows.
     """
     wanted = {c: int(n) for c, n in quotas.items() if n > 0}
     if not wanted:
         return {}
-    quota = F.create_map(*[F.lit(v) for pair in wanted.items() for v in pair])
-    bucket = hash_bucket(F.col(key), CUT_DIGITS)
     upto = Window.partitionBy(label).orderBy("_bucket")
-    crossing = (
-        df.groupBy(label, bucket.alias("_bucket"))
-        .agg(F.count("*").alias("n"))
-        .withColumn("upto", F.sum("n").over(upto))
-        .withColumn("quota", F.try_element_at(quota, F.col(label)))
-        .filter("upto >= quota AND upto - n < quota")
-        .select(label, "_bucket", (F.col("quota") - F.col("upto") + F.col("n")).alias("r"))
-        .collect()
-    )
-    inside = reduce(or_, [(F.col(label) == c) & (bucket == b) for c, b, _ in crossing])
-    rank = F.create_map(*[F.lit(v) for c, _, r in crossing for v in (c, r)])
+    inside, digits, large = F.lit(True), 0, True
+    while large and digits < KEY_DIGITS:
+        digits += CUT_DIGITS
+        quota = F.create_map(*[F.lit(v) for pair in wanted.items() for v in pair])
+        bucket = hash_bucket(F.col(key), digits)
+        crossing = (
+            df.filter(inside)
+            .groupBy(label, bucket.alias("_bucket"))
+            .agg(F.count("*").alias("n"))
+            .withColumn("upto", F.sum("n").over(upto))
+            .withColumn("quota", F.try_element_at(quota, F.col(label)))
+            .filter("upto >= quota AND upto - n < quota")
+            .select(label, "_bucket", (F.col("quota") - F.col("upto") + F.col("n")).alias("r"), "n")
+            .collect()
+        )
+        inside = reduce(or_, [(F.col(label) == c) & (bucket == b) for c, b, _, _ in crossing])
+        wanted = {c: r for c, _, r, _ in crossing}
+        large = any(n > BUCKET_ROWS for *_, n in crossing)
+    rank = F.create_map(*[F.lit(v) for pair in wanted.items() for v in pair])
     ordered = Window.partitionBy(label).orderBy(key)
     found = (
         df.filter(inside)

@@ -111,3 +111,10 @@ def test_histogram_edges(spark):
     bins = {(r["traffic_class"], r["bin"]): r["n"] for r in summaries.class_histogram(df, "v").collect()}
     assert len(bins) == 50 and sum(bins.values()) == 6
     assert bins[0, 0] == 1 and bins[0, 1] == 1 and bins[0, 24] == 2 and bins[1, 12] == 2
+
+
+def test_cut_through_large_buckets(spark, monkeypatch):
+    df = labelled(spark, {0: 700, 1: 500})
+    plain = sampling.cut_keys(df, "y", "key", {0: 123, 1: 500})
+    monkeypatch.setattr(sampling, "BUCKET_ROWS", 0)
+    assert sampling.cut_keys(df, "y", "key", {0: 123, 1: 500}) == plain

@@ -207,3 +207,24 @@ def test_one_layout_reads_only_its_columns(spark, tmp_path):
     assert raw.count() == 21 and raw.filter("broken").count() == 0
     plan = P.typed_packets(raw)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<c1:string,c2:string,c5:string,c7:string>" in plan
+
+
+def test_long_headers_and_repeatable_ids(spark, tmp_path):
+    wide = ",".join(["Time", *[f"column{i}" for i in range(9000)], "Length", "Source", "Destination"])
+    assert len(wide) > 90_000
+    put(tmp_path / "wide", "Metaverse/Roblox/a.csv", wide + "\n")
+    files = captures.capture_files(spark, str(tmp_path / "wide")).collect()
+    assert [(len(f.header), f.usable) for f in files] == [(9004, True)]
+    for root in ("one", "two"):
+        for name in "abcdefg":
+            put(tmp_path / root, f"Metaverse/Roblox/{name}.csv", "Time,Length,Source,Destination\n")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        ids = []
+        for root, cost in (("one", "1"), ("one", "200m"), ("two", before)):
+            spark.conf.set("spark.sql.files.openCostInBytes", cost)
+            rows = captures.capture_files(spark, str(tmp_path / root)).collect()
+            ids.append({f.path.rsplit("/", 1)[1]: f.capture_id for f in rows})
+        assert ids[0] == ids[1] == ids[2] and len(ids[0]) == 7
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)

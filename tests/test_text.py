@@ -56,3 +56,16 @@ def test_packet_length(spark):
 ])
 def test_duration(spark, seconds, shown):
     assert evaluate(spark, [float(seconds)], text.duration_text, "double") == [shown]
+
+
+def test_time_layouts(spark):
+    base = 1_654_014_178_000_000  # 2022-05-31 16:22:58 UTC
+    cases = {
+        "2022-05-31 16:22:58.123456": base + 123_456, "2022-05-31T16:22:58.123456": base + 123_456,
+        "2022-05-31 16:22:58.123456789": base + 123_456, "2022/05/31 16:22:58": base,
+        "2022-5-31 16:22": base - 58_000_000, "2022-05-31": base - (16 * 3600 + 22 * 60 + 58) * 1_000_000,
+        "2022-05-31T18:22:58+02:00": base, "2022-05-31T18:22:58.5+0200": base + 500_000,
+        "2022-05-31T16:22:58Z": base, "  2022-05-31 16:22:58 UTC ": base,
+        "2022-13-31 16:22:58": None, "n/a": None, "16:22:58": None, "": None, None: None, "2022-05-31 25:00": None,
+    }
+    assert evaluate(spark, cases, text.packet_micros) == list(cases.values())
