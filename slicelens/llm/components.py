@@ -27,7 +27,6 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         .distinct(),
         "edges",
     )
-    before = None
     for _ in range(most_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
@@ -41,13 +40,13 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
             joined.filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
         )
         edges = stage(small.distinct(), "small-star")
-        now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("bigint"))).first()
-        if now == before:
+        # Settled once no id points at two others, and none that is pointed at points on.
+        n, ids = edges.agg(F.count("*"), F.count_distinct("a")).first()
+        if n == ids and edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
             break
-        before = now
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    # Settled edges are stars: every id points at its component's smallest.
+    # These edges are stars: every id points at its component's smallest.
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
         edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     )

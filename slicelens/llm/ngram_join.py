@@ -185,7 +185,7 @@ def shingle_filters(
 
 
 def _entries(batches, length, seen, rule, filters, bits):
-    """The list entries of each document: shingle, size and position in the order."""
+    """The list entries of each document: shingle, size, position in the order, shingles of its own."""
     shared, frequent = filters
     for ids, sets in _sets(batches, length, seen):
         found = []
@@ -197,10 +197,12 @@ def _entries(batches, length, seen, rule, filters, bits):
             order = np.argsort(rank, kind="stable")[: rule.prefix(len(s))]
             pos = np.flatnonzero(rank[order])
             if len(pos):
-                found.append((np.full(len(pos), i), s[order[pos]].view(np.int64), np.full(len(pos), len(s)), pos))
+                lone = int((rank == 0).sum())
+                found.append((np.full(len(pos), i), s[order[pos]].view(np.int64), np.full(len(pos), len(s)), pos,
+                              np.full(len(pos), lone)))
         if found:
             yield pd.DataFrame(
-                {c: np.concatenate([f[k] for f in found]) for k, c in enumerate(("id", "shingle", "n", "pos"))}
+                {c: np.concatenate([f[k] for f in found]) for k, c in enumerate(("id", "shingle", "n", "pos", "lone"))}
             )
 
 
@@ -260,26 +262,12 @@ def _sorted_lists(frame: pd.DataFrame, by: list[str]) -> tuple[pd.DataFrame, np.
     return frame, np.cumsum(np.append(0, key[1:] != key[:-1]))
 
 
-def _stars(frame: pd.DataFrame, rule: Rule) -> pd.DataFrame:
-    """Each list's entries against the smallest set of their size range, and against their neighbour."""
+def _alike(frame: pd.DataFrame, rule: Rule) -> pd.DataFrame:
+    """The documents whose next larger or smaller set in a list is of like size."""
     frame, list_no = _sorted_lists(frame, ["list", "n", "id"])
-    n, pos, ids = frame.n.to_numpy(), frame.pos.to_numpy(), frame.id.to_numpy()
-    span = int(n.max()) * 2 + 2
-    key = list_no * span + n
-    ends = np.searchsorted(key, list_no * span + np.minimum(rule.den * n // rule.num, span - 1), side="right")
-    root = np.zeros(len(n), np.int64)
-    at = 0
-    while at < len(n):
-        root[at : ends[at]] = at
-        at = int(ends[at])
-    i, j = root, np.arange(len(n))
-    reach = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
-    keep = (ids[i] != ids[j]) & (reach >= rule.overlap(n[i], n[j]))
-    k = np.flatnonzero(ends > np.arange(len(n)) + 1)
-    return pd.DataFrame({
-        "a": np.concatenate((ids[i][keep], ids[k])), "b": np.concatenate((ids[j][keep], ids[k + 1])),
-        "star": np.repeat([True, False], [keep.sum(), len(k)]),
-    }).drop_duplicates()
+    n, ids = frame.n.to_numpy(), frame.id.to_numpy()
+    k = np.flatnonzero((list_no[1:] == list_no[:-1]) & (n[1:] * rule.num <= n[:-1] * rule.den))
+    return pd.DataFrame({"id": np.unique(np.concatenate((ids[k], ids[k + 1])))})
 
 
 def _met(frame: pd.DataFrame, rule: Rule, emit: Callable) -> pd.DataFrame:
@@ -375,32 +363,37 @@ def links(
     filters = shingle_filters(texts, length, seen, frequent, bits)
     entries = texts.mapInPandas(
         one(_entries, length=length, seen=seen, rule=rule, filters=filters, bits=bits),
-        "id long, shingle long, n long, pos long",
+        "id long, shingle long, n long, pos long, lone long",
     )
     entries = stage(entries.join(reps, "id", "left_semi"), "entries")
-    shared = entries.groupBy("shingle").agg(F.count("*").alias("m")).filter("m > 1")
+    # The set with the fewest shingles of its own is the likeliest source of the others.
+    root = F.struct("lone", "id", "n", "pos")
+    shared = entries.groupBy("shingle").agg(F.count("*").alias("m"), F.min(root).alias("hub")).filter("m > 1")
     lists = stage(entries.join(shared, "shingle"), "lists")
     size = lists.count()
 
     # Stars: most members of a group of near copies meet their root here.
-    chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / F.lit(tile)))
-    chunked = lists.withColumn("list", F.xxhash64("shingle", chunk))
+    both = F.col("n") + F.col("hub.n")
+    reach = F.least("pos", "hub.pos") + F.least(F.col("n") - F.col("pos"), F.col("hub.n") - F.col("hub.pos"))
     stars = stage(
-        _by_task(chunked.select("id", "n", "pos", "list"), size)
-        .applyInPandas(one(_stars, rule=rule), "a long, b long, star boolean").distinct(),
+        lists.filter(
+            (F.col("id") != F.col("hub.id")) & (reach * (rule.den + rule.num) >= F.lit(rule.num) * both)
+        ).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct(),
         "stars",
     )
-    met = stars.select(F.col("a").alias("id")).union(stars.select("b")).union(
-        lists.filter(F.col("m") > tile).select("id")
-    )
-    partners = id_filter(met, bits)
+    # Whole sets are needed of those that have a neighbour of like size in some list.
+    chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / F.lit(tile)))
+    chunked = lists.withColumn("list", F.xxhash64("shingle", chunk)).select("id", "n", "list")
+    near = _by_task(chunked, size).applyInPandas(one(_alike, rule=rule), "id long")
+    met = near.union(lists.filter(F.col("m") > tile).select("id")).union(stars.select("a"))
+    partners = id_filter(met.union(stars.select("b")), bits)
 
     def whole(batches):
         for ids, sets in _sets(batches, length, partners):
             yield pd.DataFrame({"id": ids, "members": [s.tobytes() for s in sets]})
 
     sets = stage(texts.mapInPandas(whole, "id long, members binary"), "sets")
-    found = stage(_linked(overlaps(stars.filter("star"), sets), rule), "star-links")
+    found = stage(_linked(overlaps(stars, sets), rule), "star-links")
     edges = copies.select(F.col("id").alias("a"), F.col("rep").alias("b")).union(found.select("a", "b"))
 
     apart = F.col("na") + F.col("nb") - 2 * F.col("common")
@@ -409,33 +402,31 @@ def links(
         F.min_by(apart, F.struct("common", "a")).alias("apart"),
     )
 
-    def placed(component: DataFrame, which: DataFrame) -> DataFrame:
-        """Entries with their component, root and distance to it."""
-        e = which.join(info, "id", "left").join(component, "id", "left")
-        return e.select(
-            "id", "n", "pos", "m", "shingle", F.coalesce("component", "id").alias("component"),
-            F.coalesce("root", "id").alias("root"), F.coalesce("apart", F.lit(0)).alias("apart"),
-        )
+    # Entries with their root and the distance to it; a root stands for its members' component.
+    rooted = lists.join(info, "id", "left").select(
+        "id", "n", "pos", "m", "shingle", F.coalesce("root", "id").alias("root"),
+        F.coalesce("apart", F.lit(0)).alias("apart"),
+    )
 
     # Roots: one computed pair answers for all pairs of their members that it settles.
-    joined = stage(placed(components(edges), lists), "placed")
+    joined = stage(rooted.withColumn("component", F.col("root")), "rooted")
     pairs = stage(
         _by_task(_tiled(joined, tile), size)
         .applyInPandas(one(_met, rule=rule, emit=_root_pairs), "a long, b long, slack long")
         .groupBy("a", "b").agg(F.max("slack").alias("slack")),
         "root-pairs",
     )
-    same = pairs.filter("a = b").select("a", "b", "slack", F.lit(0).alias("apart"))
-    known = stage(overlaps(pairs.filter("a <> b"), sets), "root-overlaps")
+    known = stage(overlaps(pairs, sets), "root-overlaps")
     edges = edges.union(_linked(known, rule).select("a", "b"))
     still = pairs.join(known.select("a", "b", apart.alias("apart")), ["a", "b"]).select("a", "b", "slack", "apart")
-    still = stage(still.union(same).filter("apart <= slack").select("a", "b", "apart"), "open")
+    still = stage(still.filter("apart <= slack").select("a", "b", "apart"), "open")
     if still.isEmpty():
         return edges
 
     # Members of the pairs of roots that do not settle them.
     ends = still.select(F.col("a").alias("root")).union(still.select("b")).distinct()
-    again = stage(placed(components(edges), lists).join(ends, "root", "left_semi"), "placed-open")
+    again = joined.drop("component").join(ends, "root", "left_semi").join(components(edges), "id", "left")
+    again = stage(again.withColumn("component", F.coalesce("component", "id")), "open-entries")
     pairs = (
         _by_task(_tiled(again, tile), size)
         .applyInPandas(one(_met, rule=rule, emit=_member_pairs),
