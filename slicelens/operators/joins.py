@@ -17,7 +17,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if folder is None:
-        if not context.master.startswith("local"):
+        # local[n] is one machine; local-cluster stands for several.
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         folder = os.path.join(tempfile.gettempdir(), "slicelens-checkpoints")
     if context.getCheckpointDir() is None:
