@@ -6,8 +6,8 @@ meets at v, and all that meet there are compared. Blocks of a few random
 projection trees give the first lists. A search walks the graph from the
 query's own list and looks, hop by hop, at the neighbours of its best finds.
 
-Graph work uses vectors as one byte a component and a scale; the finds are
-ranked by the exact product of the original vectors in the end.
+Graph and search use the vectors as 32-bit floats, which embeddings are, and
+products of 64 bits, so near copies keep their order in every list.
 """
 
 from __future__ import annotations
@@ -37,9 +37,9 @@ SHARE = 1 << 14
 #: A query's finds, those it follows in a hop, and hops.
 BEAM, FOLLOW, HOPS = 192, 48, 4
 
-GRAPH = "node long, share int, code binary, scale float, near binary, score binary, fresh binary, news int"
-LINKS = "share int, node long, code binary, scale float, least float, at binary, fresh binary"
-FOUND = "node long, share int, other long, score float"
+GRAPH = "node long, share int, code binary, near binary, score binary, fresh binary, news int"
+LINKS = "share int, node long, code binary, least double, at binary, fresh binary"
+FOUND = "node long, share int, other long, score double"
 
 
 def _matrix(column, kind, width: int) -> np.ndarray:
@@ -47,11 +47,15 @@ def _matrix(column, kind, width: int) -> np.ndarray:
 
 
 def _codes(frame: pd.DataFrame) -> np.ndarray:
-    """Vectors back from bytes and scales."""
+    """Vectors back from bytes."""
     if not len(frame):
         return np.zeros((0, 1), np.float32)
-    codes = np.frombuffer(b"".join(frame.code), np.int8).reshape(len(frame), -1)
-    return codes.astype(np.float32) * frame.scale.to_numpy(np.float32)[:, None]
+    return np.frombuffer(b"".join(frame.code), np.float32).reshape(len(frame), -1)
+
+
+def _products(x: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Products of few vectors, so that their rounding decides no order."""
+    return x.astype(np.float64) @ z.astype(np.float64).T
 
 
 def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +78,7 @@ def best(row, other, score, fresh, rows: int, width: int):
     keep = rank < width
     row, rank = row[keep], rank[keep]
     ids = np.full((rows, width), -1, np.int64)
-    scores = np.full((rows, width), -np.inf, np.float32)
+    scores = np.full((rows, width), -np.inf)
     marks = np.zeros((rows, width), np.uint8)
     ids[row, rank], scores[row, rank], marks[row, rank] = other[keep], score[keep], fresh[keep]
     return ids, scores, marks
@@ -95,12 +99,9 @@ def _strongest(node, other, score, width: int) -> pd.DataFrame:
 
 def _coded(batches: Iterator[pd.DataFrame], shares: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        x = np.stack(batch.vector.to_numpy()).astype(np.float64)
-        scale = np.abs(x).max(axis=1) / 127
-        codes = np.rint(x / scale[:, None]).astype(np.int8)
+        x = np.stack(batch.vector.to_numpy()).astype(np.float32)
         yield pd.DataFrame({
-            "node": batch.node, "share": batch.node % shares,
-            "code": [c.tobytes() for c in codes], "scale": scale.astype(np.float32),
+            "node": batch.node, "share": batch.node % shares, "code": [c.tobytes() for c in x],
         })
 
 
@@ -118,7 +119,7 @@ def _block_lists(frame: pd.DataFrame, width: int) -> pd.DataFrame:
     near = min(width, len(node) - 1)
     out = []
     for lo in range(0, len(node) if near else 0, 1024):
-        s = x[lo : lo + 1024] @ x.T
+        s = _products(x[lo : lo + 1024], x)
         s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -np.inf
         at = np.argpartition(-s, near - 1, axis=1)[:, :near]
         out.append(pd.DataFrame({
@@ -138,12 +139,12 @@ def _taken_in(graph: pd.DataFrame, found: pd.DataFrame, width: int) -> pd.DataFr
         return graph
     node = graph.node.to_numpy()
     ids = _matrix(graph.near, np.int64, width)
-    scores = _matrix(graph.score, np.float32, width)
+    scores = _matrix(graph.score, np.float64, width)
     old_row, old_at = np.nonzero(ids >= 0)
     row = np.searchsorted(node, found.node.to_numpy())
     ids, scores, fresh = best(
         np.concatenate((old_row, row)), np.concatenate((ids[old_row, old_at], found.other.to_numpy(np.int64))),
-        np.concatenate((scores[old_row, old_at], found.score.to_numpy(np.float32))),
+        np.concatenate((scores[old_row, old_at], found.score.to_numpy(np.float64))),
         np.concatenate((np.zeros(len(old_row), np.uint8), np.ones(len(row), np.uint8))), n, width,
     )
     return graph.assign(
@@ -170,7 +171,7 @@ def _sent(graph: pd.DataFrame, named: pd.DataFrame, shares: int, width: int, mos
         return pd.DataFrame({c.split()[0]: [] for c in LINKS.split(", ")})
     node = graph.node.to_numpy()
     ids, fresh = _matrix(graph.near, np.int64, width), _matrix(graph.fresh, np.uint8, width)
-    least = _matrix(graph.score, np.float32, width)[:, -1]
+    least = _matrix(graph.score, np.float64, width)[:, -1]
     row, at = np.nonzero(ids >= 0)
     by, row_by = named.by.to_numpy(np.int64), np.searchsorted(node, named.node.to_numpy())
     # Of many that name a node, a part by hash answers this round.
@@ -188,8 +189,7 @@ def _sent(graph: pd.DataFrame, named: pd.DataFrame, shares: int, width: int, mos
     starts, ends = _runs(r * shares + v % shares)
     own = r[starts]
     return pd.DataFrame({
-        "share": v[starts] % shares, "node": node[own], "code": graph.code.to_numpy()[own],
-        "scale": graph.scale.to_numpy()[own], "least": least[own],
+        "share": v[starts] % shares, "node": node[own], "code": graph.code.to_numpy()[own], "least": least[own],
         "at": [v[a:b].tobytes() for a, b in zip(starts, ends, strict=True)],
         "fresh": [f[a:b].tobytes() for a, b in zip(starts, ends, strict=True)],
     })
@@ -208,14 +208,14 @@ def _meetings(links: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _joined(links: pd.DataFrame, width: int) -> pd.DataFrame:
     """All that meet at a node are compared, unless they met before."""
-    x, node, least = _codes(links), links.node.to_numpy(), links.least.to_numpy(np.float32)
+    x, node, least = _codes(links), links.node.to_numpy(), links.least.to_numpy(np.float64)
     v, row, fresh = _meetings(links)
     out = []
     for lo, hi in zip(*_runs(v), strict=True):
         r, f = row[lo:hi], fresh[lo:hi].astype(bool)
         if not f.any():
             continue
-        s = x[r] @ x[r].T
+        s = _products(x[r], x[r])
         i, j = np.nonzero((s > least[r][:, None]) & (f[:, None] | f) & (node[r][:, None] != node[r]))
         out.append((r[i], r[j], s[i, j]))
     if not out:
@@ -251,21 +251,21 @@ def build_graph(
     shares = max(1, math.ceil(count / share))
     coded = stage(
         nodes.select("node", "vector").mapInPandas(
-            one(_coded, shares=shares), "node long, share int, code binary, scale float"
+            one(_coded, shares=shares), "node long, share int, code binary"
         ),
         "coded",
     )
     part = min(1.0, SAMPLE / max(count, 1))
     drawn = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) <= F.lit(int(part * (1 << 30)))
-    sample = _codes(coded.filter(drawn).select("code", "scale").toPandas())
+    sample = _codes(coded.filter(drawn).select("code").toPandas())
     depth = max(0, math.ceil(math.log2(max(count, 1) / rows)))
     planes = np.random.default_rng(seed).normal(size=(sample.shape[1], trees * depth))
     cuts = np.median(sample @ planes, axis=0).reshape(trees, depth) if len(sample) else np.zeros((trees, depth))
     placed = coded.mapInPandas(
         one(_placed, planes=planes, cuts=cuts),
-        "node long, share int, code binary, scale float, block array<long>",
+        "node long, share int, code binary, block array<long>",
     )
-    blocks = placed.select("node", "code", "scale", F.posexplode("block").alias("tree", "block"))
+    blocks = placed.select("node", "code", F.posexplode("block").alias("tree", "block"))
     sizes = blocks.groupBy("tree", "block").agg(F.count("*").alias("n"))
     # A block that the cuts leave too large is dealt out at random.
     dealt = F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("n") / F.lit(2 * rows)))
@@ -275,7 +275,7 @@ def build_graph(
     )
     none = lambda value, kind: F.lit(np.full(width, value, kind).tobytes())
     graph = coded.select(
-        "*", none(-1, np.int64).alias("near"), none(-np.inf, np.float32).alias("score"),
+        "*", none(-1, np.int64).alias("near"), none(-np.inf, np.float64).alias("score"),
         none(0, np.uint8).alias("fresh"), F.lit(0).alias("news"),
     )
     graph = stage(_merged(graph, _own_share(found, shares), width), "graph")
@@ -295,7 +295,7 @@ def _asked(batches, shares: int, beam: int, follow: int):
     """Requests of each query to the shares of the finds it follows now."""
     for batch in batches:
         ids, state = _matrix(batch.near, np.int64, beam), _matrix(batch.fresh, np.uint8, beam)
-        least = _matrix(batch.score, np.float32, beam)[:, -1]
+        least = _matrix(batch.score, np.float64, beam)[:, -1]
         open_ = (ids >= 0) & (state == 1)
         row, at = np.nonzero(open_ & (np.cumsum(open_, axis=1) <= follow))
         v = ids[row, at]
@@ -305,7 +305,7 @@ def _asked(batches, shares: int, beam: int, follow: int):
         own = row[starts]
         yield pd.DataFrame({
             "share": v[starts] % shares, "node": batch.node.to_numpy()[own],
-            "code": batch.code.to_numpy()[own], "scale": batch.scale.to_numpy()[own], "least": least[own],
+            "code": batch.code.to_numpy()[own], "least": least[own],
             "at": [v[a:b].tobytes() for a, b in zip(starts, ends, strict=True)],
             "fresh": [b"\1" * int(b - a) for a, b in zip(starts, ends, strict=True)],
         })
@@ -317,14 +317,14 @@ def _answered(asked: pd.DataFrame, links: pd.DataFrame, beam: int) -> pd.DataFra
     if not len(asked) or not len(links):
         return none
     x, node = _codes(links), links.node.to_numpy()
-    q, who, least = _codes(asked), asked.node.to_numpy(), asked.least.to_numpy(np.float32)
+    q, who, least = _codes(asked), asked.node.to_numpy(), asked.least.to_numpy(np.float64)
     v, row, _ = _meetings(links)
     w, asks, _ = _meetings(asked)
     out = []
     for lo, hi in zip(*_runs(w), strict=True):
         a, b = np.searchsorted(v, w[lo]), np.searchsorted(v, w[lo], side="right")
         r, p = row[a:b], asks[lo:hi]
-        s = q[p] @ x[r].T
+        s = _products(q[p], x[r])
         i, j = np.nonzero((s > least[p][:, None]) & (who[p][:, None] != node[r]))
         out.append((p[i], r[j], s[i, j]))
     i, j, s = (np.concatenate(p) for p in zip(*out, strict=True))
@@ -338,7 +338,7 @@ def _advanced(state: pd.DataFrame, found: pd.DataFrame, beam: int, follow: int)
     if not n:
         return state
     ids, marks = _matrix(state.near, np.int64, beam), _matrix(state.fresh, np.uint8, beam)
-    scores = _matrix(state.score, np.float32, beam)
+    scores = _matrix(state.score, np.float64, beam)
     open_ = (ids >= 0) & (marks == 1)
     # 0 sorts first, so what was there keeps its mark against the same node found again.
     closed = (marks == 2) | (open_ & (np.cumsum(open_, axis=1) <= follow))
@@ -346,7 +346,7 @@ def _advanced(state: pd.DataFrame, found: pd.DataFrame, beam: int, follow: int)
     new = np.searchsorted(state.node.to_numpy(), found.node.to_numpy())
     ids, scores, marks = best(
         np.concatenate((row, new)), np.concatenate((ids[row, at], found.other.to_numpy(np.int64))),
-        np.concatenate((scores[row, at], found.score.to_numpy(np.float32))),
+        np.concatenate((scores[row, at], found.score.to_numpy(np.float64))),
         np.concatenate((np.where(closed[row, at], 0, 1), np.ones(len(new)))).astype(np.uint8), n, beam,
     )
     marks = np.where((ids >= 0) & (marks == 0), 2, marks).astype(np.uint8)
@@ -359,7 +359,7 @@ def _begun(batches, width: int, beam: int):
     """A query's first finds: its own node's list, all open."""
     for batch in batches:
         n = len(batch)
-        ids, scores = _matrix(batch.near, np.int64, width), _matrix(batch.score, np.float32, width)
+        ids, scores = _matrix(batch.near, np.int64, width), _matrix(batch.score, np.float64, width)
         row, at = np.nonzero(ids >= 0)
         ids, scores, marks = best(row, ids[row, at], scores[row, at], np.ones(len(row), np.uint8), n, beam)
         yield batch.assign(

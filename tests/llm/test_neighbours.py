@@ -55,3 +55,18 @@ def test_recall_of_the_query(spark, folder):
         want = set(ids[np.argsort(-s, kind="stable")[:20]].tolist())
         hit, total = hit + len(want & set(r.v)), total + len(want)
     assert total == 20 * len([i for i in ids if i % 20 == 0]) and hit >= 0.9 * total
+
+
+def test_recall_inside_one_group_of_near_copies(make):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=64) + 0.04 * rng.normal(size=(3000, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    out = nearest(
+        make([(i, v.tolist(), "n", "s") for i, v in enumerate(x)], SCHEMA), lambda key: key % 50 == 0
+    ).groupBy("query_id").agg(F.collect_set("vec_id").alias("v"))
+    hit = 0
+    for r in out.collect():
+        s = x.astype(float) @ x[r.query_id].astype(float)
+        s[r.query_id] = -np.inf
+        hit += len(set(np.argsort(-s)[:20].tolist()) & set(r.v))
+    assert hit >= 0.95 * 20 * 60, hit / 20 / 60
