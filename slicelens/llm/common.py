@@ -41,8 +41,21 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for name in _scopes.open.pop():
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _removed(spark, name)
+
+
+def _removed(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unstage(df: DataFrame) -> None:
+    """Remove a table staged in the open ``scratch`` that nothing reads any more."""
+    files = df.inputFiles()
+    for paths in getattr(_scopes, "open", [])[-1:]:
+        for name in [p for p in paths if any(p.rsplit("/", 1)[1] in f for f in files)]:
+            paths.remove(name)
+            _removed(df.sparkSession, name)
 
 
 def contained(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:

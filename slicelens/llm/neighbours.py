@@ -20,22 +20,26 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slicelens.llm.common import contained, one, read, stage, two
+from slicelens.llm.common import contained, one, read, stage, two, unstage
 from slicelens.llm.near_vectors import usable
 from slicelens.llm.registry import query
 
-#: Neighbours a node keeps, and nodes naming it that it answers, a round.
-WIDTH, NAMED = 40, 48
+#: Neighbours a node keeps.
+WIDTH = 40
 #: Rows of a block and number of trees for the first lists.
 ROWS, TREES = 2048, 4
 #: Vectors that place the trees' cuts, at most about.
 SAMPLE = 2000
-#: Rounds at most; they end once fewer than this share of all neighbours is new.
-ROUNDS, SETTLED = 4, 0.1
+#: Rounds end once no more than this share of all neighbours is new.
+SETTLED = 0.001
 #: Nodes of one task's share of the graph; a vector is sent once to each share it is wanted in.
 SHARE = 1 << 14
-#: A query's finds, those it follows in a hop, and hops.
-BEAM, FOLLOW, HOPS = 192, 48, 4
+#: A query's finds, and those it follows in a hop; hops end once all are followed.
+BEAM, FOLLOW = 192, 48
+#: Further cuts of a large block in one go.
+CUTS = 8
+#: Rows compared at once with all that meet at a node, and finds of a task held before the best are kept.
+MEETING, HELD = 1024, 1 << 22
 
 GRAPH = "node long, share int, code binary, near binary, score binary, fresh binary, news int"
 LINKS = "share int, node long, code binary, least double, at binary, fresh binary"
@@ -164,7 +168,7 @@ def _named(batches, shares: int, width: int):
         })
 
 
-def _sent(graph: pd.DataFrame, named: pd.DataFrame, shares: int, width: int, most: int) -> pd.DataFrame:
+def _sent(graph: pd.DataFrame, named: pd.DataFrame, shares: int, width: int) -> pd.DataFrame:
     """Each node's vector, once to every share that holds a node it names or is named by."""
     graph = graph.sort_values("node", ignore_index=True)
     if not len(graph):
@@ -174,14 +178,9 @@ def _sent(graph: pd.DataFrame, named: pd.DataFrame, shares: int, width: int, mos
     least = _matrix(graph.score, np.float64, width)[:, -1]
     row, at = np.nonzero(ids >= 0)
     by, row_by = named.by.to_numpy(np.int64), np.searchsorted(node, named.node.to_numpy())
-    # Of many that name a node, a part by hash answers this round.
-    mix = (by.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-    order = np.lexsort((mix, row_by))
-    starts, ends = _runs(row_by[order])
-    order = order[np.arange(len(order)) - np.repeat(starts, ends - starts) < most]
-    r = np.concatenate((row, row_by[order]))
-    v = np.concatenate((ids[row, at], by[order]))
-    f = np.concatenate((fresh[row, at], named.fresh.to_numpy(np.uint8)[order]))
+    r = np.concatenate((row, row_by))
+    v = np.concatenate((ids[row, at], by))
+    f = np.concatenate((fresh[row, at], named.fresh.to_numpy(np.uint8)))
     order = np.lexsort((1 - f.astype(np.int8), v, v % shares, r))
     r, v, f = r[order], v[order], f[order]
     once = np.append(True, (r[1:] != r[:-1]) | (v[1:] != v[:-1]))[: len(r)]
@@ -210,18 +209,28 @@ def _joined(links: pd.DataFrame, width: int) -> pd.DataFrame:
     """All that meet at a node are compared, unless they met before."""
     x, node, least = _codes(links), links.node.to_numpy(), links.least.to_numpy(np.float64)
     v, row, fresh = _meetings(links)
-    out = []
+    out, held, most = [], 0, HELD
+
+    def kept():
+        return _strongest(*(np.concatenate(p) for p in zip(*out, strict=True)), width)
+
     for lo, hi in zip(*_runs(v), strict=True):
         r, f = row[lo:hi], fresh[lo:hi].astype(bool)
         if not f.any():
             continue
-        s = _products(x[r], x[r])
-        i, j = np.nonzero((s > least[r][:, None]) & (f[:, None] | f) & (node[r][:, None] != node[r]))
-        out.append((r[i], r[j], s[i, j]))
+        for a in range(0, len(r), MEETING):
+            p, g = r[a : a + MEETING], f[a : a + MEETING]
+            s = _products(x[p], x[r])
+            i, j = np.nonzero((s > least[p][:, None]) & (g[:, None] | f) & (node[p][:, None] != node[r]))
+            out.append((node[p[i]], node[r[j]], s[i, j]))
+            held += len(i)
+            if held > most:
+                strongest = kept()
+                out = [tuple(strongest[c].to_numpy() for c in ("node", "other", "score"))]
+                held, most = len(strongest), max(HELD, 2 * len(strongest))
     if not out:
         return pd.DataFrame({"node": [], "share": [], "other": [], "score": []})
-    i, j, s = (np.concatenate(p) for p in zip(*out, strict=True))
-    return _strongest(node[i], node[j], s, width).assign(share=0)[["node", "share", "other", "score"]]
+    return kept().assign(share=0)[["node", "share", "other", "score"]]
 
 
 def _own_share(found: DataFrame, shares: int) -> DataFrame:
@@ -234,18 +243,63 @@ def _merged(graph: DataFrame, found: DataFrame, width: int) -> DataFrame:
     )
 
 
-def _links(graph: DataFrame, shares: int, width: int, named: int) -> DataFrame:
+def _links(graph: DataFrame, shares: int, width: int) -> DataFrame:
     back = graph.select("node", "near", "fresh").mapInPandas(
         one(_named, shares=shares, width=width), "share int, node long, by long, fresh int"
     )
     return graph.groupBy("share").cogroup(back.groupBy("share")).applyInPandas(
-        two(_sent, shares=shares, width=width, most=named), LINKS
+        two(_sent, shares=shares, width=width), LINKS
     )
 
 
+def _projected(batches, planes):
+    for batch in batches:
+        yield batch.assign(at=list(_codes(batch).astype(np.float64) @ planes)).drop(columns="code")
+
+
+def narrowed(blocks: DataFrame, rows: int, length: int, seed: int) -> DataFrame:
+    """``node, code, block, part``: blocks beyond twice ``rows`` are cut at medians of their own rows.
+
+    Only rows that no cut parts, whose products are equal, are dealt out by hash.
+    """
+    rng, whole, before = np.random.default_rng(seed), [], None
+    while True:
+        sizes = stage(blocks.groupBy("block").agg(F.count("*").alias("n")), "sizes")
+        # Far fewer than rows.
+        large = F.broadcast(sizes.filter(F.col("n") > 2 * rows))
+        n, top = sizes.filter(F.col("n") > 2 * rows).agg(F.count("*"), F.max("n")).first()
+        whole.append(blocks.join(large, "block", "left_anti").withColumn("part", F.lit(0).cast("long")))
+        if not n:
+            break
+        over = blocks.join(large, "block")
+        if before == sizes.count():
+            dealt = F.pmod(F.xxhash64("node", "block"), F.ceil(F.col("n") / F.lit(2 * rows)))
+            whole.append(over.withColumn("part", dealt).drop("n"))
+            break
+        depth = min(CUTS, math.ceil(math.log2(top / rows)))
+        planes = rng.normal(size=(length, depth))
+        sides = stage(
+            over.mapInPandas(one(_projected, planes=planes), "block long, node long, n long, at array<double>"),
+            "sides",
+        )
+        medians = [F.percentile_approx(F.col("at")[i], 0.5, 1000) for i in range(depth)]
+        cuts = F.broadcast(sides.groupBy("block").agg(F.array(*medians).alias("cut")))
+        deep = F.ceil(F.log2(F.col("n") / F.lit(rows)))
+        beyond = [(F.lit(i) < deep) & (F.col("at")[i] > F.col("cut")[i]) for i in range(depth)]
+        new = sides.join(cuts, "block").select(
+            "node", F.col("block").alias("old"), F.xxhash64("block", *beyond).alias("block")
+        )
+        code = blocks.select("node", "code", F.col("block").alias("old"))
+        blocks, before = stage(code.join(new, ["node", "old"]).select("node", "code", "block"), "blocks"), n
+    out = whole[0].select("node", "code", "block", "part")
+    for part in whole[1:]:
+        out = out.union(part.select("node", "code", "block", "part"))
+    return out
+
+
 def build_graph(
     nodes: DataFrame, count: int, width: int = WIDTH, rows: int = ROWS, trees: int = TREES,
-    rounds: int = ROUNDS, named: int = NAMED, share: int = SHARE, seed: int = 3,
+    share: int = SHARE, seed: int = 3,
 ) -> tuple[DataFrame, int]:
     """The graph over ``node, vector`` (different vectors of one length), and its number of shares."""
     shares = max(1, math.ceil(count / share))
@@ -266,12 +320,10 @@ def build_graph(
         "node long, share int, code binary, block array<long>",
     )
     blocks = placed.select("node", "code", F.posexplode("block").alias("tree", "block"))
-    sizes = blocks.groupBy("tree", "block").agg(F.count("*").alias("n"))
-    # A block that the cuts leave too large is dealt out at random.
-    dealt = F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("n") / F.lit(2 * rows)))
+    blocks = blocks.select("node", "code", F.xxhash64("tree", "block").alias("block"))
     found = (
-        blocks.join(sizes, ["tree", "block"]).withColumn("part", dealt)
-        .groupBy("tree", "block", "part").applyInPandas(one(_block_lists, width=width), FOUND)
+        narrowed(blocks, rows, sample.shape[1], seed + 1)
+        .groupBy("block", "part").applyInPandas(one(_block_lists, width=width), FOUND)
     )
     none = lambda value, kind: F.lit(np.full(width, value, kind).tobytes())
     graph = coded.select(
@@ -279,12 +331,13 @@ def build_graph(
         none(0, np.uint8).alias("fresh"), F.lit(0).alias("news"),
     )
     graph = stage(_merged(graph, _own_share(found, shares), width), "graph")
-    for _ in range(rounds):
-        links = _links(graph, shares, width, named)
+    news = math.inf
+    while news > SETTLED * count * width:
+        links = _links(graph, shares, width)
         found = links.groupBy("share").applyInPandas(one(_joined, width=width), FOUND)
-        graph = stage(_merged(graph, _own_share(found, shares), width), "graph")
-        if (graph.agg(F.sum("news")).first()[0] or 0) < SETTLED * count * width:
-            break
+        last, graph = graph, stage(_merged(graph, _own_share(found, shares), width), "graph")
+        unstage(last)
+        news = graph.agg(F.sum("news")).first()[0] or 0
     return graph, shares
 
 
@@ -351,7 +404,8 @@ def _advanced(state: pd.DataFrame, found: pd.DataFrame, beam: int, follow: int)
     )
     marks = np.where((ids >= 0) & (marks == 0), 2, marks).astype(np.uint8)
     return state.assign(
-        near=[r.tobytes() for r in ids], score=[r.tobytes() for r in scores], fresh=[r.tobytes() for r in marks]
+        near=[r.tobytes() for r in ids], score=[r.tobytes() for r in scores],
+        fresh=[r.tobytes() for r in marks], news=(marks == 1).sum(axis=1),
     )
 
 
@@ -364,28 +418,29 @@ def _begun(batches, width: int, beam: int):
         ids, scores, marks = best(row, ids[row, at], scores[row, at], np.ones(len(row), np.uint8), n, beam)
         yield batch.assign(
             near=[r.tobytes() for r in ids], score=[r.tobytes() for r in scores],
-            fresh=[r.tobytes() for r in marks],
+            fresh=[r.tobytes() for r in marks], news=(marks == 1).sum(axis=1),
         )
 
 
 def search(
-    graph: DataFrame, shares: int, queries: DataFrame, width: int = WIDTH, named: int = NAMED,
-    beam: int = BEAM, follow: int = FOLLOW, hops: int = HOPS,
+    graph: DataFrame, shares: int, queries: DataFrame, width: int = WIDTH,
+    beam: int = BEAM, follow: int = FOLLOW,
 ) -> DataFrame:
     """``node, other``: the finds of each node in ``queries`` (``node``)."""
-    links = stage(_links(graph, shares, width, named), "links")
+    links = stage(_links(graph, shares, width), "links")
     begun = graph.join(queries.hint("merge"), "node", "left_semi")
     state = stage(begun.mapInPandas(one(_begun, width=width, beam=beam), GRAPH), "search")
-    for _ in range(hops):
+    while state.agg(F.sum("news")).first()[0]:
         asked = state.mapInPandas(one(_asked, shares=shares, beam=beam, follow=follow), LINKS)
         found = asked.groupBy("share").cogroup(links.groupBy("share")).applyInPandas(
             two(_answered, beam=beam), FOUND
         )
-        state = stage(
+        last, state = state, stage(
             state.groupBy("share").cogroup(_own_share(found, shares).groupBy("share"))
             .applyInPandas(two(_advanced, beam=beam, follow=follow), GRAPH),
             "search",
         )
+        unstage(last)
 
     def finds(batches):
         for batch in batches:

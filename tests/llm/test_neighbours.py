@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from slicelens.llm.neighbours import nearest
+from slicelens.llm.neighbours import GRAPH, build_graph, nearest, search
 from slicelens.llm.queries import QUERIES
 
 SCHEMA = "vec_id long, embedding array<float>, node string, score string"
@@ -70,3 +70,48 @@ def test_recall_inside_one_group_of_near_copies(make):
         s[r.query_id] = -np.inf
         hit += len(set(np.argsort(-s)[:20].tolist()) & set(r.v))
     assert hit >= 0.95 * 20 * 60, hit / 20 / 60
+
+
+def linked(make, lists, vectors, width):
+    """A graph of one share from lists of neighbours."""
+    x = {n: np.float32(v) for n, v in vectors.items()}
+    rows = []
+    for n in x:
+        near = lists.get(n, [])[:width]
+        ids, scores = np.full(width, -1, np.int64), np.full(width, -np.inf)
+        ids[: len(near)], scores[: len(near)] = near, [float(x[n] @ x[o]) for o in near]
+        rows.append((n, 0, x[n].tobytes(), ids.tobytes(), scores.tobytes(), bytes(width), 0))
+    return make(rows, GRAPH)
+
+
+def test_search_follows_until_nothing_is_open(make):
+    graph = linked(make, {i: [i + 1] for i in range(29)}, {i: [1.0 + i, 1.0] for i in range(30)}, 1)
+    out = search(graph, 1, make([(0,)], "node long"), width=1, beam=4, follow=1).collect()
+    assert 29 in {r.other for r in out}
+
+
+def test_all_nodes_that_name_a_node_are_answered(make):
+    spokes = range(100, 300)
+    lists = {s: [0] for s in spokes} | {1000 + s: [s] for s in spokes}
+    graph = linked(make, lists, {0: [9.0, 0.0]} | {n: [1.0, n / 1e4] for n in lists}, 1)
+    asked = make([(1000 + s,) for s in spokes], "node long")
+    out = search(graph, 1, asked, width=1).filter("other = 0").collect()
+    assert {r.node for r in out} == {1000 + s for s in spokes}
+
+
+def test_recall_over_many_blocks_and_shares(make):
+    rng = np.random.default_rng(6)
+    x = np.concatenate((rng.normal(size=64) + 0.04 * rng.normal(size=(1500, 64)), rng.normal(size=(1500, 64))))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    nodes = make([(i, v.tolist()) for i, v in enumerate(x)], "node long, vector array<float>")
+    graph, shares = build_graph(nodes, len(x), rows=64, share=512)
+    out = search(graph, shares, make([(i,) for i in range(0, 3000, 25)], "node long"))
+    assert shares == 6
+    got, hit = {}, 0
+    for r in out.collect():
+        got.setdefault(r.node, set()).add(r.other)
+    for q in range(0, 3000, 25):
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s)[:20].tolist()) & got[q])
+    assert hit >= 0.95 * 20 * 120, hit / 20 / 120
