@@ -6,8 +6,9 @@ shingles; here those of one document come first and frequent ones last, so a
 passage that many hold rarely gets there. Each such shingle has a list of the
 documents that hold it there, and the join skips along and between lists:
 
-* Index level. A list is sorted by block of positions, then by set size. For an
-  entry and a block, the sizes that can still reach the needed overlap are one
+* Index level. A list is split by component, and entries of one component are
+  not paired. It is sorted by block of positions, then by set size. For an entry
+  and a block, the sizes that can still reach the needed overlap are one
   interval, so the rest of the block is skipped without being looked at.
 * Answer level. Equal sets are one class. Sets found highly similar to a root
   take the root's answers: with the symmetric differences to the roots known,
@@ -209,20 +210,50 @@ def _entries(batches, length, seen, rule, filters, bits):
 # Lists
 
 
-def _windows(list_no, n, pos, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) of entries of one list that may link, each unordered pair once.
+def _windows(list_no, n, pos, component, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of entries of one list and two components that may link, each unordered pair once.
 
-    Entries are sorted by list, block of positions, size. Every entry looks at
-    its own block and the later ones; of each it takes one interval of sizes.
+    A list's components are numbered. Two numbers differ first in one bit, and
+    at that bit's turn the entries on its two sides meet, so entries of one
+    component are never paired.
     """
+    order = np.lexsort((component, list_no))
+    a, c = list_no[order], component[order]
+    new_list = np.append(True, a[1:] != a[:-1])[: len(a)]
+    number = np.cumsum(new_list | np.append(True, c[1:] != c[:-1])[: len(a)])
+    rank = np.empty(len(a), np.int64)
+    rank[order] = number - np.maximum.accumulate(np.where(new_list, number, 0))
+    for bit in range(int(rank.max(initial=0)).bit_length()):
+        part, side = rank >> (bit + 1), (rank >> bit) & 1
+        order = np.lexsort((n, pos // BLOCK, side, part, list_no))
+        a, c, d = list_no[order], part[order], side[order]
+        group = np.cumsum(np.append(False, (a[1:] != a[:-1]) | (c[1:] != c[:-1])))
+        # Only where both sides have entries.
+        both = (np.bincount(group, d) > 0)[group]
+        order = order[both]
+        for i, j in _across(group[both], d[both], n[order], pos[order], rule):
+            yield order[i], order[j]
+
+
+def _across(group, side, n, pos, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of entries of one group's two sides that may link, each unordered pair once.
+
+    Entries are sorted by group, side, block of positions, size. Every entry looks
+    at its own block and the later ones of the other side; of each it takes one
+    interval of sizes.
+    """
+    if not len(n):
+        return
     num, den = rule.num, rule.den
     block = pos // BLOCK
     span = int(n.max()) * 2 + 2
     high = int(block.max()) + 2
-    key = (list_no * high + block) * span + n
-    last = np.zeros(int(list_no[-1]) + 1, np.int64)
-    np.maximum.at(last, list_no, block)
-    live = np.arange(len(n))
+    half, facing = group * 2 + side, group * 2 + 1 - side
+    key = (half * high + block) * span + n
+    last = np.zeros(int(group[-1]) * 2 + 2, np.int64)
+    np.maximum.at(last, half, block)
+    # Two entries of one block meet from the first side.
+    live = np.flatnonzero(side == 0)
     step = 0
     while len(live):
         at = block[live] + step
@@ -233,11 +264,9 @@ def _windows(list_no, n, pos, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarr
             need = (start - pos[live]) * (den + num) + num * n[live]
             least = np.maximum(least, -(-need // den))
         most = np.minimum(den * n[live] // num, span - 1)
-        base = (list_no[live] * high + at) * span
+        base = (facing[live] * high + at) * span
         lo = np.searchsorted(key, base + np.minimum(least, span - 1), side="left")
         hi = np.searchsorted(key, base + most, side="right")
-        if not step:
-            lo = np.maximum(lo, live + 1)
         count = np.maximum(hi - lo, 0)
         count[least > most] = 0
         upto = np.cumsum(count)
@@ -253,7 +282,8 @@ def _windows(list_no, n, pos, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarr
                 yield i[keep], j[keep]
             a = b
         step += 1
-        live = live[block[live] + step <= last[list_no[live]]]
+        live = np.arange(len(n)) if step == 1 else live
+        live = live[block[live] + step <= last[facing[live]]]
 
 
 def _sorted_lists(frame: pd.DataFrame, by: list[str]) -> tuple[pd.DataFrame, np.ndarray]:
@@ -272,13 +302,12 @@ def _alike(frame: pd.DataFrame, rule: Rule) -> pd.DataFrame:
 
 def _met(frame: pd.DataFrame, rule: Rule, emit: Callable) -> pd.DataFrame:
     """``emit`` of all pairs of different components that the lists cannot rule out."""
-    frame["block"] = frame.pos // BLOCK
-    frame, list_no = _sorted_lists(frame, ["list", "block", "n", "id"])
+    frame, list_no = _sorted_lists(frame, ["list", "n", "id"])
     c = {k: frame[k].to_numpy() for k in ("id", "n", "pos", "component", "root", "apart", "half")}
     out = []
-    for i, j in _windows(list_no, c["n"], c["pos"], rule):
+    for i, j in _windows(list_no, c["n"], c["pos"], c["component"], rule):
         # Both from one half of a tile: another tile has this pair.
-        keep = (c["component"][i] != c["component"][j]) & ((c["half"][i] == 0) | (c["half"][i] != c["half"][j]))
+        keep = (c["half"][i] == 0) | (c["half"][i] != c["half"][j])
         if keep.any():
             out.append(emit(c, i[keep], j[keep], rule))
     return pd.concat(out) if out else emit(c, np.zeros(0, int), np.zeros(0, int), rule)
@@ -334,6 +363,11 @@ def _by_task(lists: DataFrame, entries: int) -> DataFrame:
     return lists.withColumn("task", F.pmod(F.col("list"), F.lit(groups))).groupBy("task")
 
 
+def _tiled_rows(entries: DataFrame, tile: int) -> int:
+    """Rows of ``_tiled``: an entry has one in every tile of its chunk."""
+    return entries.agg(F.sum(F.ceil(F.col("m") / F.lit(tile)))).first()[0] or 0
+
+
 def _tiled(entries: DataFrame, tile: int) -> DataFrame:
     """Lists beyond ``tile`` entries are cut into chunks by id; every two chunks meet in one tile."""
     chunks = F.ceil(F.col("m") / F.lit(tile)).cast("int")
@@ -411,7 +445,7 @@ def links(
     # Roots: one computed pair answers for all pairs of their members that it settles.
     joined = stage(rooted.withColumn("component", F.col("root")), "rooted")
     pairs = stage(
-        _by_task(_tiled(joined, tile), size)
+        _by_task(_tiled(joined, tile), _tiled_rows(joined, tile))
         .applyInPandas(one(_met, rule=rule, emit=_root_pairs), "a long, b long, slack long")
         .groupBy("a", "b").agg(F.max("slack").alias("slack")),
         "root-pairs",
@@ -428,7 +462,7 @@ def links(
     again = joined.drop("component").join(ends, "root", "left_semi").join(components(edges), "id", "left")
     again = stage(again.withColumn("component", F.coalesce("component", "id")), "open-entries")
     pairs = (
-        _by_task(_tiled(again, tile), size)
+        _by_task(_tiled(again, tile), _tiled_rows(again, tile))
         .applyInPandas(one(_met, rule=rule, emit=_member_pairs),
                        "a long, b long, r long, s long, slack long")
         .join(still.select(F.col("a").alias("r"), F.col("b").alias("s"), "apart"), ["r", "s"])

@@ -1,10 +1,13 @@
 import random
 import re
 
+import numpy as np
+import pandas as pd
 import pytest
 from test_components import plain
 
-from slicelens.llm.ngram_join import jaccard_components
+from slicelens.llm import ngram_join
+from slicelens.llm.ngram_join import Rule, jaccard_components
 from slicelens.llm.words import pieces, shingle_sets
 
 SCHEMA = "doc_id long, text string, id string, n string, component string"
@@ -91,3 +94,54 @@ def test_pieces_cut_no_word_and_lose_nothing():
             back[o] = back.get(o, "") + p
     assert [back[i] for i in range(len(rows))] == [t or "" for t in rows]
     assert [len(s) for s in shingle_sets(rows, 3)] == [len(shingles(t, 3)) for t in rows]
+
+
+def entries(seed, rows, components):
+    rng = np.random.default_rng(seed)
+    n = rng.integers(100, 1200, rows)
+    component = rng.integers(0, components, rows)
+    return pd.DataFrame({
+        "id": np.arange(rows), "n": n, "pos": (n * rng.uniform(0, 0.15, rows)).astype(int), "list": rng.integers(0, 3, rows),
+        "component": component, "root": component, "apart": 0, "half": 0,
+    })
+
+
+@pytest.mark.parametrize("components", [1, 2, 7, 400])
+def test_only_entries_of_different_components_are_paired(monkeypatch, components):
+    rule, frame, paired = Rule(85, 100), entries(components, 400, components), []
+    windows = ngram_join._windows
+
+    def counted(*args):
+        for i, j in windows(*args):
+            paired.append(len(i))
+            yield i, j
+
+    monkeypatch.setattr(ngram_join, "_windows", counted)
+    emit = lambda c, i, j, rule: pd.DataFrame({"a": c["id"][i], "b": c["id"][j]})
+    out = ngram_join._met(frame.copy(), rule, emit)
+    got = sorted(tuple(sorted(p)) for p in out.itertuples(index=False, name=None))
+    f = {k: frame[k].to_numpy() for k in frame}
+    i, j = np.triu_indices(len(frame), 1)
+    reach = np.minimum(f["pos"][i], f["pos"][j]) + np.minimum(f["n"][i] - f["pos"][i], f["n"][j] - f["pos"][j])
+    keep = (f["list"][i] == f["list"][j]) & (f["component"][i] != f["component"][j])
+    keep &= reach >= rule.overlap(f["n"][i], f["n"][j])
+    assert got == list(zip(i[keep].tolist(), j[keep].tolist(), strict=True))
+    assert sum(paired) == len(got)
+
+
+def test_tasks_follow_the_rows_of_tiles(make, monkeypatch):
+    most = {}
+    monkeypatch.setattr(ngram_join, "ENTRIES", 1000)
+    by_task = ngram_join._by_task
+
+    def seen(lists, size):
+        out = by_task(lists, size)
+        if "half" in lists.columns:
+            most[len(most)] = max((r["count"] for r in out.count().collect()), default=0)
+        return out
+
+    monkeypatch.setattr(ngram_join, "_by_task", seen)
+    base = [f"b{i}" for i in range(60)]
+    rows = [(i, " ".join([*base, f"x{i}"])) for i in range(200)]
+    compare(make, rows, tile=8)
+    assert most and max(most.values()) < 3000
