@@ -15,21 +15,33 @@ from slicelens.plans.registry import query
 from slicelens.plans.sample_queries import ID, keyed
 from slicelens.settings import CLASSES, FEATURES, LABEL
 
+#: Windows of a class that a fit and its scaling see, at most; every other window is scored.
 PER_CLASS = 400
 
 
-def prepared(spark, folder):
-    """Balanced, scaled and clipped windows with ``sample_id`` and ``is_test``."""
-    balanced = sampling.balance(keyed(spark, folder), LABEL, "shuffle_key", cap=PER_CLASS)
-    rows = balanced.withColumn("sample_id", F.concat_ws(":", *ID))
-    rows = models.compact(rows, PER_CLASS * len(CLASSES))
-    scaled = scaling.angle_clip(scaling.standardize(rows, FEATURES), FEATURES)
-    return pin(sampling.stratified_split(scaled, LABEL, "shuffle_key"))
+def prepared(spark, folder, per_class=None):
+    """All windows, scaled and clipped, with ``sample_id`` and ``is_test``: true but for those to fit on.
+
+    The train part of a balanced sample of at most ``per_class`` windows a class is there to fit on.
+    """
+    per_class = PER_CLASS if per_class is None else per_class
+    rows = keyed(spark, folder).withColumn("sample_id", F.concat_ws(":", *ID))
+    balanced = sampling.balance(rows, LABEL, "shuffle_key", cap=per_class)
+    balanced = models.compact(balanced, per_class * len(CLASSES))
+    fitted = sampling.stratified_split(balanced, LABEL, "shuffle_key").filter("NOT is_test").select("shuffle_key")
+    # No more rows than the sample.
+    marked = rows.join(F.broadcast(fitted.withColumn("_fit", F.lit(True))), "shuffle_key", "left")
+    marked = marked.withColumn("is_test", F.col("_fit").isNull()).drop("_fit")
+    return pin(scaling.angle_clip(scaling.standardize(marked, FEATURES, fit_on=balanced), FEATURES))
+
+
+def to_fit(data):
+    return models.compact(data.filter("NOT is_test"), PER_CLASS * len(CLASSES))
 
 
 def scored_by(spark, folder, **fits):
     data = prepared(spark, folder)
-    train, test = data.filter("NOT is_test"), data.filter("is_test")
+    train, test = to_fit(data), data.filter("is_test")
     fitted = {name: fit(train) for name, fit in fits.items()}
     return models.score_table(fitted, test, "sample_id")
 
@@ -102,7 +114,7 @@ def fitted_comparison(spark, folder):
 @query("feature_importance")
 def feature_importance(spark, folder):
     data = prepared(spark, folder)
-    return models.feature_importance(models.fit_random_forest(data.filter("NOT is_test")), data)
+    return models.feature_importance(models.fit_random_forest(to_fit(data)), data)
 
 
 @query("rank_importance")

@@ -2,6 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from slicelens.operators import curves, metrics, models, scaling
+from slicelens.plans import model_queries
+from slicelens.plans.sample_queries import keyed
 from slicelens.settings import FEATURES, LABEL
 from slicelens.sources.synthetic import synthetic_rows
 
@@ -57,3 +59,12 @@ def test_binary(data):
     found = models.predict_sign(model, two)
     assert {r[0] for r in found.select("y_pred").distinct().collect()} <= {-1.0, 1.0}
     assert found.filter("y = y_pred").count() / found.count() > 0.9
+
+
+def test_every_window_not_fitted_on_is_scored(spark, folder, monkeypatch):
+    monkeypatch.setattr(model_queries, "PER_CLASS", 32)
+    ids = {f"{r.capture_id}:{r.k}" for r in keyed(spark, folder).collect()}
+    fitted = {r.sample_id for r in model_queries.prepared(spark, folder).filter("NOT is_test").collect()}
+    scored = [r.sample_id for r in model_queries.fit_weighted_logistic(spark, folder).collect()]
+    assert len(fitted) == 3 * 24 and len(scored) == len(set(scored))
+    assert set(scored) == ids - fitted
