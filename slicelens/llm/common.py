@@ -23,11 +23,13 @@ _scopes = threading.local()
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write once as Parquet in the shared folder and read back; the open ``scratch`` removes it."""
+    """Write once as Parquet in the shared folder and read back.
+
+    The open ``scratch`` removes it; without one it goes when the application ends.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    for paths in getattr(_scopes, "open", [])[-1:]:
-        paths.append(path)
+    _owned(df.sparkSession, path, getattr(_scopes, "open", [])[-1:])
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -44,6 +46,15 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             _removed(spark, name)
 
 
+def _owned(spark: SparkSession, name: str, scopes: list[list[str]]) -> None:
+    """The innermost of ``scopes`` is to remove the path, or else the end of the application."""
+    if scopes:
+        scopes[-1].append(name)
+    else:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def _removed(spark: SparkSession, name: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -70,8 +81,7 @@ def contained(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         with scratch(df.sparkSession):
             out = stage(make(df, *args, **kwargs), make.__name__)
             kept = _scopes.open[-1].pop()
-        for paths in outer:
-            paths.append(kept)
+        _owned(df.sparkSession, kept, outer)
         return out
 
     return run

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from slicelens.llm import (  # noqa: F401
     chat,
+    fill_middle,
     line_dedup,
     mixing,
     near_vectors,
@@ -11,8 +12,10 @@ from slicelens.llm import (  # noqa: F401
     ngram_join,
     quality,
     sentencepiece,
+    shards,
     toxicity,
     url_filter,
+    vector_codes,
 )
 from slicelens.llm.registry import ORACLES, QUERIES
 

@@ -16,5 +16,5 @@ def test_entry_lists_all_queries():
 
     names = __spark_entry__.queries()
     assert set(QUERIES) | {"pipeline"} <= set(names)
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
