@@ -6,19 +6,22 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from slicelens.operators.joins import attach, scratch_path
+from slicelens.operators.joins import scratch_path
 from slicelens.plans import inputs as I
 from slicelens.plans import sql as S
 from slicelens.plans.registry import query, rounded
 from slicelens.streaming.run import drain
-from slicelens.streaming.windows import anchor_phase, stream_rolling, stream_windows
+from slicelens.streaming.windows import end_mark, stream_rolling, stream_windows
 
 SPEC = replace(I.EVENTS, width_us=I.DAY_US // 4)
 PARTS = 3
+DELAY = "1 hour"
+#: Behind the last packet by more than a window, the delay and the idle limit.
+AFTER_US = 50 * I.DAY_US
 
 
-def replay(spark, folder, packets):
-    """Packets written as consecutive time ranges and read back one range per batch."""
+def replay(spark, folder, packets, after_us):
+    """Packets written as consecutive time ranges, then the end mark; read back one range per batch."""
     path = scratch_path(spark, "replay")
     first, last = packets.agg(F.min("us"), F.max("us")).first()
     # Every packet falls in a part: they follow the data and the outer ones are open.
@@ -30,6 +33,7 @@ def replay(spark, folder, packets):
     files = (
         spark.read.parquet(path).select(F.col("_metadata.file_path").alias("f")).distinct().count()
     )
+    end_mark(packets, after_us).coalesce(1).write.parquet(f"{path}/part={PARTS}")
     per_batch = -(-files // PARTS)
     return (
         spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
@@ -48,33 +52,32 @@ a AS (SELECT capture_id, w * {width} AS start_us, sum(len) * 8.0 / 1000 AS tput,
 SELECT capture_id, start_us, round(tput, 6) AS throughput_kbps, round(size, 6) AS avg_pkt_size_bytes,
        round(iat, 1) AS inter_arrival_mean_us, round(jitter, 0) AS inter_arrival_std_us, n AS flow_pkt_count,
        round(least(greatest(CASE WHEN up > 0 THEN down / up ELSE down + 1 END, 0.01), 1000), 6) AS dl_ul_ratio
-FROM a WHERE start_us + {width} <= (SELECT max(us) FROM pk) - 3600000000"""
+FROM a"""
 
 
 @query("stream_window_features", _aligned(SPEC.width_us))
 def stream_window_features(spark, folder):
     packets = I.packets(spark, folder).withColumn("ts", F.timestamp_micros("us"))
-    windows = stream_windows(replay(spark, folder, packets), SPEC, "1 hour").drop("window_time")
+    stream = replay(spark, folder, packets, AFTER_US)
+    windows = stream_windows(stream, SPEC, DELAY, slices=4, lanes=2).drop("window_time")
     digits = {c: d for c, d in S.DIGITS.items() if not c.startswith("bitrate")}
     return rounded(drain(windows, "windows"), **digits)
 
 
 @query("stream_rolling_bitrate", f"""
-WITH {S.PACKETS}, t AS (SELECT capture_id, arg_min(us, pkt_no) AS t0 FROM pk GROUP BY 1),
-p AS (SELECT pk.*, t0, (us - t0) // {SPEC.width_us} AS k, us - t0 % {SPEC.width_us} AS moved
+WITH {S.PACKETS}, t AS (
+  SELECT capture_id, arg_min(us, pkt_no) AS t0, max(us) FILTER (WHERE len > 0) AS t_last FROM pk GROUP BY 1),
+p AS (SELECT pk.*, t0, t_last, (us - t0) // {SPEC.width_us} AS k
       FROM pk JOIN t USING (capture_id) WHERE us >= t0 AND len > 0),
 a AS (SELECT capture_id, any_value(t0) + k * {SPEC.width_us} AS start_us, sum(len) * 8.0 / 1000 AS tput
-      FROM p GROUP BY capture_id, k HAVING count(*) >= 2
-         AND any_value(t0) + (k + 1) * {SPEC.width_us} - any_value(t0) % {SPEC.width_us} <= (SELECT max(moved) FROM p) - 3600000000)
+      FROM p WHERE t0 + (k + 1) * {SPEC.width_us} <= t_last GROUP BY capture_id, k HAVING count(*) >= 2)
 SELECT capture_id, start_us, round(tput, 6) AS throughput_kbps, round(avg(tput) OVER f, 6) AS bitrate_mean_kbps,
        round(coalesce(stddev_samp(tput) OVER f, 0), 5) AS bitrate_std_kbps
 FROM a WINDOW f AS (PARTITION BY capture_id ORDER BY start_us ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""")
 def stream_rolling_bitrate(spark, folder):
     packets = I.packets(spark, folder).withColumn("ts", F.timestamp_micros("us"))
-    anchors = packets.groupBy("capture_id").agg(F.min_by("us", "pkt_no").alias("t0"))
-    stream = attach(replay(spark, folder, packets), anchors, ["capture_id"]).filter("us >= t0")
-    anchored = stream.withColumn("phase_us", anchor_phase(F.col("t0"), SPEC.width_us))
-    rolled = stream_rolling(stream_windows(anchored, SPEC, "1 hour"), SPEC)
+    # The idle limit spans the table, so that every capture keeps its start.
+    rolled = stream_rolling(replay(spark, folder, packets, AFTER_US), SPEC, DELAY, idle_us=40 * I.DAY_US)
     return rounded(
         drain(rolled, "rolling"), throughput_kbps=6, bitrate_mean_kbps=6, bitrate_std_kbps=5
     )

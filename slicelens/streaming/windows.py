@@ -1,11 +1,20 @@
-"""Window features and rolling bitrate on a packet stream."""
+"""Window features and rolling bitrate on a packet stream.
+
+State is held as moments. Packets wait only until the watermark has passed
+them; then they are folded, in time order, into the count, bytes, first and
+last time and spread of gaps of their slice. Event-time timers close what the
+watermark has passed, so a finite stream gives all its windows once
+:func:`end_mark` has been read. Packets behind the watermark are dropped.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import astuple, dataclass, fields
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -13,149 +22,304 @@ from slicelens.functions.maths import clip
 from slicelens.settings import WindowSpec
 
 SLICES = 8
-ROLL_SCHEMA = (
-    "capture_id bigint, start_us bigint, throughput_kbps double, "
-    "bitrate_mean_kbps double, bitrate_std_kbps double"
-)
-
-
-def anchor_phase(t0_us: Column, width_us: int) -> Column:
-    """Shift that turns clock-aligned windows into windows starting at ``t0``."""
-    return F.pmod(t0_us, F.lit(width_us))
-
-
-def _slice_spread(times: Column) -> Column:
-    """Sum of squared distances of the gaps of sorted times from their mean."""
-    first, last, n = times[0], F.element_at(times, -1), F.size(times)
-    mean = (last - first) / F.nullif(n - 1, F.lit(0)).cast("double")
-    step = F.struct(first.alias("prev"), F.lit(0.0).alias("m2"))
-    folded = F.aggregate(
-        F.slice(times, 2, F.greatest(n - 1, F.lit(0))),
-        step,
-        lambda acc, t: F.struct(
-            t.alias("prev"),
-            (acc.m2 + F.pow((t - acc.prev).cast("double") - mean, F.lit(2))).alias("m2"),
-        ),
+LANES = 8
+IDLE_US = 86_400_000_000
+MOMENTS = "n bigint, bytes double, up double, directed bigint, first bigint, last bigint, m2 double"
+
+
+def end_mark(packets: DataFrame, after_us: int) -> DataFrame:
+    """One row without capture, ``after_us`` behind the last packet of a finite table.
+
+    Written as the last file of its stream it moves the watermark past all open
+    windows; it is no packet itself. An empty table gives no row.
+    """
+    last = packets.agg(F.max(F.unix_micros("ts")).alias("at")).filter("at IS NOT NULL")
+    ts = F.timestamp_micros(F.col("at") + after_us)
+    return last.select(
+        *[(ts if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in packets.schema]
     )
-    return F.when(n > 1, folded.m2).otherwise(0.0)
 
 
-def _merge_spread(parts: Column, gaps: Column, mean: Column) -> Column:
-    """Spread of all gaps of a window from its sorted slices (first, last, n, m2)."""
+@dataclass
+class Moments:
+    """A run of packets in time order: all that appending another run needs."""
+
+    n: int
+    bytes: float
+    up: float
+    directed: int
+    first: int
+    last: int
+    m2: float
+
+    @classmethod
+    def of(cls, us: np.ndarray, size: np.ndarray, up: np.ndarray) -> Moments:
+        """Of sorted times; ``up`` is 1, 0, or NaN where the direction is unknown."""
+        gaps = np.diff(us).astype(np.float64)
+        spread = float(((gaps - gaps.mean()) ** 2).sum()) if len(gaps) else 0.0
+        return cls(len(us), float(size.sum()), float(size[up == 1].sum()), int((~np.isnan(up)).sum()),
+                   int(us[0]), int(us[-1]), spread)
+
+    def then(self, later: Moments) -> Moments:
+        """Both runs as one; ``later`` starts no earlier than this one ends."""
+        mean = (later.last - self.first) / (self.n + later.n - 1)
+        m2 = (later.first - self.last - mean) ** 2
+        for run in (self, later):
+            if run.n > 1:
+                m2 += run.m2 + (run.n - 1) * ((run.last - run.first) / (run.n - 1) - mean) ** 2
+        return Moments(self.n + later.n, self.bytes + later.bytes, self.up + later.up,
+                       self.directed + later.directed, self.first, later.last, m2)
+
+
+_FIELDS = [f.name for f in fields(Moments)]
+_RUNS = f"runs array<struct<at: bigint, {', '.join(f.replace(' ', ': ') for f in MOMENTS.split(', '))}>>"
+
+
+def _instants(us) -> pd.Series:
+    return pd.to_datetime(pd.Series(us, dtype="int64"), unit="us", utc=True)
+
 
-    def add(acc, part):
-        own = (part.last - part.first) / F.nullif(part.n - 1, F.lit(0)).cast("double")
-        inner = part.m2 + F.coalesce((part.n - 1) * F.pow(own - mean, F.lit(2)), F.lit(0.0))
-        crossing = F.when(
-            acc.last.isNotNull(), F.pow((part.first - acc.last).cast("double") - mean, F.lit(2))
-        ).otherwise(0.0)
-        return F.struct(part.last.alias("last"), (acc.m2 + inner + crossing).alias("m2"))
+class _Timed(StatefulProcessor):
+    """Holds one event-time timer a key: when the first of what is open can close."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.timer = handle.getValueState("timer", "at bigint")
+
+    def _wake(self, us: int | None) -> None:
+        wake = None if us is None else -(-us // 1000)
+        at = self.timer.get()[0] if self.timer.exists() else None
+        if at == wake:
+            return
+        if at is not None:
+            self.handle.deleteTimer(at)
+        if wake is None:
+            self.timer.clear()
+        else:
+            self.handle.registerTimer(wake)
+            self.timer.update((wake,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.timer.clear()  # a timer that fired is gone
+        yield self._advanced(key, None, timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] is not None:  # the end mark has no capture
+            frame = pd.concat(list(rows), ignore_index=True)
+            yield self._advanced(key, frame, timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def close(self) -> None:
+        pass
+
+
+class _Runs(_Timed):
+    """Open runs of a key, by number."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.open = handle.getValueState("open", _RUNS)
 
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(0.0).alias("m2"))
-    return F.sqrt(F.aggregate(parts, start, add).m2 / gaps)
+    def _held(self) -> dict[int, Moments]:
+        return {r[0]: Moments(*r[1:]) for r in self.open.get()[0]} if self.open.exists() else {}
 
+    def _hold(self, runs: dict[int, Moments]) -> None:
+        if runs:
+            self.open.update(([(at, *astuple(runs[at])) for at in sorted(runs)],))
+        else:
+            self.open.clear()
 
-def stream_windows(packets: DataFrame, spec: WindowSpec, delay: str, slices: int = SLICES) -> DataFrame:
+
+class SliceMoments(_Runs):
+    """Slices of one lane of a capture; a slice leaves once the watermark has passed its end."""
+
+    def __init__(self, width: int):
+        self.width = width
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.waiting = handle.getValueState("waiting", "us array<bigint>, len array<double>, up array<double>")
+
+    def _advanced(self, key, frame: pd.DataFrame | None, passed: int) -> pd.DataFrame:
+        kinds = (np.int64, np.float64, np.float64)
+        parts = [] if frame is None else [[frame[c].to_numpy(k) for c, k in zip(("us", "len", "up"), kinds)]]
+        if self.waiting.exists():
+            parts.append([np.array(a, k) for a, k in zip(self.waiting.get(), kinds)])
+        us, size, up = (
+            [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, k) for k in kinds]
+        )
+        order = np.argsort(us, kind="stable")
+        us, size, up = us[order], size[order], up[order]
+        ripe = int(np.searchsorted(us, passed, side="right"))
+        if ripe < len(us):
+            self.waiting.update((us[ripe:].tolist(), size[ripe:].tolist(), up[ripe:].tolist()))
+        else:
+            self.waiting.clear()
+        number, runs = us // self.width, self._held()
+        starts = np.flatnonzero(np.append(True, number[1:ripe] != number[: ripe - 1])) if ripe else []
+        for lo, hi in zip(starts, [*starts[1:], ripe]):
+            run, at = Moments.of(us[lo:hi], size[lo:hi], up[lo:hi]), int(number[lo])
+            runs[at] = runs[at].then(run) if at in runs else run
+        done = sorted(at for at in runs if (at + 1) * self.width <= passed)
+        rows = [(*key, at, *astuple(runs.pop(at))) for at in done]
+        self._hold(runs)
+        still_open = [*runs, *number[ripe : ripe + 1].tolist()]
+        self._wake((min(still_open) + 1) * self.width if still_open else None)
+        out = pd.DataFrame(rows, columns=["capture_id", "lane", "slice", *_FIELDS]).drop(columns="lane")
+        return out.assign(closed=_instants([(at + 1) * self.width for at in done]))
+
+
+class WindowMoments(_Runs):
+    """Windows of a capture, from its closed slices; they arrive in time order, batch by batch."""
+
+    def __init__(self, width: int, slices: int):
+        self.width, self.slices = width, slices
+
+    def _advanced(self, key, frame: pd.DataFrame | None, passed: int) -> pd.DataFrame:
+        runs = self._held()
+        if frame is not None:
+            for row in frame.sort_values("slice")[["slice", *_FIELDS]].itertuples(index=False):
+                at, run = row[0] // self.slices, Moments(*row[1:])
+                runs[at] = runs[at].then(run) if at in runs else run
+        done = sorted(at for at in runs if (at + 1) * self.width <= passed)
+        rows = [(*key, at * self.width, *astuple(runs.pop(at))) for at in done]
+        self._hold(runs)
+        self._wake((min(runs) + 1) * self.width if runs else None)
+        out = pd.DataFrame(rows, columns=["capture_id", "start_us", *_FIELDS])
+        return out.assign(window_time=_instants([(at + 1) * self.width for at in done]))
+
+
+def stream_windows(
+    packets: DataFrame, spec: WindowSpec, delay: str, slices: int = SLICES, lanes: int = LANES
+) -> DataFrame:
     """Base features of clock-aligned windows of a packet stream, in append mode.
 
-    ``packets`` has ``capture_id, ts, len, uplink`` and may have ``phase_us``, the
-    shift from :func:`anchor_phase`, for windows anchored at each capture's
-    start. Windows are aggregated in two steps, so that the state of a group
-    holds the packet times of one slice, or one summary per slice.
+    ``packets`` has ``capture_id, ts, len, uplink``. A window is cut into
+    ``slices`` that are dealt to ``lanes`` keys, so that neither a hot capture
+    nor a hot window is one key; a slice leaves as one row of moments. State is
+    one row of moments an open slice, and the packets of the last ``delay``.
+    The gate on short captures needs whole captures and is not applied. Needs
+    the RocksDB state store provider.
     """
-    if "phase_us" not in packets.columns:
-        packets = packets.withColumn("phase_us", F.lit(0).cast("bigint"))
     width = spec.width_us
-    moved = F.timestamp_micros(F.unix_micros("ts") - F.col("phase_us"))
-    shifted = packets.filter("len > 0").withColumn("at", moved).withWatermark("at", delay)
-    up = F.sum(F.when(F.col("uplink"), F.col("len")).otherwise(0.0)).alias("up")
-    parts = (
-        shifted.withColumn("us", F.unix_micros("ts"))
-        .groupBy("capture_id", "phase_us", F.window("at", f"{width // slices} microseconds").alias("slice"))
-        .agg(
-            F.count("*").alias("n"),
-            F.sum("len").alias("bytes"),
-            up,
-            F.array_sort(F.collect_list("us")).alias("times"),
-        )
-        .select(
-            "capture_id", "phase_us", F.window_time("slice").alias("slice_time"), "n", "bytes", "up",
-            F.struct(
-                F.col("times")[0].alias("first"), F.element_at("times", -1).alias("last"),
-                F.col("n").alias("n"), _slice_spread(F.col("times")).alias("m2"),
-            ).alias("part"),
-        )
+    if slices < 1 or width % slices:
+        raise ValueError(f"{slices} slices do not divide a window of {width} microseconds")
+    keep = F.lit(True) if spec.keep_zero_length else (F.col("len") > 0) | F.col("capture_id").isNull()
+    name = packets.schema["capture_id"].dataType.simpleString()
+    us = F.unix_micros("ts")
+    timed = packets.withWatermark("ts", delay).filter(keep).select(
+        "capture_id", F.pmod(F.floor(us / (width // slices)), F.lit(lanes)).cast("int").alias("lane"),
+        "ts", us.alias("us"), "len", F.col("uplink").cast("int").cast("double").alias("up"),
+    )
+    parts = timed.groupBy("capture_id", "lane").transformWithStateInPandas(
+        SliceMoments(width // slices),
+        outputStructType=f"capture_id {name}, slice bigint, {MOMENTS}, closed timestamp",
+        outputMode="append", timeMode="EventTime", eventTimeColumnName="closed",
     )
-    merged = parts.groupBy(
-        "capture_id", "phase_us", F.window("slice_time", f"{width} microseconds").alias("w")
-    ).agg(
-        F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.sum("up").alias("up"),
-        F.array_sort(F.collect_list("part")).alias("parts"),
+    merged = parts.groupBy("capture_id").transformWithStateInPandas(
+        WindowMoments(width, slices),
+        outputStructType=f"capture_id {name}, start_us bigint, {MOMENTS}, window_time timestamp",
+        outputMode="append", timeMode="EventTime", eventTimeColumnName="window_time",
     )
     gaps = (F.col("n") - 1).cast("double")
-    span = F.element_at("parts", -1).last - F.col("parts")[0].first
     down = F.col("bytes") - F.col("up")
-    low, high = spec.ratio_bounds
-    quotient = F.when(F.col("up") > 0, F.try_divide(down, F.col("up"))).otherwise(
-        down + spec.down_only_bonus
-    )
-    return (
-        merged.filter(F.col("n") >= spec.min_window_packets)
-        .withColumn("mean", span / gaps)
-        .select(
-            "capture_id",
-            (F.unix_micros(F.col("w.start")) + F.col("phase_us")).alias("start_us"),
-            F.window_time("w").alias("window_time"),
-            (F.col("bytes") * 8.0 / 1000.0).alias("throughput_kbps"),
-            (F.col("bytes") / F.col("n")).alias("avg_pkt_size_bytes"),
-            F.col("mean").alias("inter_arrival_mean_us"),
-            _merge_spread(F.col("parts"), gaps, F.col("mean")).alias("inter_arrival_std_us"),
-            F.col("n").cast("double").alias("flow_pkt_count"),
-            clip(quotient, low, high).alias("dl_ul_ratio"),
-        )
+    quotient = F.when(F.col("up") > 0, F.try_divide(down, F.col("up"))).otherwise(down + spec.down_only_bonus)
+    quotient = F.when(F.col("directed") > 0, quotient).otherwise(1.0)
+    return merged.filter(F.col("n") >= spec.min_window_packets).select(
+        "capture_id", "start_us", "window_time",
+        (F.col("bytes") * 8.0 / 1000.0).alias("throughput_kbps"),
+        (F.col("bytes") / F.col("n")).alias("avg_pkt_size_bytes"),
+        ((F.col("last") - F.col("first")) / gaps).alias("inter_arrival_mean_us"),
+        F.sqrt(F.col("m2") / gaps).alias("inter_arrival_std_us"),
+        F.col("n").cast("double").alias("flow_pkt_count"),
+        clip(quotient, *spec.ratio_bounds).alias("dl_ul_ratio"),
     )
 
 
-class RollingBitrate(StatefulProcessor):
-    """Keeps the last throughputs of a capture; emits one row per window."""
+class RollingBitrate(_Timed):
+    """Anchored windows of a capture and their rolling bitrate; forgets a capture that went idle."""
 
-    def __init__(self, rolling: int):
-        self.rolling = rolling
+    def __init__(self, spec: WindowSpec, idle_us: int):
+        self.spec, self.idle_us = spec, idle_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.capture = handle.getValueState("capture", "t0 bigint, t_last bigint, t_seen bigint")
+        self.open = handle.getValueState("open", "windows array<struct<k: bigint, n: bigint, bytes: double>>")
         self.recent = handle.getValueState("recent", "values array<double>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        closed = pd.concat(list(rows), ignore_index=True).sort_values("start_us")
-        before = list(self.recent.get()[0]) if self.recent.exists() else []
-        series = pd.Series(before + closed["throughput_kbps"].tolist(), dtype="float64")
-        frame = series.rolling(self.rolling, min_periods=1)
-        skip = len(before)
-        self.recent.update((series.iloc[-(self.rolling - 1):].tolist(),))
-        yield pd.DataFrame(
-            {
-                "capture_id": key[0],
-                "start_us": closed["start_us"].to_numpy(),
-                "throughput_kbps": closed["throughput_kbps"].to_numpy(),
-                "bitrate_mean_kbps": frame.mean().iloc[skip:].to_numpy(),
-                "bitrate_std_kbps": frame.std().fillna(0.0).iloc[skip:].to_numpy(),
-            }
-        )
+    def _first(self, frame: pd.DataFrame) -> int:
+        by = "pkt_no" if self.spec.anchor == "first_row" else "us"
+        return int(frame.us.iloc[int(frame[by].to_numpy().argmin())])
 
-    def close(self) -> None:
-        pass
+    def _advanced(self, key, frame: pd.DataFrame | None, passed: int) -> pd.DataFrame:
+        spec, width = self.spec, self.spec.width_us
+        t0, t_last, t_seen = self.capture.get() if self.capture.exists() else (None, None, None)
+        held = self.open.get()[0] if self.open.exists() else []
+        windows = {r[0]: (r[1], r[2]) for r in held}
+        if frame is not None:
+            t0 = self._first(frame) if t0 is None else t0
+            t_seen = max(int(frame.us.max()), t0 if t_seen is None else t_seen)
+            frame = frame[(frame.us >= t0) & (spec.keep_zero_length | (frame.len > 0))]
+            sums = frame.len.groupby((frame.us.to_numpy(np.int64) - t0) // width).agg(["size", "sum"])
+            for k, n, total in sums.itertuples():
+                had = windows.get(int(k), (0, 0.0))
+                windows[int(k)] = (had[0] + int(n), had[1] + float(total))
+            if len(frame):
+                t_last = max(int(frame.us.max()), t0 if t_last is None else t_last)
+        # Closed: nothing more can come, and a packet was seen at or behind the end.
+        done = sorted(k for k in windows if t0 + (k + 1) * width <= min(passed, t_last))
+        kept = [(k, windows.pop(k)) for k in done]
+        out = self._rolled(key, t0, [(k, b) for k, (n, b) in kept if n >= spec.min_window_packets])
+        if t_seen is None or t_seen + self.idle_us <= passed:
+            for state in (self.capture, self.open, self.recent):
+                state.clear()
+            self._wake(None)
+            return out
+        self.capture.update((t0, t_last, t_seen))
+        if windows:
+            self.open.update(([(k, *windows[k]) for k in sorted(windows)],))
+        else:
+            self.open.clear()
+        ends = [t0 + (k + 1) * width for k in windows if t0 + (k + 1) * width <= t_last]
+        self._wake(min([t_seen + self.idle_us, *ends]))
+        return out
+
+    def _rolled(self, key, t0: int | None, closed: list[tuple[int, float]]) -> pd.DataFrame:
+        before = list(self.recent.get()[0]) if self.recent.exists() else []
+        own = [total * 8.0 / 1000.0 for _, total in closed]
+        series = pd.Series(before + own, dtype="float64")
+        frame = series.rolling(self.spec.rolling, min_periods=1)
+        skip, reach = len(before), self.spec.rolling - 1
+        if own and reach:
+            self.recent.update((series.iloc[max(len(series) - reach, 0):].tolist(),))
+        return pd.DataFrame({
+            "capture_id": pd.Series([key[0]] * len(own), dtype=object),
+            "start_us": np.array([t0 + k * self.spec.width_us for k, _ in closed], np.int64),
+            "throughput_kbps": np.array(own, np.float64),
+            "bitrate_mean_kbps": frame.mean().iloc[skip:].to_numpy(),
+            "bitrate_std_kbps": frame.std().fillna(0.0).iloc[skip:].to_numpy(),
+        })
 
 
-def stream_rolling(windows: DataFrame, spec: WindowSpec) -> DataFrame:
-    """Rolling bitrate over the last kept windows of each capture.
+def stream_rolling(packets: DataFrame, spec: WindowSpec, delay: str, idle_us: int = IDLE_US) -> DataFrame:
+    """Rolling bitrate over the last kept windows of each capture, anchored at its start.
 
-    Runs behind :func:`stream_windows`, so a group sees one row per window and
-    its state is the throughput of the last few. Windows leave the aggregation
-    in time order, batch by batch. Needs the RocksDB state store provider.
+    ``packets`` has ``capture_id, pkt_no, ts, len``. The start is the first row
+    (or earliest packet, by ``spec.anchor``) of the first batch that holds the
+    capture; it is kept in state with one sum an open window and the last few
+    throughputs. A window leaves once the watermark has passed it and a later
+    packet shows that it is whole. A capture without packets for ``idle_us`` of
+    event time is forgotten; if it comes back it starts anew. One capture is
+    one key, since only its own state knows its start: a batch should hold no
+    more of a capture than one task can sum up. Needs the RocksDB provider.
     """
-    return windows.groupBy("capture_id").transformWithStateInPandas(
-        statefulProcessor=RollingBitrate(spec.rolling),
-        outputStructType=ROLL_SCHEMA,
-        outputMode="append",
-        timeMode="None",
+    name = packets.schema["capture_id"].dataType.simpleString()
+    timed = packets.withWatermark("ts", delay).select(
+        "capture_id", "pkt_no", "ts", F.unix_micros("ts").alias("us"), F.col("len").cast("double").alias("len")
+    )
+    return timed.groupBy("capture_id").transformWithStateInPandas(
+        RollingBitrate(spec, idle_us),
+        outputStructType=f"capture_id {name}, start_us bigint, throughput_kbps double, "
+        "bitrate_mean_kbps double, bitrate_std_kbps double",
+        outputMode="append", timeMode="EventTime",
     )

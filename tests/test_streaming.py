@@ -1,17 +1,22 @@
+import random
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from brute import capture_windows
 from pyspark.sql import functions as F
 
 from slicelens.settings import TREE
 from slicelens.streaming.run import drain
-from slicelens.streaming.windows import anchor_phase, stream_rolling, stream_windows
+from slicelens.streaming.windows import Moments, end_mark, stream_rolling, stream_windows
 
 SECOND = 1_000_000
 BASE = 1_664_284_111_250_000
 PLAIN = tuple((None, None) for _ in range(8))
 SPEC = replace(TREE, cap=None, min_capture_packets=0, feature_bounds=PLAIN)
+SCHEMA = "capture_id bigint, pkt_no bigint, us bigint, len double, uplink boolean"
+NAMES = ("throughput_kbps", "avg_pkt_size_bytes", "inter_arrival_mean_us", "inter_arrival_std_us",
+         "flow_pkt_count", "dl_ul_ratio")
 
 
 def packets():
@@ -23,54 +28,151 @@ def packets():
     return rows
 
 
-@pytest.fixture(scope="module")
-def stream(spark, tmp_path_factory):
-    folder = str(tmp_path_factory.mktemp("stream"))
-    df = spark.createDataFrame(packets(), "capture_id bigint, pkt_no bigint, us bigint, len double, uplink boolean")
-    df = df.withColumn("ts", F.timestamp_micros("us"))
-    for low in (0, 60):
-        df.filter(F.col("pkt_no").between(low, low + 59)).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+def streamed(spark, folder, batches, after_us=10 * SECOND):
+    """One file a batch, the end mark last (unless ``after_us`` is None)."""
+    frames = [spark.createDataFrame(b, SCHEMA).withColumn("ts", F.timestamp_micros("us")) for b in batches]
+    for df in frames:
+        df.coalesce(1).write.mode("append").parquet(folder)
+    if after_us is not None:
+        whole = frames[0]
+        for df in frames[1:]:
+            whole = whole.union(df)
+        end_mark(whole, after_us).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-def test_anchored_rolling_windows(spark, stream):
-    rows = packets()
-    t0 = {c: min(r[2] for r in rows if r[0] == c and r[1] == 0) for c in (1, 2)}
-    starts = spark.createDataFrame(list(t0.items()), "capture_id bigint, t0 bigint")
-    anchored = stream.join(F.broadcast(starts), "capture_id").filter("us >= t0").withColumn(
-        "phase_us", anchor_phase(F.col("t0"), SECOND)
-    )
-    found = drain(stream_rolling(stream_windows(anchored, SPEC, "2 seconds", slices=4), SPEC), "t").collect()
-    last = max(r[2] - t0[r[0]] % SECOND for r in rows) - 2 * SECOND
+def clock_windows(rows):
     want = {}
-    for c in (1, 2):
-        mine = [dict(zip(("pkt_no", "us", "len", "uplink"), r[1:])) for r in rows if r[0] == c]
+    for c in {r[0] for r in rows}:
+        first = min(r[2] for r in rows if r[0] == c) // SECOND * SECOND
+        mine = [dict(pkt_no=-1, us=first, len=0.0, uplink=None)]
+        mine += [dict(zip(("pkt_no", "us", "len", "uplink"), r[1:])) for r in rows if r[0] == c]
+        # A packet far behind makes every window a whole one; its own stays alone and is dropped.
+        mine.append(dict(pkt_no=10**9, us=max(r["us"] for r in mine) + 5 * SECOND, len=1.0, uplink=True))
         for k, v in capture_windows(mine, SPEC).items():
-            start = t0[c] + k * SECOND
-            if start - t0[c] % SECOND + SECOND <= last:
-                want[c, start] = (v[0], v[6], v[7])
-    got = {(r["capture_id"], r["start_us"]): (r["throughput_kbps"], r["bitrate_mean_kbps"], r["bitrate_std_kbps"]) for r in found}
-    assert got.keys() == want.keys() and len(want) > 20
+            want[c, first + k * SECOND] = v[:6]
+    return want
+
+
+def found_windows(spark, stream, **kwargs):
+    rows = drain(stream_windows(stream, SPEC, "2 seconds", **kwargs).drop("window_time"), "b").collect()
+    got = {(r["capture_id"], r["start_us"]): tuple(r[n] for n in NAMES) for r in rows}
+    assert len(got) == len(rows)
+    return got
+
+
+def agree(got, want):
+    assert got.keys() == want.keys()
     for key in want:
-        assert got[key] == pytest.approx(want[key], rel=1e-9, abs=1e-9)
+        assert got[key] == pytest.approx(want[key], rel=1e-9, abs=1e-6)
+
+
+@pytest.mark.parametrize("slices,lanes", [(1, 1), (8, 3)])
+def test_all_clock_windows_come_once_the_end_is_marked(spark, tmp_path, slices, lanes):
+    rows = packets()
+    stream = streamed(spark, str(tmp_path), [[r for r in rows if r[1] < 60], [r for r in rows if r[1] >= 60]])
+    agree(found_windows(spark, stream, slices=slices, lanes=lanes), clock_windows(rows))
 
 
-@pytest.mark.parametrize("slices", [1, 8])
-def test_base_windows_match_plain_loops(spark, stream, slices):
-    found = drain(stream_windows(stream, SPEC, "2 seconds", slices=slices).drop("window_time"), "b").collect()
+def test_rows_out_of_order_within_the_delay(spark, tmp_path):
     rows = packets()
+    random.Random(3).shuffle(rows)
+    # Every batch reaches 1.5 s ahead of the next one's first packets: less than the delay.
+    rows.sort(key=lambda r: r[2] + random.Random(r[2]).randint(0, 3 * SECOND // 2))
+    stream = streamed(spark, str(tmp_path), [rows[i : i + 30] for i in range(0, len(rows), 30)])
+    agree(found_windows(spark, stream, slices=4, lanes=2), clock_windows(rows))
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    rows = packets()
+    late = [(1, 500 + i, BASE + 400_000 + i, 50.0, True) for i in range(3)]
+    early, rest = [r for r in rows if r[1] < 60], [r for r in rows if r[1] >= 60]
+    stream = streamed(spark, str(tmp_path), [early, rest[:60], late + rest[60:]])
+    agree(found_windows(spark, stream, slices=4, lanes=2), clock_windows(rows))
+
+
+def test_windows_stay_open_without_the_end_mark(spark, tmp_path):
+    rows = packets()
+    got = found_windows(spark, streamed(spark, str(tmp_path), [rows], after_us=None), slices=2)
     last = max(r[2] for r in rows) - 2 * SECOND
+    agree(got, {k: v for k, v in clock_windows(rows).items() if k[1] + SECOND <= last})
+
+
+def test_slices_must_divide_the_window(spark):
+    df = spark.createDataFrame([], SCHEMA).withColumn("ts", F.timestamp_micros("us"))
+    with pytest.raises(ValueError, match="do not divide"):
+        stream_windows(df, SPEC, "2 seconds", slices=7)
+
+
+def anchored_windows(rows, spec):
     want = {}
-    for c in (1, 2):
-        first = min(r[2] for r in rows if r[0] == c) // SECOND * SECOND
-        mine = [dict(pkt_no=-1, us=first, len=0.0, uplink=None)]
-        mine += [dict(zip(("pkt_no", "us", "len", "uplink"), r[1:])) for r in rows if r[0] == c]
-        for k, v in capture_windows(mine, SPEC).items():
-            if first + (k + 1) * SECOND <= last:
-                want[c, first + k * SECOND] = v[:6]
-    names = ("throughput_kbps", "avg_pkt_size_bytes", "inter_arrival_mean_us", "inter_arrival_std_us",
-             "flow_pkt_count", "dl_ul_ratio")
-    got = {(r["capture_id"], r["start_us"]): tuple(r[n] for n in names) for r in found}
+    for c in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == c]
+        t0 = min(own, key=lambda r: r[1])[2]
+        mine = [dict(zip(("pkt_no", "us", "len", "uplink"), r[1:])) for r in own]
+        for k, v in capture_windows(mine, spec).items():
+            want[c, t0 + k * SECOND] = (v[0], v[6], v[7])
+    return want
+
+
+def rolled(spark, stream, spec=SPEC, **kwargs):
+    rows = drain(stream_rolling(stream, spec, "2 seconds", **kwargs), "t").collect()
+    got = {
+        (r["capture_id"], r["start_us"]): (r["throughput_kbps"], r["bitrate_mean_kbps"], r["bitrate_std_kbps"])
+        for r in rows
+    }
+    assert len(got) == len(rows)
+    return got
+
+
+@pytest.mark.parametrize("rolling", [1, 2, 5])
+def test_anchored_rolling_windows(spark, tmp_path, rolling):
+    rows, spec = packets(), replace(SPEC, rolling=rolling)
+    stream = streamed(spark, str(tmp_path), [[r for r in rows if i <= r[1] < i + 40] for i in (0, 40, 80)])
+    want = anchored_windows(rows, spec)
+    assert len(want) > 30
+    got = rolled(spark, stream, spec)
     assert got.keys() == want.keys()
     for key in want:
-        assert got[key] == pytest.approx(want[key], rel=1e-9, abs=1e-6)
+        assert got[key] == pytest.approx(want[key], rel=1e-9, abs=1e-9)
+    if rolling == 1:
+        assert all(v[0] == v[1] and v[2] == 0 for v in got.values())
+
+
+def test_idle_capture_is_forgotten(spark, tmp_path):
+    rows = [r for r in packets() if r[0] == 1]
+    again = [(c, n + 1000, us + 60 * SECOND + 123_456, size, up) for c, n, us, size, up in rows]
+    other = [(2, i, BASE + i * SECOND // 2, 100.0, True) for i in range(200)]
+    batches = [rows + [r for r in other if r[2] < BASE + 40 * SECOND], [r for r in other if r[2] >= BASE + 40 * SECOND]]
+    # The other capture moves the watermark on; the first comes back after its state has gone.
+    late = [(2, 900 + i, BASE + 75 * SECOND + i * SECOND // 2, 100.0, True) for i in range(60)]
+    batches.append(again + late)
+    got = rolled(spark, streamed(spark, str(tmp_path), batches), idle_us=10 * SECOND)
+    want = {**anchored_windows(rows, SPEC), **anchored_windows(again, SPEC)}
+    mine = {k: v for k, v in got.items() if k[0] == 1}
+    assert mine.keys() == want.keys()  # the second part starts anew, at its own first packet
+    for key in want:
+        assert mine[key] == pytest.approx(want[key], rel=1e-9, abs=1e-9)
+    kept = rolled(spark, streamed(spark, str(tmp_path / "kept"), batches), idle_us=1000 * SECOND)
+    assert {k for k in kept if k[0] == 1} != want.keys()  # one start for both parts
+
+
+def test_moments_append_exactly():
+    rng = np.random.default_rng(1)
+    us = np.sort(rng.integers(0, 10**9, 500)) + BASE
+    size, up = rng.integers(40, 1500, 500).astype(float), rng.choice([0.0, 1.0, np.nan], 500)
+    whole = Moments.of(us, size, up)
+    cuts = [0, 1, 2, 100, 101, 350, 500]
+    runs = [Moments.of(us[a:b], size[a:b], up[a:b]) for a, b in zip(cuts, cuts[1:])]
+    total = runs[0]
+    for run in runs[1:]:
+        total = total.then(run)
+    assert (total.n, total.directed, total.first, total.last) == (500, whole.directed, us[0], us[-1])
+    assert (total.bytes, total.up) == pytest.approx((whole.bytes, whole.up))
+    gaps = np.diff(us)
+    assert total.m2 == pytest.approx(((gaps - gaps.mean()) ** 2).sum(), rel=1e-12)
+
+
+def test_end_mark_of_nothing(spark):
+    df = spark.createDataFrame([], SCHEMA).withColumn("ts", F.timestamp_micros("us"))
+    assert end_mark(df, 5).count() == 0
