@@ -5,33 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from slicelens.settings import PORT_PAIR
+
 FOUR_INTEGERS = r"^\s*[+-]?\d+\s*(\.\s*[+-]?\d+\s*){3}$"
 #: Date, then optionally hours and minutes, seconds, a fraction and a zone.
 PACKET_TIME = (
-    r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})"
-    r"(?:[ T](\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,6})\d*)?)?\s*(Z|UTC|[+-]\d{2}:?\d{2})?)?$"
+    r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}([.,]\d+)?)?\s*(Z|UTC|[+-]\d{2}:?\d{2})?)?$"
+)
+ZONED = r":.*(Z|UTC|[+-]\d{2}:?\d{2})$"
+#: Layouts with the name of the month, as capture tools export absolute times.
+NAMED_TIMES = (
+    "MMM d, yyyy HH:mm:ss[.SSSSSSSSS][ ]z", "MMMM d, yyyy HH:mm:ss[.SSSSSSSSS][ ]z",
+    "d MMM yyyy HH:mm:ss[.SSSSSSSSS][ ]z",
 )
-PORT_PAIR = r"(\d+)\s*[>→]\s*(\d+)"
 
 
 def packet_micros(time: Column) -> Column:
     """Microseconds of a wall-clock text; NULL when it does not parse.
 
     Year, month and day, with ``-`` or ``/``; after a blank or ``T`` also hours
-    and minutes, seconds, a fraction and a zone. A text without zone is read as
-    UTC, so that neither the session time zone nor daylight saving can move a
-    gap. Fractions are cut to microseconds.
+    and minutes, seconds, a fraction and a zone. Or a date with the month's name
+    and hours, minutes and seconds. A text without zone is read as UTC, so that
+    neither the session time zone nor daylight saving can move a gap. Fractions
+    are cut to microseconds. The usual layout is one typed cast; only texts
+    that it refuses come to the other layouts.
     """
     text = F.trim(time)
-    part = lambda i: F.regexp_extract(text, PACKET_TIME, i)
-    two = lambda i: F.lpad(F.when(part(i) == "", "0").otherwise(part(i)), 2, "0")
-    zone = F.when(part(8).isin("", "UTC"), "Z").otherwise(part(8))
-    zone = F.regexp_replace(zone, r"^([+-]\d{2})(\d{2})$", "$1:$2")
-    plain = F.concat(
-        part(1), F.lit("-"), two(2), F.lit("-"), two(3), F.lit("T"), two(4), F.lit(":"), two(5),
-        F.lit(":"), two(6), F.lit("."), F.rpad(part(7), 6, "0"), zone,
+    # A text with a zone of its own is refused here. Without the dash a bare clock time would pass.
+    usual = F.when(F.substring(text, 5, 1) == "-", F.concat(text, F.lit("Z")).try_cast("timestamp"))
+    single = F.replace(text, F.lit("  "), F.lit(" "))
+    named = [
+        F.try_to_timestamp(t, F.lit(layout))
+        for layout in NAMED_TIMES for t in (F.concat(single, F.lit("Z")), single)
+    ]
+    iso = F.translate(text, "/,", "-.")
+    local = F.concat(iso.try_cast("timestamp_ntz").cast("string"), F.lit("Z"))
+    other = F.unix_micros(F.when(text.rlike(ZONED), iso).otherwise(local).try_cast("timestamp"))
+    return F.coalesce(
+        F.unix_micros(usual),
+        F.when(text.rlike(r"[A-Za-z]{3} "), F.unix_micros(F.coalesce(*named))),
+        F.when(text.rlike(PACKET_TIME), other),
     )
-    return F.when(text.rlike(PACKET_TIME), F.unix_micros(plain.try_cast("timestamp")))
 
 
 def number(text: Column) -> Column:

@@ -7,9 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,8 +24,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/slicelens/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the application's own part of the shared folder, which goes when it ends."""
+    context = spark.sparkContext
+    own = f"{shared_folder(spark).rstrip('/')}/slicelens/{context.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(own)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def pin(df: DataFrame) -> DataFrame:
@@ -40,37 +44,19 @@ def pin(df: DataFrame) -> DataFrame:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write once as Parquet in the shared folder and read back.
 
-    For large tables that later steps read more than once, a few columns each.
+    For tables that later steps read more than once, a few columns each, or
+    whose size the planner should know.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fits_broadcast(pinned: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    return pinned.limit(limit + 1).count() <= limit
-
-
-def attach(
-    df: DataFrame,
-    dim: DataFrame,
-    keys: list[str],
-    how: str = "inner",
-    limit: int = BROADCAST_ROWS,
-) -> DataFrame:
+def attach(df: DataFrame, dim: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join a one-row-per-key table to a large table whose keys may be skewed.
 
-    The key table is evaluated once and counted. Up to ``limit`` rows it is
-    broadcast and the large side is not shuffled. Beyond that, only keys with
-    more than 1/``limit`` of all rows are broadcast, of which there are fewer
-    than ``limit``; the other keys are all light and go through a shuffle join.
+    The key table is staged, so the planner knows its bytes: under
+    ``spark.sql.autoBroadcastJoinThreshold`` it is broadcast and the large side
+    is not shuffled; beyond, skewed partitions are split while the query runs.
     """
-    dim = pin(dim)
-    if fits_broadcast(dim, limit):
-        return df.join(F.broadcast(dim), keys, how)
-    counts = pin(df.groupBy(*keys).agg(F.count("*").alias("_n")))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    heavy = counts.filter(F.col("_n") > total / limit).drop("_n")
-    hot = df.join(F.broadcast(heavy.join(dim, keys, how)), keys)
-    cold = df.join(F.broadcast(heavy), keys, "left_anti").join(dim, keys, how)
-    return hot.unionByName(cold)
+    return df.join(stage(dim, "keys"), keys, how)

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slicelens.operators.joins import pin
+from slicelens.operators.joins import stage
 
 
 BUCKET_ROWS = 1 << 20
@@ -25,12 +25,12 @@ def range_buckets(df: DataFrame, order: list[Column], bucket: str = "bucket") ->
     """Number contiguous key ranges of similar size, in ``order``.
 
     Spark samples the keys for the range bounds, so the buckets follow the
-    data; there are as many as shuffle partitions. The result is checkpointed,
-    which freezes the numbering.
+    data; there are as many as shuffle partitions. The result is staged, which
+    freezes the numbering.
     """
     n = task_count(df.sparkSession)
     ranged = df.repartitionByRange(n, *order).withColumn(bucket, F.spark_partition_id())
-    return pin(ranged)
+    return stage(ranged, "ranges")
 
 
 def running_totals(
@@ -63,6 +63,18 @@ def running_totals(
     )
 
 
+def ranks(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """Add the one-based rank of every row in its group, by ``order``.
+
+    Groups and rows are cut into ranges at sampled splitters; a range counts its
+    own rows and starts at the number of rows in the group's earlier ranges.
+    """
+    one = df.withColumn("_one", F.lit(1).cast("bigint"))
+    ranged = range_buckets(one, [*[F.col(k) for k in keys], *order], "_range")
+    ranked = running_totals(ranged, keys, "_range", order, ["_one"])
+    return ranked.withColumnRenamed("_one_cum", name).drop("_range", "_one")
+
+
 def shuffle_key(identity: Column | list[Column], seed) -> Column:
     """A seeded random-looking sort key: the md5 of ``identity:seed``.
 

@@ -2,8 +2,8 @@
 
 Packets are shuffled once, on (capture, window, slice); everything after that
 works on one row per slice or per window. A capture of any size is spread over
-many tasks because its windows, and the slices of its windows, are separate
-groups.
+many tasks because its windows are separate groups, and a window with very many
+packets is cut into slices at sampled packets, so that a burst is cut too.
 """
 
 from __future__ import annotations
@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from slicelens.functions.maths import clip
 from slicelens.operators.joins import attach, stage
-from slicelens.operators.ordering import running_totals
+from slicelens.operators.ordering import ranks, running_totals
 from slicelens.settings import FEATURES, LABEL, WindowSpec
 
+#: Packets of a slice, about; a window with no more of them is one slice.
 SLICE_PACKETS = 1 << 20
-MAX_SLICES = 4096
+#: Sampled packets a slice: the cuts are that much finer than the slices.
+SLICE_SAMPLE = 64
 CHUNK_WINDOWS = 4096
 
 
@@ -39,47 +41,105 @@ def capture_bounds(packets: DataFrame, spec: WindowSpec) -> DataFrame:
     return bounds.filter(enough & ~F.col("broken")).drop("broken")
 
 
-def place(packets: DataFrame, spec: WindowSpec, whole_only: bool = True) -> DataFrame:
-    """Give every packet its relative time, window ``k`` and slice.
-
-    Windows start at the capture's own anchor. Packets before it, and those of
-    the unfinished last window, belong to no window. A window of a large
-    capture is divided into slices so that no sort group grows with it.
-    """
-    bounds = capture_bounds(packets, spec).withColumn(
-        "slices",
-        F.least(F.lit(MAX_SLICES), F.ceil(F.col("n_packets") / SLICE_PACKETS)).cast("int"),
-    )
-    if not spec.keep_zero_length:
-        packets = packets.filter("len > 0")
+def _numbered(packets: DataFrame, bounds: DataFrame, spec: WindowSpec, whole_only: bool) -> DataFrame:
+    """Packets of the captures in ``bounds`` with their relative time and window ``k``."""
     width = spec.width_us
-    placed = (
+    numbered = (
         attach(packets, bounds, ["capture_id"])
         .withColumn("rel_us", F.col("us") - F.col("t0"))
         .filter("rel_us >= 0")
         .withColumn("k", F.floor(F.col("rel_us") / width))
     )
     if whole_only:
-        placed = placed.filter((F.col("k") + 1) * width <= F.col("t_last") - F.col("t0"))
-    inside = (F.col("rel_us") - F.col("k") * width) / width
-    return placed.withColumn("slice", F.floor(inside * F.col("slices")).cast("int")).drop(
-        "t0", "t_last", "slices"
+        numbered = numbered.filter((F.col("k") + 1) * width <= F.col("t_last") - F.col("t0"))
+    return numbered.drop("t0", "t_last")
+
+
+def slice_cuts(packets: DataFrame, bounds: DataFrame, spec: WindowSpec, slice_packets: int) -> DataFrame:
+    """``capture_id, k, cuts``: where the windows with more than ``slice_packets`` packets are cut.
+
+    ``cuts`` holds the first (time, number) of every slice but the first, from a
+    sample of the window by hash. Only captures with that many packets are
+    counted; where there is none, no packet is read.
+    """
+    large = bounds.filter(F.col("n_packets") > slice_packets)
+    rate = max(1, slice_packets // SLICE_SAMPLE)
+    at = F.struct("us", "pkt_no")
+    drawn = F.pmod(F.xxhash64("us", "pkt_no"), F.lit(rate)) == 0
+    counted = (
+        _numbered(packets.select("capture_id", "us", "pkt_no"), large, spec, whole_only=False)
+        .groupBy("capture_id", "k")
+        .agg(F.count("*").alias("n"), F.collect_list(F.when(drawn, at)).alias("sample"))
+        .filter(F.col("n") > slice_packets)
     )
+    slices = F.ceil(F.col("n") / slice_packets).cast("int")
+    size = F.size("sample")
+    steps = F.sequence(F.lit(1), F.greatest(slices - 1, F.lit(1)))
+    cuts = F.transform(steps, lambda i: F.get(F.array_sort("sample"), F.floor(i * size / slices).cast("int")))
+    return counted.select("capture_id", "k", F.array_distinct(F.array_compact(cuts)).alias("cuts"))
+
+
+def _slice_of(cuts: Column, at: Column) -> Column:
+    """How many of the sorted ``cuts`` are not behind ``at``, by bisection; 0 without cuts."""
+    size = F.size(cuts)
+    bits = F.ceil(F.log2(size + 1)).cast("int")
+    step = F.sequence(bits - 1, F.lit(0), F.lit(-1))
+
+    def taken(found: Column, bit: Column) -> Column:
+        try_at = found + F.call_function("shiftleft", F.lit(1), bit)
+        held = (try_at <= size) & (F.get(cuts, try_at - 1) <= at)
+        return F.when(held, try_at).otherwise(found)
+
+    return F.when(cuts.isNull() | (size == 0), 0).otherwise(F.aggregate(step, F.lit(0), taken))
+
+
+def place(
+    packets: DataFrame, spec: WindowSpec, whole_only: bool = True, slice_packets: int | None = None
+) -> DataFrame:
+    """Give every packet its relative time, window ``k`` and slice.
+
+    Windows start at the capture's own anchor. Packets before it, and those of
+    the unfinished last window, belong to no window. A window of more than
+    ``slice_packets`` packets is cut into slices that follow its packets in
+    order of time and number, so that no sort group grows with it.
+    """
+    limit = SLICE_PACKETS if slice_packets is None else slice_packets
+    bounds = stage(capture_bounds(packets, spec), "bounds")
+    if not spec.keep_zero_length:
+        packets = packets.filter("len > 0")
+    cuts = slice_cuts(packets, bounds, spec, limit)
+    placed = attach(_numbered(packets, bounds, spec, whole_only), cuts, ["capture_id", "k"], "left")
+    return placed.withColumn("slice", _slice_of(F.col("cuts"), F.struct("us", "pkt_no"))).drop("cuts")
 
 
 def packet_gaps(placed: DataFrame) -> DataFrame:
-    """Gap in microseconds to the previous packet of the same window, per packet."""
-    slot = Window.partitionBy("capture_id", "k", "slice").orderBy("us", "pkt_no")
-    ends = placed.groupBy("capture_id", "k", "slice").agg(F.max("us").alias("_end"))
+    """Gap in microseconds to the previous packet of the same window, per packet.
+
+    Packets are shuffled once, by slice; the last packet of every slice is read
+    from that same shuffle and carried into the next slice.
+    """
+    keys = ["capture_id", "k", "slice"]
+    sliced = placed.repartition(*keys)
+    ends = sliced.groupBy(*keys).agg(F.max("us").alias("_end"))
     before = Window.partitionBy("capture_id", "k").orderBy("slice")
-    edges = ends.select("capture_id", "k", "slice", F.lag("_end").over(before).alias("_prev"))
+    edges = ends.select(*keys, F.lag("_end").over(before).alias("_prev")).filter("_prev IS NOT NULL")
+    slot = Window.partitionBy(*keys).orderBy("us", "pkt_no")
     return (
-        placed.join(edges, ["capture_id", "k", "slice"])
-        .withColumn("gap_us", F.col("us") - F.coalesce(F.lag("us").over(slot), F.col("_prev")))
-        .drop("_prev")
+        sliced.withColumn("_lag", F.lag("us").over(slot)).join(edges, keys, "left")
+        .withColumn("gap_us", F.col("us") - F.coalesce("_lag", "_prev")).drop("_lag", "_prev")
     )
 
 
+def packet_order(placed: DataFrame) -> DataFrame:
+    """Add ``packet_order``, the one-based rank of a packet in its capture by time and number.
+
+    Ranges of (capture, time, number) come from sampled splitters, so a hot
+    capture, window or burst is spread over as many tasks as its packets need.
+    """
+    ranked = ranks(placed, ["capture_id"], [F.col("us"), F.col("pkt_no")])
+    return ranked.withColumnRenamed("rank", "packet_order")
+
+
 def _slice_stats(placed: DataFrame, carried: tuple[str, ...]) -> DataFrame:
     slot = Window.partitionBy("capture_id", "k", "slice").orderBy("rel_us", "pkt_no")
     gap = (F.col("rel_us") - F.lag("rel_us").over(slot)).cast("double")

@@ -11,8 +11,7 @@ from slicelens.functions import text
 from slicelens.functions.maths import clip, epoch_micros
 from slicelens.operators import packets as P
 from slicelens.operators import windows as W
-from slicelens.operators.joins import attach
-from slicelens.operators.ordering import running_totals
+from slicelens.operators.joins import attach, stage
 from slicelens.plans import inputs as I
 from slicelens.plans import sql as S
 from slicelens.plans.registry import query, rounded
@@ -192,9 +191,7 @@ SELECT capture_id, pkt_no,
        row_number() OVER (PARTITION BY capture_id ORDER BY us, pkt_no) AS packet_order
 FROM placed""")
 def sort_packets(spark, folder):
-    ones = placed(spark, folder).withColumn("one", F.lit(1).cast("bigint"))
-    ranked = running_totals(ones, ["capture_id"], "k", [F.col("us"), F.col("pkt_no")], ["one"])
-    return ranked.select("capture_id", "pkt_no", F.col("one_cum").alias("packet_order"))
+    return W.packet_order(placed(spark, folder)).select("capture_id", "pkt_no", "packet_order")
 
 
 def _window_column(name: str, column: str):
@@ -288,8 +285,9 @@ SELECT capture_id, k, {S.SHOWN}, traffic_class FROM feat""")
 def window_features_from_text(spark, folder):
     label = F.pmod("capture_id", F.lit(3)).cast("bigint")
     raw = I.raw_packets(spark, folder).withColumn(LABEL, label)
-    found = W.window_features(P.typed_packets(raw, (LABEL,)), SPEC)
-    return rounded(found, **S.DIGITS)
+    # Text is parsed once; the windows read the typed columns more than once.
+    packets = stage(P.typed_packets(raw, (LABEL,)), "packets")
+    return rounded(W.window_features(packets, SPEC), **S.DIGITS)
 
 
 @query("slice_scatter", f"""

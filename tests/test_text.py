@@ -39,9 +39,13 @@ def test_packet_time(spark):
 
 
 def test_packet_time_ignores_session_zone(spark):
+    cases = {
+        "2022-03-13 02:30:00.000001": 1647138600000001, "2022/03/13 02:30:00.000001": 1647138600000001,
+        "2022-3-13 02:30": 1647138600000000, "Mar 13, 2022 02:30:00.000001": 1647138600000001,
+    }
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
-        assert evaluate(spark, ["2022-03-13 02:30:00.000001"], text.packet_micros) == [1647138600000001]
+        assert evaluate(spark, cases, text.packet_micros) == list(cases.values())
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
@@ -66,6 +70,12 @@ def test_time_layouts(spark):
         "2022-5-31 16:22": base - 58_000_000, "2022-05-31": base - (16 * 3600 + 22 * 60 + 58) * 1_000_000,
         "2022-05-31T18:22:58+02:00": base, "2022-05-31T18:22:58.5+0200": base + 500_000,
         "2022-05-31T16:22:58Z": base, "  2022-05-31 16:22:58 UTC ": base,
+        "May 31, 2022 16:22:58.123456000": base + 123_456, "May 31, 2022 16:22:58": base,
+        "May 31, 2022 16:22:58.5 UTC": base + 500_000, "May 31, 2022 18:22:58.5 +02:00": base + 500_000,
+        "Jun  1, 2022 16:22:58": base + 86_400_000_000, "June 1, 2022 16:22:58": base + 86_400_000_000,
+        "31 May 2022 16:22:58.25": base + 250_000, "Foo 31, 2022 16:22:58": None, "May 31, 2022": None,
+        "2022-05-31 16:22:58,123456": base + 123_456, "2022-05": None, "T16:22:58": None, "2022-05-31 16": None,
+        "2022/5/31 16:22:58 +02:00": base - 7_200_000_000, "2022-05-31 6:22:58": base - 36_000_000_000,
         "2022-13-31 16:22:58": None, "n/a": None, "16:22:58": None, "": None, None: None, "2022-05-31 25:00": None,
     }
     assert evaluate(spark, cases, text.packet_micros) == list(cases.values())

@@ -103,28 +103,104 @@ def test_gaps_cross_slices(spark, monkeypatch):
         last[r["k"]] = r["us"]
 
 
+@pytest.fixture(params=["10MB", "-1"])
+def threshold(spark, request):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    yield request.param
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("hot", [False, True])
-def test_large_key_table_broadcasts_only_heavy_keys(spark, hot):
+def test_key_table_is_broadcast_by_its_bytes(spark, threshold, hot):
     key = F.col("id") % 7
     facts = spark.range(1000).select("id", F.when(F.lit(hot) & (F.col("id") % 3 == 0), 9).otherwise(key).alias("key"))
     dim = spark.range(11).select(F.col("id").alias("key"), (F.col("id") * 10).alias("v"))
-    joined = joins.attach(facts, dim, ["key"], limit=4)
+    joined = joins.attach(facts, dim, ["key"])
+    assert ("BroadcastHashJoin" in plan(joined)) == (threshold != "-1")
     assert sorted(r["id"] for r in joined.filter("v = key * 10").collect()) == list(range(1000))
-    small = dim.filter("key < 3")
-    kept = joins.attach(facts, small, ["key"], how="left", limit=2)
+    kept = joins.attach(facts, dim.filter("key < 3"), ["key"], how="left")
     known = facts.filter("key < 3").count()
     assert kept.count() == 1000 and kept.filter("v = key * 10").count() == known
-    assert joins.attach(facts, small, ["key"], limit=2).count() == known
 
 
-def test_features_with_many_captures(spark, monkeypatch):
+def test_features_with_many_captures(spark, threshold):
     rows = captures()
     df = spark.createDataFrame(rows, SCHEMA)
-    plain = joins.attach
-    monkeypatch.setattr(windows, "attach", lambda *a, **k: plain(*a, **{**k, "limit": 3}))
     same(got(windows.window_features(df, TREE)), expected(rows, TREE))
 
 
+def plan(df):
+    """The plan as it ran."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def bursts():
+    """A long quiet capture with 3,000 packets in one millisecond, and equal times in another window."""
+    rows = capture("quiet", [i * 0.2 for i in range(3000)])
+    rows += [("quiet", 10_000 + i, 100 * SECOND + i // 3, 80.0, i % 2 == 0, 0) for i in range(3000)]
+    rows += [("quiet", 20_000 + i, 200 * SECOND, 90.0, True, 0) for i in range(2000)]
+    return rows + capture("short", [i * 0.2 for i in range(50)])
+
+
+@pytest.mark.parametrize("slice_packets", [300, 64, 10_000])
+def test_only_windows_with_many_packets_are_cut(spark, slice_packets):
+    rows = bursts()
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    placed = windows.place(df, TREE, slice_packets=slice_packets)
+    found = placed.groupBy("capture_id", "k", "slice").count().collect()
+    slices = {}
+    for r in found:
+        slices.setdefault((r["capture_id"], r["k"]), []).append(r["count"])
+    for key, sizes in slices.items():
+        if sum(sizes) <= slice_packets:
+            assert len(sizes) == 1, key
+        else:  # the burst, and the packets of one instant
+            assert len(sizes) > 0.6 * sum(sizes) / slice_packets
+            assert max(sizes) < 3 * slice_packets
+    assert (max(map(len, slices.values())) > 1) == (slice_packets < 3000)
+    spec = replace(TREE, min_window_packets=2)
+    cut = windows.base_windows(placed, spec).drop("dl_ul_ratio")
+    whole = windows.base_windows(windows.place(df, TREE), spec).drop("dl_ul_ratio")
+    for a, b in zip(*(sorted(map(tuple, d.collect())) for d in (cut, whole)), strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=1e-9, abs=1e-6)
+
+
+def test_quiet_captures_are_not_read_for_cuts(spark):
+    df = spark.createDataFrame(bursts(), SCHEMA)
+    bounds = joins.stage(windows.capture_bounds(df, TREE), "bounds")
+    cuts = windows.slice_cuts(df, bounds, TREE, 1 << 20)
+    shown = plan(cuts)
+    final = shown[shown.index("Final Plan"):shown.index("Initial Plan")] if "Initial Plan" in shown else shown
+    assert cuts.count() == 0
+    assert "ExistingRDD" not in final
+
+
+def test_gaps_read_the_packets_once(spark, tmp_path):
+    path = str(tmp_path / "packets")
+    spark.createDataFrame(bursts(), SCHEMA).write.parquet(path)
+    packets = spark.read.schema(spark.createDataFrame([], SCHEMA).schema).parquet(path)
+    gaps = windows.packet_gaps(windows.place(packets, TREE, slice_packets=300))
+    shown = plan(gaps)
+    final = shown[shown.index("Final Plan"):shown.index("Initial Plan")]
+    assert "ReusedExchange" in final
+    assert sum("len#" in line for line in final.splitlines() if "FileScan" in line) == 1
+
+
+def test_packet_order_spreads_a_hot_window(spark):
+    rows = [("hot", i, (i * 7919) % 5000, 60.0, True, 0) for i in range(20_000)]
+    rows += capture("ten", [i * 0.3 for i in range(10)])
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    ordered = windows.packet_order(df).withColumn("task", F.spark_partition_id()).collect()
+    for name in ("hot", "ten"):
+        own = sorted((r for r in ordered if r["capture_id"] == name), key=lambda r: (r["us"], r["pkt_no"]))
+        assert [r["packet_order"] for r in own] == list(range(1, len(own) + 1))
+    from slicelens.operators.ordering import range_buckets
+
+    parts = range_buckets(df, [F.col("capture_id"), F.col("us"), F.col("pkt_no")]).groupBy("bucket").count()
+    assert parts.count() == 8 and parts.agg(F.max("count")).first()[0] < 2 * len(rows) / 8
+
+
 def test_broken_capture_is_rejected(spark):
     rows = [(*r, r[0] == "gap" and r[1] == 3) for r in captures()]
     df = spark.createDataFrame(rows, SCHEMA + ", broken boolean")
