@@ -101,7 +101,8 @@ def place(
     Windows start at the capture's own anchor. Packets before it, and those of
     the unfinished last window, belong to no window. A window of more than
     ``slice_packets`` packets is cut into slices that follow its packets in
-    order of time and number, so that no sort group grows with it.
+    order of time and number, so that no sort group grows with it; ``opens``
+    marks the packets at a cut.
     """
     limit = SLICE_PACKETS if slice_packets is None else slice_packets
     bounds = stage(capture_bounds(packets, spec), "bounds")
@@ -109,24 +110,28 @@ def place(
         packets = packets.filter("len > 0")
     cuts = slice_cuts(packets, bounds, spec, limit)
     placed = attach(_numbered(packets, bounds, spec, whole_only), cuts, ["capture_id", "k"], "left")
-    return placed.withColumn("slice", _slice_of(F.col("cuts"), F.struct("us", "pkt_no"))).drop("cuts")
+    at = F.struct("us", "pkt_no")
+    opens = (F.col("slice") > 0) & (F.get("cuts", F.col("slice") - 1) == at)
+    return (
+        placed.withColumn("slice", _slice_of(F.col("cuts"), at))
+        .withColumn("opens", F.coalesce(opens, F.lit(False))).drop("cuts")
+    )
 
 
 def packet_gaps(placed: DataFrame) -> DataFrame:
     """Gap in microseconds to the previous packet of the same window, per packet.
 
-    Packets are shuffled once, by slice; the last packet of every slice is read
-    from that same shuffle and carried into the next slice.
+    One scan and one shuffle, by slice. A packet that opens a slice also closes
+    the one before: there it finds its gap, in its own slice it only gives the
+    next packet one.
     """
-    keys = ["capture_id", "k", "slice"]
-    sliced = placed.repartition(*keys)
-    ends = sliced.groupBy(*keys).agg(F.max("us").alias("_end"))
-    before = Window.partitionBy("capture_id", "k").orderBy("slice")
-    edges = ends.select(*keys, F.lag("_end").over(before).alias("_prev")).filter("_prev IS NOT NULL")
-    slot = Window.partitionBy(*keys).orderBy("us", "pkt_no")
+    own = F.col("slice")
+    copies = F.when(F.col("opens"), F.array(own - 1, own)).otherwise(F.array(own))
+    slot = Window.partitionBy("capture_id", "k", "_in").orderBy("us", "pkt_no")
     return (
-        sliced.withColumn("_lag", F.lag("us").over(slot)).join(edges, keys, "left")
-        .withColumn("gap_us", F.col("us") - F.coalesce("_lag", "_prev")).drop("_lag", "_prev")
+        placed.withColumn("_in", F.explode(copies))
+        .withColumn("gap_us", F.col("us") - F.lag("us").over(slot))
+        .filter(~F.col("opens") | (F.col("_in") < own)).drop("_in")
     )
 
 

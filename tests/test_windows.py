@@ -181,10 +181,22 @@ def test_gaps_read_the_packets_once(spark, tmp_path):
     spark.createDataFrame(bursts(), SCHEMA).write.parquet(path)
     packets = spark.read.schema(spark.createDataFrame([], SCHEMA).schema).parquet(path)
     gaps = windows.packet_gaps(windows.place(packets, TREE, slice_packets=300))
-    shown = plan(gaps)
-    final = shown[shown.index("Final Plan"):shown.index("Initial Plan")]
-    assert "ReusedExchange" in final
-    assert sum("len#" in line for line in final.splitlines() if "FileScan" in line) == 1
+    final = plan(gaps).split("Initial Plan")[0]
+    assert sum("pkt_no#" in line for line in final.splitlines() if "FileScan" in line) == 1
+    assert final.count("Exchange hashpartitioning") == 1
+    last = {}
+    for r in gaps.orderBy("capture_id", "us", "pkt_no").collect():
+        key = r["capture_id"], r["k"]
+        assert r["gap_us"] == (r["us"] - last[key] if key in last else None)
+        last[key] = r["us"]
+
+
+def test_gaps_of_repeated_packets(spark):
+    rows = [("twice", i // 2, (i // 8) * 1000, 60.0, True, 0) for i in range(4000)] + capture("end", [0.0] * 12)
+    rows.append(("twice", 9000, 2 * SECOND, 60.0, True, 0))
+    gaps = windows.packet_gaps(windows.place(spark.createDataFrame(rows, SCHEMA), TREE, slice_packets=100))
+    found = sorted(r["gap_us"] for r in gaps.filter("capture_id = 'twice'").collect() if r["gap_us"] is not None)
+    assert found == [0] * (4000 - 500) + [1000] * 499
 
 
 def test_packet_order_spreads_a_hot_window(spark):
