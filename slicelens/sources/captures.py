@@ -1,22 +1,23 @@
 """Reading trees and folders of packet-capture CSV files.
 
-The files are read in one scan with positional text columns. A file's header,
-fetched once per file from its first bytes, says which position holds what, so
-files with differently ordered headers need neither separate reads nor a
-full pass over the text to find their header line.
+Only mapped folders are opened, in one scan with positional text columns. A
+file's header, fetched once per file from its first bytes, says which position
+holds what. The keys of a row come from its path by expression, so raw text is
+never shuffled: only the files that differ from the usual layout, or cannot be
+used, are looked up.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slicelens.functions.text import category_key
-from slicelens.operators.joins import attach, pin
+from slicelens.operators.joins import attach, stage
 from slicelens.settings import (
     CATEGORY_SLICES,
     COLUMN_ALIASES,
@@ -26,16 +27,35 @@ from slicelens.settings import (
 )
 
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+GLOB = r"([\\{}\[\]*?])"
 HEADER_STEP = 1 << 16
+OPEN_FILES = 8
 ROW_BITS = (1 << 33) - 1
 CAPTURE_COLUMNS = ("Time", "Source", "Destination", "Protocol", "Length", "Info")
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
+def mapped_folders(spark: SparkSession, root: str) -> list[str]:
+    """The top folders of ``root`` whose name stands for a known category.
+
+    One listing of ``root`` itself; no other folder is opened.
+    """
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for status in store.listStatus(top):
+        name = re.sub("^[^=]+=", "", status.getPath().getName())
+        if status.isDirectory() and name.lower().replace("-", "_") in CATEGORY_SLICES:
+            found.append(re.sub(GLOB, r"\\\1", status.getPath().toString()))
+    return sorted(found)
+
+
+def list_files(spark: SparkSession, root: str | list[str]) -> DataFrame:
     """``path`` of every .csv file (any case) below ``root``; contents are not read.
 
     Spark's listing leaves out files of zero bytes.
     """
+    if not root:
+        return spark.createDataFrame([], "path string")
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
@@ -46,8 +66,17 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _relative(path: Column, root: str) -> Column:
+    """The part of a path below ``root``, plain; cheap enough for every row."""
     top = re.sub(SCHEME, "", root).rstrip("/")
-    return F.substring(_plain_path(F.regexp_replace(path, SCHEME, "")), len(top) + 2, 1 << 30)
+    host, store = F.instr(path, "://"), F.instr(path, ":/")
+    slash = F.call_function("locate", F.lit("/"), path, F.when(host > 0, host + 3).otherwise(store))
+    after = F.when(store > 0, slash).otherwise(1)
+    return F.substring(_plain_path(F.substring(path, after, F.lit(1 << 30))), len(top) + 2, 1 << 30)
+
+
+def _category(relative: Column) -> Column:
+    folder = F.substring_index(relative, "/", 1)
+    return category_key(F.when(folder.contains("="), F.regexp_replace(folder, "^[^=]+=", "")).otherwise(folder))
 
 
 def with_path_keys(files: DataFrame, root: str) -> DataFrame:
@@ -61,7 +90,7 @@ def with_path_keys(files: DataFrame, root: str) -> DataFrame:
     return (
         files.withColumn("_parts", parts)
         .filter(F.size("_parts") > 1)
-        .withColumn("category", category_key(unkeyed(F.element_at("_parts", 1))))
+        .withColumn("category", _category(_relative(F.col("path"), root)))
         .withColumn("app", unkeyed(F.element_at("_parts", -2)))
         .drop("_parts")
     )
@@ -76,7 +105,8 @@ def label_categories(files: DataFrame) -> DataFrame:
 
 
 def _plain_path(path: Column) -> Column:
-    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.when(path.contains("%"), decoded).otherwise(path)
 
 
 def with_unit(files: DataFrame) -> DataFrame:
@@ -123,7 +153,6 @@ def find_stems(files: DataFrame, root: str) -> DataFrame:
 def _first_line(path: str) -> list[str]:
     """Column names in the first line of a file; empty when it cannot be read."""
     import csv
-    from urllib.parse import unquote
 
     from pyarrow import fs
 
@@ -131,7 +160,7 @@ def _first_line(path: str) -> list[str]:
         system, name = fs.FileSystem.from_uri(
             "file://" + path[5:] if re.match(r"file:/[^/]", path) else path
         )
-        with system.open_input_stream(unquote(name) if system.type_name == "local" else name) as f:
+        with system.open_input_stream(name) as f:
             head = b""
             while b"\n" not in head and (more := f.read(HEADER_STEP)):
                 head += more
@@ -142,20 +171,24 @@ def _first_line(path: str) -> list[str]:
     return [c.strip() for c in next(csv.reader([line]), [])]
 
 
-def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield pd.DataFrame(
-            {"path": batch["path"], "header": [_first_line(p) for p in batch["path"]]}
-        )
+def with_headers(files: DataFrame) -> DataFrame:
+    """Add ``header``, the trimmed column names of every file.
 
+    Reads the first bytes of each file, some at a time in every task; Spark's
+    text sources could only find first lines by scanning everything.
+    """
 
-def header_inventory(files: DataFrame) -> DataFrame:
-    """Trimmed column names of every file: ``path, header``.
+    @F.pandas_udf("array<string>")
+    def header(paths: pd.Series) -> pd.Series:
+        with ThreadPoolExecutor(OPEN_FILES) as pool:
+            return pd.Series(list(pool.map(_first_line, paths)), dtype=object)
 
-    Reads the first bytes of each file in parallel; Spark's text sources could
-    only find first lines by scanning everything.
-    """
-    return files.select("path").mapInPandas(_headers, "path string, header array<string>")
+    return files.withColumn("header", header.asNondeterministic()("path"))
+
+
+def header_inventory(files: DataFrame) -> DataFrame:
+    """``path, header`` of every file."""
+    return with_headers(files).select("path", "header")
 
 
 def missing_columns(header: Column, required=REQUIRED_COLUMNS) -> Column:
@@ -192,42 +225,51 @@ def _scan_rows(spark: SparkSession, paths, width: int) -> DataFrame:
     )
 
 
-def _located(files: DataFrame, positions: dict[str, Column], carried) -> DataFrame:
-    """The usable files with the position of each wanted column, evaluated once."""
-    return pin(
-        files.select(
-            "path",
-            F.size("header").cast("int").alias("width"),
-            *[p.cast("int").alias(f"at_{name}") for name, p in positions.items()],
-            *carried,
-        )
-    )
-
+def _read(
+    spark: SparkSession, paths, files: DataFrame, file_id: Column, positions: dict[str, Column], marks=()
+) -> DataFrame:
+    """Rows of the usable files: text columns by name, ``pkt_no, path, file_id, broken``.
 
-def _read_located(spark: SparkSession, paths, located: DataFrame, names, carried) -> DataFrame:
-    """Rows of the located files: text columns ``names``, ``broken`` and ``carried``.
+    For a name in ``marks`` also ``has_<name>``: whether the row's file has that column.
 
-    When all files have one layout, as exports of one tool do, the columns are
-    read directly and the CSV reader skips the others.
+    ``files`` has ``file_id, header, usable``; ``file_id`` gives the same of a
+    row's ``path``. The most common layout is read by position without a look
+    at the files. Files with another layout, and those that cannot be used, are
+    the exceptions that rows are joined to. When all usable files have one
+    layout, as exports of one tool do, the CSV reader skips the other columns.
     """
+    names = list(positions)
+    width = F.size("header").cast("int").alias("width")
+    at = [p.cast("int").alias(f"at_{n}") for n, p in positions.items()]
+    described = stage(files.select("file_id", "usable", width, *at), "layouts")
     layout = ["width", *[f"at_{n}" for n in names]]
-    layouts = located.select(*layout).distinct().limit(2).collect()
-    if not layouts:
+    common = (
+        described.filter("usable").groupBy(*layout).agg(F.count("*").alias("n"))
+        .orderBy(F.desc("n"), *layout).limit(2).collect()
+    )
+    if not common:
         raise FileNotFoundError(f"no usable capture file below {paths}")
-    if len(layouts) == 1:
-        width = layouts[0]["width"]
-        at = {n: layouts[0][f"at_{n}"] for n in names}
-        cell = lambda n: F.col(f"c{at[n]}") if at[n] >= 0 else F.lit(None).cast("string")
-        overflow = F.col(f"c{width}")
+    usual = common[0]
+    widest = described.filter("usable").agg(F.max("width")).first()[0]
+    rows = _scan_rows(spark, paths, widest + 1).withColumn("file_id", file_id)
+    if len(common) == 1:
+        own = lambda n: F.lit(usual[n])
+        cell = lambda n: F.col(f"c{usual[n]}") if usual[n] >= 0 else F.lit(None).cast("string")
+        overflow = F.col(f"c{widest}")
+        rows = rows.join(described.filter("NOT usable").select("file_id"), "file_id", "left_anti")
     else:
-        width = located.agg(F.max("width")).first()[0]
-        cells = F.array(*[f"c{i}" for i in range(width + 1)])
-        cell = lambda n: F.when(F.col(f"at_{n}") >= 0, F.get(cells, F.col(f"at_{n}")))
-        overflow = F.get(cells, F.col("width"))
-    rows = _scan_rows(spark, paths, width + 1)
-    return attach(rows, located, ["path"]).select(
-        "pkt_no", *[cell(n).alias(n) for n in names], overflow.isNotNull().alias("broken"), *carried
-    )
+        same = F.lit(True)
+        for n in layout:
+            same &= F.col(n) == F.lit(usual[n])
+        others = described.filter(~(F.col("usable") & same)).withColumn("other", F.lit(True))
+        rows = attach(rows, others, ["file_id"], "left").filter("other IS NULL OR usable")
+        cells = F.array(*[f"c{i}" for i in range(widest + 1)])
+        own = lambda n: F.when(F.col("other"), F.col(n)).otherwise(F.lit(usual[n]))
+        cell = lambda n: F.when(own(n) >= 0, F.get(cells, own(n)))
+        overflow = F.get(cells, own("width"))
+    cells = [cell(f"at_{n}").alias(n) for n in names]
+    has = [(own(f"at_{n}") >= 0).alias(f"has_{n}") for n in marks]
+    return rows.select("pkt_no", "path", "file_id", *cells, overflow.isNotNull().alias("broken"), *has)
 
 
 def capture_files(spark: SparkSession, root: str) -> DataFrame:
@@ -238,11 +280,13 @@ def capture_files(spark: SparkSession, root: str) -> DataFrame:
     is the hash of the path below ``root``, so reruns and other partitionings,
     and another place of the tree, give the same one.
     """
-    files = label_categories(with_path_keys(list_files(spark, root), root))
-    described = files.join(header_inventory(files), "path").withColumn(
+    files = label_categories(with_path_keys(list_files(spark, mapped_folders(spark, root)), root))
+    described = with_headers(files).withColumn(
         "usable", F.size(missing_columns(F.col("header"))) == 0
     )
-    known = pin(described.withColumn("capture_id", F.xxhash64(_relative(F.col("path"), root))))
+    known = stage(
+        described.withColumn("capture_id", F.xxhash64(_relative(F.col("path"), root))), "files"
+    )
     n, ids = known.agg(F.count("*"), F.count_distinct("capture_id")).first()
     if n != ids:
         raise ValueError(f"{n - ids} capture files below {root} share an id; split the tree")
@@ -253,14 +297,20 @@ def scan_capture_tree(spark: SparkSession, root: str, files: DataFrame) -> DataF
     """Raw text packets of ``<root>/<category>/.../<app>/*.csv``, one capture per file.
 
     ``files`` comes from :func:`capture_files`. Files without the required columns
-    are skipped. A row with more cells than its header is marked ``broken``,
-    which rejects its capture.
+    are skipped, folders without a category are not opened. A row with more
+    cells than its header is marked ``broken``, which rejects its capture.
     """
-    header = F.col("header")
-    positions = {c: F.array_position(header, c) - 1 for c in CAPTURE_COLUMNS}
-    carried = ("capture_id", LABEL)
-    located = _located(files.filter("usable"), positions, carried)
-    return _read_located(spark, root, located, CAPTURE_COLUMNS, carried)
+    positions = {c: F.array_position("header", c) - 1 for c in CAPTURE_COLUMNS}
+    relative = _relative(F.col("path"), root)
+    rows = _read(
+        spark, mapped_folders(spark, root), files.withColumnRenamed("capture_id", "file_id"),
+        F.xxhash64(relative), positions,
+    )
+    labels = F.create_map(*[F.lit(x) for pair in CATEGORY_SLICES.items() for x in pair])
+    label = F.element_at(labels, _category(relative)).cast("bigint")
+    return rows.select(
+        "pkt_no", *CAPTURE_COLUMNS, "broken", F.col("file_id").alias("capture_id"), label.alias(LABEL)
+    )
 
 
 def with_capture_names(windows: DataFrame, files: DataFrame) -> DataFrame:
@@ -275,18 +325,20 @@ def scan_by_stem(spark: SparkSession, root: str) -> DataFrame:
     skipped, one without a port column gets no direction.
     """
     listed = list_files(spark, root)
-    found = pin(find_stems(listed, root).filter("path IS NOT NULL"))
-    units = F.broadcast(found.withColumnRenamed("path", "unit"))  # at most one row per stem
-    parts = with_unit(listed).join(units, "unit")
+    # At most one row per known stem.
+    found = stage(find_stems(listed, root).filter("path IS NOT NULL"), "stems")
+    units = F.broadcast(found.withColumnRenamed("path", "unit"))
+    parts = with_headers(with_unit(listed).join(units, "unit"))
     positions = {name: alias_position(F.col("header"), name) for name in COLUMN_ALIASES}
-    carried = (F.col("stem").alias("capture_id"), "unit", LABEL)
-    located = _located(parts.join(header_inventory(parts), "path"), positions, carried)
-    located = located.filter("at_time >= 0 AND at_length >= 0")
-    units = located.select(_plain_path(F.col("unit"))).distinct().collect()
-    if not units:
+    readable = F.coalesce((positions["time"] >= 0) & (positions["length"] >= 0), F.lit(False))
+    files = stage(
+        parts.select("unit", "header", F.xxhash64("path").alias("file_id"), readable.alias("usable")), "files"
+    )
+    paths = [u for (u,) in files.filter("usable").select(_plain_path(F.col("unit"))).distinct().collect()]
+    if not paths:
         raise FileNotFoundError(f"no usable application file below {root}")
-    paths = [unit for (unit,) in units]
-    has_port = (F.col("at_dst_port") >= 0).alias("has_port")
-    return _read_located(
-        spark, paths, located, tuple(COLUMN_ALIASES), ("capture_id", has_port, LABEL)
+    rows = _read(spark, paths, files, F.xxhash64("path"), positions, marks=("dst_port",))
+    return with_unit(rows).join(units, "unit").select(
+        "pkt_no", *positions, "broken", F.col("stem").alias("capture_id"),
+        F.col("has_dst_port").alias("has_port"), LABEL,
     )

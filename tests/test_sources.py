@@ -228,3 +228,62 @@ def test_long_headers_and_repeatable_ids(spark, tmp_path):
         assert ids[0] == ids[1] == ids[2] and len(ids[0]) == 7
     finally:
         spark.conf.set("spark.sql.files.openCostInBytes", before)
+
+
+def scanned(df):
+    """The plan as it ran."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+@pytest.mark.parametrize("layouts", [1, 2])
+def test_raw_text_is_not_shuffled(spark, tmp_path, layouts):
+    rows = lines([i * 0.3 for i in range(12)])
+    for name in "abc":
+        put(str(tmp_path), f"Metaverse/R/{name}.csv", "\n".join([HEADER, *rows]))
+    put(str(tmp_path), "Metaverse/R/nohdr.csv", "No.,Time,Length\n1,2,3")
+    if layouts == 2:
+        swapped = [",".join(reversed(r.split(",")[:6])) for r in rows]
+        put(str(tmp_path), "Live_Streaming/N/d.csv", "\n".join([",".join(reversed(HEADER.split(",")[:6])), *swapped]))
+    raw = captures.scan_capture_tree(spark, str(tmp_path), captures.capture_files(spark, str(tmp_path)))
+    shown = scanned(raw)
+    assert "Exchange hashpartitioning" not in shown and "SortMergeJoin" not in shown
+    assert raw.count() == 36 + 12 * (layouts - 1)
+    assert {r[0] for r in raw.select("Time").distinct().collect()} == {r.split(",")[1] for r in rows}
+
+
+def test_unmapped_files_are_not_in_the_scan(spark, tree):
+    files = captures.capture_files(spark, tree)
+    raw = captures.scan_capture_tree(spark, tree, files)
+    opened = {f.split(tree + "/")[1].split("/")[0] for f in raw.inputFiles() if tree in f}
+    assert opened == {"Game-Streaming", "Game_Streaming", "Metaverse", "Live_Streaming", "Stored_Streaming"}
+    listed = captures.list_files(spark, captures.mapped_folders(spark, tree))
+    assert not [r.path for r in listed.collect() if "/Other/" in r.path or r.path.endswith("/top.csv")]
+
+
+def test_unreadable_unmapped_file_does_no_harm(spark, tmp_path):
+    put(str(tmp_path), "Metaverse/R/a.csv", "\n".join([HEADER, *lines([i * 0.3 for i in range(12)])]))
+    put(str(tmp_path), "Secret/R/a.csv", "x")
+    os.chmod(tmp_path / "Secret", 0)
+    try:
+        root = str(tmp_path)
+        assert captures.scan_capture_tree(spark, root, captures.capture_files(spark, root)).count() == 12
+    finally:
+        os.chmod(tmp_path / "Secret", 0o755)
+
+
+def test_odd_folder_names(spark, tmp_path):
+    root = str(tmp_path / "a [b] 100% + c" / "data")
+    put(root, "category=Metaverse/App {1} +%41/x y.csv", "\n".join([HEADER, *lines([i * 0.3 for i in range(12)])]))
+    files = captures.capture_files(spark, root).collect()
+    assert [(f.category, f.app, f.usable) for f in files] == [("metaverse", "App {1} +%41", True)]
+    raw = captures.scan_capture_tree(spark, root, captures.capture_files(spark, root))
+    assert {(r.capture_id, r[LABEL]) for r in raw.collect()} == {(files[0].capture_id, 2)}
+
+
+def test_tree_without_mapped_folders(spark, tmp_path):
+    put(str(tmp_path), "Other/R/a.csv", HEADER)
+    files = captures.capture_files(spark, str(tmp_path))
+    assert files.count() == 0
+    with pytest.raises(FileNotFoundError):
+        captures.scan_capture_tree(spark, str(tmp_path), files)
