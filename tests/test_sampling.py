@@ -89,20 +89,59 @@ def test_label_encode_keeps_numbers_and_nulls(spark):
     assert rows == {5: 1, 6: 0, 7: 2, 8: 0, 9: None}
 
 
-@pytest.mark.parametrize("small", [100_000, 10])
-def test_describe_matches_sorted_values(spark, monkeypatch, small):
-    monkeypatch.setattr(summaries, "SMALL", small)
+def quartiles(data):
+    data, out = sorted(data), []
+    for q in (0.25, 0.5, 0.75):
+        at = q * (len(data) - 1)
+        low = data[int(at)]
+        out.append(low + (data[min(int(at) + 1, len(data) - 1)] - low) * (at - int(at)))
+    return out
+
+
+@pytest.mark.parametrize("most,accuracy", [(100_000, 100_000), (10, 100_000), (2, 2), (50, 5)])
+def test_describe_matches_sorted_values(spark, monkeypatch, most, accuracy):
+    # A sketch of accuracy 2 gives brackets that do not hold the ranks: counting finds out.
+    monkeypatch.setattr(summaries, "SKETCH_ACCURACY", accuracy)
     rng = random.Random(5)
-    values = [(rng.choice([1.0, 2.0, rng.random() * 100]), rng.gauss(0, 1)) for _ in range(997)]
-    df = spark.createDataFrame(values, "a double, b double").repartition(6)
-    for row in summaries.describe_features(df, ["a", "b"]).collect():
-        data = sorted(v["ab".index(row["feature"])] for v in values)
-        for q, shown in ((0.25, row["p25"]), (0.5, row["p50"]), (0.75, row["p75"])):
-            at = q * (len(data) - 1)
-            low = data[int(at)]
-            exact = low + (data[min(int(at) + 1, len(data) - 1)] - low) * (at - int(at))
-            assert shown == pytest.approx(exact, abs=0.006)
-        assert row["n"] == 997 and row["min"] == pytest.approx(data[0], abs=0.006)
+    values = [(rng.choice([1.0, 2.0, rng.random() * 100]), rng.gauss(0, 1), 10.0 ** rng.randint(-8, 8), 7.0)
+              for _ in range(997)]
+    df = spark.createDataFrame(values, "a double, b double, c double, d double").repartition(6)
+    for row in summaries.describe_features(df, ["a", "b", "c", "d"], most).collect():
+        data = [v["abcd".index(row["feature"])] for v in values]
+        shown = (row["p25"], row["p50"], row["p75"])
+        assert shown == pytest.approx(quartiles(data), abs=0.006)
+        assert row["n"] == 997 and row["min"] == pytest.approx(min(data), abs=0.006)
+
+
+def test_first_bracket_that_misses_is_corrected(spark, monkeypatch):
+    rows = spark.range(5000).select((F.col("id") * F.col("id")).cast("double").alias("a"))
+    tries = []
+
+    def wrong(df, ranks):
+        tries.append([(r.lo, r.hi) for r in ranks])
+        return [("a", 1.0), ("a", 4.0)] if len(tries) == 1 else near(df, ranks)
+
+    near = summaries._near
+    monkeypatch.setattr(summaries, "_near", wrong)
+    ranks = [summaries._Rank("a", r, 0.0, 4999.0**2, 0, 5000) for r in (0, 1249, 2500, 4999)]
+    found = summaries.values_at(rows, ranks, 5)
+    assert {r: found["a", r] for r in (0, 1249, 2500, 4999)} == {r: float(r * r) for r in (0, 1249, 2500, 4999)}
+    assert len(tries) >= 2
+
+
+def test_described_bands_hold_few_values(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") < 9000, 5.0).otherwise(F.col("id") * 1.5).alias("a"))
+    ranks = [summaries._Rank("a", r, 5.0, 19_999 * 1.5, 0, 20_000) for r in (4999, 9999, 10_000, 14_999)]
+    summaries._narrow(rows, ranks, 30)
+    assert all(r.lo == r.hi or r.upto - r.below <= 30 for r in ranks)
+    assert ranks[0].lo == ranks[0].hi == 5.0
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_describe_few_rows(spark, n):
+    data = [3.0, 1.0, 10.0][:n]
+    row = summaries.describe_features(spark.createDataFrame([(x,) for x in data], "a double"), ["a"]).first()
+    assert (row["p25"], row["p50"], row["p75"]) == pytest.approx(quartiles(data), abs=0.006)
 
 
 def test_histogram_edges(spark):
