@@ -145,7 +145,7 @@ def interpolate(
     )
 
 
-def _rate_bucket(df: DataFrame, rate: str) -> Column:
+def rate_bucket(df: DataFrame, rate: str) -> Column:
     """Equal parts of [0, 1]; distinct rates are close to evenly spaced."""
     n = task_count(df.sparkSession)
     return F.least(F.floor(F.col(rate) * n), F.lit(n - 1))
@@ -162,7 +162,7 @@ def macro_roc_curve(points: DataFrame, classes) -> DataFrame:
     grid = fpr_grid(points).withColumn("cls", F.explode(every))
     knots = points.select(*CURVE, F.col("fpr").alias("x"), F.col("tpr").alias("y"))
     return (
-        interpolate(knots, grid, CURVE, _rate_bucket(points, "x"))
+        interpolate(knots, grid, CURVE, rate_bucket(points, "x"))
         .groupBy("model", F.col("x").alias("fpr"))
         .agg(F.avg("y").alias("tpr"))
     )
@@ -170,7 +170,7 @@ def macro_roc_curve(points: DataFrame, classes) -> DataFrame:
 
 def macro_roc_auc(points: DataFrame, classes) -> DataFrame:
     """Trapezoid area under the macro curve, summed per range of the grid."""
-    curve = macro_roc_curve(points, classes).withColumn("bucket", _rate_bucket(points, "fpr"))
+    curve = macro_roc_curve(points, classes).withColumn("bucket", rate_bucket(points, "fpr"))
     inside = Window.partitionBy("model", "bucket").orderBy("fpr")
     width = F.col("fpr") - F.lag("fpr").over(inside)
     height = (F.col("tpr") + F.lag("tpr").over(inside)) / 2

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slicelens.functions.maths import argmax, epoch_micros, softmax
 from slicelens.operators import curves, history, metrics
+from slicelens.operators.joins import stage
 from slicelens.operators.scaling import binary_label
 from slicelens.plans import inputs as I
 from slicelens.plans.registry import query, rounded
@@ -253,18 +254,16 @@ def roc_auc(spark, folder):
 
 @query("interp_asof", f"WITH {MACRO} SELECT model, cls, round(x, 9) AS x, round(y, 6) AS y FROM itp")
 def interp_asof(spark, folder):
-    points = pinned_points(spark, folder)
+    points = staged_points(spark, folder)
     every = F.array(*[F.lit(c).cast("bigint") for c in CLASSES])
     grid = curves.fpr_grid(points).withColumn("cls", F.explode(every))
     knots = points.select("model", "cls", F.col("fpr").alias("x"), F.col("tpr").alias("y"))
-    found = curves.interpolate(knots, grid, ["model", "cls"], F.floor(F.col("x") * 64))
+    found = curves.interpolate(knots, grid, ["model", "cls"], curves.rate_bucket(points, "x"))
     return rounded(found, x=9, y=6)
 
 
-def pinned_points(spark, folder):
-    from slicelens.operators.joins import pin
-
-    return pin(curves.roc_curve(scored(spark, folder)))
+def staged_points(spark, folder):
+    return stage(curves.roc_curve(scored(spark, folder)), "points")
 
 
 @query("distinct_union", f"WITH {LONG} SELECT model, round(x, 12) AS fpr FROM (SELECT DISTINCT model, fpr AS x FROM pts)")
@@ -275,7 +274,7 @@ def distinct_union(spark, folder):
 
 @query("macro_roc_curve", f"WITH {MACRO} SELECT model, round(fpr, 9) AS fpr, round(tpr, 6) AS tpr FROM mean")
 def macro_roc_curve(spark, folder):
-    return rounded(curves.macro_roc_curve(pinned_points(spark, folder), CLASSES), fpr=9, tpr=6)
+    return rounded(curves.macro_roc_curve(staged_points(spark, folder), CLASSES), fpr=9, tpr=6)
 
 
 @query("macro_roc_auc", f"""
@@ -283,7 +282,7 @@ WITH {MACRO}, t AS (SELECT model, fpr - lag(fpr) OVER w AS width, (tpr + lag(tpr
                     WINDOW w AS (PARTITION BY model ORDER BY fpr))
 SELECT model, round(sum(width * height), 6) AS macro_auc FROM t GROUP BY 1""")
 def macro_roc_auc(spark, folder):
-    return rounded(curves.macro_roc_auc(pinned_points(spark, folder), CLASSES), macro_auc=6)
+    return rounded(curves.macro_roc_auc(staged_points(spark, folder), CLASSES), macro_auc=6)
 
 
 @query("argmax_class", """

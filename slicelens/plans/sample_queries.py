@@ -6,13 +6,21 @@ from pyspark.sql import functions as F
 
 from slicelens.functions.maths import one_hot
 from slicelens.operators import sampling, scaling, summaries
-from slicelens.operators.joins import pin
+from slicelens.operators.joins import stage
 from slicelens.operators.ordering import positions, shuffle_key
 from slicelens.plans import inputs as I
 from slicelens.plans import sql as S
 from slicelens.plans.packet_queries import features
 from slicelens.plans.registry import query, rounded
-from slicelens.settings import CLASSES, FEATURES, LABEL, SYNTHETIC_NORMALS
+from slicelens.settings import (
+    CLASSES,
+    FEATURES,
+    LABEL,
+    STEM_SYNTHETIC_BOUNDS,
+    SYNTHETIC_BOUNDS,
+    SYNTHETIC_NORMALS,
+)
+from slicelens.sources import synthetic
 
 ID = ["capture_id", "k"]
 SMALLEST = "(SELECT min(c) FROM (SELECT count(*) AS c FROM keyed GROUP BY traffic_class))"
@@ -21,7 +29,7 @@ SMALLEST = "(SELECT min(c) FROM (SELECT count(*) AS c FROM keyed GROUP BY traffi
 def keyed(spark, folder):
     """Feature windows with their shuffle key, evaluated once."""
     found = features(spark, folder)
-    return pin(found.withColumn("shuffle_key", shuffle_key([F.col(c) for c in ID], 42)))
+    return stage(found.withColumn("shuffle_key", shuffle_key([F.col(c) for c in ID], 42)), "keyed")
 
 
 @query("class_counts", f"WITH {S.FEATURES} SELECT traffic_class, count(*) AS n FROM feat GROUP BY 1")
@@ -72,19 +80,16 @@ def head_per_class(spark, folder):
 
 @query("stratified_split", f"""
 WITH {S.KEYED},
-bal AS (SELECT *, row_number() OVER (PARTITION BY traffic_class ORDER BY shuffle_key) AS rn FROM keyed
-        QUALIFY rn <= least({SMALLEST}, 400)),
+r AS (SELECT *, row_number() OVER (PARTITION BY traffic_class ORDER BY shuffle_key) AS rn FROM keyed),
 q AS (SELECT traffic_class, n, total, (total - (total + 3) // 4) AS train
-      FROM (SELECT traffic_class, count(*) AS n, sum(count(*)) OVER () AS total FROM bal GROUP BY 1)),
-s AS (SELECT *, train * n // total AS seats, train * n % total AS rest,
-             train - sum(train * n // total) OVER () AS spare,
+      FROM (SELECT traffic_class, count(*) AS n, sum(count(*)) OVER () AS total FROM keyed GROUP BY 1)),
+s AS (SELECT *, train * n // total AS seats, train - sum(train * n // total) OVER () AS spare,
              row_number() OVER (ORDER BY train * n % total DESC, traffic_class) AS turn FROM q)
-SELECT capture_id, k, bal.traffic_class,
+SELECT capture_id, k, r.traffic_class,
        rn <= s.n - seats - CASE WHEN turn <= spare THEN 1 ELSE 0 END AS is_test
-FROM bal JOIN s USING (traffic_class)""")
+FROM r JOIN s USING (traffic_class)""")
 def stratified_split(spark, folder):
-    balanced = sampling.balance(keyed(spark, folder), LABEL, "shuffle_key", cap=400)
-    return sampling.stratified_split(balanced, LABEL, "shuffle_key").select(*ID, LABEL, "is_test")
+    return sampling.stratified_split(keyed(spark, folder), LABEL, "shuffle_key").select(*ID, LABEL, "is_test")
 
 
 @query("stratified_split_uneven", """
@@ -124,7 +129,7 @@ def _z(column: str) -> str:
 WITH {S.FEATURES}
 SELECT capture_id, k, {", ".join(f"round({_z(c)}, 6) AS {c}" for c in FEATURES)} FROM feat""")
 def standardize(spark, folder):
-    scaled = scaling.standardize(pin(features(spark, folder)), FEATURES)
+    scaled = scaling.standardize(stage(features(spark, folder), "features"), FEATURES)
     return rounded(scaled.select(*ID, *FEATURES), **dict.fromkeys(FEATURES, 6))
 
 
@@ -148,7 +153,7 @@ WITH {S.FEATURES}
 SELECT capture_id, k, {", ".join(f"round(least(greatest({_z(c)}, -pi()), pi()), 6) AS {c}" for c in FEATURES)}
 FROM feat""")
 def angle_clip(spark, folder):
-    scaled = scaling.standardize(pin(features(spark, folder)), FEATURES)
+    scaled = scaling.standardize(stage(features(spark, folder), "features"), FEATURES)
     clipped = scaling.angle_clip(scaled, FEATURES).select(*ID, *FEATURES)
     return rounded(clipped, **dict.fromkeys(FEATURES, 6))
 
@@ -251,7 +256,7 @@ g AS (SELECT traffic_class, lo, hi, unnest(range(25)) AS bin FROM r)
 SELECT g.traffic_class, g.bin, round(lo + g.bin * ((hi - lo) / 25), 6) AS left_edge, coalesce(n, 0) AS n
 FROM g LEFT JOIN c ON g.traffic_class = c.traffic_class AND g.bin = c.bin""")
 def class_histogram(spark, folder):
-    found = pin(features(spark, folder))
+    found = stage(features(spark, folder), "features")
     return rounded(summaries.class_histogram(found, "avg_pkt_size_bytes"), left_edge=6)
 
 
@@ -266,33 +271,54 @@ def _normal(i: int) -> str:
     return f"sqrt(-2.0 * ln({u})) * {'cos' if i % 2 == 0 else 'sin'}(2.0 * pi() * {v})"
 
 
-def _synthetic(i: int) -> str:
-    from slicelens.settings import SYNTHETIC_BOUNDS
-
+def _synthetic(i: int, bounds=SYNTHETIC_BOUNDS) -> str:
     pick = lambda j: "CASE cls " + " ".join(
         f"WHEN {c} THEN {float(SYNTHETIC_NORMALS[c][i][j])}::DOUBLE" for c in CLASSES
     ) + " END"
-    low, high = SYNTHETIC_BOUNDS[i]
+    low, high = bounds[i]
     value = f"{pick(0)} + {pick(1)} * ({_normal(i)})"
     value = f"greatest({value}, {float(low)}::DOUBLE)"
     return f"least({value}, {float(high)}::DOUBLE)" if high is not None else value
 
 
-@query("synth_class_rows", """
-WITH e AS (SELECT event_id AS id, event_id % 3 AS cls FROM events)
-SELECT id, """ + ", ".join(f"round({_synthetic(i)}, 6) AS {c}" for i, c in enumerate(FEATURES))
-       + ", cls AS traffic_class FROM e")
-def synth_class_rows(spark, folder):
-    from slicelens.sources.synthetic import synthetic_rows
+def _synthetic_sql(source: str, bounds) -> str:
+    made = ", ".join(f"round({_synthetic(i, bounds)}, 6) AS {c}" for i, c in enumerate(FEATURES))
+    return f"WITH e AS ({source}) SELECT id, {made}, cls AS traffic_class FROM e"
+
 
+_EACH_EVENT = "SELECT event_id AS id, event_id % 3 AS cls FROM events"
+
+
+def _synthetic_events(spark, folder, bounds):
     ids = I.table(spark, folder, "events").select(F.col("event_id").alias("id"))
-    made = synthetic_rows(ids, F.pmod("id", F.lit(3)).cast("bigint"))
+    made = synthetic.synthetic_rows(ids, F.pmod("id", F.lit(3)).cast("bigint"), bounds)
     return rounded(made, **dict.fromkeys(FEATURES, 6))
 
 
+@query("synth_class_rows", _synthetic_sql(_EACH_EVENT, SYNTHETIC_BOUNDS))
+def synth_class_rows(spark, folder):
+    return _synthetic_events(spark, folder, SYNTHETIC_BOUNDS)
+
+
+@query("synth_class_rows_by_stem", _synthetic_sql(_EACH_EVENT, STEM_SYNTHETIC_BOUNDS))
+def synth_class_rows_by_stem(spark, folder):
+    return _synthetic_events(spark, folder, STEM_SYNTHETIC_BOUNDS)
+
+
 @query("fallback_source", f"WITH {S.FEATURES} SELECT capture_id, k, {S.SHOWN}, traffic_class FROM feat")
 def fallback_source(spark, folder):
-    from slicelens.sources.synthetic import or_synthetic
-
-    chosen, _ = or_synthetic(pin(features(spark, folder)), rows=1200)
+    chosen, _ = synthetic.or_synthetic(features(spark, folder), rows=1200)
     return rounded(chosen, **S.DIGITS)
+
+
+@query("fallback_taken", f"""
+WITH {S.FEATURES}, two AS (SELECT * FROM feat WHERE traffic_class <> 2),
+n AS (SELECT count(*) // 3 AS per FROM two),
+made AS ({_synthetic_sql("SELECT id, id // per AS cls FROM n, (SELECT unnest(range(3 * per)) AS id FROM n)",
+                         STEM_SYNTHETIC_BOUNDS)})
+SELECT id, {", ".join(FEATURES)}, CAST(traffic_class AS BIGINT) AS traffic_class FROM made""")
+def fallback_taken(spark, folder):
+    """Windows that lack a class: as many synthetic rows stand in, within the bounds by stem."""
+    two = stage(features(spark, folder).filter(F.col(LABEL) != 2), "two-classes")
+    chosen, _ = synthetic.or_synthetic(two, rows=two.count(), bounds=STEM_SYNTHETIC_BOUNDS)
+    return rounded(chosen, **dict.fromkeys(FEATURES, 6))

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slicelens.functions.maths import epoch_micros
+from slicelens.operators import curves, metrics, summaries
 from slicelens.operators import packets as P
 from slicelens.operators import windows as W
 from slicelens.operators.joins import scratch_path, stage
 from slicelens.plans import inputs as I
+from slicelens.plans import metric_queries as M
 from slicelens.plans import sql as S
+from slicelens.plans.packet_queries import features
 from slicelens.plans.registry import query, rounded
-from slicelens.settings import LABEL
+from slicelens.settings import FEATURES, LABEL
 from slicelens.sources import captures, sinks, tabular
 
 _TREE_SQL = f"""
@@ -97,30 +103,61 @@ def scan_packet_csv(spark, folder):
     )
 
 
+#: Header styles of capture files: what each leaves out.
+LACKING = ((), ("Length",), ("Source", "Destination"), ("Time", "Length"))
+
+_STYLES = """
+f AS (SELECT DISTINCT user_id FROM events),
+s AS (SELECT user_id, (['', 'Length', 'Source,Destination', 'Time,Length'])[user_id % 4 + 1] AS lacking,
+             (['No.|Time|Source|Destination|Protocol|Length|Info', 'No.|Time|Source|Destination|Protocol|Info',
+               'No.|Time|Protocol|Length|Info', 'No.|Source|Destination|Protocol|Info'])[user_id % 4 + 1] AS header
+      FROM f)"""
+
+
+def write_lacking(spark, folder) -> str:
+    """``events`` as capture files of which three in four lack columns, ``metaverse/style=<n>/app=<user>``."""
+    root = scratch_path(spark, "lacking")
+    raw = I.raw_packets(spark, folder)
+    names = ["pkt_no", "Time", "Source", "Destination", "Protocol", "Length", "Info"]
+    for style, lacking in enumerate(LACKING):
+        (
+            raw.filter(F.pmod("capture_id", F.lit(len(LACKING))) == style)
+            .select(
+                *[F.col(n).alias(" No. " if n == "pkt_no" else n) for n in names if n not in lacking],
+                F.col("capture_id").alias("app"),
+            )
+            .repartition("app").write.partitionBy("app").option("header", True).option("escape", '"')
+            .csv(f"{root}/Metaverse/style{style}")
+        )
+    return root
+
+
 @query("header_inventory", f"""
-WITH {S.RAW}
-SELECT DISTINCT lower(replace(string_split(path, '/')[-3], '-', '_')) AS category,
-       concat('App_', user_id) AS app,
-       'No.|Time|Source|Destination|Protocol|Length|Info' AS header, 0::BIGINT AS missing
-FROM raw WHERE string_split(path, '/')[-3] <> 'Other'""")
+WITH {_STYLES}
+SELECT 'metaverse' AS category, CAST(user_id AS VARCHAR) AS app, header,
+       len(string_split(lacking, ',')) - CASE WHEN lacking = '' THEN 1 ELSE 0 END AS missing, lacking = '' AS usable FROM s""")
 def header_inventory(spark, folder):
-    files = captures.capture_files(spark, write_tree(spark, folder))
+    files = captures.capture_files(spark, write_lacking(spark, folder))
     missing = F.size(captures.missing_columns(F.col("header"))).cast("bigint")
     return files.select(
-        "category", "app", F.array_join("header", "|").alias("header"), missing.alias("missing")
+        "category", "app", F.array_join("header", "|").alias("header"), missing.alias("missing"), "usable"
     )
 
 
-@query("missing_columns", """
-WITH c(name) AS (VALUES ('Time'), ('Length'), ('Source'), ('Destination'))
-SELECT event_type, 'Length,Source,Destination' AS missing, count(*) AS rows FROM events GROUP BY 1""")
+@query("missing_columns", f"""
+WITH {_STYLES}, r AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1)
+SELECT lacking AS missing, count(*) AS files, CAST(sum(CASE WHEN lacking = '' THEN n ELSE 0 END) AS BIGINT) AS packets_read
+FROM (SELECT user_id, CASE lacking WHEN 'Time,Length' THEN 'Time,Length' ELSE lacking END AS lacking FROM s)
+JOIN r USING (user_id) GROUP BY 1""")
 def missing_columns(spark, folder):
-    header = F.array(F.lit("No."), F.lit("Time"), F.col("event_type"))
+    """Which required columns files lack, and the packets read of those that lack none."""
+    root = write_lacking(spark, folder)
+    files = captures.capture_files(spark, root)
+    read = captures.scan_capture_tree(spark, root, files).groupBy("capture_id").agg(F.count("*").alias("n"))
     return (
-        I.table(spark, folder, "events")
-        .withColumn("missing", F.array_join(captures.missing_columns(header), ","))
-        .groupBy("event_type", "missing")
-        .agg(F.count("*").alias("rows"))
+        files.withColumn("missing", F.array_join(captures.missing_columns(F.col("header")), ","))
+        .join(read, "capture_id", "left").groupBy("missing")
+        .agg(F.count("*").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("packets_read"))
     )
 
 
@@ -218,12 +255,49 @@ def scan_tabular_csv(spark, folder):
     return rounded(totals, quantity=2, price=2)
 
 
+_REPORT = {
+    "history": "SELECT val_acc AS v FROM hist",
+    "confusion": "SELECT n * (3 * y_true + y_pred + 1) AS v FROM cells",
+    "roc": "SELECT fpr + tpr AS v FROM pts",
+    "metrics": 'SELECT "precision" + recall + f1 AS v FROM prf',
+    "correlation": " UNION ALL ".join(f"SELECT corr({a}, {b}) AS v FROM feat" for a in FEATURES for b in FEATURES),
+    "histogram": "SELECT n * (bin + 1) AS v FROM hg",
+}
+
+
 @query("sink_report_tables", f"""
-WITH {S.FEATURES} SELECT traffic_class, count(*) AS n FROM feat GROUP BY 1""")
+WITH {S.FEATURES}, {M.PRF}{M.LONG[len(M.PRED):]}, {M.HISTORY},
+hr AS (SELECT traffic_class, min(avg_pkt_size_bytes) AS lo, max(avg_pkt_size_bytes) AS hi FROM feat GROUP BY 1),
+hc AS (SELECT traffic_class, least(CAST(floor((avg_pkt_size_bytes - lo) / ((hi - lo) / 25)) AS BIGINT), 24) AS bin,
+              count(*) AS n FROM feat JOIN hr USING (traffic_class) GROUP BY 1, 2),
+hb AS (SELECT traffic_class, unnest(range(25)) AS bin FROM hr),
+hg AS (SELECT hb.bin, coalesce(n, 0) AS n FROM hb LEFT JOIN hc ON hb.traffic_class = hc.traffic_class AND hb.bin = hc.bin)
+""" + " UNION ALL ".join(
+    f"SELECT '{name}' AS report, count(*) AS rows, round(CAST(sum(v) AS DOUBLE), 3) AS total FROM ({sql})"
+    for name, sql in _REPORT.items()
+))
 def sink_report_tables(spark, folder):
-    from slicelens.operators import summaries
-    from slicelens.plans.packet_queries import features
-
-    counts = summaries.class_counts(features(spark, folder))
-    paths = sinks.write_report({"class_counts": counts}, scratch_path(spark, "report"))
-    return spark.read.parquet(paths["class_counts"])
+    """All six tables of a report, committed together and read back."""
+    found = stage(features(spark, folder), "features")
+    cells = M.cells(spark, folder)
+    tables = {
+        "history": M.epoch_history(spark, folder),
+        "confusion": cells,
+        "roc": curves.roc_curve(M.scored(spark, folder)),
+        "metrics": metrics.per_class_prf(cells),
+        "correlation": summaries.feature_correlation(found),
+        "histogram": summaries.class_histogram(found, "avg_pkt_size_bytes"),
+    }
+    place = scratch_path(spark, "report")
+    sinks.write_report(tables, place)
+    value = {
+        "history": F.col("val_acc"), "confusion": F.expr("n * (3 * y_true + y_pred + 1)"), "roc": F.expr("fpr + tpr"),
+        "metrics": F.expr("precision + recall + f1"), "correlation": F.col("correlation"),
+        "histogram": F.expr("n * (bin + 1)"),
+    }
+    shown = [
+        df.agg(F.count("*").alias("rows"), F.round(F.sum(value[name]).cast("double"), 3).alias("total"))
+        .select(F.lit(name).alias("report"), "rows", "total")
+        for name, df in sinks.read_report(spark, place).items()
+    ]
+    return reduce(DataFrame.unionByName, shown)

@@ -192,11 +192,19 @@ def test_synthetic_moments(spark):
     assert all(r["lo"] >= 1.0 for r in stats.values())
 
 
-def test_report(spark, tmp_path):
-    paths = sinks.write_report({"a": spark.range(3), "b": spark.range(5)}, str(tmp_path))
+def test_report_is_committed_as_a_whole(spark, tmp_path):
+    place = str(tmp_path / "report")
+    assert sinks.read_report(spark, place) == {}
+    paths = sinks.write_report({"a": spark.range(3), "b": spark.range(5)}, place)
     assert spark.read.parquet(paths["b"]).count() == 5
-    sinks.write_report({"b": spark.range(2)}, str(tmp_path))
-    assert spark.read.parquet(paths["b"]).count() == 2
+    fails = spark.range(4).select(F.raise_error(F.lit("no")).alias("x"))
+    with pytest.raises(Exception, match="no"):
+        sinks.write_report({"a": spark.range(9), "b": fails}, place)
+    assert {n: df.count() for n, df in sinks.read_report(spark, place).items()} == {"a": 3, "b": 5}
+    sinks.write_report({"b": spark.range(2)}, place)
+    assert {n: df.count() for n, df in sinks.read_report(spark, place).items()} == {"b": 2}
+    kept = [n for n in os.listdir(place) if n.startswith("version-")]
+    assert len(kept) == 1
 
 
 def test_one_layout_reads_only_its_columns(spark, tmp_path):
