@@ -2,91 +2,84 @@
 
 Every row gets a hash key that depends only on its identity. "The first n rows
 in shuffled order" is then "keys up to the n-th smallest", so once that cut key
-is known per class the sample is a plain filter: no row is shuffled, and a
-class holding most of the data costs no more than any other.
+is known per class the sample is a filter: a class holding most of the data
+costs no more than any other. Sizes, quotas and cuts are tables with one row a
+class, joined to the rows by their class; rows without a class are in no sample.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slicelens.operators.joins import attach, stage
 from slicelens.operators.ordering import BUCKET_ROWS, hash_bucket, positions
 
-MAX_CLASSES = 1000
 CUT_DIGITS, KEY_DIGITS = 4, 32
 
 
-def class_sizes(df: DataFrame, label: str) -> dict:
-    """Rows per class on the driver; refuses a label that is not categorical."""
-    rows = df.groupBy(label).count().limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} values")
-    return {r[0]: r[1] for r in rows}
+def class_sizes(df: DataFrame, label: str) -> DataFrame:
+    """Rows per class: ``label, n``, evaluated once."""
+    counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
+    return stage(counts, "sizes")
 
 
-def cut_keys(df: DataFrame, label: str, key: str, quotas: Mapping) -> dict:
-    """The ``quota``-th smallest key of each class; quotas must not exceed class sizes.
+def cut_keys(df: DataFrame, label: str, key: str, quotas: DataFrame) -> DataFrame:
+    """``label, cut``: the ``quota``-th smallest key of each class with a quota above 0.
 
-    A histogram of key prefixes finds the bucket that holds the cut; a bucket
-    that is still large is cut by longer prefixes, and only the last one's rows
-    are ranked. Keys must be unique: a cut between two equal keys is refused,
-    since it could not give exactly ``quota`` rows.
+    ``quotas`` has ``label, quota``, at most the class's size. A histogram of key
+    prefixes finds the bucket that holds the cut; while a bucket is still large
+    it is cut by longer prefixes, and only the last one's rows are ranked. Keys
+    must be unique: a cut between two equal keys is refused, since it could not
+    give exactly ``quota`` rows.
     """
-    wanted = {c: int(n) for c, n in quotas.items() if n > 0}
-    if not wanted:
-        return {}
+    wanted = quotas.filter("quota > 0").select(label, F.col("quota").cast("bigint"))
+    rows, digits, large = df.select(label, key), 0, True
     upto = Window.partitionBy(label).orderBy("_bucket")
-    inside, digits, large = F.lit(True), 0, True
     while large and digits < KEY_DIGITS:
         digits += CUT_DIGITS
-        quota = F.create_map(*[F.lit(v) for pair in wanted.items() for v in pair])
         bucket = hash_bucket(F.col(key), digits)
-        crossing = (
-            df.filter(inside)
-            .groupBy(label, bucket.alias("_bucket"))
-            .agg(F.count("*").alias("n"))
+        counted = (
+            rows.groupBy(label, bucket.alias("_bucket")).agg(F.count("*").alias("n"))
             .withColumn("upto", F.sum("n").over(upto))
-            .withColumn("quota", F.try_element_at(quota, F.col(label)))
-            .filter("upto >= quota AND upto - n < quota")
-            .select(label, "_bucket", (F.col("quota") - F.col("upto") + F.col("n")).alias("r"), "n")
-            .collect()
         )
-        inside = reduce(or_, [(F.col(label) == c) & (bucket == b) for c, b, _, _ in crossing])
-        wanted = {c: r for c, _, r, _ in crossing}
-        large = any(n > BUCKET_ROWS for *_, n in crossing)
-    rank = F.create_map(*[F.lit(v) for pair in wanted.items() for v in pair])
+        crossing = stage(
+            counted.join(wanted, label).filter("upto >= quota AND upto - n < quota")
+            .select(label, "_bucket", (F.col("quota") - F.col("upto") + F.col("n")).alias("quota"), "n"),
+            "crossing",
+        )
+        wanted = crossing.select(label, "quota")
+        held = crossing.select(label, "_bucket")
+        rows = df.select(label, key, bucket.alias("_bucket")).join(held, [label, "_bucket"]).drop("_bucket")
+        large = not crossing.filter(F.col("n") > BUCKET_ROWS).isEmpty()
     ordered = Window.partitionBy(label).orderBy(key)
-    found = (
-        df.filter(inside)
-        .select(label, key)
-        .withColumn("_r", F.row_number().over(ordered))
-        .withColumn("_tied", F.lead(key).over(ordered) == F.col(key))
-        .filter(F.col("_r") == F.element_at(rank, F.col(label)))
-        .collect()
+    cuts = stage(
+        rows.withColumn("_r", F.row_number().over(ordered))
+        .withColumn("_tied", F.coalesce(F.lead(key).over(ordered) == F.col(key), F.lit(False)))
+        .join(wanted, label).filter("_r = quota").select(label, F.col(key).alias("cut"), "_tied"),
+        "cuts",
     )
-    if any(row["_tied"] for row in found):
+    if not cuts.filter("_tied").isEmpty():
         raise ValueError(f"{key} is not unique")
-    return {row[0]: row[1] for row in found}
+    return cuts.drop("_tied")
+
 
+def marked(df: DataFrame, label: str, key: str, cuts: DataFrame, name: str) -> DataFrame:
+    """Add ``name``: true for rows whose key is at or below the cut of their class."""
+    joined = attach(df, cuts.withColumnRenamed("cut", "_cut"), [label], "left")
+    chosen = F.coalesce(F.col(key) <= F.col("_cut"), F.lit(False))
+    return joined.withColumn(name, chosen).select(*df.columns, name)
 
-def within(label: str, key: str, cuts: Mapping) -> Column:
-    """True for rows whose key is at or below the cut of their class."""
-    if not cuts:
-        return F.lit(False)
-    limit = F.create_map(*[F.lit(v) for pair in cuts.items() for v in pair])
-    return F.coalesce(F.col(key) <= F.try_element_at(limit, F.col(label)), F.lit(False))
+
+def _within(df: DataFrame, label: str, key: str, quotas: DataFrame) -> DataFrame:
+    cuts = cut_keys(df, label, key, quotas)
+    return marked(df, label, key, cuts, "_chosen").filter("_chosen").drop("_chosen")
 
 
 def head_per_class(df: DataFrame, label: str, key: str, n: int) -> DataFrame:
     """The first ``n`` rows of each class in shuffled order."""
     sizes = class_sizes(df, label)
-    cuts = cut_keys(df, label, key, {c: min(n, size) for c, size in sizes.items()})
-    return df.filter(within(label, key, cuts))
+    return _within(df, label, key, sizes.select(label, F.least(F.lit(n), F.col("n")).alias("quota")))
 
 
 def balance(
@@ -94,42 +87,47 @@ def balance(
 ) -> DataFrame:
     """Under-sample every class to the smallest one, or to ``cap`` if that is less."""
     sizes = class_sizes(df, label)
-    n = min(sizes.values(), default=0)
+    n = sizes.agg(F.min("n")).first()[0] or 0
     n = n if cap is None else min(n, cap)
     if n < at_least:
-        raise ValueError(f"smallest class has {n} rows, {at_least} needed: {sizes}")
-    return df.filter(within(label, key, cut_keys(df, label, key, dict.fromkeys(sizes, n))))
+        few = sizes.orderBy("n").limit(20).collect()
+        raise ValueError(f"smallest class has {n} rows, {at_least} needed: {dict(map(tuple, few))}")
+    return _within(df, label, key, sizes.select(label, F.lit(n).alias("quota")))
 
 
-def split_quotas(sizes: Mapping, fraction_num: int, fraction_den: int) -> dict:
+def split_quotas(sizes: DataFrame, label: str, fraction_num: int, fraction_den: int) -> DataFrame:
     """Test rows per class: ceil(fraction x all), the train part shared proportionally.
 
     Train seats left over by rounding down go to the largest remainders, then
     to the lower label.
     """
-    total = sum(sizes.values())
+    total = sizes.agg(F.sum("n")).first()[0] or 0
     train = total - -(-total * fraction_num // fraction_den)
-    shares = {c: divmod(train * n, total) for c, n in sizes.items()}
-    spare = train - sum(seats for seats, _ in shares.values())
-    order = sorted(shares, key=lambda c: (-shares[c][1], c))
-    favoured = set(order[:spare])
-    return {c: n - shares[c][0] - (c in favoured) for c, n in sizes.items()}
+    share = f"(CAST({train} AS DECIMAL(19, 0)) * n)"
+    parts = sizes.selectExpr(
+        f"`{label}`", "n", f"{share} DIV {max(total, 1)} AS seats", f"{share} % {max(total, 1)} AS rest"
+    )
+    spare = train - (parts.agg(F.sum("seats")).first()[0] or 0)
+    # One row a class meets in this window.
+    turn = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("rest"), label))
+    favoured = (turn <= int(spare)).cast("bigint")
+    return parts.select(label, (F.col("n") - F.col("seats") - favoured).alias("quota"))
 
 
 def stratified_split(
     df: DataFrame, label: str, key: str, fraction: tuple[int, int] = (1, 4)
 ) -> DataFrame:
     """Add ``is_test``; every class keeps its share in both parts."""
-    quotas = split_quotas(class_sizes(df, label), *fraction)
-    return df.withColumn("is_test", within(label, key, cut_keys(df, label, key, quotas)))
+    quotas = split_quotas(class_sizes(df, label), label, *fraction)
+    return marked(df, label, key, cut_keys(df, label, key, quotas), "is_test")
 
 
 def random_split(df: DataFrame, key: str, fraction: tuple[int, int] = (1, 5)) -> DataFrame:
     """Add ``is_test`` without strata; the test part has exactly ceil(fraction x n) rows."""
     whole = df.withColumn("_all", F.lit(0))
-    n_test = -(-df.count() * fraction[0] // fraction[1])
-    cuts = cut_keys(whole, "_all", key, {0: n_test})
-    return whole.withColumn("is_test", within("_all", key, cuts)).drop("_all")
+    num, den = fraction
+    quota = whole.groupBy("_all").agg(F.expr(f"(count(*) * {num} + {den - 1}) DIV {den}").alias("quota"))
+    return marked(whole, "_all", key, cut_keys(whole, "_all", key, quota), "is_test").drop("_all")
 
 
 def epoch_batches(

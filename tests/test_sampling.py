@@ -13,11 +13,15 @@ def labelled(spark, sizes, parts=4):
     return df.withColumn("key", ordering.shuffle_key(F.col("id"), 42))
 
 
+def sizes_of(df):
+    return {r["y"]: r["n"] for r in sampling.class_sizes(df, "y").collect()}
+
+
 def test_balance_is_exact(spark):
     df = labelled(spark, {0: 70, 1: 500, 2: 31})
-    counts = sampling.class_sizes(sampling.balance(df, "y", "key"), "y")
+    counts = sizes_of(sampling.balance(df, "y", "key"))
     assert counts == {0: 31, 1: 31, 2: 31}
-    assert set(sampling.class_sizes(sampling.balance(df, "y", "key", cap=30), "y").values()) == {30}
+    assert set(sizes_of(sampling.balance(df, "y", "key", cap=30)).values()) == {30}
 
 
 @pytest.mark.parametrize("floor", [30, 50])
@@ -49,13 +53,28 @@ def test_split_is_complete_disjoint_and_stratified(spark):
     assert counts == {(c, t): 100 if t else 300 for c in range(3) for t in (True, False)}
 
 
-@pytest.mark.parametrize("sizes", [{0: 401, 1: 401, 2: 401}, {0: 7, 1: 100, 2: 3}, {"a": 1, "b": 1}])
-def test_split_sizes(sizes):
-    quotas = sampling.split_quotas(sizes, 1, 4)
+@pytest.mark.parametrize("sizes", [{0: 401, 1: 401, 2: 401}, {0: 7, 1: 100, 2: 3}, {8: 1, 9: 1}])
+def test_split_sizes(spark, sizes):
+    table = spark.createDataFrame(list(sizes.items()), "y bigint, n bigint")
+    quotas = {r["y"]: r["quota"] for r in sampling.split_quotas(table, "y", 1, 4).collect()}
     assert sum(quotas.values()) == math.ceil(sum(sizes.values()) / 4)
     assert all(abs(quotas[c] - n / 4) <= 1 for c, n in sizes.items())
 
 
+def test_thousands_of_classes(spark):
+    df = labelled(spark, {c: 4 + c % 3 for c in range(3000)}).withColumn(
+        "y", F.when(F.col("y") != 7, F.col("y"))
+    )
+    sizes = sizes_of(df)
+    assert len(sizes) == 2999 and None not in sizes
+    head = sampling.head_per_class(df, "y", "key", 5)
+    assert sizes_of(head) == {c: min(5, n) for c, n in sizes.items()}
+    assert set(sizes_of(sampling.balance(df, "y", "key", at_least=4)).values()) == {4}
+    split = sampling.stratified_split(df, "y", "key")
+    assert split.count() == df.count()
+    assert split.filter("is_test").count() == math.ceil(sum(sizes.values()) / 4)
+
+
 def test_random_split_size(spark):
     df = sampling.random_split(labelled(spark, {0: 101}), "key")
     assert df.filter("is_test").count() == 21
@@ -154,6 +173,8 @@ def test_histogram_edges(spark):
 
 def test_cut_through_large_buckets(spark, monkeypatch):
     df = labelled(spark, {0: 700, 1: 500})
-    plain = sampling.cut_keys(df, "y", "key", {0: 123, 1: 500})
+    quotas = spark.createDataFrame([(0, 123), (1, 500)], "y bigint, quota bigint")
+    plain = sorted(map(tuple, sampling.cut_keys(df, "y", "key", quotas).collect()))
+    assert len(plain) == 2
     monkeypatch.setattr(sampling, "BUCKET_ROWS", 0)
-    assert sampling.cut_keys(df, "y", "key", {0: 123, 1: 500}) == plain
+    assert sorted(map(tuple, sampling.cut_keys(df, "y", "key", quotas).collect())) == plain
