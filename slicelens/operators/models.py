@@ -27,7 +27,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slicelens.operators.joins import pin
+from slicelens.operators.joins import stage
 from slicelens.settings import CLASSES, CLASS_WEIGHTS, FEATURES, LABEL
 
 SEED = 42
@@ -40,7 +40,7 @@ def compact(df: DataFrame, rows: int) -> DataFrame:
     Iterative fits launch a task per partition and round, so a small sample must
     not stay spread over the partitions of the table it was taken from.
     """
-    return pin(df.repartition(max(1, math.ceil(rows / ROWS_PER_TASK))))
+    return stage(df.repartition(max(1, math.ceil(rows / ROWS_PER_TASK))), "sample")
 
 
 def _fit(df: DataFrame, estimator, columns, features: str = "features") -> PipelineModel:
@@ -67,14 +67,19 @@ def fit_gradient_boost(
     return _fit(df, OneVsRest(classifier=boost, labelCol=label, parallelism=3), columns)
 
 
+def kernel_weights(inputs: int, size: int, gamma: float, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Directions (one column a feature) and phases of the random features."""
+    rng = np.random.default_rng(seed)
+    directions = rng.normal(0.0, math.sqrt(2.0 * gamma), (inputs, size))
+    return directions, rng.uniform(0.0, 2.0 * math.pi, size)
+
+
 def kernel_features(df: DataFrame, columns, size: int, gamma: float, seed: int = SEED) -> DataFrame:
     """Random Fourier features whose inner products approximate an RBF kernel.
 
     Rahimi and Recht, "Random features for large-scale kernel machines", 2007.
     """
-    rng = np.random.default_rng(seed)
-    directions = rng.normal(0.0, math.sqrt(2.0 * gamma), (len(columns), size))
-    phases = rng.uniform(0.0, 2.0 * math.pi, size)
+    directions, phases = kernel_weights(len(columns), size, gamma, seed)
     scale = math.sqrt(2.0 / size)
 
     @F.pandas_udf("array<double>")
@@ -110,7 +115,7 @@ def fit_rbf_svm(
     seen = df.agg(F.count("*").alias("n")).first()["n"]
     variance = df.select(cells).agg(F.var_pop("cell")).first()[0]
     gamma = 1.0 / (len(columns) * (variance or 1.0))
-    mapped = pin(kernel_features(df, columns, size, gamma).select("kernel", label))
+    mapped = stage(kernel_features(df, columns, size, gamma).select("kernel", label), "kernel")
     margin = LinearSVC(regParam=1.0 / (c * seen), maxIter=rounds, standardization=False)
     rest = OneVsRest(classifier=margin, labelCol=label, featuresCol="kernel", parallelism=3)
     return KernelModel(columns, size, gamma, rest.fit(mapped))
@@ -145,7 +150,7 @@ def fit_weighted_network(
     for c, w in times.items():
         n = F.when(F.col(label) == c, F.lit(w // shared)).otherwise(n)
     copies = F.sequence(F.lit(1), n)
-    repeated = pin(with_weights(df, label).withColumn("_copy", F.explode(copies)).drop("_copy"))
+    repeated = stage(with_weights(df, label).withColumn("_copy", F.explode(copies)).drop("_copy"), "repeated")
     network = MultilayerPerceptronClassifier(
         labelCol=label, layers=[len(columns), *hidden, len(CLASSES)], maxIter=rounds, seed=SEED
     )
@@ -164,21 +169,21 @@ def predict_sign(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def score_table(models: dict, df: DataFrame, identity: str, label: str = LABEL) -> DataFrame:
-    """Long table ``sample_id, model, y_true, y_pred, scores`` of several models.
+    """Long table ``sample_id, model, y_true, y_pred, scores`` of several fitted or stored models.
 
     ``scores`` are class probabilities, or raw margins of models without them.
     """
     tables = []
     for name, model in models.items():
         scored = model.transform(df)
-        column = "probability" if "probability" in scored.columns else "rawPrediction"
+        made = [c for c in ("scores", "probability", "rawPrediction") if c in scored.columns]
         tables.append(
             scored.select(
                 F.col(identity).alias("sample_id"),
                 F.lit(name).alias("model"),
                 F.col(label).cast("bigint").alias("y_true"),
                 F.col("prediction").cast("bigint").alias("y_pred"),
-                vector_to_array(column).alias("scores"),
+                (F.col("scores") if made[0] == "scores" else vector_to_array(made[0])).alias("scores"),
             )
         )
     whole = tables[0]
