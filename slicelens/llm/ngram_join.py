@@ -6,8 +6,8 @@ shingles; here those of one document come first and frequent ones last, so a
 passage that many hold rarely gets there. Each such shingle has a list of the
 documents that hold it there, and the join skips along and between lists:
 
-* Index level. A list is split by component, and entries of one component are
-  not paired. It is sorted by block of positions, then by set size. For an entry
+* Index level. A list is split by the components that stars of near copies
+  make, and entries of one component are not paired. It is sorted by block of positions, then by set size. For an entry
   and a block, the sizes that can still reach the needed overlap are one
   interval, so the rest of the block is skipped without being looked at.
 * Answer level. Equal sets are one class. Sets found highly similar to a root
@@ -15,7 +15,8 @@ documents that hold it there, and the join skips along and between lists:
   |x ^ z| lies within |r ^ s| -+ (|x ^ r| + |z ^ s|), which settles whole groups
   of pairs from the one computed pair of roots.
 
-Only what that leaves open is compared by itself. Links inside one component
+A parity of each set rules out pairs that differ in more bits than shingles may
+differ. Only what that leaves open is compared by itself. Links inside one component
 are not looked for again: the result is each document's component.
 """
 
@@ -43,6 +44,10 @@ TILE = 4096
 ENTRIES = 200_000
 BLOCK = 64
 PAIRS = 1 << 20
+#: Pairs whose parities are compared at a time.
+MET = 1 << 17
+#: Bits of a set's parity: each of its shingles flips one. Two sets differ in no more bits than shingles.
+PARITY = 256
 #: Shingles that a task counts together.
 TALLIED = 1 << 21
 _SEEN = np.uint8(1) << np.arange(8, dtype=np.uint8)
@@ -185,11 +190,16 @@ def shingle_filters(
     return out[0], out[1]
 
 
+def _parity(s: np.ndarray) -> bytes:
+    odd = np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
 def _entries(batches, length, seen, rule, filters, bits):
-    """The list entries of each document: shingle, size, position in the order, shingles of its own."""
+    """The list entries of each document: shingle, size, position in the order, shingles of its own, parity."""
     shared, frequent = filters
     for ids, sets in _sets(batches, length, seen):
-        found = []
+        found, parities = [], []
         for i, s in zip(ids, sets, strict=True):
             if not len(s):
                 continue
@@ -201,10 +211,10 @@ def _entries(batches, length, seen, rule, filters, bits):
                 lone = int((rank == 0).sum())
                 found.append((np.full(len(pos), i), s[order[pos]].view(np.int64), np.full(len(pos), len(s)), pos,
                               np.full(len(pos), lone)))
+                parities += [_parity(s)] * len(pos)
         if found:
-            yield pd.DataFrame(
-                {c: np.concatenate([f[k] for f in found]) for k, c in enumerate(("id", "shingle", "n", "pos", "lone"))}
-            )
+            out = {c: np.concatenate([f[k] for f in found]) for k, c in enumerate(("id", "shingle", "n", "pos", "lone"))}
+            yield pd.DataFrame({**out, "parity": parities})
 
 
 # Lists
@@ -301,15 +311,21 @@ def _alike(frame: pd.DataFrame, rule: Rule) -> pd.DataFrame:
 
 
 def _met(frame: pd.DataFrame, rule: Rule, emit: Callable) -> pd.DataFrame:
-    """``emit`` of all pairs of different components that the lists cannot rule out."""
+    """``emit`` of all pairs of different components that neither lists nor parities can rule out."""
     frame, list_no = _sorted_lists(frame, ["list", "n", "id"])
     c = {k: frame[k].to_numpy() for k in ("id", "n", "pos", "component", "root", "apart", "half")}
+    parity = np.frombuffer(b"".join(frame.pop("parity")), np.uint64).reshape(len(frame), -1)
     out = []
-    for i, j in _windows(list_no, c["n"], c["pos"], c["component"], rule):
-        # Both from one half of a tile: another tile has this pair.
-        keep = (c["half"][i] == 0) | (c["half"][i] != c["half"][j])
-        if keep.any():
-            out.append(emit(c, i[keep], j[keep], rule))
+    for some_i, some_j in _windows(list_no, c["n"], c["pos"], c["component"], rule):
+        for lo in range(0, len(some_i), MET):
+            i, j = some_i[lo : lo + MET], some_j[lo : lo + MET]
+            # Both from one half of a tile: another tile has this pair.
+            keep = (c["half"][i] == 0) | (c["half"][i] != c["half"][j])
+            i, j = i[keep], j[keep]
+            odd = np.bitwise_count(parity[i] ^ parity[j]).sum(axis=1, dtype=np.int64)
+            keep = odd <= rule.apart(c["n"][i], c["n"][j])
+            if keep.any():
+                out.append(emit(c, i[keep], j[keep], rule))
     return pd.concat(out) if out else emit(c, np.zeros(0, int), np.zeros(0, int), rule)
 
 
@@ -397,7 +413,7 @@ def links(
     filters = shingle_filters(texts, length, seen, frequent, bits)
     entries = texts.mapInPandas(
         one(_entries, length=length, seen=seen, rule=rule, filters=filters, bits=bits),
-        "id long, shingle long, n long, pos long, lone long",
+        "id long, shingle long, n long, pos long, lone long, parity binary",
     )
     entries = stage(entries.join(reps, "id", "left_semi"), "entries")
     # The set with the fewest shingles of its own is the likeliest source of the others.
@@ -436,14 +452,22 @@ def links(
         F.min_by(apart, F.struct("common", "a")).alias("apart"),
     )
 
-    # Entries with their root and the distance to it; a root stands for its members' component.
-    rooted = lists.join(info, "id", "left").select(
-        "id", "n", "pos", "m", "shingle", F.coalesce("root", "id").alias("root"),
-        F.coalesce("apart", F.lit(0)).alias("apart"),
+    # An id with several sets has no one distance to a root: it is its own.
+    one_set = F.struct("n", "f1", "f2")
+    several = (
+        prints.filter("n > 0").groupBy("id").agg(F.min(one_set).alias("lo"), F.max(one_set).alias("hi"))
+        .filter("lo <> hi").select("id")
+    )
+    info = info.join(several, "id", "left_anti")
+
+    # Entries with their root and the distance to it, and the component that the stars make.
+    rooted = lists.join(info, "id", "left").join(components(found.select("a", "b")), "id", "left").select(
+        "id", "n", "pos", "m", "shingle", "parity", F.coalesce("root", "id").alias("root"),
+        F.coalesce("apart", F.lit(0)).alias("apart"), F.coalesce("component", "id").alias("component"),
     )
 
     # Roots: one computed pair answers for all pairs of their members that it settles.
-    joined = stage(rooted.withColumn("component", F.col("root")), "rooted")
+    joined = stage(rooted, "rooted")
     pairs = stage(
         _by_task(_tiled(joined, tile), _tiled_rows(joined, tile))
         .applyInPandas(one(_met, rule=rule, emit=_root_pairs), "a long, b long, slack long")

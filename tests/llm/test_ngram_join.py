@@ -102,10 +102,34 @@ def entries(seed, rows, components):
     component = rng.integers(0, components, rows)
     return pd.DataFrame({
         "id": np.arange(rows), "n": n, "pos": (n * rng.uniform(0, 0.15, rows)).astype(int), "list": rng.integers(0, 3, rows),
-        "component": component, "root": component, "apart": 0, "half": 0,
+        "component": component, "root": component, "apart": 0, "half": 0, "parity": [bytes(32)] * rows,
     })
 
 
+def test_parity_never_exceeds_the_difference():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 400)).astype(np.uint64))
+        b = np.unique(np.concatenate((a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 63, 9).astype(np.uint64))))
+        x, y = (np.frombuffer(ngram_join._parity(s), np.uint64) for s in (a, b))
+        assert len(x) * 64 == ngram_join.PARITY
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+    assert ngram_join._parity(a) == ngram_join._parity(a[::-1])
+
+
+def test_ids_with_several_texts(make):
+    rng = random.Random(12)
+    rows = []
+    for family in range(12):
+        base = [f"f{family}w{i}" for i in range(60)]
+        for _ in range(12):
+            own = base[:]
+            for _ in range(rng.randint(0, 4)):
+                own[rng.randrange(60)] = f"x{rng.random()}"
+            rows.append((rng.randint(0, 70), " ".join(own)))
+    compare(make, rows, tile=8)
+
+
 @pytest.mark.parametrize("components", [1, 2, 7, 400])
 def test_only_entries_of_different_components_are_paired(monkeypatch, components):
     rule, frame, paired = Rule(85, 100), entries(components, 400, components), []
