@@ -29,7 +29,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    _owned(df.sparkSession, path, getattr(_scopes, "open", [])[-1:])
+    for paths in getattr(_scopes, "open", [])[-1:]:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -46,15 +47,6 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             _removed(spark, name)
 
 
-def _owned(spark: SparkSession, name: str, scopes: list[list[str]]) -> None:
-    """The innermost of ``scopes`` is to remove the path, or else the end of the application."""
-    if scopes:
-        scopes[-1].append(name)
-    else:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-
-
 def _removed(spark: SparkSession, name: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -69,6 +61,12 @@ def unstage(df: DataFrame) -> None:
             _removed(df.sparkSession, name)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove a table staged outside any ``scratch`` that nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _removed(df.sparkSession, folder)
+
+
 def contained(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """The table is staged when made, and what was staged on the way is removed.
 
@@ -81,7 +79,8 @@ def contained(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         with scratch(df.sparkSession):
             out = stage(make(df, *args, **kwargs), make.__name__)
             kept = _scopes.open[-1].pop()
-        _owned(df.sparkSession, kept, outer)
+        for paths in outer:
+            paths.append(kept)
         return out
 
     return run

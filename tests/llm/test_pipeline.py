@@ -91,3 +91,32 @@ def test_empty_tables(spark, make, tmp_path):
     make([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     make([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_keeps_other_texts_of_an_id(spark, make):
+    rows = [(1, "a b c d e f g h", "en", "s2", 15), (1, "a b c d e f g h", "en", "s1", 15),
+            (1, "another text that has nothing in common", "en", "s1", 39), (None, "x", None, None, 1),
+            (2, "a b c d e f g h", "en", "s1", 15)]
+    docs = make(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[1], rows[2], rows[3]], key=str)
+    again = corpus_pipeline.near_dedup(spark, docs.repartition(5, "source"), "")
+    assert sorted(map(str, again.collect())) == sorted(map(str, kept.collect()))
+
+
+def test_stages_are_removed(spark, monkeypatch, tmp_path, make):
+    names = []
+    docs = make([(i, f"t{i}", "en", "s", 2) for i in range(5)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+
+    def plain(spark, docs, sf_dir):
+        names.append(docs.inputFiles()[0])
+        return docs
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", plain), ("two", plain), ("three", plain)])
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 5
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(names[1]).getFileSystem(spark._jsc.hadoopConfiguration())
+    assert [store.exists(path(n)) for n in names] == [True, False, False]
+    assert store.exists(path(out.inputFiles()[0]))
