@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slicelens.llm.common import read, stage
+from slicelens.llm.common import discard, read, stage
 from slicelens.llm.line_dedup import strip_boilerplate
 from slicelens.llm.mixing import mix_documents
 from slicelens.llm.ngram_join import jaccard_components
@@ -14,7 +14,10 @@ from slicelens.llm.toxicity import fit_toxicity, toxicity_score
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under 0.5; the model learns from ``labels``."""
+    """Documents whose toxicity score is under 0.5; the model learns from ``labels``.
+
+    A null text scores as an empty one. Rows that repeat an id are scored each by its own text.
+    """
     model = fit_toxicity(docs.select("doc_id", "text"), read(spark, sf_dir, "labels"))
     return docs.filter(toxicity_score(F.col("text"), model) < 0.5)
 
@@ -40,7 +43,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: five-word shingles, similarity 0.8 or more.
 
-    The smallest id stays. Of rows that repeat an id one stays; rows without id all stay.
+    The smallest id stays. Of rows with this id and one text the first by all
+    columns stays; another text under the same id stays too. Rows without id all stay.
     """
     found = jaccard_components(docs.select("doc_id", "text"))
     kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
@@ -49,13 +53,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Always a shuffle join: the ids grow with the documents.
     once = (
         rows.join(kept.hint("merge"), F.col("doc.doc_id") == F.col("id"), "left_semi")
-        .select("doc", F.col("doc.doc_id").alias("id")).dropDuplicates(["id"]).select("doc.*")
+        .groupBy(F.col("doc.doc_id").alias("id"), F.md5(F.col("doc.text").cast("binary")).alias("text"))
+        .agg(F.min("doc").alias("doc")).select("doc.*")
     )
     return once.union(docs.filter("doc_id IS NULL").select(*names))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as a 5-2-1 mix of their sources takes them."""
+    """Documents as often as a 5-2-1 mix of their sources takes them.
+
+    A null source is a source of its own, the last; a null text has no words and is never taken.
+    Rows that repeat an id are taken each for itself.
+    """
     return mix_documents(docs)
 
 
@@ -77,8 +86,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; every stage's result is written and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over ``documents``; every stage's result is written and read again.
+
+    A result is removed once the next stage has been written.
+    """
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
