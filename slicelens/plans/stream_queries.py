@@ -59,7 +59,7 @@ FROM a"""
 def stream_window_features(spark, folder):
     packets = I.packets(spark, folder).withColumn("ts", F.timestamp_micros("us"))
     stream = replay(spark, folder, packets, AFTER_US)
-    windows = stream_windows(stream, SPEC, DELAY, slices=4, lanes=2).drop("window_time")
+    windows = stream_windows(stream, SPEC, DELAY, slices=4, lanes=1).drop("window_time")
     digits = {c: d for c, d in S.DIGITS.items() if not c.startswith("bitrate")}
     return rounded(drain(windows, "windows"), **digits)
 
