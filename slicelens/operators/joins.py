@@ -35,12 +35,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
-def pin(df: DataFrame) -> DataFrame:
-    """Evaluate once into reliable storage; survives the loss of executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write once as Parquet in the shared folder and read back.
 
