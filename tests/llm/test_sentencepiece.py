@@ -51,6 +51,34 @@ def test_best_path_and_round_trip(text):
     assert path_score(coder, ids) == pytest.approx(best_score(coder, text))
 
 
+def test_long_units_take_the_same_path_as_short_ones(monkeypatch):
+    rng = np.random.default_rng(2)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/日本語é"))
+    texts = ["".join(rng.choice(letters, n)) for n in (5, 80, 600, 2000)] + ["a" * 700, "ab" * 400, "▁" * 50]
+    coder = load(MODEL)
+    coder._forget()
+    together = coder.encode(texts)
+    monkeypatch.setattr("slicelens.llm.sentencepiece.LONG", 3)
+    coder._forget()
+    for one, other, text in zip(together, coder.encode(texts), texts, strict=True):
+        assert one.tolist() == other.tolist() and coder.decode(other) == text
+    coder._forget()
+
+
+def test_a_megabyte_without_a_blank(monkeypatch):
+    import time
+
+    coder = load(MODEL)
+    text = "".join(np.random.default_rng(3).choice(list("abcdefghijklmnopqrstuvwxyz0123456789日"), 1 << 20))
+    begun = time.monotonic()
+    (ids,) = coder.encode([text])
+    assert time.monotonic() - begun < 60 and coder.decode(ids) == text
+    # What was solved is forgotten by bytes, not by units.
+    coder.encode(["x" * (3 << 20)])
+    coder.encode(["y"])
+    assert coder.held < 100
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab▁ \ncé", max_size=12), max_size=6))
 def test_small_vocabulary(texts):
