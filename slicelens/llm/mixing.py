@@ -66,6 +66,10 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST
     return stopped.select("source", "source_size", target.alias("target"))
 
 
+def _tie(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 @contained
 def mix(
     docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: int = SEED
@@ -74,25 +78,34 @@ def mix(
 
     Needs ``doc_id, source, text``; other columns are not looked at. ``copies``
     is how often the mix takes the document, 0 to ``most``. Null or empty texts
-    have size 0 and are never taken. The shuffle is the md5 of id and seed, so
-    reruns and other partitionings agree; rows with one id and size are
+    have size 0 and are never taken. The shuffle is the md5 of id and seed, then
+    size and a hash of the text, so reruns and other partitionings agree; many
+    null ids spread over tasks by it. Rows of one id and text are
     interchangeable. The budget is the total of all sizes.
     """
+    taken = _queued(docs, weights, most, seed)
+    return taken.select("doc_id", "source", "size", "source_size", "target", "copies")
+
+
+def _queued(docs: DataFrame, weights: Sequence[int], most: int, seed: int) -> DataFrame:
+    """What ``mix`` returns, and ``tie``, the hash of the text."""
     rows = stage(
         docs.select(
-            "doc_id", "source", word_count(F.col("text")).alias("size"),
+            "doc_id", "source", word_count(F.col("text")).alias("size"), _tie(F.col("text")).alias("tie"),
             shuffle_key(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed).alias("key"),
+            # Staged, so it stays; keeps equal rows apart in ranges.
+            F.xxhash64(F.monotonically_increasing_id()).alias("row"),
         ),
         "sizes",
     )
     goals = targets(rows, weights, most)
-    order = [F.col("source").isNull(), F.col("source"), F.col("key"), F.col("size")]
+    order = [F.col("source").isNull(), *[F.col(c) for c in ("source", "key", "size", "tie", "row")]]
     queued = running(by_range(rows, order, "queue"), ["source"], "queue", order[2:], ["size"])
     g = goals.select(F.col("source").alias("_source"), "source_size", "target")
     queued = stage(
         queued.join(g, F.col("source").eqNullSafe(F.col("_source")))
         .select(
-            "doc_id", "source", "size", "key", "source_size", "target",
+            "doc_id", "source", "size", "tie", "key", "source_size", "target",
             (F.col("size_before") + F.col("size")).alias("sent"),
         ),
         "queued",
@@ -112,7 +125,7 @@ def mix(
         .agg(F.max(F.struct("finish", "key", "copy"))).first()[0]
     )
     if last is None:
-        return queued.select("doc_id", "source", "size", "source_size", "target",
+        return queued.select("doc_id", "source", "size", "tie", "source_size", "target",
                              F.lit(0).alias("copies"))
     cut = F.struct(F.lit(last.finish).alias("finish"), F.lit(last.key).alias("key"),
                    F.lit(last.copy).cast("bigint").alias("copy"))
@@ -133,30 +146,41 @@ def mix(
         F.lit(0),
     )
     return queued.select(
-        "doc_id", "source", "size", "source_size", "target",
+        "doc_id", "source", "size", "tie", "source_size", "target",
         F.when((F.col("size") > 0) & (F.col("target") > 0), n).otherwise(0).alias("copies"),
     )
 
 
+@contained
+def _taken(docs: DataFrame, weights: Sequence[int], most: int, seed: int) -> DataFrame:
+    return _queued(docs, weights, most, seed)
+
+
 def mix_documents(
     docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: int = SEED
 ) -> DataFrame:
     """The rows of ``docs`` that the mix takes, each as often as it is taken, with all columns.
 
-    Rows of one id and size are interchangeable: the mix says how many of them
+    Rows of one id and text are interchangeable: the mix says how many of them
     it takes how often, and any of them fill these places.
     """
-    taken = mix(docs.select("doc_id", "source", "text"), weights, most, seed)
-    places = taken.groupBy(F.col("doc_id").alias("id"), F.col("size").alias("words")).agg(
+    taken = _taken(docs.select("doc_id", "source", "text"), weights, most, seed)
+    places = taken.groupBy(F.col("doc_id").alias("id"), F.col("size").alias("words"), F.col("tie").alias("mark")).agg(
         F.array(*[F.count_if(F.col("copies") >= i) for i in range(1, most + 1)]).alias("places")
     )
     columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(columns.alias("doc"), word_count(F.col("text")).alias("size"))
-    turn = Window.partitionBy("doc.doc_id", "size").orderBy("size")
+    rows = docs.select(
+        columns.alias("doc"), word_count(F.col("text")).alias("size"), _tie(F.col("text")).alias("tie")
+    )
+    turn = Window.partitionBy("doc.doc_id", "size", "tie").orderBy("size")
     copies = F.size(F.filter("places", lambda n: n >= F.col("turn")))
+    same = (
+        F.col("doc.doc_id").eqNullSafe(F.col("id")) & (F.col("size") == F.col("words"))
+        & (F.col("tie") == F.col("mark"))
+    )
     return (
         rows.withColumn("turn", F.row_number().over(turn))
-        .join(places.hint("merge"), F.col("doc.doc_id").eqNullSafe(F.col("id")) & (F.col("size") == F.col("words")))
+        .join(places.hint("merge"), same)
         .withColumn("copies", copies).filter("copies > 0")
         .select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
         .select("doc.*")

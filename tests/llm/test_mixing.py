@@ -64,3 +64,19 @@ def test_repeated_rows_and_empty_table(make):
     assert mix(make([], SCHEMA)).count() == 0
     assert mix_documents(make([], SCHEMA)).count() == 0
     assert {r.copies for r in mix(make([(1, "a", None, "", "")], SCHEMA)).collect()} == {0}
+
+
+def test_null_ids_and_a_very_long_text(make):
+    rows = [(None, "a", f"text {i} " + "w " * (i % 4), "", "") for i in range(400)]
+    rows += [(None, None, "same text", "", "")] * 50 + [(5, "b", "long " * 300_000, "", "")]
+    docs = make(rows, SCHEMA)
+    got = mix(docs)
+    own = got.collect()
+    assert len(own) == len(rows) and got.columns == ["doc_id", "source", "size", "source_size", "target", "copies"]
+    for source in ("a", None):
+        mine = [r for r in own if r.source == source]
+        assert sum(r.copies * r.size for r in mine) == pytest.approx(mine[0].target, rel=0.02)
+    taken = mix_documents(docs)
+    counts = {r[0]: r[1] for r in taken.groupBy("text").count().collect()}
+    assert sum(counts.values()) == sum(r.copies for r in own)
+    assert all(n <= (150 if t == "same text" else 3) for t, n in counts.items())
