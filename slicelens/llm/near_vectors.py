@@ -112,7 +112,7 @@ def _compared(least: float, kind: str):
         found = []
         for _, part in frame.groupby(frame.vector.map(len), sort=True):
             part = part.sort_values(["bucket", "id"], ignore_index=True)
-            label, half, ids = part.label.to_numpy(), part.half.to_numpy(), part.id.to_numpy()
+            label, half, ids = pd.factorize(part.label)[0], part.half.to_numpy(), part.id.to_numpy()
             x = np.frombuffer(b"".join(part.vector), kind).reshape(len(part), -1)
             for i, j in _pairs(part.bucket.to_numpy()):
                 # Both rows from one half of a tile: another tile compares them.
@@ -143,14 +143,16 @@ def near_pairs(classes: DataFrame, rows: int, least: float = LEAST, tile: int =
     kind = "<f4" if classes.schema["vector"].dataType.simpleString() == "array<float>" else "<f8"
     hashed = stage(
         classes.select("id", "label", "vector")
-        .mapInPandas(_hashed(k, tables, kind), "id long, label long, vector binary, buckets array<long>"),
+        .mapInPandas(_hashed(k, tables, kind), "id long, label string, vector binary, buckets array<long>"),
         "hashed",
     )
     each = hashed.select("id", "label", "vector", F.explode("buckets").alias("bucket"))
     counts = stage(
         each.groupBy("label", "bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets"
     )
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    # Tasks by rows as tiled: a bucket of c chunks sends each row to c tiles.
+    tiled = F.col("n") * F.ceil(F.col("n") / F.lit(tile))
+    total = counts.agg(F.sum(tiled)).first()[0] or 0
     groups = max(1, math.ceil(total / tile))
     met = each.join(counts, ["label", "bucket"])
     chunks = F.ceil(F.col("n") / F.lit(tile)).cast("int")
@@ -177,7 +179,7 @@ def link_vectors(
 ) -> DataFrame:
     """``key, n_links, component_id, kept`` of every row.
 
-    Vectors of one label link from cosine ``least`` up. Null labels, null keys
+    Vectors of one label (of any type, by its text) link from cosine ``least`` up. Null labels, null keys
     and vectors that are null, zero or hold null or non-finite components link
     with nothing; so do vectors of different length. Equal vectors of a label
     are one class that is compared once: its members link with each other and
@@ -185,7 +187,7 @@ def link_vectors(
     as one vector, once for each different vector they have.
     """
     kept = rows.select(
-        F.col(key).cast("long").alias("id"), F.col(label).cast("long").alias("label"),
+        F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"),
         F.col(vector).alias("vector"),
     )
     takes_part = usable(F.col("vector")) & F.col("label").isNotNull() & F.col("id").isNotNull()

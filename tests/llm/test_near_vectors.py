@@ -59,3 +59,12 @@ def test_empty_table_and_chances(make):
     for n in (1, 100, 10_000, 10**9):
         k, tables = tables_for(n)
         assert 1 - (1 - collision(np.sqrt(2 - 2 * 0.93)) ** k) ** tables >= FOUND
+
+
+def test_extra_columns_and_labels_as_text(make):
+    rows = [(1, [1.0, 0.0], "7", "a", "b"), (2, [0.99, 0.05], "7", "a", "b"), (3, [1.0, 0.0], "8", "a", "b")]
+    docs = make(rows, "vec_id long, embedding array<float>, label string, bucket string, n string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in link_vectors(docs).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3)}
+    named = make([(r[0], r[1], "x" + r[2], "a", "b") for r in rows], docs.schema)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in link_vectors(named).collect()} == got
