@@ -2,7 +2,9 @@
 
 Every vector keeps its ``WIDTH`` best known neighbours. A round of NN-descent
 joins the graph with itself: whoever names v as a neighbour, or is named by v,
-meets at v, and all that meet there are compared. Blocks of a few random
+meets at v, and all that meet there are compared. At a node that very many name,
+they are dealt into companies, other ones in every round, and each company is
+compared, so a hub costs its names times a constant. Blocks of a few random
 projection trees give the first lists. A search walks the graph from the
 query's own list and looks, hop by hop, at the neighbours of its best finds.
 
@@ -23,11 +25,12 @@ from pyspark.sql import functions as F
 from slicelens.llm.common import contained, one, read, stage, two, unstage
 from slicelens.llm.near_vectors import usable
 from slicelens.llm.registry import query
+from slicelens.llm.words import mixed
 
 #: Neighbours a node keeps.
 WIDTH = 40
 #: Rows of a block and number of trees for the first lists.
-ROWS, TREES = 2048, 4
+ROWS, TREES = 128, 4
 #: Vectors that place the trees' cuts, at most about.
 SAMPLE = 2000
 #: Rounds end once no more than this share of all neighbours is new.
@@ -38,8 +41,10 @@ SHARE = 1 << 14
 BEAM, FOLLOW = 192, 48
 #: Further cuts of a large block in one go.
 CUTS = 8
-#: Rows compared at once with all that meet at a node, and finds of a task held before the best are kept.
+#: Rows compared at once, and finds of a task held before the best are kept.
 MEETING, HELD = 1024, 1 << 22
+#: Nodes that meet at one node and are all compared with each other; more are dealt anew in every round.
+HUB = 4096
 
 GRAPH = "node long, share int, code binary, near binary, score binary, fresh binary, news int"
 LINKS = "share int, node long, code binary, least double, at binary, fresh binary"
@@ -205,8 +210,17 @@ def _meetings(links: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return v[order], row[order], f[order]
 
 
-def _joined(links: pd.DataFrame, width: int) -> pd.DataFrame:
-    """All that meet at a node are compared, unless they met before."""
+def _companies(nodes: np.ndarray, turn: int, hub: int) -> list[np.ndarray]:
+    """Positions of all that meet at a node, in groups of at most ``hub``, dealt by hash and round."""
+    if len(nodes) <= hub:
+        return [np.arange(len(nodes))]
+    # Hashed twice: a plain difference of two rounds would keep the same company.
+    key = mixed(mixed(nodes.astype(np.uint64)) + np.uint64(turn + 1))
+    return np.array_split(np.argsort(key, kind="stable"), math.ceil(len(nodes) / hub))
+
+
+def _joined(links: pd.DataFrame, width: int, turn: int = 0, hub: int = HUB) -> pd.DataFrame:
+    """All that meet at a node are compared, unless they met before; at a hub, each company of this round."""
     x, node, least = _codes(links), links.node.to_numpy(), links.least.to_numpy(np.float64)
     v, row, fresh = _meetings(links)
     out, held, most = [], 0, HELD
@@ -215,19 +229,21 @@ def _joined(links: pd.DataFrame, width: int) -> pd.DataFrame:
         return _strongest(*(np.concatenate(p) for p in zip(*out, strict=True)), width)
 
     for lo, hi in zip(*_runs(v), strict=True):
-        r, f = row[lo:hi], fresh[lo:hi].astype(bool)
-        if not f.any():
-            continue
-        for a in range(0, len(r), MEETING):
-            p, g = r[a : a + MEETING], f[a : a + MEETING]
-            s = _products(x[p], x[r])
-            i, j = np.nonzero((s > least[p][:, None]) & (g[:, None] | f) & (node[p][:, None] != node[r]))
-            out.append((node[p[i]], node[r[j]], s[i, j]))
-            held += len(i)
-            if held > most:
-                strongest = kept()
-                out = [tuple(strongest[c].to_numpy() for c in ("node", "other", "score"))]
-                held, most = len(strongest), max(HELD, 2 * len(strongest))
+        for company in _companies(node[row[lo:hi]], turn, hub):
+            # Whether two met before is not known of a hub's company.
+            r, f = row[lo:hi][company], fresh[lo:hi][company].astype(bool) | (hi - lo > hub)
+            if not f.any():
+                continue
+            for a in range(0, len(r), MEETING):
+                p, g = r[a : a + MEETING], f[a : a + MEETING]
+                s = _products(x[p], x[r])
+                i, j = np.nonzero((s > least[p][:, None]) & (g[:, None] | f) & (node[p][:, None] != node[r]))
+                out.append((node[p[i]], node[r[j]], s[i, j]))
+                held += len(i)
+                if held > most:
+                    strongest = kept()
+                    out = [tuple(strongest[c].to_numpy() for c in ("node", "other", "score"))]
+                    held, most = len(strongest), max(HELD, 2 * len(strongest))
     if not out:
         return pd.DataFrame({"node": [], "share": [], "other": [], "score": []})
     return kept().assign(share=0)[["node", "share", "other", "score"]]
@@ -313,6 +329,8 @@ def build_graph(
     drawn = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) <= F.lit(int(part * (1 << 30)))
     sample = _codes(coded.filter(drawn).select("code").toPandas())
     depth = max(0, math.ceil(math.log2(max(count, 1) / rows)))
+    # A tree without cuts is the whole table; one of them will do.
+    trees = trees if depth else 1
     planes = np.random.default_rng(seed).normal(size=(sample.shape[1], trees * depth))
     cuts = np.median(sample @ planes, axis=0).reshape(trees, depth) if len(sample) else np.zeros((trees, depth))
     placed = coded.mapInPandas(
@@ -331,10 +349,11 @@ def build_graph(
         none(0, np.uint8).alias("fresh"), F.lit(0).alias("news"),
     )
     graph = stage(_merged(graph, _own_share(found, shares), width), "graph")
-    news = math.inf
+    news, turn = math.inf, 0
     while news > SETTLED * count * width:
         links = _links(graph, shares, width)
-        found = links.groupBy("share").applyInPandas(one(_joined, width=width), FOUND)
+        found = links.groupBy("share").applyInPandas(one(_joined, width=width, turn=turn), FOUND)
+        turn += 1
         last, graph = graph, stage(_merged(graph, _own_share(found, shares), width), "graph")
         unstage(last)
         news = graph.agg(F.sum("news")).first()[0] or 0
@@ -373,15 +392,28 @@ def _answered(asked: pd.DataFrame, links: pd.DataFrame, beam: int) -> pd.DataFra
     q, who, least = _codes(asked), asked.node.to_numpy(), asked.least.to_numpy(np.float64)
     v, row, _ = _meetings(links)
     w, asks, _ = _meetings(asked)
-    out = []
+    out, held, most = [], 0, HELD
+
+    def kept():
+        return _strongest(*(np.concatenate(p) for p in zip(*out, strict=True)), beam)
+
     for lo, hi in zip(*_runs(w), strict=True):
         a, b = np.searchsorted(v, w[lo]), np.searchsorted(v, w[lo], side="right")
-        r, p = row[a:b], asks[lo:hi]
-        s = _products(q[p], x[r])
-        i, j = np.nonzero((s > least[p][:, None]) & (who[p][:, None] != node[r]))
-        out.append((p[i], r[j], s[i, j]))
-    i, j, s = (np.concatenate(p) for p in zip(*out, strict=True))
-    return _strongest(who[i], node[j], s, beam).assign(share=0)[["node", "share", "other", "score"]]
+        # Both sides of a hub are long: in tiles.
+        for c in range(lo, hi, MEETING):
+            for d in range(a, b, HUB):
+                r, p = row[d : min(b, d + HUB)], asks[c : min(hi, c + MEETING)]
+                s = _products(q[p], x[r])
+                i, j = np.nonzero((s > least[p][:, None]) & (who[p][:, None] != node[r]))
+                out.append((who[p[i]], node[r[j]], s[i, j]))
+                held += len(i)
+                if held > most:
+                    strongest = kept()
+                    out = [tuple(strongest[n].to_numpy() for n in ("node", "other", "score"))]
+                    held, most = len(strongest), max(HELD, 2 * len(strongest))
+    if not out:
+        return none
+    return kept().assign(share=0)[["node", "share", "other", "score"]]
 
 
 def _advanced(state: pd.DataFrame, found: pd.DataFrame, beam: int, follow: int) -> pd.DataFrame:

@@ -1,7 +1,8 @@
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from slicelens.llm.neighbours import GRAPH, build_graph, nearest, search
+from slicelens.llm.neighbours import GRAPH, _companies, _joined, build_graph, nearest, search
 from slicelens.llm.queries import QUERIES
 
 SCHEMA = "vec_id long, embedding array<float>, node string, score string"
@@ -115,3 +116,32 @@ def test_recall_over_many_blocks_and_shares(make):
         s[q] = -np.inf
         hit += len(set(np.argsort(-s)[:20].tolist()) & got[q])
     assert hit >= 0.95 * 20 * 120, hit / 20 / 120
+
+
+def test_companies_of_a_hub_change_and_leave_nobody_out():
+    nodes = np.arange(0, 30_000, 3)
+    met = []
+    for turn in range(6):
+        parts = _companies(nodes, turn, 256)
+        assert max(map(len, parts)) <= 256 and np.array_equal(np.sort(np.concatenate(parts)), np.arange(len(nodes)))
+        met.append({int(i): n for n, part in enumerate(parts) for i in part})
+    together = [sum(m[i] == m[i + 1] for m in met) for i in range(0, 9_000, 2)]
+    assert 0 < np.mean(together) < 1 and max(together) < 6
+    assert [len(p) for p in _companies(nodes[:256], 0, 256)] == [256]
+
+
+def test_a_hub_costs_its_names_times_a_constant_and_near_names_meet(monkeypatch):
+    rng, n, compared = np.random.default_rng(8), 2000, []
+    x = rng.normal(size=(n, 16)).astype(np.float32)
+    links = pd.DataFrame({
+        "share": 0, "node": np.arange(n), "code": [v.tobytes() for v in x], "least": -np.inf,
+        "at": [np.array([7]).tobytes()] * n, "fresh": [b"\0"] * n,
+    })
+    plain = _joined.__globals__["_products"]
+    monkeypatch.setitem(_joined.__globals__, "_products", lambda a, b: compared.append(len(a) * len(b)) or plain(a, b))
+    found = [_joined(links, 5, turn, 250) for turn in range(40)]
+    assert sum(compared) <= 40 * n * 250
+    got = pd.concat(found).groupby("node").other.agg(set)
+    scores = plain(x, x)
+    np.fill_diagonal(scores, -np.inf)
+    assert np.mean([int(scores[i].argmax()) in got[i] for i in range(n)]) > 0.95
