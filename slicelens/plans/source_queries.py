@@ -39,21 +39,13 @@ def write_tree(spark, folder) -> str:
     """``events`` as a tree of capture files ``category/app/*.csv``, one per user."""
     root = scratch_path(spark, "tree")
     raw = I.raw_packets(spark, folder)
-    (
-        raw.withColumn("category", F.element_at(F.split("path", "/"), -3))
-        .withColumn("app", F.concat(F.lit("App_"), F.col("capture_id").cast("string")))
-        .repartition("category", "app")
-        .sortWithinPartitions("category", "app", F.col("pkt_no").cast("bigint"))
-        .select(
-            F.col("pkt_no").alias(" No. "), F.col("Time").alias("Time "), "Source",
-            "Destination", "Protocol", F.col("Length").alias(" Length"), "Info",
-            "category", "app",
-        )
-        .write.partitionBy("category", "app")
-        .option("header", True)
-        .option("escape", '"')
-        .csv(root)
+    rows = raw.select(
+        F.col("pkt_no").alias(" No. "), F.col("Time").alias("Time "), "Source",
+        "Destination", "Protocol", F.col("Length").alias(" Length"), "Info",
+        F.element_at(F.split("path", "/"), -3).alias("category"),
+        F.concat(F.lit("App_"), F.col("capture_id").cast("string")).alias("app"),
     )
+    captures.write_capture_files(rows, root, ["category", "app"], [F.col("` No. `").cast("bigint")])
     return root
 
 

@@ -9,9 +9,16 @@ used, are looked up.
 
 from __future__ import annotations
 
+import contextlib
+import csv
+import io
 import re
+import uuid
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +37,10 @@ SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 GLOB = r"([\\{}\[\]*?])"
 HEADER_STEP = 1 << 16
 OPEN_FILES = 8
+CORE_TASKS = 4
 ROW_BITS = (1 << 33) - 1
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 CAPTURE_COLUMNS = ("Time", "Source", "Destination", "Protocol", "Length", "Info")
 
 
@@ -49,6 +59,28 @@ def mapped_folders(spark: SparkSession, root: str) -> list[str]:
     return sorted(found)
 
 
+def few_tasks(spark: SparkSession) -> int:
+    """Tasks for work that goes by the file, whatever the number of files."""
+    return CORE_TASKS * spark.sparkContext.defaultParallelism
+
+
+@contextlib.contextmanager
+def _listing(spark: SparkSession) -> Iterator[None]:
+    """Tables read inside are listed by a few tasks a core, each with many folders.
+
+    By Spark's default every folder has its own task, up to 10,000 of them below each root.
+    """
+    before = spark.conf.get(LISTING, None)
+    spark.conf.set(LISTING, min(int(before or 10_000), few_tasks(spark)))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(LISTING)
+        else:
+            spark.conf.set(LISTING, before)
+
+
 def list_files(spark: SparkSession, root: str | list[str]) -> DataFrame:
     """``path`` of every .csv file (any case) below ``root``; contents are not read.
 
@@ -56,13 +88,15 @@ def list_files(spark: SparkSession, root: str | list[str]) -> DataFrame:
     """
     if not root:
         return spark.createDataFrame([], "path string")
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.[cC][sS][vV]")
-        .load(root)
-        .select(F.col("_metadata.file_path").alias("path"))
-    )
+    with _listing(spark):
+        found = (
+            spark.read.format("binaryFile")
+            .option("recursiveFileLookup", True)
+            .option("pathGlobFilter", "*.[cC][sS][vV]")
+            .load(root)
+        )
+    # Spark plans a file as 4 MB: a task for every 32 small ones.
+    return found.select(F.col("_metadata.file_path").alias("path")).coalesce(few_tasks(spark))
 
 
 def _relative(path: Column, root: str) -> Column:
@@ -150,16 +184,17 @@ def find_stems(files: DataFrame, root: str) -> DataFrame:
     return stems.join(hits, "stem", "left").select("stem", LABEL, "path")
 
 
-def _first_line(path: str) -> list[str]:
-    """Column names in the first line of a file; empty when it cannot be read."""
-    import csv
-
+def _store(path: str):
+    """Arrow's file system of a path with scheme, and the path there."""
     from pyarrow import fs
 
+    return fs.FileSystem.from_uri("file://" + path[5:] if re.match(r"file:/[^/]", path) else path)
+
+
+def _first_line(path: str) -> list[str]:
+    """Column names in the first line of a file; empty when it cannot be read."""
     try:
-        system, name = fs.FileSystem.from_uri(
-            "file://" + path[5:] if re.match(r"file:/[^/]", path) else path
-        )
+        system, name = _store(path)
         with system.open_input_stream(name) as f:
             head = b""
             while b"\n" not in head and (more := f.read(HEADER_STEP)):
@@ -202,19 +237,70 @@ def alias_position(header: Column, name: str) -> Column:
     return F.array_position(known, True) - F.lit(1)
 
 
+def write_capture_files(df: DataFrame, root: str, keys: list[str], order=()) -> None:
+    """Rows as CSV files with header, one for each value of ``keys``: ``<root>/<key>=<value>/../part.csv``.
+
+    ``order`` sorts the rows of a file. Spark's partitioned writer sets the permissions of every
+    local file by a process of its own and commits file after file on the driver. Here every task
+    streams its sorted rows into one file after the other, with no more than a batch in memory. A file
+    gets its name when it is whole, so a repeated task does no harm.
+    """
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    place = store.makeQualified(path).toUri().toString()
+    names = [c for c in df.columns if c not in keys]
+    value = lambda k: F.coalesce(F.nullif(F.col(f"`{k}`").cast("string"), F.lit("")), F.lit(NO_VALUE))
+    folder = F.concat_ws("/", *[F.concat(F.lit(f"{k}="), value(k)) for k in keys])
+    line = F.to_csv(F.struct(*[F.col(f"`{c}`") for c in names]), {"escape": '"'})
+    first = io.StringIO()
+    csv.writer(first, lineterminator="\n").writerow(names)
+    header = first.getvalue().encode()
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, top = _store(place)
+        at, out, files = None, None, 0
+        mark = f"_{uuid.uuid4().hex}.part"
+
+        def end() -> None:
+            if out is not None:
+                out.close()
+                system.move(f"{top}/{at}/{mark}", f"{top}/{at}/part.csv")
+
+        for batch in batches:
+            folders, lines = batch["folder"].to_numpy(), batch["line"].to_numpy()
+            cuts = np.flatnonzero(folders[1:] != folders[:-1]) + 1
+            for lo, hi in pairwise([0, *cuts, len(lines)] if len(lines) else []):
+                if folders[lo] != at:
+                    end()
+                    at, files = folders[lo], files + 1
+                    system.create_dir(f"{top}/{at}")
+                    out = system.open_output_stream(f"{top}/{at}/{mark}")
+                    out.write(header)
+                out.write(("\n".join(lines[lo:hi]) + "\n").encode())
+        end()
+        yield pd.DataFrame({"files": [files]})
+
+    rows = df.withColumn("_folder", folder).repartition("_folder").sortWithinPartitions("_folder", *order)
+    written = rows.select(F.col("_folder").alias("folder"), line.alias("line")).mapInPandas(write, "files bigint")
+    written.write.format("noop").mode("overwrite").save()
+
+
 def _scan_rows(spark: SparkSession, paths, width: int) -> DataFrame:
     """Data rows of CSV files as text ``c0, c1, ..`` with ``path`` and file order ``pkt_no``."""
     names = [f"c{i}" for i in range(width)]
-    rows = (
-        spark.read.schema(", ".join(f"{n} string" for n in names))
-        .option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("escape", '"')
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.[cC][sS][vV]")
-        .option("ignoreCorruptFiles", True)
-        .csv(paths)
-    )
+    with _listing(spark):
+        rows = (
+            spark.read.schema(", ".join(f"{n} string" for n in names))
+            .option("header", True)
+            .option("mode", "PERMISSIVE")
+            .option("escape", '"')
+            .option("recursiveFileLookup", True)
+            .option("pathGlobFilter", "*.[cC][sS][vV]")
+            .option("ignoreCorruptFiles", True)
+            .csv(paths)
+        )
     # A row is longer than a byte, so its count within a task, added to the
     # offset of its block, orders the rows of a file.
     row = F.monotonically_increasing_id().bitwiseAND(ROW_BITS)

@@ -295,3 +295,74 @@ def test_tree_without_mapped_folders(spark, tmp_path):
     assert files.count() == 0
     with pytest.raises(FileNotFoundError):
         captures.scan_capture_tree(spark, str(tmp_path), files)
+
+
+def test_listing_does_not_start_a_task_for_every_folder(spark, tmp_path):
+    root = str(tmp_path)
+    for i in range(300):
+        put(root, f"Metaverse/app{i}/a.csv", HEADER + "\n" + row(1, 0.5))
+    before = spark.conf.get(captures.LISTING, None)
+    context = spark.sparkContext
+    context.setJobGroup("listing", "listing")
+    try:
+        files = captures.capture_files(spark, root)
+        raw = captures.scan_capture_tree(spark, root, files)
+        jobs = context.statusTracker().getJobIdsForGroup("listing")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in jobs for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s)]
+    assert tasks and max(tasks) <= captures.few_tasks(spark) < 300
+    assert spark.conf.get(captures.LISTING, None) == before
+    assert files.filter("usable").count() == raw.count() == 300
+
+
+def test_listing_keeps_a_setting_of_its_own(spark, tmp_path):
+    put(str(tmp_path), "Metaverse/R/a.csv", HEADER)
+    spark.conf.set(captures.LISTING, "3")
+    try:
+        assert captures.list_files(spark, str(tmp_path)).count() == 1
+        assert spark.conf.get(captures.LISTING) == "3"
+    finally:
+        spark.conf.unset(captures.LISTING)
+
+
+def test_capture_files_hold_what_sparks_writer_writes(spark, tmp_path):
+    cells = ['a "quoted" one', "with, comma", "", None, "  blanks  ", "plain", "back\\slash", "é→"]
+    rows = [
+        (i, cells[i % 8], None if i % 5 == 0 else i / 4, (None, "", "k1", "k2")[i % 4], i % 3 if i % 7 else None)
+        for i in range(200)
+    ]
+    df = spark.createDataFrame(rows, "`No ` int, text string, x double, top string, app int")
+    df = df.unionAll(df.filter("app = 1"))
+    ours, theirs = f"{tmp_path}/ours", f"{tmp_path}/theirs"
+    captures.write_capture_files(df, ours, ["top", "app"], [F.desc("No ")])
+    df.repartition("top", "app").write.partitionBy("top", "app").option("header", True).option("escape", '"').csv(theirs)
+
+    def found(root):
+        read = spark.read.option("header", True).option("escape", '"').csv(root)
+        return sorted(tuple(str(c) for c in r) for r in read.collect())
+
+    def folders(root):
+        return sorted(p.removeprefix(root) for p, _, names in os.walk(root) if any(n.endswith(".csv") for n in names))
+
+    assert found(ours) == found(theirs) and len(found(ours)) == df.count()
+    assert folders(ours) == folders(theirs)
+    names = [n for _, _, inside in os.walk(ours) for n in inside]
+    assert set(names) == {"part.csv"} and len(names) == len(folders(ours))
+    with open(f"{ours}/top=k1/app=1/part.csv", encoding="utf-8") as f:
+        numbers = [int(text.split(",")[0]) for text in f.read().splitlines()[1:]]
+    assert numbers == sorted(numbers, reverse=True) and len(numbers) > 20
+
+
+def test_capture_files_of_no_rows(spark, tmp_path):
+    df = spark.createDataFrame([], "a string, app bigint")
+    captures.write_capture_files(df, f"{tmp_path}/none", ["app"])
+    assert captures.list_files(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_long_capture_spans_batches(spark, tmp_path):
+    df = spark.range(25_000, numPartitions=3).select(F.col("id").alias("n"), F.lit(7).alias("app"))
+    captures.write_capture_files(df, str(tmp_path), ["app"], ["n"])
+    with open(tmp_path / "app=7" / "part.csv") as f:
+        assert f.read().split() == ["n", *map(str, range(25_000))]
