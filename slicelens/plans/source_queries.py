@@ -112,15 +112,11 @@ def write_lacking(spark, folder) -> str:
     raw = I.raw_packets(spark, folder)
     names = ["pkt_no", "Time", "Source", "Destination", "Protocol", "Length", "Info"]
     for style, lacking in enumerate(LACKING):
-        (
-            raw.filter(F.pmod("capture_id", F.lit(len(LACKING))) == style)
-            .select(
-                *[F.col(n).alias(" No. " if n == "pkt_no" else n) for n in names if n not in lacking],
-                F.col("capture_id").alias("app"),
-            )
-            .repartition("app").write.partitionBy("app").option("header", True).option("escape", '"')
-            .csv(f"{root}/Metaverse/style{style}")
+        rows = raw.filter(F.pmod("capture_id", F.lit(len(LACKING))) == style).select(
+            *[F.col(n).alias(" No. " if n == "pkt_no" else n) for n in names if n not in lacking],
+            F.col("capture_id").alias("app"),
         )
+        captures.write_capture_files(rows, f"{root}/Metaverse/style{style}", ["app"])
     return root
 
 
