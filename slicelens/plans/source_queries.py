@@ -158,17 +158,12 @@ def write_aliased(spark, folder) -> str:
     events = I.table(spark, folder, "events")
     seconds = epoch_micros(events, "ts") / 1e6
     for style, (time, length, port) in enumerate(HEADERS):
-        (
-            events.filter(F.pmod("user_id", F.lit(3)) == style)
-            .select(
-                F.col("event_type").alias("kind"), seconds.cast("decimal(20,6)").alias(time),
-                F.col("value").alias(length),
-                F.pmod("event_id", F.lit(2048)).alias(port), "user_id",
-            )
-            .repartition("user_id")
-            .write.partitionBy("user_id").option("header", True)
-            .csv(f"{root}/style{style}")
+        rows = events.filter(F.pmod("user_id", F.lit(3)) == style).select(
+            F.col("event_type").alias("kind"), seconds.cast("decimal(20,6)").alias(time),
+            F.col("value").alias(length),
+            F.pmod("event_id", F.lit(2048)).alias(port), "user_id",
         )
+        captures.write_capture_files(rows, f"{root}/style{style}", ["user_id"])
     return root
 
 
