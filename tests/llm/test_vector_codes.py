@@ -111,7 +111,7 @@ def test_cover_tree_covers_and_separates(shape):
             assert children[-1][HI] == node[HI] and children[0][LO] == node[LO]
             assert all(4 * c[SQUARE] <= node[SQUARE] for c in children)
             centres = x[[c[LO] for c in children]]
-            gaps = distances(centres, centres) + np.eye(len(centres), dtype=np.int64) * (1 << 40)
+            gaps = distances(centres, centres) + np.eye(len(centres), dtype=np.int64) * (1 << 60)
             assert 4 * gaps.min() > node[SQUARE]
         elif node[SQUARE]:
             assert node[HI] - node[LO] <= 8
