@@ -8,6 +8,9 @@ compared, so a hub costs its names times a constant. Blocks of a few random
 projection trees give the first lists. A search walks the graph from the
 query's own list and looks, hop by hop, at the neighbours of its best finds.
 
+The graph is held in shares. Near vectors are put in the same share, and only
+links between different shares send a vector: once a round to each such share.
+
 Graph and search use the vectors as 32-bit floats, which embeddings are, and
 products of 64 bits, so near copies keep their order in every list.
 """
@@ -35,8 +38,10 @@ ROWS, TREES = 128, 4
 SAMPLE = 2000
 #: Rounds end once no more than this share of all neighbours is new.
 SETTLED = 0.001
-#: Nodes of one task's share of the graph; a vector is sent once to each share it is wanted in.
+#: Nodes of one task's share of the graph; a vector is sent once to each other share it is wanted in.
 SHARE = 1 << 14
+#: Cuts along which shares are laid out, beyond one for each doubling of their number.
+FINER = 4
 #: A query's finds, and those it follows in a hop; hops end once all are followed.
 BEAM, FOLLOW = 192, 48
 #: Further cuts of a large block in one go.
@@ -163,42 +168,59 @@ def _taken_in(graph: pd.DataFrame, found: pd.DataFrame, width: int) -> pd.DataFr
 
 
 def _named(batches, shares: int, width: int):
-    """For each neighbour, who names it."""
+    """For each neighbour in another share, who names it."""
     for batch in batches:
         ids, fresh = _matrix(batch.near, np.int64, width), _matrix(batch.fresh, np.uint8, width)
-        row, at = np.nonzero(ids >= 0)
+        node = batch.node.to_numpy()
+        row, at = np.nonzero((ids >= 0) & (ids % shares != node[:, None] % shares))
         other = ids[row, at]
-        yield pd.DataFrame({
-            "share": other % shares, "node": other, "by": batch.node.to_numpy()[row], "fresh": fresh[row, at],
-        })
+        yield pd.DataFrame({"share": other % shares, "node": other, "by": node[row], "fresh": fresh[row, at]})
 
 
-def _sent(graph: pd.DataFrame, named: pd.DataFrame, shares: int, width: int) -> pd.DataFrame:
-    """Each node's vector, once to every share that holds a node it names or is named by."""
-    graph = graph.sort_values("node", ignore_index=True)
-    if not len(graph):
+def _packed(graph: pd.DataFrame, r, v, f, shares: int, width: int) -> pd.DataFrame:
+    """Vectors of rows ``r`` with the nodes ``v`` they are wanted at, one row a share."""
+    if not len(r):
         return pd.DataFrame({c.split()[0]: [] for c in LINKS.split(", ")})
-    node = graph.node.to_numpy()
-    ids, fresh = _matrix(graph.near, np.int64, width), _matrix(graph.fresh, np.uint8, width)
-    least = _matrix(graph.score, np.float64, width)[:, -1]
-    row, at = np.nonzero(ids >= 0)
-    by, row_by = named.by.to_numpy(np.int64), np.searchsorted(node, named.node.to_numpy())
-    r = np.concatenate((row, row_by))
-    v = np.concatenate((ids[row, at], by))
-    f = np.concatenate((fresh[row, at], named.fresh.to_numpy(np.uint8)))
     order = np.lexsort((1 - f.astype(np.int8), v, v % shares, r))
     r, v, f = r[order], v[order], f[order]
-    once = np.append(True, (r[1:] != r[:-1]) | (v[1:] != v[:-1]))[: len(r)]
+    once = np.append(True, (r[1:] != r[:-1]) | (v[1:] != v[:-1]))
     r, v, f = r[once], v[once], f[once]
     starts, ends = _runs(r * shares + v % shares)
     own = r[starts]
+    least = _matrix(graph.score, np.float64, width)[:, -1]
     return pd.DataFrame({
-        "share": v[starts] % shares, "node": node[own], "code": graph.code.to_numpy()[own], "least": least[own],
+        "share": v[starts] % shares, "node": graph.node.to_numpy()[own], "code": graph.code.to_numpy()[own],
+        "least": least[own],
         "at": [v[a:b].tobytes() for a, b in zip(starts, ends, strict=True)],
         "fresh": [f[a:b].tobytes() for a, b in zip(starts, ends, strict=True)],
     })
 
 
+def _sent(graph: pd.DataFrame, named: pd.DataFrame, shares: int, width: int) -> pd.DataFrame:
+    """Each node's vector, once to every other share that holds a node it names or is named by."""
+    graph = graph.sort_values("node", ignore_index=True)
+    node = graph.node.to_numpy(np.int64)
+    ids, fresh = _matrix(graph.near, np.int64, width), _matrix(graph.fresh, np.uint8, width)
+    row, at = np.nonzero((ids >= 0) & (ids % shares != node[:, None] % shares))
+    return _packed(
+        graph, np.concatenate((row, np.searchsorted(node, named.node.to_numpy(np.int64)))),
+        np.concatenate((ids[row, at], named.by.to_numpy(np.int64))),
+        np.concatenate((fresh[row, at], named.fresh.to_numpy(np.uint8))), shares, width,
+    )
+
+
+def _kept(graph: pd.DataFrame, shares: int, width: int) -> pd.DataFrame:
+    """The links that stay in their share, whose vectors are there already."""
+    graph = graph.sort_values("node", ignore_index=True)
+    node = graph.node.to_numpy(np.int64)
+    ids, fresh = _matrix(graph.near, np.int64, width), _matrix(graph.fresh, np.uint8, width)
+    row, at = np.nonzero((ids >= 0) & (ids % shares == node[:, None] % shares))
+    return _packed(
+        graph, np.concatenate((row, np.searchsorted(node, ids[row, at]))),
+        np.concatenate((ids[row, at], node[row])), np.tile(fresh[row, at], 2), shares, width,
+    )
+
+
 def _meetings(links: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where rows of ``links`` meet, sorted: node, row, freshness."""
     at = [np.frombuffer(b, np.int64) for b in links["at"]]
@@ -234,12 +256,17 @@ def _joined(links: pd.DataFrame, width: int, turn: int = 0, hub: int = HUB) -> p
             r, f = row[lo:hi][company], fresh[lo:hi][company].astype(bool) | (hi - lo > hub)
             if not f.any():
                 continue
-            for a in range(0, len(r), MEETING):
-                p, g = r[a : a + MEETING], f[a : a + MEETING]
+            new = r[f]
+            for a in range(0, len(new), MEETING):
+                p = new[a : a + MEETING]
                 s = _products(x[p], x[r])
-                i, j = np.nonzero((s > least[p][:, None]) & (g[:, None] | f) & (node[p][:, None] != node[r]))
+                i, j = np.nonzero((s > least[p][:, None]) & (node[p][:, None] != node[r]))
                 out.append((node[p[i]], node[r[j]], s[i, j]))
                 held += len(i)
+                # Two fresh ones find each other above.
+                i, j = np.nonzero((s > least[r]) & ~f)
+                out.append((node[r[j]], node[p[i]], s[i, j]))
+                held += len(i)
                 if held > most:
                     strongest = kept()
                     out = [tuple(strongest[c].to_numpy() for c in ("node", "other", "score"))]
@@ -249,6 +276,12 @@ def _joined(links: pd.DataFrame, width: int, turn: int = 0, hub: int = HUB) -> p
     return kept().assign(share=0)[["node", "share", "other", "score"]]
 
 
+def _compared(graph: pd.DataFrame, links: pd.DataFrame, shares: int, width: int, turn: int) -> pd.DataFrame:
+    """Finds of all that meet in a share: its own nodes and those whose vectors were sent."""
+    parts = [p for p in (_kept(graph, shares, width), links) if len(p)]
+    return _joined(pd.concat(parts, ignore_index=True) if parts else links, width, turn)
+
+
 def _own_share(found: DataFrame, shares: int) -> DataFrame:
     return found.withColumn("share", F.pmod("node", F.lit(shares)).cast("int"))
 
@@ -260,6 +293,7 @@ def _merged(graph: DataFrame, found: DataFrame, width: int) -> DataFrame:
 
 
 def _links(graph: DataFrame, shares: int, width: int) -> DataFrame:
+    """What is sent between different shares."""
     back = graph.select("node", "near", "fresh").mapInPandas(
         one(_named, shares=shares, width=width), "share int, node long, by long, fresh int"
     )
@@ -313,12 +347,53 @@ def narrowed(blocks: DataFrame, rows: int, length: int, seed: int) -> DataFrame:
     return out
 
 
+def _shares(count: int, share: int) -> int:
+    return max(1, math.ceil(count / share))
+
+
+def _celled(batches, planes, cuts):
+    for batch in batches:
+        side = np.stack(batch.vector.to_numpy()).astype(np.float64) @ planes > cuts
+        yield batch.assign(cell=(side * (1 << np.arange(len(cuts))[::-1])).sum(axis=1).astype(np.int64))
+
+
+def settle(nodes: DataFrame, count: int, shares: int) -> DataFrame:
+    """``nodes`` numbered anew so that near vectors mostly have the same share, ``node % shares``.
+
+    Cuts at medians along the widest directions order the vectors; each share is an equal range of that order.
+    """
+    if shares == 1:
+        return nodes
+    drawn = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) <= F.lit(int(min(1.0, SAMPLE / count) * (1 << 30)))
+    sample = nodes.filter(drawn).select("vector").toPandas()
+    if not len(sample):
+        return nodes
+    sample = np.stack(sample.vector.to_numpy()).astype(np.float64)
+    planes = np.linalg.svd(sample - sample.mean(axis=0), full_matrices=False)[2].T
+    planes = planes[:, : math.ceil(math.log2(shares)) + FINER]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema)
+    celled = nodes.mapInPandas(
+        one(_celled, planes=planes, cuts=np.median(sample @ planes, axis=0)), f"{kinds}, cell long"
+    )
+    cells = celled.groupBy("cell").agg(F.count("*").alias("n"))
+    # Some cells a share.
+    cells = stage(
+        cells.withColumn("before", F.sum("n").over(Window.orderBy("cell")) - F.col("n")), "cells"
+    )
+    place = F.col("before") + F.pmod(F.xxhash64("node"), F.col("n"))
+    share = F.floor(place * F.lit(shares) / F.lit(count))
+    return stage(
+        celled.join(cells, "cell").withColumn("node", F.col("node") * F.lit(shares) + share).select(*nodes.columns),
+        "settled",
+    )
+
+
 def build_graph(
     nodes: DataFrame, count: int, width: int = WIDTH, rows: int = ROWS, trees: int = TREES,
     share: int = SHARE, seed: int = 3,
 ) -> tuple[DataFrame, int]:
     """The graph over ``node, vector`` (different vectors of one length), and its number of shares."""
-    shares = max(1, math.ceil(count / share))
+    shares = _shares(count, share)
     coded = stage(
         nodes.select("node", "vector").mapInPandas(
             one(_coded, shares=shares), "node long, share int, code binary"
@@ -352,7 +427,9 @@ def build_graph(
     news, turn = math.inf, 0
     while news > SETTLED * count * width:
         links = _links(graph, shares, width)
-        found = links.groupBy("share").applyInPandas(one(_joined, width=width, turn=turn), FOUND)
+        found = graph.groupBy("share").cogroup(links.groupBy("share")).applyInPandas(
+            two(_compared, shares=shares, width=width, turn=turn), FOUND
+        )
         turn += 1
         last, graph = graph, stage(_merged(graph, _own_share(found, shares), width), "graph")
         unstage(last)
@@ -459,7 +536,8 @@ def search(
     beam: int = BEAM, follow: int = FOLLOW,
 ) -> DataFrame:
     """``node, other``: the finds of each node in ``queries`` (``node``)."""
-    links = stage(_links(graph, shares, width), "links")
+    kept = graph.groupBy("share").applyInPandas(one(_kept, shares=shares, width=width), LINKS)
+    links = stage(_links(graph, shares, width).union(kept), "links")
     begun = graph.join(queries.hint("merge"), "node", "left_semi")
     state = stage(begun.mapInPandas(one(_begun, width=width, beam=beam), GRAPH), "search")
     while state.agg(F.sum("news")).first()[0]:
@@ -518,12 +596,15 @@ def nearest(
     )
     nodes = marked.groupBy("h1", "h2").agg(F.first("vector").alias("vector"))
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    count = nodes.count()
+    last, nodes = nodes, settle(nodes, count, _shares(count, SHARE))
+    if nodes is not last:
+        unstage(last)
     members = stage(
         marked.select("id", "h1", "h2").distinct().join(nodes.select("h1", "h2", "node"), ["h1", "h2"])
         .select("id", "node"),
         "members",
     )
-    count = nodes.count()
     asked = members.filter(is_query(F.col("id")))
     wanted = stage(asked.select("node").distinct(), "queries")
     graph, shares = build_graph(nodes, count)

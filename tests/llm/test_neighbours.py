@@ -2,7 +2,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from slicelens.llm.neighbours import GRAPH, _companies, _joined, build_graph, nearest, search
+from slicelens.llm.neighbours import (
+    FOUND,
+    GRAPH,
+    _companies,
+    _compared,
+    _joined,
+    _links,
+    build_graph,
+    nearest,
+    search,
+    settle,
+)
 from slicelens.llm.queries import QUERIES
 
 SCHEMA = "vec_id long, embedding array<float>, node string, score string"
@@ -145,3 +156,65 @@ def test_a_hub_costs_its_names_times_a_constant_and_near_names_meet(monkeypatch)
     scores = plain(x, x)
     np.fill_diagonal(scores, -np.inf)
     assert np.mean([int(scores[i].argmax()) in got[i] for i in range(n)]) > 0.95
+
+
+def lists(rng, shares=3, n=300, width=6):
+    """A graph whose lists are drawn, some links fresh."""
+    x = rng.normal(size=(n, 8)).astype(np.float32)
+    near = np.array([rng.choice(np.delete(np.arange(n), i), width, replace=False) for i in range(n)])
+    score = (x.astype(float)[:, None] * x[near]).sum(axis=2)
+    by = np.argsort(-score, axis=1)
+    near, score = np.take_along_axis(near, by, 1), np.take_along_axis(score, by, 1)
+    fresh = rng.integers(0, 2, (n, width)).astype(np.uint8) * (rng.random(n) < 0.3).astype(np.uint8)[:, None]
+    return [
+        (i, i % shares, x[i].tobytes(), near[i].tobytes(), score[i].tobytes(), fresh[i].tobytes(), 0) for i in range(n)
+    ]
+
+
+def test_nothing_is_sent_inside_a_share_and_all_that_meet_are_compared(make):
+    rows, width = lists(np.random.default_rng(9)), 6
+    graph = make([(*r[:1], 0, *r[2:]) for r in rows], GRAPH)
+    assert _links(graph, 1, width).count() == 0
+    graph = make(rows, GRAPH)
+    sent = _links(graph, 3, width)
+    assert {(r.node % 3 == r.share) for r in sent.collect()} == {False}
+
+    x = {r[0]: np.frombuffer(r[2], np.float32).astype(float) for r in rows}
+    least = {r[0]: np.frombuffer(r[4])[-1] for r in rows}
+    at = {i: {} for i in x}
+    for r in rows:
+        for o, f in zip(np.frombuffer(r[3], np.int64).tolist(), r[5], strict=True):
+            at[r[0]][o] = at[r[0]].get(o, 0) | f
+            at[o][r[0]] = at[o].get(r[0], 0) | f
+    want = {}
+    for met in at.values():
+        for p in met:
+            for o in met:
+                if p != o and (met[p] or met[o]) and x[p] @ x[o] > least[p]:
+                    want.setdefault(p, {})[o] = x[p] @ x[o]
+    best = {p: set(sorted(found, key=lambda o: -found[o])[:width]) for p, found in want.items()}
+    out = graph.groupBy("share").cogroup(sent.groupBy("share")).applyInPandas(
+        lambda a, b: _compared(a, b, shares=3, width=width, turn=0), FOUND
+    )
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.node, {})[r.other] = r.score
+        assert abs(r.score - want[r.node][r.other]) < 1e-9
+    assert {p: set(sorted(found, key=lambda o: -found[o])[:width]) for p, found in got.items()} == best
+
+
+def test_near_vectors_share_a_share_of_equal_size(make):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(20, 32))[rng.integers(0, 20, 4000)] + 0.4 * rng.normal(size=(4000, 32))
+    nodes = make([(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))], "node long, vector array<float>")
+    rows = settle(nodes, 4000, 8).collect()
+    assert len({r.node for r in rows}) == 4000
+    home = {r.vector[0]: r.node % 8 for r in rows}
+    home = np.array([home[v] for v in x[:, 0].astype(np.float32).tolist()])
+    sizes = np.bincount(home, minlength=8)
+    assert len(sizes) == 8 and sizes.min() > 400 and sizes.max() < 600
+    scores = x @ x.T
+    np.fill_diagonal(scores, -np.inf)
+    near = np.argsort(-scores, axis=1)[:, :20]
+    together = np.mean(home[near] == home[:, None])
+    assert together > 0.4, together
