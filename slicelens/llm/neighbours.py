@@ -8,8 +8,12 @@ compared, so a hub costs its names times a constant. Blocks of a few random
 projection trees give the first lists. A search walks the graph from the
 query's own list and looks, hop by hop, at the neighbours of its best finds.
 
-The graph is held in shares. Near vectors are put in the same share, and only
-links between different shares send a vector: once a round to each such share.
+The graph is held in shares, near vectors mostly in the same one. Each share first
+joins its own nodes in one task, without any exchange. Then shares are joined by
+fours, sixteens and so on until all are one: on each level only links inside the
+joined shares are followed, and a link to another share sends the vector there,
+once a round. Lists are nearly settled by the level before, so that a share
+returns only what is nearer than what is listed there.
 
 Graph and search use the vectors as 32-bit floats, which embeddings are, and
 products of 64 bits, so near copies keep their order in every list.
@@ -25,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slicelens.llm.common import contained, one, read, stage, two, unstage
+from slicelens.llm.common import contained, one, read, release, stage, two, unstage
 from slicelens.llm.near_vectors import usable
 from slicelens.llm.registry import query
 from slicelens.llm.words import mixed
@@ -50,6 +54,10 @@ CUTS = 8
 MEETING, HELD = 1024, 1 << 22
 #: Nodes that meet at one node and are all compared with each other; more are dealt anew in every round.
 HUB = 4096
+#: ``2 ** level`` shares are joined on a level; the next one joins so many of them; on the last all are.
+FANS, ALL = 2, 62
+#: A level gives way to the next one, which takes over what is new, at this share of new neighbours; the last goes on.
+PASSED = 0.05
 
 GRAPH = "node long, share int, code binary, near binary, score binary, fresh binary, news int"
 LINKS = "share int, node long, code binary, least double, at binary, fresh binary"
@@ -145,8 +153,13 @@ def _block_lists(frame: pd.DataFrame, width: int) -> pd.DataFrame:
     return pd.concat(out).assign(share=0)[["node", "share", "other", "score"]]
 
 
-def _taken_in(graph: pd.DataFrame, found: pd.DataFrame, width: int) -> pd.DataFrame:
-    """The nodes of a share with their finds merged in; new neighbours are fresh."""
+def _together(a: np.ndarray, b: np.ndarray, shares: int, level: int) -> np.ndarray:
+    """Whether the shares of two nodes are joined on ``level``, in runs of ``2 ** level`` shares."""
+    return a % shares >> level == b % shares >> level
+
+
+def _taken_in(graph: pd.DataFrame, found: pd.DataFrame, width: int, shares: int = 1, level: int = ALL) -> pd.DataFrame:
+    """The nodes of a share with their finds merged in; new neighbours are fresh, and those of later levels stay so."""
     graph = graph.sort_values("node", ignore_index=True)
     n = len(graph)
     if not n:
@@ -156,23 +169,31 @@ def _taken_in(graph: pd.DataFrame, found: pd.DataFrame, width: int) -> pd.DataFr
     scores = _matrix(graph.score, np.float64, width)
     old_row, old_at = np.nonzero(ids >= 0)
     row = np.searchsorted(node, found.node.to_numpy())
+    later = ~_together(ids[old_row, old_at], node[old_row], shares, level)
     ids, scores, fresh = best(
         np.concatenate((old_row, row)), np.concatenate((ids[old_row, old_at], found.other.to_numpy(np.int64))),
         np.concatenate((scores[old_row, old_at], found.score.to_numpy(np.float64))),
-        np.concatenate((np.zeros(len(old_row), np.uint8), np.ones(len(row), np.uint8))), n, width,
+        np.concatenate((later.astype(np.uint8), np.ones(len(row), np.uint8))), n, width,
     )
     return graph.assign(
         near=[r.tobytes() for r in ids], score=[r.tobytes() for r in scores],
-        fresh=[r.tobytes() for r in fresh], news=fresh.sum(axis=1),
+        fresh=[r.tobytes() for r in fresh],
+        news=(fresh * _together(ids, node[:, None], shares, level)).sum(axis=1),
     )
 
 
-def _named(batches, shares: int, width: int):
+def _abroad(node: np.ndarray, ids: np.ndarray, shares: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where lists name a node of another share joined on ``level``."""
+    node = node[:, None]
+    return np.nonzero((ids >= 0) & (ids % shares != node % shares) & _together(ids, node, shares, level))
+
+
+def _named(batches, shares: int, width: int, level: int):
     """For each neighbour in another share, who names it."""
     for batch in batches:
         ids, fresh = _matrix(batch.near, np.int64, width), _matrix(batch.fresh, np.uint8, width)
         node = batch.node.to_numpy()
-        row, at = np.nonzero((ids >= 0) & (ids % shares != node[:, None] % shares))
+        row, at = _abroad(node, ids, shares, level)
         other = ids[row, at]
         yield pd.DataFrame({"share": other % shares, "node": other, "by": node[row], "fresh": fresh[row, at]})
 
@@ -196,12 +217,12 @@ def _packed(graph: pd.DataFrame, r, v, f, shares: int, width: int) -> pd.DataFra
     })
 
 
-def _sent(graph: pd.DataFrame, named: pd.DataFrame, shares: int, width: int) -> pd.DataFrame:
+def _sent(graph: pd.DataFrame, named: pd.DataFrame, shares: int, width: int, level: int) -> pd.DataFrame:
     """Each node's vector, once to every other share that holds a node it names or is named by."""
     graph = graph.sort_values("node", ignore_index=True)
     node = graph.node.to_numpy(np.int64)
     ids, fresh = _matrix(graph.near, np.int64, width), _matrix(graph.fresh, np.uint8, width)
-    row, at = np.nonzero((ids >= 0) & (ids % shares != node[:, None] % shares))
+    row, at = _abroad(node, ids, shares, level)
     return _packed(
         graph, np.concatenate((row, np.searchsorted(node, named.node.to_numpy(np.int64)))),
         np.concatenate((ids[row, at], named.by.to_numpy(np.int64))),
@@ -243,13 +264,22 @@ def _companies(nodes: np.ndarray, turn: int, hub: int) -> list[np.ndarray]:
 
 def _joined(links: pd.DataFrame, width: int, turn: int = 0, hub: int = HUB) -> pd.DataFrame:
     """All that meet at a node are compared, unless they met before; at a hub, each company of this round."""
-    x, node, least = _codes(links), links.node.to_numpy(), links.least.to_numpy(np.float64)
+    x, node, least = _codes(links), links.node.to_numpy(), links.least.to_numpy(np.float64, copy=True)
     v, row, fresh = _meetings(links)
     out, held, most = [], 0, HELD
+    by = np.argsort(node, kind="stable")
 
     def kept():
         return _strongest(*(np.concatenate(p) for p in zip(*out, strict=True)), width)
 
+    def raised(strongest):
+        """From now on a find must also be nearer than ``width`` finds held."""
+        nodes, count = np.unique(strongest.node, return_counts=True)
+        last = strongest.score.to_numpy()[np.cumsum(count) - 1]
+        nodes, last = nodes[count == width], last[count == width]
+        at = by[np.searchsorted(node, nodes, sorter=by)]
+        least[at] = np.maximum(least[at], last)
+
     for lo, hi in zip(*_runs(v), strict=True):
         for company in _companies(node[row[lo:hi]], turn, hub):
             # Whether two met before is not known of a hub's company.
@@ -269,6 +299,7 @@ def _joined(links: pd.DataFrame, width: int, turn: int = 0, hub: int = HUB) -> p
                 held += len(i)
                 if held > most:
                     strongest = kept()
+                    raised(strongest)
                     out = [tuple(strongest[c].to_numpy() for c in ("node", "other", "score"))]
                     held, most = len(strongest), max(HELD, 2 * len(strongest))
     if not out:
@@ -282,23 +313,34 @@ def _compared(graph: pd.DataFrame, links: pd.DataFrame, shares: int, width: int,
     return _joined(pd.concat(parts, ignore_index=True) if parts else links, width, turn)
 
 
+def _settled(graph: pd.DataFrame, shares: int, width: int, end: float) -> pd.DataFrame:
+    """A share's nodes after rounds of their own, without any other share, until the part ``end`` is new."""
+    turn, news = 0, math.inf
+    while news > end * len(graph) * width:
+        found = _joined(_kept(graph, shares, width), width, turn)
+        graph = _taken_in(graph, found, width, shares, 0)
+        turn, news = turn + 1, graph.news.sum()
+    release()
+    return graph
+
+
 def _own_share(found: DataFrame, shares: int) -> DataFrame:
     return found.withColumn("share", F.pmod("node", F.lit(shares)).cast("int"))
 
 
-def _merged(graph: DataFrame, found: DataFrame, width: int) -> DataFrame:
+def _merged(graph: DataFrame, found: DataFrame, width: int, shares: int = 1, level: int = ALL) -> DataFrame:
     return graph.groupBy("share").cogroup(found.groupBy("share")).applyInPandas(
-        two(_taken_in, width=width), GRAPH
+        two(_taken_in, width=width, shares=shares, level=level), GRAPH
     )
 
 
-def _links(graph: DataFrame, shares: int, width: int) -> DataFrame:
+def _links(graph: DataFrame, shares: int, width: int, level: int = ALL) -> DataFrame:
     """What is sent between different shares."""
     back = graph.select("node", "near", "fresh").mapInPandas(
-        one(_named, shares=shares, width=width), "share int, node long, by long, fresh int"
+        one(_named, shares=shares, width=width, level=level), "share int, node long, by long, fresh int"
     )
     return graph.groupBy("share").cogroup(back.groupBy("share")).applyInPandas(
-        two(_sent, shares=shares, width=width), LINKS
+        two(_sent, shares=shares, width=width, level=level), LINKS
     )
 
 
@@ -424,16 +466,25 @@ def build_graph(
         none(0, np.uint8).alias("fresh"), F.lit(0).alias("news"),
     )
     graph = stage(_merged(graph, _own_share(found, shares), width), "graph")
-    news, turn = math.inf, 0
-    while news > SETTLED * count * width:
-        links = _links(graph, shares, width)
-        found = graph.groupBy("share").cogroup(links.groupBy("share")).applyInPandas(
-            two(_compared, shares=shares, width=width, turn=turn), FOUND
-        )
-        turn += 1
-        last, graph = graph, stage(_merged(graph, _own_share(found, shares), width), "graph")
-        unstage(last)
-        news = graph.agg(F.sum("news")).first()[0] or 0
+    levels = [0, *range(FANS, (shares - 1).bit_length() + FANS, FANS)]
+    ends = [PASSED] * (len(levels) - 1) + [SETTLED]
+    last, graph = graph, stage(
+        graph.groupBy("share").applyInPandas(one(_settled, shares=shares, width=width, end=ends[0]), GRAPH), "graph"
+    )
+    unstage(last)
+    turn = 0
+    for level, end in zip(levels[1:], ends[1:], strict=True):
+        news = math.inf
+        while news > end * count * width:
+            links = _links(graph, shares, width, level)
+            found = graph.groupBy("share").cogroup(links.groupBy("share")).applyInPandas(
+                two(_compared, shares=shares, width=width, turn=turn), FOUND
+            )
+            turn += 1
+            merged = _merged(graph, _own_share(found, shares), width, shares, level)
+            last, graph = graph, stage(merged, "graph")
+            unstage(last)
+            news = graph.agg(F.sum("news")).first()[0] or 0
     return graph, shares
 
 

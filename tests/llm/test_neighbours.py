@@ -8,7 +8,10 @@ from slicelens.llm.neighbours import (
     _companies,
     _compared,
     _joined,
+    _kept,
     _links,
+    _settled,
+    _together,
     build_graph,
     nearest,
     search,
@@ -218,3 +221,67 @@ def test_near_vectors_share_a_share_of_equal_size(make):
     near = np.argsort(-scores, axis=1)[:, :20]
     together = np.mean(home[near] == home[:, None])
     assert together > 0.4, together
+
+
+def test_a_share_settles_alone_and_its_links_abroad_stay_fresh():
+    rng, width = np.random.default_rng(11), 6
+    rows = pd.DataFrame(lists(rng, shares=4, width=width), columns=[c.split()[0] for c in GRAPH.split(", ")])
+    rows["fresh"] = [b"\1" * width] * len(rows)
+    x = np.stack([np.frombuffer(c, np.float32).astype(float) for c in rows.code])
+    before = np.stack([np.frombuffer(b, np.int64) for b in rows.near])
+    for share, graph in rows.groupby("share"):
+        out = _settled(graph, 4, width, 0.0)
+        assert out.node.tolist() == graph.node.tolist() and out.news.sum() == 0
+        mine = graph.node.to_numpy()
+        for r in out.itertuples():
+            near, score, fresh = np.frombuffer(r.near, np.int64), np.frombuffer(r.score), np.frombuffer(r.fresh, np.uint8)
+            np.testing.assert_allclose(score, x[near] @ x[r.node], rtol=1e-6)
+            # Nothing from another share is found here, and what was listed gives way to nearer ones only.
+            abroad = near % 4 != share
+            assert set(near[abroad]) <= set(before[r.node]) and np.array_equal(fresh == 1, abroad)
+            gone = np.setdiff1d(before[r.node], near)
+            assert not len(gone) or (x[gone] @ x[r.node]).max() <= score[-1] + 1e-9
+            assert set(near[~abroad]) <= set(mine)
+
+
+def test_levels_join_shares_by_fours_until_all_are_one():
+    share = np.arange(21)
+    assert _together(share[:, None], share, 21, 0).sum() == 21
+    assert [_together(np.int64(5), share, 21, 2).nonzero()[0].tolist()] == [[4, 5, 6, 7]]
+    assert _together(share[:, None], share, 21, 6).all() and _together(share[:, None], share, 21, 62).all()
+
+
+def test_finds_of_a_share_are_the_best_however_few_are_held(monkeypatch):
+    rng, width = np.random.default_rng(12), 6
+    rows = pd.DataFrame(lists(rng, shares=1, width=width), columns=[c.split()[0] for c in GRAPH.split(", ")])
+    rows["fresh"] = [b"\1" * width] * len(rows)
+    links = _kept(rows, 1, width)
+    whole = _joined(links, width)
+    compared = []
+    plain = _joined.__globals__["_strongest"]
+    monkeypatch.setitem(_joined.__globals__, "HELD", 50)
+    monkeypatch.setitem(_joined.__globals__, "_strongest", lambda n, *a: compared.append(len(n)) or plain(n, *a))
+    few = _joined(links, width)
+    assert len(compared) > 2
+    pd.testing.assert_frame_equal(whole, few)
+
+
+def test_shares_return_few_finds_a_vector_and_level(make, monkeypatch):
+    x = np.random.default_rng(13).normal(size=(2000, 32))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    nodes = make([(i, v.tolist()) for i, v in enumerate(x)], "node long, vector array<float>")
+    rows, plain = [], build_graph.__globals__["_own_share"]
+    monkeypatch.setitem(
+        build_graph.__globals__, "_own_share", lambda found, shares: rows.append(found.count()) or plain(found, shares)
+    )
+    for share, levels in ((2000, 0), (500, 1)):
+        rows.clear()
+        graph, shares = build_graph(nodes, len(x), rows=64, share=share)
+        assert shares == 2000 // share
+        # The first are those of the trees.
+        assert sum(rows[1:]) <= 250 * levels * len(x), rows
+        near = {r.node: np.frombuffer(r.near, np.int64)[:20] for r in graph.select("node", "near").collect()}
+        scores = x.astype(float) @ x.astype(float).T
+        np.fill_diagonal(scores, -np.inf)
+        want = np.argsort(-scores, axis=1)[:, :20]
+        assert np.mean([len(set(want[i]) & set(near[i].tolist())) / 20 for i in range(len(x))]) > 0.9
