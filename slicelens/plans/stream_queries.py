@@ -11,11 +11,13 @@ from slicelens.plans import inputs as I
 from slicelens.plans import sql as S
 from slicelens.plans.registry import query, rounded
 from slicelens.streaming.run import drain
-from slicelens.streaming.windows import end_mark, stream_rolling, stream_windows
+from slicelens.streaming.windows import BUCKETS, end_mark, stream_rolling, stream_windows
 
 SPEC = replace(I.EVENTS, width_us=I.DAY_US // 4)
 PARTS = 3
 DELAY = "1 hour"
+#: Of one batch, about.
+BUCKET_PACKETS = 50_000
 #: Behind the last packet by more than a window, the delay and the idle limit.
 AFTER_US = 50 * I.DAY_US
 
@@ -26,18 +28,31 @@ def replay(spark, folder, packets, after_us):
     first, last = packets.agg(F.min("us"), F.max("us")).first()
     # Every packet falls in a part: they follow the data and the outer ones are open.
     part = F.floor((F.col("us") - first) * PARTS / F.lit(max(last - first, 1)))
+    # A task writes a file or none. Files without rows make up for those, so that a batch is a range:
+    # with some files of the next one, it would move the watermark past the others' packets.
+    files = packets.rdd.getNumPartitions()
+    packets.limit(0).write.parquet(f"{path}-none")
     for i in range(PARTS):
         low = F.lit(True) if i == 0 else part >= i
         high = F.lit(True) if i == PARTS - 1 else part < i + 1
-        packets.filter(low & high).write.mode("append").parquet(f"{path}/part={i}")
-    files = (
-        spark.read.parquet(path).select(F.col("_metadata.file_path").alias("f")).distinct().count()
-    )
+        packets.filter(low & high).coalesce(files).write.mode("append").parquet(f"{path}/part={i}")
+        _fill(spark, f"{path}/part={i}", files, f"{path}-none")
     end_mark(packets, after_us).coalesce(1).write.parquet(f"{path}/part={PARTS}")
-    per_batch = -(-files // PARTS)
-    return (
-        spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
-    )
+    return spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def _fill(spark, folder, files, none):
+    """Copies the file in ``none`` until ``folder`` holds ``files`` files."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    store = hadoop.Path(folder).getFileSystem(conf)
+
+    def written(at):
+        return [s.getPath() for s in store.listStatus(hadoop.Path(at)) if s.getPath().getName().startswith("part-")]
+
+    empty = written(none)[0]
+    for i in range(files - len(written(folder))):
+        hadoop.FileUtil.copy(store, empty, store, hadoop.Path(f"{folder}/none-{i}.parquet"), False, conf)
 
 
 def _aligned(width: int) -> str:
@@ -59,7 +74,8 @@ FROM a"""
 def stream_window_features(spark, folder):
     packets = I.packets(spark, folder).withColumn("ts", F.timestamp_micros("us"))
     stream = replay(spark, folder, packets, AFTER_US)
-    windows = stream_windows(stream, SPEC, DELAY, slices=4, lanes=1).drop("window_time")
+    buckets = max(BUCKETS, packets.count() // (PARTS * BUCKET_PACKETS))
+    windows = stream_windows(stream, SPEC, DELAY, slices=4, lanes=1, buckets=buckets).drop("window_time")
     digits = {c: d for c, d in S.DIGITS.items() if not c.startswith("bitrate")}
     return rounded(drain(windows, "windows"), **digits)
 

@@ -9,11 +9,12 @@ watermark has passed, so a finite stream gives all its windows once
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import astuple, dataclass, fields
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -23,6 +24,9 @@ from slicelens.settings import WindowSpec
 
 SLICES = 8
 LANES = 8
+BUCKETS = 256
+#: Closed slices in one row between the two states.
+PACK = 10_000
 IDLE_US = 86_400_000_000
 MOMENTS = "n bigint, bytes double, up double, directed bigint, first bigint, last bigint, m2 double"
 
@@ -42,37 +46,76 @@ def end_mark(packets: DataFrame, after_us: int) -> DataFrame:
 
 @dataclass
 class Moments:
-    """A run of packets in time order: all that appending another run needs."""
+    """Runs of packets in time order: all that appending another run needs.
 
-    n: int
-    bytes: float
-    up: float
-    directed: int
-    first: int
-    last: int
-    m2: float
+    A value each for one run, or an array each for many.
+    """
+
+    n: int | np.ndarray
+    bytes: float | np.ndarray
+    up: float | np.ndarray
+    directed: int | np.ndarray
+    first: int | np.ndarray
+    last: int | np.ndarray
+    m2: float | np.ndarray
+
+    @classmethod
+    def each(cls, us: np.ndarray, size: np.ndarray, up: np.ndarray) -> Moments:
+        """Every packet a run; ``up`` is 1, 0, or NaN where the direction is unknown."""
+        return cls(np.ones(len(us), np.int64), size, np.where(up == 1, size, 0.0), (~np.isnan(up)).astype(np.int64),
+                   us, us, np.zeros(len(us)))
 
     @classmethod
     def of(cls, us: np.ndarray, size: np.ndarray, up: np.ndarray) -> Moments:
-        """Of sorted times; ``up`` is 1, 0, or NaN where the direction is unknown."""
-        gaps = np.diff(us).astype(np.float64)
-        spread = float(((gaps - gaps.mean()) ** 2).sum()) if len(gaps) else 0.0
-        return cls(len(us), float(size.sum()), float(size[up == 1].sum()), int((~np.isnan(up)).sum()),
-                   int(us[0]), int(us[-1]), spread)
+        """Of sorted times, as one run."""
+        return cls.each(us, size, up)._one()
 
     def then(self, later: Moments) -> Moments:
         """Both runs as one; ``later`` starts no earlier than this one ends."""
-        mean = (later.last - self.first) / (self.n + later.n - 1)
-        m2 = (later.first - self.last - mean) ** 2
-        for run in (self, later):
-            if run.n > 1:
-                m2 += run.m2 + (run.n - 1) * ((run.last - run.first) / (run.n - 1) - mean) ** 2
-        return Moments(self.n + later.n, self.bytes + later.bytes, self.up + later.up,
-                       self.directed + later.directed, self.first, later.last, m2)
+        return Moments(*(np.array(pair) for pair in zip(astuple(self), astuple(later))))._one()
+
+    def _one(self) -> Moments:
+        return Moments(*(column[0].item() for column in astuple(self.joined(np.zeros(1, np.int64)))))
+
+    def joined(self, starts: np.ndarray) -> Moments:
+        """The runs from each of ``starts`` to the next as one; they are in time order."""
+        sizes = np.diff(np.append(starts, len(self.n)))
+        n, first, last = np.add.reduceat(self.n, starts), self.first[starts], self.last[starts + sizes - 1]
+        mean = np.repeat((last - first) / np.maximum(n - 1, 1), sizes)
+        within = (self.last - self.first) / np.maximum(self.n - 1, 1)
+        m2 = self.m2 + (self.n - 1) * (within - mean) ** 2
+        between = (self.first[1:] - self.last[:-1] - mean[1:]) ** 2
+        between[starts[1:] - 1] = 0.0  # from one run's last to another's first
+        m2[1:] += between
+        bytes_, up, directed, spread = (np.add.reduceat(c, starts) for c in (self.bytes, self.up, self.directed, m2))
+        return Moments(n, bytes_, up, directed, first, last, spread)
 
 
 _FIELDS = [f.name for f in fields(Moments)]
-_RUNS = f"runs array<struct<at: bigint, {', '.join(f.replace(' ', ': ') for f in MOMENTS.split(', '))}>>"
+
+
+def _joined(runs: pd.DataFrame) -> pd.DataFrame:
+    """Runs of many captures, in any order, with those of one capture and number ``at`` as one."""
+    codes = pd.factorize(runs["capture_id"], use_na_sentinel=False)[0]
+    order = np.lexsort((runs["first"].to_numpy(), codes))
+    runs, codes = runs.iloc[order], codes[order]
+    at = runs["at"].to_numpy()
+    starts = np.flatnonzero(np.append(True, (codes[1:] != codes[:-1]) | (at[1:] != at[:-1])))
+    moments = Moments(*(runs[f].to_numpy() for f in _FIELDS)).joined(starts)
+    return runs[["capture_id", "at"]].iloc[starts].assign(**vars(moments))
+
+
+def _packed(frame: pd.DataFrame) -> bytes:
+    batch = pa.record_batch([pa.array(frame[c].to_numpy()) for c in frame], list(frame))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(packs: Iterable[bytes]) -> pd.DataFrame:
+    tables = [pa.ipc.open_stream(pack).read_all() for pack in packs]
+    return pa.concat_tables(tables, promote_options="permissive").to_pandas()
 
 
 def _instants(us) -> pd.Series:
@@ -104,100 +147,114 @@ class _Timed(StatefulProcessor):
         yield self._advanced(key, None, timerValues.getCurrentWatermarkInMs() * 1000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if key[0] is not None:  # the end mark has no capture
+        if self._counts(key):
             frame = pd.concat(list(rows), ignore_index=True)
             yield self._advanced(key, frame, timerValues.getCurrentWatermarkInMs() * 1000)
 
+    def _counts(self, key) -> bool:
+        return key[0] is not None  # the end mark has no capture
+
     def close(self) -> None:
         pass
 
 
 class _Runs(_Timed):
-    """Open runs of a key, by number."""
+    """Open runs of the captures of a bucket, as one packed table."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.open = handle.getValueState("open", _RUNS)
+        self.open = handle.getValueState("open", "runs binary")
 
-    def _held(self) -> dict[int, Moments]:
-        return {r[0]: Moments(*r[1:]) for r in self.open.get()[0]} if self.open.exists() else {}
+    def _counts(self, key) -> bool:
+        return key[0] >= 0  # the end mark has no bucket
 
-    def _hold(self, runs: dict[int, Moments]) -> None:
-        if runs:
-            self.open.update(([(at, *astuple(runs[at])) for at in sorted(runs)],))
-        else:
-            self.open.clear()
+    def _held(self, state) -> list[pd.DataFrame]:
+        return [_unpacked(state.get())] if state.exists() else []
+
+    def _hold(self, state, frame: pd.DataFrame) -> None:
+        if len(frame):
+            state.update((_packed(frame),))
+        elif state.exists():
+            state.clear()
+
+    def _closed(self, new: list[pd.DataFrame], passed: int) -> tuple[pd.DataFrame, list[int]]:
+        """Adds runs to the open ones; those that the watermark has passed, and the first end of the others."""
+        parts = self._held(self.open) + new
+        if not parts:
+            return pd.DataFrame(columns=["capture_id", "at", *_FIELDS]), []
+        runs = _joined(pd.concat(parts, ignore_index=True))
+        ends = (runs["at"] + 1) * self.width
+        self._hold(self.open, runs[ends > passed])
+        return runs[ends <= passed], [int(ends[ends > passed].min())] if (ends > passed).any() else []
 
 
 class SliceMoments(_Runs):
-    """Slices of one lane of a capture; a slice leaves once the watermark has passed its end."""
+    """Slices of one lane of a bucket; a slice leaves once the watermark has passed its end."""
 
     def __init__(self, width: int):
         self.width = width
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.waiting = handle.getValueState("waiting", "us array<bigint>, len array<double>, up array<double>")
+        self.waiting = handle.getValueState("waiting", "packets binary")
 
     def _advanced(self, key, frame: pd.DataFrame | None, passed: int) -> pd.DataFrame:
-        kinds = (np.int64, np.float64, np.float64)
-        parts = [] if frame is None else [[frame[c].to_numpy(k) for c, k in zip(("us", "len", "up"), kinds)]]
-        if self.waiting.exists():
-            parts.append([np.array(a, k) for a, k in zip(self.waiting.get(), kinds)])
-        us, size, up = (
-            [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, k) for k in kinds]
-        )
-        order = np.argsort(us, kind="stable")
-        us, size, up = us[order], size[order], up[order]
-        ripe = int(np.searchsorted(us, passed, side="right"))
-        if ripe < len(us):
-            self.waiting.update((us[ripe:].tolist(), size[ripe:].tolist(), up[ripe:].tolist()))
-        else:
-            self.waiting.clear()
-        number, runs = us // self.width, self._held()
-        starts = np.flatnonzero(np.append(True, number[1:ripe] != number[: ripe - 1])) if ripe else []
-        for lo, hi in zip(starts, [*starts[1:], ripe]):
-            run, at = Moments.of(us[lo:hi], size[lo:hi], up[lo:hi]), int(number[lo])
-            runs[at] = runs[at].then(run) if at in runs else run
-        done = sorted(at for at in runs if (at + 1) * self.width <= passed)
-        rows = [(*key, at, *astuple(runs.pop(at))) for at in done]
-        self._hold(runs)
-        still_open = [*runs, *number[ripe : ripe + 1].tolist()]
-        self._wake((min(still_open) + 1) * self.width if still_open else None)
-        out = pd.DataFrame(rows, columns=["capture_id", "lane", "slice", *_FIELDS]).drop(columns="lane")
-        return out.assign(closed=_instants([(at + 1) * self.width for at in done]))
+        parts = self._held(self.waiting)
+        if frame is not None:
+            kinds = {"us": np.int64, "len": np.float64, "up": np.float64}
+            parts.append(frame[["capture_id", *kinds]].astype(kinds))
+        new, wakes = [], []
+        if parts:
+            packets = pd.concat(parts, ignore_index=True)
+            ripe = packets["us"] <= passed
+            self._hold(self.waiting, packets[~ripe])
+            wakes += [(int(us) // self.width + 1) * self.width for us in packets["us"][~ripe].nsmallest(1)]
+            packets = packets[ripe]
+            us, size, up = (packets[c].to_numpy() for c in ("us", "len", "up"))
+            runs = packets[["capture_id"]].assign(at=us // self.width, **vars(Moments.each(us, size, up)))
+            new += [runs] if len(runs) else []
+        done, ends = self._closed(new, passed)
+        self._wake(min(wakes + ends, default=None))
+        cuts = range(0, len(done), PACK)
+        # A pack is behind the last watermark, as each of its slices is.
+        ends = [(int(done["at"].iloc[i : i + PACK].min()) + 1) * self.width for i in cuts]
+        packs = [_packed(done.iloc[i : i + PACK]) for i in cuts]
+        return pd.DataFrame({"bucket": key[0], "runs": packs, "closed": _instants(ends)})
 
 
 class WindowMoments(_Runs):
-    """Windows of a capture, from its closed slices; they arrive in time order, batch by batch."""
+    """Windows of the captures of a bucket, from closed slices; they arrive in time order, batch by batch."""
 
     def __init__(self, width: int, slices: int):
         self.width, self.slices = width, slices
 
     def _advanced(self, key, frame: pd.DataFrame | None, passed: int) -> pd.DataFrame:
-        runs = self._held()
+        new = []
         if frame is not None:
-            for row in frame.sort_values("slice")[["slice", *_FIELDS]].itertuples(index=False):
-                at, run = row[0] // self.slices, Moments(*row[1:])
-                runs[at] = runs[at].then(run) if at in runs else run
-        done = sorted(at for at in runs if (at + 1) * self.width <= passed)
-        rows = [(*key, at * self.width, *astuple(runs.pop(at))) for at in done]
-        self._hold(runs)
-        self._wake((min(runs) + 1) * self.width if runs else None)
-        out = pd.DataFrame(rows, columns=["capture_id", "start_us", *_FIELDS])
-        return out.assign(window_time=_instants([(at + 1) * self.width for at in done]))
+            runs = _unpacked(frame["runs"])
+            new.append(runs.assign(at=runs["at"] // self.slices))
+        done, ends = self._closed(new, passed)
+        self._wake(min(ends, default=None))
+        start = done["at"].to_numpy(np.int64) * self.width
+        out = done[["capture_id", *_FIELDS]].reset_index(drop=True)
+        out.insert(0, "bucket", key[0])
+        out.insert(2, "start_us", start)
+        return out.assign(window_time=_instants(start + self.width))
 
 
 def stream_windows(
-    packets: DataFrame, spec: WindowSpec, delay: str, slices: int = SLICES, lanes: int = LANES
+    packets: DataFrame, spec: WindowSpec, delay: str, slices: int = SLICES, lanes: int = LANES, buckets: int = BUCKETS
 ) -> DataFrame:
     """Base features of clock-aligned windows of a packet stream, in append mode.
 
-    ``packets`` has ``capture_id, ts, len, uplink``. A window is cut into
-    ``slices`` that are dealt to ``lanes`` keys, so that neither a hot capture
-    nor a hot window is one key; a slice leaves as one row of moments. State is
-    one row of moments an open slice, and the packets of the last ``delay``.
-    The gate on short captures needs whole captures and is not applied. Needs
+    ``packets`` has ``capture_id, ts, len, uplink``. Captures share ``buckets``
+    keys, since each key costs calls of Python and of the state store in every
+    batch; size them so that a task can hold a bucket's packets of one batch,
+    and keep their number for the life of a checkpoint. A window is cut into
+    ``slices`` that are dealt to ``lanes`` keys a bucket, so that neither a hot
+    capture nor a hot window is one key. Closed slices leave packed, as one
+    table of moments a bucket. State is one row of moments an open slice, and
+    the packets of the last ``delay``. The gate on short captures needs whole captures and is not applied. Needs
     the RocksDB state store provider.
     """
     width = spec.width_us
@@ -206,18 +263,23 @@ def stream_windows(
     keep = F.lit(True) if spec.keep_zero_length else (F.col("len") > 0) | F.col("capture_id").isNull()
     name = packets.schema["capture_id"].dataType.simpleString()
     us = F.unix_micros("ts")
+    # Packets of the null capture have a bucket of their own: a null among other captures would turn
+    # their numbers to floating ones on the way to Python. The end mark has neither capture nor length.
+    bucket = F.when(F.col("capture_id").isNotNull(), F.pmod(F.hash("capture_id"), F.lit(buckets)))
+    bucket = F.coalesce(bucket, F.when(F.col("len").isNotNull(), F.lit(buckets)), F.lit(-1))
     timed = packets.withWatermark("ts", delay).filter(keep).select(
-        "capture_id", F.pmod(F.floor(us / (width // slices)), F.lit(lanes)).cast("int").alias("lane"),
+        bucket.alias("bucket"), F.pmod(F.floor(us / (width // slices)), F.lit(lanes)).cast("int").alias("lane"),
+        F.coalesce("capture_id", F.lit("0").try_cast(name)).alias("capture_id"),
         "ts", us.alias("us"), "len", F.col("uplink").cast("int").cast("double").alias("up"),
     )
-    parts = timed.groupBy("capture_id", "lane").transformWithStateInPandas(
+    parts = timed.groupBy("bucket", "lane").transformWithStateInPandas(
         SliceMoments(width // slices),
-        outputStructType=f"capture_id {name}, slice bigint, {MOMENTS}, closed timestamp",
+        outputStructType="bucket int, runs binary, closed timestamp",
         outputMode="append", timeMode="EventTime", eventTimeColumnName="closed",
     )
-    merged = parts.groupBy("capture_id").transformWithStateInPandas(
+    merged = parts.groupBy("bucket").transformWithStateInPandas(
         WindowMoments(width, slices),
-        outputStructType=f"capture_id {name}, start_us bigint, {MOMENTS}, window_time timestamp",
+        outputStructType=f"bucket int, capture_id {name}, start_us bigint, {MOMENTS}, window_time timestamp",
         outputMode="append", timeMode="EventTime", eventTimeColumnName="window_time",
     )
     gaps = (F.col("n") - 1).cast("double")
@@ -225,7 +287,7 @@ def stream_windows(
     quotient = F.when(F.col("up") > 0, F.try_divide(down, F.col("up"))).otherwise(down + spec.down_only_bonus)
     quotient = F.when(F.col("directed") > 0, quotient).otherwise(1.0)
     return merged.filter(F.col("n") >= spec.min_window_packets).select(
-        "capture_id", "start_us", "window_time",
+        F.when(F.col("bucket") < buckets, F.col("capture_id")).alias("capture_id"), "start_us", "window_time",
         (F.col("bytes") * 8.0 / 1000.0).alias("throughput_kbps"),
         (F.col("bytes") / F.col("n")).alias("avg_pkt_size_bytes"),
         ((F.col("last") - F.col("first")) / gaps).alias("inter_arrival_mean_us"),

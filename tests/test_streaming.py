@@ -7,7 +7,8 @@ from brute import capture_windows
 from pyspark.sql import functions as F
 
 from slicelens.settings import TREE
-from slicelens.streaming.run import drain
+from slicelens.plans.stream_queries import PARTS, replay
+from slicelens.streaming.run import PROVIDER, ROCKSDB, drain
 from slicelens.streaming.windows import Moments, end_mark, stream_rolling, stream_windows
 
 SECOND = 1_000_000
@@ -98,6 +99,44 @@ def test_windows_stay_open_without_the_end_mark(spark, tmp_path):
     agree(got, {k: v for k, v in clock_windows(rows).items() if k[1] + SECOND <= last})
 
 
+@pytest.mark.parametrize("named", [True, False])
+def test_captures_share_keys(spark, tmp_path, named):
+    # Names or numbers, more captures than keys, packets without a capture or a direction.
+    rows = [(c + 10 * k, *rest) for c, *rest in packets() for k in range(20)]
+    frames = [spark.createDataFrame([r for r in rows if half == (r[1] < 60)], SCHEMA) for half in (True, False)]
+    lost = (F.col("pkt_no") % 11 == 3) & (F.col("pkt_no") % 7 != 2)
+    for df in frames:
+        name = F.concat(F.lit("capture "), "capture_id") if named else F.col("capture_id") + 2**60
+        df = df.withColumn("capture_id", F.when(F.col("pkt_no") % 7 != 2, name)).withColumn("uplink", F.when(~lost, F.col("uplink")))
+        df = df.withColumn("ts", F.timestamp_micros("us"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path))
+    end_mark(spark.read.parquet(str(tmp_path)), 10 * SECOND).coalesce(1).write.mode("append").parquet(str(tmp_path))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    got = found_windows(spark, stream, slices=4, lanes=3, buckets=5)
+    # A packet of unknown direction is none of the uplink; those without a capture are one capture.
+    rows = [(None, *r[1:]) if r[1] % 7 == 2 else (*r[:4], r[4] and r[1] % 11 != 3) for r in rows]
+    names = {c: None if c is None else f"capture {c}" if named else c + 2**60 for c in {r[0] for r in rows}}
+    agree(got, {(names[c], start): v for (c, start), v in clock_windows(rows).items()})
+
+
+def test_calls_follow_buckets_not_captures(spark, tmp_path):
+    rows = [(c, i, BASE + i * SECOND // 3, 100.0, True) for c in range(400) for i in range(6)]
+    stream = stream_windows(streamed(spark, str(tmp_path / "in"), [rows]), SPEC, "2 seconds", buckets=8, lanes=1)
+    folder = str(tmp_path / "out")
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        running = (
+            stream.writeStream.format("parquet").option("path", f"{folder}/rows").trigger(availableNow=True)
+            .option("checkpointLocation", f"{folder}/state").start()
+        )
+        running.awaitTermination()
+    finally:
+        spark.conf.unset(PROVIDER)
+    held = [op["numRowsTotal"] for p in running.recentProgress for op in p["stateOperators"]]
+    assert 8 <= max(held) <= 4 * 8  # packets, timers and their index: before, 400 of each
+    assert spark.read.parquet(f"{folder}/rows").select("capture_id").distinct().count() == 400
+
+
 def test_slices_must_divide_the_window(spark):
     df = spark.createDataFrame([], SCHEMA).withColumn("ts", F.timestamp_micros("us"))
     with pytest.raises(ValueError, match="do not divide"):
@@ -139,6 +178,25 @@ def test_anchored_rolling_windows(spark, tmp_path, rolling):
         assert all(v[0] == v[1] and v[2] == 0 for v in got.values())
 
 
+def test_a_batch_of_the_replay_is_one_range_of_time(spark, tmp_path):
+    # Four files of consecutive times: the ranges meet two, three and two of them.
+    at = F.when(F.col("id") < 1000, F.col("id")).otherwise(F.col("id") + 200) * SECOND
+    df = spark.range(0, 2000, 1, 4).select(
+        (F.col("id") % 3).alias("capture_id"), F.col("id").alias("pkt_no"), (at + BASE).alias("us"),
+        F.lit(100.0).alias("len"), F.lit(True).alias("uplink"),
+    )
+    df = df.withColumn("ts", F.timestamp_micros("us"))
+    last = 2199
+    sizes = [sum(k <= (s + 200 * (s >= 1000)) * PARTS / last < k + 1 for s in range(2000)) for k in range(PARTS)]
+    sizes[-1] = 2000 - sum(sizes[:-1])
+    running = (
+        replay(spark, None, df, 10 * SECOND).writeStream.format("parquet").option("path", str(tmp_path / "rows"))
+        .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    )
+    running.awaitTermination()
+    assert [p["numInputRows"] for p in running.recentProgress if p["numInputRows"]] == [*sizes, 1]
+
+
 def test_idle_capture_is_forgotten(spark, tmp_path):
     rows = [r for r in packets() if r[0] == 1]
     again = [(c, n + 1000, us + 60 * SECOND + 123_456, size, up) for c, n, us, size, up in rows]
